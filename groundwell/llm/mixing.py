@@ -96,9 +96,11 @@ UNIT = "doc_id long, source string, text_hash long, order_hash long, size long,
 
 def _flown(level: int, last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order_hash", "doc_id", "text_hash"], kind="stable", ignore_index=True)
+        rows["total"] = rows["size"] * rows["repeats"]
+        # the largest first, so that what is left in the end is small
+        rows = rows.sort_values(["total", "order_hash", "doc_id", "text_hash"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, abs(int(rows.order_hash.iloc[0])), len(rows)])
-        total = (rows["size"] * rows["repeats"]).to_numpy()
+        total = rows.pop("total").to_numpy()
         p = flight(rows.p.to_numpy(), total, rng)
         rows["p"] = landing(p, total) if last else p
         return rows
