@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding, simhash
+from . import bpe, mixing, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
+    "op4_bpe": bpe.op4,
     "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
 }
