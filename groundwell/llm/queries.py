@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, sharding, simhash
+from . import bpe, mixing, quality_rules, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
     "op4_bpe": bpe.op4,
+    "op7_warc": warc.op7,
     "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
