@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, sharding, simhash, warc
+from . import bpe, media, mixing, quality_rules, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
     "op4_bpe": bpe.op4,
+    "op5_media": media.op5,
     "op7_warc": warc.op7,
     "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
