@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality_rules, sharding, simhash, warc
+from . import bpe, langid, media, mixing, quality_rules, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.op1,
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
     "op4_bpe": bpe.op4,
