@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, by alternating large-star and small-star steps on a saved edge table."""
+"""Connected components of a graph of links, by alternating large-star and small-star steps on saved tables.
+
+The least neighbours are saved before they're joined: so both sides of a join come from a shuffle of its own, and Spark can
+split the rows of a node with very many links.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +14,13 @@ from .common import saved
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = saved(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -30,4 +34,4 @@ def roots(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
-        edges = saved(_small_star(_large_star(edges)), "edges")
+        edges = saved(_small_star(saved(_large_star(edges).distinct(), "large")), "edges")
