@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, mixing, quality_rules, sharding, simhash, warc
+from . import bpe, langid, media, mixing, quality_rules, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3,
     "op4_bpe": bpe.op4,
     "op5_media": media.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_warc": warc.op7,
     "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
