@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, mixing, quality_rules, sharding, simhash, toxicity, warc
+from . import bpe, importance, langid, media, mixing, quality_rules, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": warc.op7,
     "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
+    "op10_importance_resampling": importance.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
