@@ -4,7 +4,8 @@ A payload is padded with zero bytes to a positive multiple of 64 and stored with
 The tasks that read the input write the shards, so that no payload is shuffled; an entry's name is the SHA-256 of its bytes,
 and a task writes equal content once. The index keeps one entry for each digest; a payload that several tasks saw may stand
 in several shards, and the index points at one. Metadata columns (width, height, depth) come from range reads of an entry's
-first 33 bytes; features come from range reads of the entry. Rows are read in the order of their place in the shards.
+first 33 bytes; features come from range reads of the entry. Both read in the order of the entries' places in the shards.
+Digests are kept as 32 bytes, and written as hex in the end.
 
 Defined cases: a null text is an empty payload (64 zero bytes); equal texts get equal values; repeated rows stay rows; an
 empty table gives no shards and an empty result; other columns of the input aren't looked at.
@@ -28,7 +29,7 @@ from .files import new_file, open_file
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
-LEVEL = 4
+LEVEL = 6
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -88,12 +89,12 @@ class Shard:
     def __init__(self, folder: str, count: int) -> None:
         self.name, self.out = new_file(folder, ".tar", count)
         self.size = 0
-        self.held: dict[str, int] = {}
+        self.held: dict[bytes, int] = {}
 
-    def add(self, digest: str, data: bytes) -> int:
+    def add(self, digest: bytes, data: bytes) -> int:
         """The offset of the data."""
         if digest not in self.held:
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(data)
             head = info.tobuf(tarfile.USTAR_FORMAT if len(data) < 8 << 30 else tarfile.GNU_FORMAT)
             self.out.write(head + data + bytes(-len(data) % 512))
@@ -116,13 +117,13 @@ def _stored(folder: str):
                     shard, count = Shard(folder, count), count + 1
                 text = x.as_py()
                 data = to_png(payload_of(text))
-                digest = hashlib.sha256(data).hexdigest()
+                digest = hashlib.sha256(data).digest()
                 rows.append((len((text or "").encode()), digest, shard.name, shard.add(digest, data), len(data)))
                 if shard.size >= SHARD_BYTES:
                     shard.close()
                     shard = None
             n, digest, file, offset, length = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["doc_id", "n_bytes", "digest", "file", "offset", "length"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["doc_id", "n_bytes", "digest", "file", "offset", "length"])
         if shard is not None:
             shard.close()
 
@@ -132,7 +133,7 @@ def _stored(folder: str):
 def store(docs: DataFrame, folder: str) -> DataFrame:
     """Writes the texts' payloads to tar shards in folder; one row per row of docs: doc_id, n_bytes, digest, file, offset, length."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return saved(docs.select("doc_id", "text").mapInArrow(_stored(folder), f"doc_id {id_type}, n_bytes long, digest string, file string, offset long, length long"), "media-rows")
+    return saved(docs.select("doc_id", "text").mapInArrow(_stored(folder), f"doc_id {id_type}, n_bytes long, digest binary, file string, offset long, length long"), "media-rows")
 
 
 def index_of(rows: DataFrame) -> DataFrame:
@@ -170,31 +171,33 @@ def with_headers(index: DataFrame, folder: str) -> DataFrame:
             extra = [pa.array([h[k] for h in heads], pa.int64()) for k in range(3)]
             yield pa.record_batch([*batch.columns, *extra], names=["digest", "file", "offset", "length", "width", "height", "depth"])
 
-    return in_place(index).mapInArrow(run, "digest string, file string, offset long, length long, width long, height long, depth long")
+    return in_place(index).mapInArrow(run, "digest binary, file string, offset long, length long, width long, height long, depth long")
 
 
 def with_features(index: DataFrame, folder: str) -> DataFrame:
-    """digest to payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, from the stored bytes."""
+    """Adds payload_bytes, payload_sha256, tail_crc32, media_bytes and feature, from the stored bytes. index: as with_headers returns it, in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for digest, data in zip(batch.column("digest").to_pylist(), _ranges(folder, batch, None), strict=True):
+                if hashlib.sha256(data).digest() != digest:
+                    raise ValueError("an entry isn't what its digest says")
                 p = from_png(data)
-                rows.append({"digest": digest, "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-WIDTH:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature(p)})
-            yield pa.RecordBatch.from_pylist(rows, FEATURES)
+                rows.append((len(p), hashlib.sha256(p).digest(), zlib.crc32(p[-WIDTH:]), len(data), feature(p)))
+            values = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+            kept = [batch.column(c) for c in ("digest", "width", "height", "depth")]
+            yield pa.record_batch([*kept, *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], names=["digest", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
 
-    return in_place(index).mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-FEATURES = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    return index.mapInArrow(run, "digest binary, width long, height long, depth long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "media")
     rows = store(table(spark, sf_dir, "documents"), folder)
-    index = saved(index_of(rows), "media-index")
-    heads = saved(with_headers(index, folder), "media-headers")
-    values = with_features(index, folder).join(heads.select("digest", "width", "height", "depth"), "digest")
-    values = saved(values, "media-features")
-    return rows.select("doc_id", "n_bytes", "digest").join(values, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
+    heads = saved(with_headers(index_of(rows), folder), "media-headers")
+    values = saved(with_features(heads, folder), "media-features")
+    sha = lambda c: F.lower(F.hex(c))
+    both = rows.select("doc_id", "n_bytes", "digest").join(values, "digest")
+    return both.select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", sha("digest").alias("media_sha256"), "feature", "width", "height", "depth")
