@@ -134,7 +134,7 @@ def mixed_units(docs: DataFrame, seed: int = 23) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select("doc_id", "source", "text_hash", "size", (F.col("base") + F.when(F.col("size") > 0, F.round("p")).otherwise(0).cast("int")).alias("copies"))
+    out = out.select("doc_id", "source", "text_hash", "size", F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("int")).otherwise(0).alias("copies"))
     return join_small(out, t, F.col("source").eqNullSafe(F.col("_source")), "inner").select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies")
 
 
