@@ -34,8 +34,10 @@ def merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def web_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of 80 characters or more with an address; the rank counts dropped pages too."""
     p = read(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), t.domain(F.col("url")).alias("domain"), t.html_text(F.col("html")).alias("body"))
+    # what is needed of a text is taken before the shuffle
+    p = p.select("page_id", "url", "domain", F.length("body").alias("chars"), F.md5("body").alias("body_md5"))
     ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")))
-    return ranked.where((F.length("body") >= 80) & (F.col("url") != "")).select("page_id", "domain", F.length("body").alias("chars"), F.md5("body").alias("body_md5"), F.round(1 / F.col("rank"), 6).alias("score"))
+    return ranked.where((F.col("chars") >= 80) & (F.col("url") != "")).select("page_id", "domain", "chars", "body_md5", F.round(1 / F.col("rank"), 6).alias("score"))
 
 
 def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
