@@ -24,14 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import table
 
 #: The pattern that splits a text before the merges; fixed by the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 VOCABULARY_LIMIT = 64 << 20
-CACHE = 200_000
+CACHE = 120_000
 BLOCK_CHARS = 1 << 20
 BLOCK_PIECES = 1 << 16
 
@@ -106,7 +106,7 @@ class Tokenizer:
 
     def _fits(self, a: int, b: int) -> bool:
         """compatible, kept for the pair."""
-        if len(self.pair_fits) > 4 * CACHE:
+        if len(self.pair_fits) > 2 * CACHE:
             self.pair_fits.clear()
         known = self.pair_fits[a << 32 | b] = self.compatible(a, b)
         return known
@@ -175,7 +175,18 @@ class Tokenizer:
             at = m.end()
         yield from self._plain((text or "")[at:])
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text."""
+        parts = [np.array(b, dtype=np.int32) for b in self.encode_blocks(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.int32), *parts])
+
+    def forget(self) -> None:
+        """Drops what was kept of pieces and pairs: a worker that waits for its next task holds the vocabulary alone."""
+        self.cache.clear()
+        self.older.clear()
+        self.pair_fits.clear()
+
+    def decode_bytes(self, ids: list[int] | np.ndarray) -> bytes:
         if not len(ids):
             return b""
         k = np.asarray(ids, dtype=np.int64)
@@ -183,7 +194,7 @@ class Tokenizer:
         ends = np.cumsum(sizes)
         return self.blob[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
@@ -207,13 +218,40 @@ def shared_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(source)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
 def encoded(text: Column, vocabulary) -> Column:
     """The ids of a text."""
 
     @F.arrow_udf(ArrayType(IntegerType()))
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(vocabulary)
-        return pa.array([list(chain.from_iterable(t.encode_blocks(x.as_py()))) for x in texts], type=pa.list_(pa.int32()))
+        for texts in batches:
+            yield _lists([t.encode(x.as_py()) for x in texts])
+        t.forget()
+
+    return run(text)
+
+
+CHECKED = StructType([StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+
+
+def encoded_checked(text: Column, vocabulary) -> Column:
+    """A struct of the ids of a text, and whether they decode to it."""
+
+    @F.arrow_udf(CHECKED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = _tokenizer(vocabulary)
+        for texts in batches:
+            rows, same = [], []
+            for x in texts:
+                rows.append(t.encode(x.as_py()))
+                same.append(t.decode(rows[-1]) == (x.as_py() or ""))
+            yield pa.StructArray.from_arrays([_lists(rows), pa.array(same, pa.bool_())], fields=[pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())])
+        t.forget()
 
     return run(text)
 
@@ -224,7 +262,7 @@ def decoded(ids: Column, vocabulary) -> Column:
     @F.arrow_udf(StringType())
     def run(lists: pa.Array) -> pa.Array:
         t = _tokenizer(vocabulary)
-        return pa.array([None if x is None else t.decode(x) for x in lists.to_pylist()], type=pa.string())
+        return pa.array([t.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], type=pa.string())
 
     return run(ids)
 
@@ -236,8 +274,13 @@ def round_trip_digests(text: Column, vocabulary) -> Column:
     """Encodes a text, decodes the ids, and returns the digests of both."""
 
     @F.arrow_udf(DIGESTS)
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(vocabulary)
+        for texts in batches:
+            yield digests(t, texts)
+        t.forget()
+
+    def digests(t: Tokenizer, texts: pa.Array) -> pa.Array:
         counts, ids_hex, text_hex = [], [], []
         for x in texts:
             n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
