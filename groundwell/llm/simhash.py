@@ -174,7 +174,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is their component's; of rows with one id, one."""
     stays = saved(components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_n")), "stays")
     repeats = stays.agg(F.max("_n")).first()[0] or 0
-    out = docs.join(stays.select("_stays"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    # by sorting at every size: what stays grows with the input, so it's never broadcast
+    out = docs.join(stays.select("_stays").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
     return out.dropDuplicates(["doc_id"]) if repeats > 1 else out
 
 
