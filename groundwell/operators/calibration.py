@@ -85,3 +85,12 @@ def fit_logistic(rows: DataFrame, features: list[str], c: float = 1.0) -> DataFr
     scaled = rows.select("label", F.when(F.col("label") == 1, stats.n / (2 * stats.good)).otherwise(stats.n / (2 * (stats.n - stats.good))).alias("weight"), *[((F.col(f) - stats[f"m_{f}"]) / stats[f"s_{f}"]).alias(f) for f in used])
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * stats.n), elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200).fit(VectorAssembler(inputCols=used, outputCol="x").transform(scaled))
     return spark.createDataFrame([("intercept", float(model.intercept)), *zip(used, map(float, model.coefficients), strict=True)], "feature string, coefficient double")
+
+
+def fit_isotonic(rows: DataFrame) -> DataFrame:
+    """The steps of an isotonic fit of label on p: boundary, value. Fitted on sums by p, not on rows."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    sums = by_score(rows).select((F.col("good") / F.col("n")).alias("label"), "p", F.col("n").cast("double").alias("weight"))
+    m = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(sums)
+    return rows.sparkSession.createDataFrame(list(zip(map(float, m.boundaries), map(float, m.predictions), strict=True)), "boundary double, value double")

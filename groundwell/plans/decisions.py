@@ -182,10 +182,10 @@ _V = "val AS (SELECT *, round(CASE WHEN status IN ('sufficient', 'abandoned') TH
 _POOL = "pools AS (SELECT o_orderkey AS run, CAST(o_custkey % 18 AS INT) AS used, CAST(greatest(0, 16 - o_custkey % 18) AS INT) AS pool FROM orders)"
 _FIND = "fc AS (SELECT run, pos, part, unnest(generate_series(1, part % 4)) AS claim FROM plan WHERE part % 4 > 0), finds AS (SELECT run, pos, claim, (['SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CONTRADICTED'])[CAST((part + claim) % 4 + 1 AS INT)] AS verdict FROM fc)"
 _EV = "e0 AS (SELECT run, pos, status, part, unnest(generate_series(1, supp % 5)) AS rank FROM plan WHERE supp % 5 > 0), ev AS (SELECT run, pos, status, CAST(rank AS INT) AS rank, (part + 3 * rank) % 12 AS passage FROM e0)"
-_RES = f"""{_FIND}, cf AS (SELECT run, pos, round(avg(CASE WHEN verdict = 'SUPPORTED' THEN 1.0 WHEN verdict IN ('UNSUPPORTED', 'CONTRADICTED') THEN 0.0 ELSE 0.5 END), 6) AS f6, CAST(count(*) FILTER (verdict = 'SUPPORTED') AS INT) AS supported, count(*) AS claims FROM finds GROUP BY ALL),
+_RES = f"""{_FIND}, cf AS (SELECT run, pos, round(avg(CASE WHEN verdict = 'SUPPORTED' THEN 1.0 WHEN verdict IN ('UNSUPPORTED', 'CONTRADICTED') THEN 0.0 ELSE 0.5 END), 6) AS f6, CAST(count(*) FILTER (verdict = 'SUPPORTED') AS BIGINT) AS supported, count(*) AS claims FROM finds GROUP BY ALL),
 res AS (SELECT run, pos, kind, status, rounds, f6, (status = 'sufficient' AND coalesce(f6 >= 0.5, true)) OR (coalesce(f6 >= 0.5, false) AND coalesce(supported, 0) >= 2) AS resolved FROM plan LEFT JOIN cf USING (run, pos))"""
 _SPLIT = "CASE WHEN pool <= 0 THEN 0 WHEN pool < n THEN CASE WHEN pos - 1 < pool THEN 1 ELSE 0 END ELSE pool // n + CASE WHEN pos - 1 < pool % n THEN 1 ELSE 0 END END"
-_PROGRESS = """pr AS (SELECT run, CAST(count(*) FILTER (status = 'pending') AS INT) AS pending, count(*) FILTER (status = 'pending') = 0 AS all_terminal, CAST(count(*) FILTER (status = 'sufficient') AS INT) AS n_sufficient, CAST(count(*) FILTER (status = 'insufficient') AS INT) AS n_insufficient, CAST(count(*) FILTER (status = 'abandoned') AS INT) AS n_abandoned FROM plan GROUP BY run)"""
+_PROGRESS = """pr AS (SELECT run, CAST(count(*) FILTER (status = 'pending') AS BIGINT) AS pending, count(*) FILTER (status = 'pending') = 0 AS all_terminal, CAST(count(*) FILTER (status = 'sufficient') AS BIGINT) AS n_sufficient, CAST(count(*) FILTER (status = 'insufficient') AS BIGINT) AS n_insufficient, CAST(count(*) FILTER (status = 'abandoned') AS BIGINT) AS n_abandoned FROM plan GROUP BY run)"""
 _AFTER = "CASE WHEN NOT draft AND decision <> 'ABSTAIN' AND NOT premise_failed AND planned AND NOT error THEN 'synthesizer' WHEN draft AND NOT reviewed THEN 'critic' WHEN findings AND NOT routed THEN 'critic_router' WHEN NOT decided THEN 'decider' WHEN NOT report THEN 'finalizer' ELSE 'finish' END"
 
 QUERIES = {
@@ -211,7 +211,7 @@ SELECT run, pos, f1, best, CASE WHEN f1 IS NULL THEN CASE WHEN pos >= 3 THEN 'ab
   WHEN coalesce(round(f1 - best, 6) < 0.5, false) OR pos >= 3 THEN CASE WHEN f1 >= 4 THEN 'sufficient' WHEN f1 <= 0 THEN 'abandoned' ELSE 'insufficient' END ELSE 'in_progress' END AS state FROM b""",
     "claim_features": f"WITH {PLAN_SQL}, {_RES} SELECT * FROM cf",
     "resolve_heuristic": f"WITH {PLAN_SQL}, {_RES} SELECT * FROM res",
-    "run_scores": f"WITH {PLAN_SQL}, {_RES} SELECT run, round(avg(CASE WHEN kind = 'core' THEN CAST(resolved AS INT) END), 6) AS score, bool_or(rounds > 0) AS has_evidence, CAST(count(*) FILTER (NOT resolved) AS INT) AS unresolved, round(avg(CASE WHEN status = 'sufficient' THEN 1.0 ELSE 0.0 END), 6) AS sufficient_share FROM res GROUP BY run",
+    "run_scores": f"WITH {PLAN_SQL}, {_RES} SELECT run, round(avg(CASE WHEN kind = 'core' THEN CAST(resolved AS INT) END), 6) AS score, bool_or(rounds > 0) AS has_evidence, CAST(count(*) FILTER (NOT resolved) AS BIGINT) AS unresolved, round(avg(CASE WHEN status = 'sufficient' THEN 1.0 ELSE 0.0 END), 6) AS sufficient_share FROM res GROUP BY run",
     "decide_terminal": f"""WITH {PLAN_SQL}, {_RES}, s AS (SELECT run, round(avg(CASE WHEN kind = 'core' THEN CAST(resolved AS INT) END), 6) AS score, bool_or(rounds > 0) AS has_evidence FROM res GROUP BY run),
 r AS (SELECT s.*, CASE WHEN o_orderpriority = '1-URGENT' AND o_custkey % 5 = 0 THEN 'premise' WHEN (o_orderstatus = 'P' AND o_custkey % 3 = 0) OR (o_custkey % 7 = 0 AND o_custkey % 13 = 0) THEN 'system_failure' WHEN NOT has_evidence OR score IS NULL THEN 'no_evidence' ELSE 'threshold' END AS rule FROM s JOIN orders ON run = o_orderkey),
 t AS (SELECT *, CASE WHEN rule <> 'threshold' THEN 'ABSTAIN' WHEN score >= 0.65 THEN 'ANSWER' WHEN score >= 0.40 THEN 'PARTIAL' ELSE 'ABSTAIN' END AS terminal FROM r)
@@ -224,7 +224,7 @@ SELECT run, score, terminal, rule, CASE WHEN rule = 'threshold' THEN round(least
   o_custkey % 5 <> 0 AS reviewed, o_custkey % 23 <> 0 AS findings, o_custkey % 4 <> 0 AS routed, o_custkey % 7 = 0 AS report, o_custkey % 18 < 16 AS budget, pr.pending IS NOT NULL AS planned, coalesce(pr.pending, 0) > 0 AS pending, o_orderkey IN (SELECT run FROM plan WHERE status = 'insufficient' AND rounds >= 1) AS revisable FROM orders LEFT JOIN pr ON pr.run = o_orderkey),
 g AS (SELECT *, {_AFTER} AS after FROM f) SELECT run, CASE WHEN error OR decided THEN after WHEN NOT premise_ran THEN 'premise_checker' WHEN premise_failed AND NOT planned THEN after WHEN NOT planned THEN 'planner' WHEN pending THEN CASE WHEN budget THEN 'retriever' ELSE after END WHEN revisable AND budget THEN 'planner' ELSE after END AS node FROM g""",
     "premise_summary": f"""WITH {PLAN_SQL}, a AS (SELECT *, (['SUPPORTED', 'UNVERIFIABLE', 'CONTRADICTED'])[CAST(part % 3 + 1 AS INT)] AS verdict, bool_or(kind = 'core') OVER (PARTITION BY run) AS has_core FROM plan WHERE pos <= 4), b AS (SELECT *, kind = 'core' OR NOT has_core AS used FROM a)
-SELECT run, round(coalesce(avg(CASE verdict WHEN 'SUPPORTED' THEN 1.0 WHEN 'CONTRADICTED' THEN 0.0 ELSE 0.5 END) FILTER (used), 1.0), 6) AS grounding, bool_or(used AND verdict = 'CONTRADICTED') AS failed, min(pos) FILTER (used AND verdict = 'CONTRADICTED') AS first_failure, CAST(count(*) FILTER (used AND verdict = 'SUPPORTED') AS INT) AS confirmed FROM b GROUP BY run""",
+SELECT run, round(coalesce(avg(CASE verdict WHEN 'SUPPORTED' THEN 1.0 WHEN 'CONTRADICTED' THEN 0.0 ELSE 0.5 END) FILTER (used), 1.0), 6) AS grounding, bool_or(used AND verdict = 'CONTRADICTED') AS failed, min(pos) FILTER (used AND verdict = 'CONTRADICTED') AS first_failure, CAST(count(*) FILTER (used AND verdict = 'SUPPORTED') AS BIGINT) AS confirmed FROM b GROUP BY run""",
     "passage_owner": f"WITH {PLAN_SQL}, {_EV} SELECT run, passage, pos AS owner, status <> 'abandoned' AS live FROM ev QUALIFY row_number() OVER (PARTITION BY run, passage ORDER BY status = 'abandoned', pos, rank) = 1",
     "round_robin_evidence": f"""WITH {PLAN_SQL}, {_EV}, l AS (SELECT run, passage, rank, pos FROM ev WHERE status <> 'abandoned' QUALIFY row_number() OVER (PARTITION BY run, passage ORDER BY rank, pos) = 1), x AS (SELECT run, passage, pos AS dpos, rank AS drank FROM ev QUALIFY row_number() OVER (PARTITION BY run, passage ORDER BY pos, rank) = 1)
 SELECT run, passage, CAST(row_number() OVER (PARTITION BY run ORDER BY l.rank NULLS LAST, l.pos, dpos, drank, passage) AS INT) AS place, l.rank IS NOT NULL AS live FROM x LEFT JOIN l USING (run, passage) QUALIFY place <= 24""",

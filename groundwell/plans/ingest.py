@@ -120,7 +120,7 @@ l4 AS (SELECT *, CASE WHEN b = '' OR length(b) > 90 THEN false WHEN regexp_match
 l5 AS (SELECT *, max(CASE WHEN head THEN line_no ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS start FROM l4),
 h AS (SELECT doc_id, line_no AS start, section FROM l5 WHERE head),
 g AS (SELECT l5.doc_id, l5.start, trim(regexp_replace(string_agg(line, ' ' ORDER BY line_no) FILTER (NOT head), '\s+', ' ', 'g')) AS body FROM l5 GROUP BY ALL)
-SELECT g.doc_id, CAST(g.start AS INT) AS line_no, CASE WHEN g.start = -1 THEN 'Front Matter' ELSE h.section END AS section, length(body) AS chars, md5(body) AS body_md5 FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.start = h.start
+SELECT g.doc_id, CAST(g.start AS INT) AS line_no, CASE WHEN g.start = -1 THEN 'Front Matter' ELSE h.section END AS section, CAST(length(body) AS INT) AS chars, md5(body) AS body_md5 FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.start = h.start
 WHERE coalesce(body, '') <> '' AND coalesce(h.section NOT IN ('References', 'Acknowledgments'), true)"""
 
 
@@ -135,11 +135,11 @@ ORACLE_SQL = {
     "ingest_dedup_first": f"WITH {PASSAGES_SQL} SELECT id, doc_id, source_id, section FROM passages QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1",
     "upsert_dedup_last": "SELECT conv_id || '/' || role AS key, turn, substr(sha256(trim(text)), 1, 16) AS digest FROM conversations WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text) = 1",
     "merge_evidence": f"SELECT * FROM (SELECT 0 AS seq, doc_id AS place, sha256({_CLEAN_SQL}) AS id FROM documents UNION ALL SELECT 1, page_id, sha256({_HTML_SQL}) FROM pages) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq, place) = 1",
-    "web_normalise": f"SELECT page_id, domain, length(body) AS chars, md5(body) AS body_md5, round(1 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM (SELECT page_id, coalesce(url, '') AS url, {_DOMAIN_SQL} AS domain, {_HTML_SQL} AS body FROM pages)) WHERE length(body) >= 80 AND url <> ''",
+    "web_normalise": f"SELECT page_id, domain, CAST(length(body) AS INT) AS chars, md5(body) AS body_md5, round(1 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM (SELECT page_id, coalesce(url, '') AS url, {_DOMAIN_SQL} AS domain, {_HTML_SQL} AS body FROM pages)) WHERE length(body) >= 80 AND url <> ''",
     "domain_counts": f"SELECT {_DOMAIN_SQL} AS domain, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
     "char_windows": f"""WITH c AS (SELECT doc_id, {_CLEAN_SQL} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN length(w) <= 1000 THEN [0] ELSE generate_series(0, length(w) - 1, 850) END) AS start FROM c WHERE w <> '')
-SELECT doc_id, CAST(start // 850 AS INT) AS index, CAST(start AS INT) AS start, length(substr(w, start + 1, 1000)) AS chars, md5(substr(w, start + 1, 1000)) AS body_md5 FROM s""",
-    "dehyphenate": f"SELECT doc_id, md5({_DEHYPHEN_SQL}) AS fixed_md5, length(text) - length({_DEHYPHEN_SQL}) AS removed FROM documents",
+SELECT doc_id, CAST(start // 850 AS INT) AS index, CAST(start AS INT) AS start, CAST(length(substr(w, start + 1, 1000)) AS INT) AS chars, md5(substr(w, start + 1, 1000)) AS body_md5 FROM s""",
+    "dehyphenate": f"SELECT doc_id, md5({_DEHYPHEN_SQL}) AS fixed_md5, CAST(length(text) - length({_DEHYPHEN_SQL}) AS INT) AS removed FROM documents",
     "section_islands": _section_sql(),
     "gap_lines": rf"""WITH c AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(text, ''), {_BLANK})), '[ .]+$', '') AS p FROM conversations WHERE role = 'user'),
 g AS (SELECT conv_id, turn, 'could not establish: ' || CASE WHEN length(p) > 200 THEN regexp_replace(regexp_replace(substr(p, 1, 200), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' ELSE p END AS gap FROM c),
