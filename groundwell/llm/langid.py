@@ -73,16 +73,21 @@ def presence(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def fit(rows: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """Presence rows and their languages to the languages and the matrix (PLACES x languages)."""
+def _unit(bits: list[bytes]) -> np.ndarray:
+    """Presence rows over the roots of their own numbers."""
+    rows = np.unpackbits(np.array([np.frombuffer(b, dtype=np.uint8) for b in bits]), axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+
+
+def fit(bits: list[bytes], labels: list[str]) -> tuple[list[str], np.ndarray]:
+    """Presence rows as bits, and their languages, to the languages and the matrix (PLACES x languages)."""
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
-    unit = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    marks = np.concatenate([unit[y == k][:LANDMARKS] for k in range(len(names))])
+    marks = _unit([bits[i] for k in range(len(names)) for i in np.flatnonzero(y == k)[:LANDMARKS]])
     values, vectors = np.linalg.eigh(marks @ marks.T)
     keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])  # the Nyström map's K^(-1/2)
-    phi = unit @ (marks.T @ root)
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # the Nyström map's K^(-1/2)
+    phi = np.concatenate([(_unit(bits[at : at + BATCH]) @ marks.T) @ root for at in range(0, len(bits), BATCH)])
     target = 2.0 * (y[:, None] == np.arange(len(names))) - 1
     # a language counts as much as another, however many rows it has
     weight = (1 / np.bincount(y))[y][:, None]
@@ -99,8 +104,7 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarray]:
     found.sort(key=lambda r: r.doc_id)
     if not found:
         return [], np.zeros((PLACES, 0), dtype=np.float32)
-    rows = np.unpackbits(np.array([np.frombuffer(r.bits, dtype=np.uint8) for r in found]), axis=1).astype(np.float32)
-    return fit(rows, [r.lang for r in found])
+    return fit([bytes(r.bits) for r in found], [r.lang for r in found])
 
 
 PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
