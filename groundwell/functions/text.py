@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -49,42 +49,54 @@ def is_noise(line: Column) -> Column:
     return line.rlike(PAGE_NOISE)
 
 
+def heading_key(heading: Column) -> Column:
+    """A heading without its number and marks, in lower case."""
+    plain = F.trim(F.regexp_replace(F.coalesce(heading, F.lit("")), r"^\s*(?:\d+(?:\.\d+)*|[IVXL]+)\.?\s*", ""))
+    return F.regexp_replace(F.lower(F.regexp_replace(plain, r"^[:.\- \t]+|[:.\- \t]+$", "")), r"\s+", " ")
+
+
+def section_of(key: Column) -> Column:
+    """The section that a heading_key stands for, or null: the key itself, or the first heading that it begins with."""
+    known = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
+    begins = F.get(F.filter(F.array(*[F.lit(k) for k in SECTIONS]), lambda k: key.startswith(F.concat(k, F.lit(" ")))), F.lit(0))
+    return F.coalesce(F.try_element_at(known, key), F.try_element_at(known, begins))
+
+
 def canonical_section(heading: Column) -> Column:
     """The section a heading stands for, or null."""
-    plain = F.trim(F.regexp_replace(F.coalesce(heading, F.lit("")), r"^\s*(?:\d+(?:\.\d+)*|[IVXL]+)\.?\s*", ""))
-    plain = F.regexp_replace(F.lower(F.regexp_replace(plain, r"^[:.\- \t]+|[:.\- \t]+$", "")), r"\s+", " ")
-    return F.coalesce(*[F.when(plain == k, v) for k, v in SECTIONS.items()], *[F.when(plain.startswith(k + " "), v) for k, v in SECTIONS.items()])
+    return section_of(heading_key(heading))
 
 
-def header(line: Column) -> Column:
-    """A struct for a heading (its section may be null), null for any other line."""
-    bare = F.trim(line)
-    numbered = bare.rlike(NUMBERED)
-    section = canonical_section(bare)
-    short = F.size(F.split(bare, r"\s+")) <= 6
+def header(bare: Column, key: Column) -> Column:
+    """A struct for a heading (its section may be null), null for any other line. bare: the trimmed line, key: its heading_key."""
     none = F.lit(None).cast("struct<section:string>")
-    named = F.struct(section.alias("section"))
+    numbered = bare.rlike(NUMBERED)
+    named = F.struct(section_of(key).alias("section"))
     return (
         F.when((bare == "") | (F.length(bare) > 90), none)
-        .when(bare.rlike(r"[.,;:]$") & ~numbered, none)
+        .when(bare.rlike(r"[.,;:]$"), F.when(numbered, named))
         .when(numbered | bare.rlike(ROMAN), named)
-        .when(short & section.isNotNull(), named)
+        .when(F.size(F.split(bare, r"\s+")) <= 6, F.when(named["section"].isNotNull(), named))
         .otherwise(none)
     )
 
 
-def sections(text: Column) -> Column:
-    """A text's sections in order, as structs of at (line number), section and body. What comes before the first heading is `Front Matter`."""
-    lines = F.filter(F.transform(F.split(dehyphenate(F.coalesce(text, F.lit(""))), r"\r\n|\n|\r", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at"), header(x).alias("head"))), lambda x: ~is_noise(x["line"]))
-    heads = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit("Front Matter").alias("section"))), F.transform(F.filter(lines, lambda x: x["head"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x["head"]["section"].alias("section"))))
-    found = F.transform(
-        heads,
-        lambda h, i: F.struct(
-            h["at"].alias("at"), h["section"].alias("section"),
-            clean(F.array_join(F.transform(F.filter(lines, lambda x: (x["at"] > h["at"]) & (x["at"] < F.coalesce(F.get(heads, i + 1)["at"], F.lit(1 << 30)))), lambda x: x["line"]), " ")).alias("body"),
-        ),
-    )
-    return F.filter(found, lambda s: (s["body"] != "") & ~F.coalesce(s["section"].isin(*NON_EVIDENCE), F.lit(False)))
+def with_sections(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """One row per section of a text: keep, at (line number of the heading), section and body. What comes before the first heading is `Front Matter`.
+
+    In steps, so that no step's array is made anew for each of its elements."""
+    kept = [F.col(c) for c in keep]
+    lines = F.filter(F.transform(F.split(dehyphenate(F.coalesce(F.col(text), F.lit(""))), r"\r\n|\n|\r", -1), lambda x, i: F.struct(x.alias("line"), F.trim(x).alias("bare"), i.alias("at"))), lambda x: ~is_noise(x["line"]))
+    d = docs.select(*kept, lines.alias("_l"))
+    d = d.select(*kept, F.transform("_l", lambda x: F.struct(x["line"].alias("line"), x["at"].alias("at"), x["bare"].alias("bare"), F.when(F.length(x["bare"]) <= 90, heading_key(x["bare"])).alias("key"))).alias("_l"))
+    d = d.select(*kept, F.transform("_l", lambda x: F.struct(x["line"].alias("line"), x["at"].alias("at"), header(x["bare"], x["key"]).alias("head"))).alias("_l"))
+    # places of the headings in the array of lines, with a first one before it and the end after it
+    places = F.filter(F.transform("_l", lambda x, i: F.when(x["head"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+    d = d.select(*kept, "_l", F.concat(F.array(F.lit(0)), places).alias("_h"))
+    d = d.select(*kept, "_l", "_h", F.posexplode("_h").alias("_k", "_i"))
+    d = d.select(*kept, F.get("_l", F.col("_i") - 1).alias("_x"), F.slice("_l", F.col("_i") + 1, F.coalesce(F.get("_h", F.col("_k") + 1) - 1, F.size("_l")) - F.col("_i")).alias("_own"), "_i")
+    d = d.select(*kept, F.when(F.col("_i") == 0, -1).otherwise(F.col("_x.at")).alias("at"), F.when(F.col("_i") == 0, "Front Matter").otherwise(F.col("_x.head.section")).alias("section"), clean(F.array_join(F.transform("_own", lambda x: x["line"]), " ")).alias("body"))
+    return d.where((F.col("body") != "") & ~F.coalesce(F.col("section").isin(*NON_EVIDENCE), F.lit(False)))
 
 
 def domain(url: Column) -> Column:

@@ -45,7 +45,8 @@ def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(op.char_windows(F.col("text"), 1000, 150)).alias("w"))
+    d = read(spark, sf_dir, "documents").select("doc_id", t.clean(F.col("text")).alias("whole"))
+    d = d.select("doc_id", F.explode(op.char_windows(F.col("whole"), 1000, 150)).alias("w"))
     return d.select("doc_id", "w.index", "w.start", F.length("w.body").alias("chars"), F.md5("w.body").alias("body_md5"))
 
 
@@ -55,16 +56,17 @@ def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(t.sections(F.col("text"))).alias("s"))
-    return d.select("doc_id", F.col("s.at").alias("line_no"), "s.section", F.length("s.body").alias("chars"), F.md5("s.body").alias("body_md5"))
+    d = t.with_sections(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return d.select("doc_id", F.col("at").alias("line_no"), "section", F.length("body").alias("chars"), F.md5("body").alias("body_md5"))
 
 
 def section_aware_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole sentences that don't cross a section: ids and places, numbered through the document."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.explode(t.sections(F.col("text"))).alias("s"))
-    d = d.select("doc_id", "source", "s.at", "s.section", F.posexplode(op.windows_of(F.col("s.body"), 1000, 150)).alias("k", "body"))
+    d = t.with_sections(read(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    d = d.select("doc_id", "source", "at", "section", F.posexplode(op.windows_of(F.col("body"), 1000, 150)).alias("k", "chunk"))
+    d = d.select("doc_id", "at", "k", "section", F.length("chunk").alias("chars"), t.passage_id(F.col("source"), F.col("section"), F.col("chunk")).alias("id"))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "k")) - 1
-    return d.select("doc_id", index.alias("index"), "section", F.length("body").alias("chars"), t.passage_id(F.col("source"), F.col("section"), F.col("body")).alias("id"))
+    return d.select("doc_id", index.alias("index"), "section", "chars", "id")
 
 
 def web_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
