@@ -35,7 +35,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """docs (id, text) to id, dl, term, tf, for the terms (column term) that are asked for."""
-    each = docs.select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    # explode_outer, as for explode Spark adds a filter that makes the words once more; the join drops nulls
+    each = docs.select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term"))
     return each.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -31,7 +31,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _docs(spark, sf_dir).select("id", F.explode(tokens(F.col("text"))).alias("term"))
+    each = _docs(spark, sf_dir).select("id", F.explode_outer(tokens(F.col("text"))).alias("term")).where("term is not null")
     return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
