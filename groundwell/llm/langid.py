@@ -144,5 +144,5 @@ def language_filter(docs: DataFrame, least: float = 0.25) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2).alias("held_out"), identify(F.col("text"), spark, learn(docs)).alias("p"))
+    found = docs.select("doc_id", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), identify(F.col("text"), spark, learn(docs)).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score"))

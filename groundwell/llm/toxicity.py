@@ -343,5 +343,5 @@ def toxicity(text: Column, spark: SparkSession, net: Network | None) -> Column:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     score = toxicity(F.col("text"), spark, learn(docs, table(spark, sf_dir, "labels")))
-    found = docs.select("doc_id", (F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1).alias("held_out"), score.alias("score"))
+    found = docs.select("doc_id", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, F.lit(False)).alias("held_out"), score.alias("score"))
     return found.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
