@@ -278,7 +278,6 @@ def round_trip_digests(text: Column, vocabulary) -> Column:
         t = _tokenizer(vocabulary)
         for texts in batches:
             yield digests(t, texts)
-        t.forget()
 
     def digests(t: Tokenizer, texts: pa.Array) -> pa.Array:
         counts, ids_hex, text_hex = [], [], []
