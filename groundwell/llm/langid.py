@@ -9,7 +9,11 @@ coefficients fold into one matrix, and a batch of texts is scored by one product
 Sample bound: SAMPLE rows in all (four times that if hashes fall badly), spread over the languages; 32 landmarks a language.
 What a row leaves on the driver is its 4 KB presence row, whatever its length.
 
-Defined cases: `und` with score 0 for a null text or one without a letter, and for all if nothing could be learned; equal
+The pipeline's filter doesn't use the score, a softmax over the learned languages that is never under 1 / their number. It
+uses the raw one-versus-rest value of the best language. Its bound is the value that 99 % of the fitted rows reach, each
+as if it alone had been left out of the fit.
+
+Defined cases: under CALIBRATE fitted rows there is no bound, and only `und` is filtered out; `und` with score 0 for a null text or one without a letter, and for all if nothing could be learned; equal
 scores go to the language first in code-point order; very long texts are read in blocks; rows with a null doc_id are never
 learned from; repeated rows are scored alike; an empty table gives an empty result; other columns pass through
 identify() untouched and cannot clash, as its result is one struct column.
@@ -31,6 +35,9 @@ SAMPLE = 1600
 LANDMARKS = 32
 RIDGE = 1e-2
 SHARPNESS = 4.0
+#: Of the fitted rows this share has a value under the filter's bound; so many rows are needed for one.
+UNDER = 0.01
+CALIBRATE = 100
 BLOCK = 1 << 20
 BATCH = 64
 UNKNOWN = "und"
@@ -79,8 +86,8 @@ def _unit(bits: list[bytes]) -> np.ndarray:
     return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
 
 
-def fit(bits: list[bytes], labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """Presence rows as bits, and their languages, to the languages and the matrix (PLACES x languages)."""
+def fit(bits: list[bytes], labels: list[str]) -> tuple[list[str], np.ndarray, float]:
+    """Presence rows as bits, and their languages, to the languages, the matrix (PLACES x languages) and the filter's bound."""
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
     marks = _unit([bits[i] for k in range(len(names)) for i in np.flatnonzero(y == k)[:LANDMARKS]])
@@ -91,11 +98,16 @@ def fit(bits: list[bytes], labels: list[str]) -> tuple[list[str], np.ndarray]:
     target = 2.0 * (y[:, None] == np.arange(len(names))) - 1
     # a language counts as much as another, however many rows it has
     weight = (1 / np.bincount(y))[y][:, None]
-    coef = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * np.eye(phi.shape[1]), phi.T @ (weight * target))
-    return names, (marks.T @ (root @ coef)).astype(np.float32)
+    gram = phi.T @ (weight * phi) + RIDGE * np.eye(phi.shape[1])
+    coef = np.linalg.solve(gram, phi.T @ (weight * target))
+    bound = -np.inf
+    if len(y) >= CALIBRATE:
+        own = weight * (phi * np.linalg.solve(gram, phi.T).T).sum(axis=1, keepdims=True)  # a row's part in its own value
+        bound = float(np.quantile(((phi @ coef - own * target) / np.maximum(1 - own, 1e-9)).max(axis=1), UNDER))
+    return names, (marks.T @ (root @ coef)).astype(np.float32), bound
 
 
-def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarray, float]:
     """From text and non-null lang of a bounded sample of the rows whose crc32 of the id, mod 4, isn't 2."""
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2)).select("doc_id", "lang", "text")
     langs = max(1, pool.select("lang").distinct().count())
@@ -103,21 +115,21 @@ def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarray]:
     found = sample.select("doc_id", "lang", presence("text").alias("bits")).where("bits is not null").collect()
     found.sort(key=lambda r: r.doc_id)
     if not found:
-        return [], np.zeros((PLACES, 0), dtype=np.float32)
+        return [], np.zeros((PLACES, 0), dtype=np.float32), -np.inf
     return fit([bytes(r.bits) for r in found], [r.lang for r in found])
 
 
-PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("value", DoubleType())])
 
 
-def identify(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarray]) -> Column:
-    """A struct of lang_pred and score."""
-    shared = spark.sparkContext.broadcast(model)
+def identify(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarray, float]) -> Column:
+    """A struct of lang_pred, score and value, the raw one of lang_pred (null for `und`)."""
+    shared = spark.sparkContext.broadcast(model[:2])
 
     @F.arrow_udf(PREDICTION)
     def run(texts: pa.Array) -> pa.Array:
         names, matrix = shared.value
-        best, score = [], []
+        best, score, value = [], [], []
         for at in range(0, len(texts), BATCH):
             part = texts.slice(at, BATCH)
             rows = np.zeros((len(part), PLACES), dtype=np.float32)
@@ -125,21 +137,24 @@ def identify(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarr
             if not names:
                 best += [UNKNOWN] * len(part)
                 score += [0.0] * len(part)
+                value += [None] * len(part)
                 continue
             f = (rows @ matrix) / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
             e = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)).astype(float))
             p = e / e.sum(axis=1, keepdims=True)
             best += [names[k] if ok else UNKNOWN for k, ok in zip(f.argmax(axis=1), letters, strict=True)]
             score += [float(x) if ok else 0.0 for x, ok in zip(p.max(axis=1), letters, strict=True)]
-        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], fields=[pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
+            value += [float(x) if ok else None for x, ok in zip(f.max(axis=1), letters, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(value, pa.float64())], names=["lang_pred", "score", "value"])
 
     return run(text)
 
 
-def language_filter(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows whose language is known (not `und`) with a score of at least `least`, with the columns of docs."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), identify(F.col("text"), docs.sparkSession, learn(docs)).alias("p"))
-    return packed.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")
+def language_filter(docs: DataFrame) -> DataFrame:
+    """The rows whose language is known: not `und`, and with a value of at least the model's bound. They have the columns of docs."""
+    model = learn(docs)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), identify(F.col("text"), docs.sparkSession, model).alias("p"))
+    return packed.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.value") >= model[2])).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

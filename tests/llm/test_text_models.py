@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -126,6 +127,24 @@ def test_language_odd_rows(spark):
     assert langid.learn(none)[0] == [] and langid.language_filter(none).count() == 0
 
 
+@pytest.mark.parametrize("learned", [["en"], ["de", "en"], ["de", "en", "fr"], ["de", "en", "es", "fr"]])
+def test_language_filter_rejects(spark, sf_dir, learned):
+    """Gibberish and a language that wasn't learned go, however many languages were; clean documents stay."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(F.col("lang").isin(learned))
+    rng = random.Random(3)
+    gibberish = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (20, 50, 200, 1000)]
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    odd = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(gibberish + foreign)], "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in langid.language_filter(docs.unionByName(odd)).collect()]
+    assert min(kept) >= 0
+    clean = {r.doc_id for r in docs.where("size(split(text, ' ')) >= 20").collect()}
+    held = {k for k in clean if zlib.crc32(str(k).encode()) % 4 == 2}
+    assert len(held) > 15 and len(held & set(kept)) >= 0.95 * len(held)
+
+
 def test_gradients():
     net = toxicity.Network({b"a": 1.0, b"b": 0.0, b"c": 2.0})
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
