@@ -10,7 +10,8 @@ forest goes on to the connected components, so that no group is written out in p
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; fewer than three words give
 one shingle of all of them; repeated rows share a class; a null doc_id never is a component's id unless all its members'
-are null; an empty table gives an empty result. Whole texts are read, in blocks.
+are null; an empty table gives an empty result. What stays in the corpus is one row of each component: the least doc_id,
+then the least fingerprint and text digest; an id, null or not, may stay in several components with different texts. Whole texts are read, in blocks.
 """
 
 from __future__ import annotations
@@ -152,14 +153,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rest)
 
 
-def near_classes(fps: DataFrame) -> DataFrame:
-    """fps (doc_id, fp) to one row per class of equal fingerprints: fp, component_id."""
+def class_roots(fps: DataFrame) -> DataFrame:
+    """fps (doc_id, fp) to one row per class of equal fingerprints: fp, its least doc_id, and the component's root, a fingerprint."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = saved(classes.select("fp", "least", *pivot_columns(F.col("fp"))), "classes")
     order = ["mask", "cell", "a", "b", "first"]
     tasks = _cells(classes).repartition(*order[:4]).sortWithinPartitions(*order)
     reach = saved(roots(tasks.mapInArrow(_linked, "u long, v long")), "roots")
-    both = classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_classes(fps: DataFrame) -> DataFrame:
+    """fps (doc_id, fp) to one row per class of equal fingerprints: fp, component_id."""
+    both = class_roots(fps)
     ids = both.groupBy("root").agg(F.min("least").alias("component_id"))
     return saved(both.join(ids, "root").select("fp", "component_id"), "near")
 
@@ -171,12 +177,19 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's; of rows with one id, one."""
-    stays = saved(components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_n")), "stays")
+    """One row of docs for each component, that with the least id (null last); of several texts with that id, one by fingerprint and digest."""
+    digest = F.unhex(F.md5("text"))
+    each = docs.select("doc_id", fingerprints("text").alias("fp"), digest.alias("digest")).groupBy("doc_id", "fp", "digest").agg(F.count(F.lit(1)).alias("n"))
+    each = saved(each, "fingerprints")
+    # first by class, which is the larger reduction and leaves one row for each side of the join
+    first = each.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "fp", "digest", "n")).alias("first"))
+    first = first.join(class_roots(each).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stays = saved(first.select(F.col("first.doc_id").alias("_stays"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "stays")
     repeats = stays.agg(F.max("_n")).first()[0] or 0
     # by sorting at every size: what stays grows with the input, so it's never broadcast
-    out = docs.join(stays.select("_stays").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeats > 1 else out
+    same = F.col("doc_id").eqNullSafe(F.col("_stays")) & F.col("_own").eqNullSafe(F.col("_digest"))
+    out = docs.withColumn("_own", digest).join(stays.select("_stays", "_digest").hint("merge"), same, "left_semi")
+    return (out.dropDuplicates(["doc_id", "_own"]) if repeats > 1 else out).drop("_own")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

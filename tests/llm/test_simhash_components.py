@@ -97,6 +97,21 @@ def test_odd_rows(spark):
     assert simhash.components(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
 
 
+def test_one_text_of_each_component_stays(spark):
+    """Different texts under a null id or under one id aren't lost, and no copy stays for them."""
+    a, b, c, d, e = (" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=40)) for k in range(5))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (None, d), (7, e), (None, e), (8, None), (None, "")]
+    for n in (len(rows), len(rows) - 1):  # (8, null) with its copy, and alone
+        for order in (rows[:n], rows[:n][::-1]):
+            kept = simhash.near_dedup(spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+            assert kept.columns == ["doc_id", "text"]
+            assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (None, d), (7, e), (8, None)], key=str)
+    schema = "doc_id long, text string, fp string, component_id int"
+    odd = [(3, None, "x", 1), (2, "", "x", 1), (7, "a b c d", "x", 1), (7, "a b c d", "x", 1), (8, "A b C d", "x", 1), (None, "a b c d", "x", 1), (None, "q r s t u", None, None)]
+    kept = simhash.near_dedup(spark.createDataFrame(odd, schema)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(2, ""), (7, "a b c d"), (None, "q r s t u")], key=str)
+
+
 def test_roots(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 600)] + [(700, k) for k in range(701, 800)]
