@@ -32,7 +32,16 @@ def question_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old labels merged onto a new pool (documents of the benchmark's results): an old value stays, old keys outside survive."""
-    pool = retrieval.bm25_topk(spark, sf_dir).select(F.col("id").alias("doc_id"), F.lit(None).cast("int").alias("fresh")).distinct()
+    return _merged(spark, sf_dir, retrieval.bm25_topk(spark, sf_dir))
+
+
+def label_pool_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old labels merged onto the reference's pool by the same rules."""
+    return _merged(spark, sf_dir, retrieval.label_pool(spark, sf_dir))
+
+
+def _merged(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    pool = found.select(F.col("id").alias("doc_id"), F.lit(None).cast("int").alias("fresh")).distinct()
     both = read(spark, sf_dir, "labels").select("doc_id", "quality").join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full_outer")
     return both.select("doc_id", F.coalesce("quality", "fresh").alias("grade"), F.coalesce("pooled", F.lit(False)).alias("pooled"))
 
@@ -115,13 +124,14 @@ _FIND, _EV, _S = decisions._FIND, decisions._EV, calibration._S
 _R = retrieval.ORACLE_SQL
 QUERIES = {
     f.__name__: f
-    for f in (parsed_questions, question_labels, merged_labels, contradiction_rates, contradicted_passages, score_sanity, route_choice, prompt_fit, footnotes, event_keys, json_repair, seeded_order, predict_proba, isotonic_fit)
+    for f in (parsed_questions, question_labels, merged_labels, label_pool_merged, contradiction_rates, contradicted_passages, score_sanity, route_choice, prompt_fit, footnotes, event_keys, json_repair, seeded_order, predict_proba, isotonic_fit)
 }
 ORACLE_SQL = {
     "parsed_questions": r"""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[?.]+$', '') AS norm FROM conversations WHERE role = 'user' AND length(trim(text)) >= 15),
 g AS (SELECT conv_id, norm, min(turn) AS turn FROM c GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, norm) AS n FROM g) SELECT conv_id, 'sq' || n AS id, turn, md5(norm) AS norm_md5 FROM n WHERE n <= 7""",
     "question_labels": f"WITH {PLAN_SQL}, {_FIND}, l AS (SELECT run, pos, CAST(bool_and(verdict = 'SUPPORTED') AS INT) AS label FROM finds GROUP BY ALL) SELECT run, pos, status, label FROM plan JOIN l USING (run, pos)",
     "merged_labels": f"WITH pool AS (SELECT DISTINCT id FROM ({_R['bm25_topk']})) SELECT coalesce(doc_id, id) AS doc_id, quality AS grade, id IS NOT NULL AS pooled FROM labels FULL JOIN pool ON doc_id = id",
+    "label_pool_merged": f"WITH pool AS (SELECT DISTINCT id FROM ({_R['label_pool']})) SELECT coalesce(doc_id, id) AS doc_id, quality AS grade, id IS NOT NULL AS pooled FROM labels FULL JOIN pool ON doc_id = id",
     "contradiction_rates": f"""WITH n AS (SELECT qid, count(*) AS n FROM ({_R['rerank_topk']}) GROUP BY qid), c AS (SELECT qid, count(*) AS found, max(scanned) AS scanned FROM ({_R['contradiction_pairs']}) GROUP BY qid)
 SELECT n.qid, n, coalesce(found, 0) AS found, CASE WHEN n < 2 THEN 0.0 ELSE round(coalesce(found, 0) / (n * (n - 1) / 2), 6) END AS of_all, round(coalesce(found / scanned, 0.0), 6) AS of_scanned FROM n LEFT JOIN c ON n.qid = c.qid""",
     "contradicted_passages": f"SELECT id, count(*) AS pairs FROM (SELECT unnest([id_a, id_b]) AS id FROM ({_R['contradiction_pairs']})) GROUP BY id",

@@ -90,9 +90,10 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(near, "label").select("qid", "id", "grade")
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _runs(spark: SparkSession, sf_dir: str, candidates: int = 20) -> DataFrame:
+    """The first 20 of each configuration; R4 reranks so many fused candidates, of which 30 reach the scorer."""
     dense, sparse = _dense(spark, sf_dir), _sparse(spark, sf_dir)
-    both = r.fused(dense, sparse, 20)
+    both = r.fused(dense, sparse, candidates)
     r4 = both.join(_docs(spark, sf_dir).withColumnRenamed("text", "passage"), "id").join(r.small(_queries(spark, sf_dir).withColumnRenamed("text", "question")), "qid")
     r4 = r.rerank(r4, 20, 30, r.overlap_logit(F.col("question"), F.col("passage")))
     tag = lambda df, name: df.where("rank <= 20").select(F.lit(name).alias("config"), "qid", "id", "rank")
@@ -109,13 +110,32 @@ def expected_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select((F.col("R3") >= F.greatest("R1", "R2")).alias("fusion_helps"), (F.col("R4") >= F.col("R3")).alias("rerank_helps"))
 
 
+def _pooled(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("configs"), F.min("rank").alias("best_rank"))
+
+
 def pooled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("configs"), F.min("rank").alias("best_rank"))
+    """The pool of the measured runs: as R4 only reorders R3, it adds no candidate. label_pool is the pool to label."""
+    return _pooled(_runs(spark, sf_dir))
+
+
+def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's pool: R4 chooses its 20 from the 40 first fused, so it adds what the reranker lifts."""
+    return _pooled(_runs(spark, sf_dir, 40))
 
 
 def qrels_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of the pool is graded, for each question."""
-    pool = pooled_candidates(spark, sf_dir).join(qrels(spark, sf_dir), ["qid", "id"], "left")
+    """How much of the measured runs' pool is graded, for each question."""
+    return _coverage(pooled_candidates(spark, sf_dir), qrels(spark, sf_dir))
+
+
+def label_pool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the reference's pool is graded, for each question."""
+    return _coverage(label_pool(spark, sf_dir), qrels(spark, sf_dir))
+
+
+def _coverage(pool: DataFrame, grades: DataFrame) -> DataFrame:
+    pool = pool.join(grades, ["qid", "id"], "left")
     return pool.groupBy("qid").agg(
         F.count(F.lit(1)).alias("pooled"), F.count("grade").alias("graded"), F.sum((F.coalesce("grade", F.lit(0)) >= 2).cast("long")).alias("strict"), (F.count("grade") >= F.count(F.lit(1))).alias("complete"), F.coalesce(F.bool_or(F.col("grade") >= 1), F.lit(False)).alias("has_relevant")
     )
@@ -210,6 +230,10 @@ _RUNS_SQL = f"""{_DENSE_SQL}, {_SPARSE_SQL}, {_FUSE_SQL}, {_top_sql("fused", "fz
 r40 AS (SELECT fused.qid, fused.id, fused.rank AS fusion_rank, {_OVERLAP_SQL} AS rerank_score FROM fused JOIN dt USING (id) JOIN qq ON qq.qid = fused.qid),
 {_top_sql("r4", "r40", 20, "rerank_score DESC, fusion_rank")},
 runs AS (SELECT 'R1' AS config, qid, id, rank FROM dense WHERE rank <= 20 UNION ALL SELECT 'R2', qid, id, rank FROM sparse WHERE rank <= 20 UNION ALL SELECT 'R3', qid, id, rank FROM fused UNION ALL SELECT 'R4', qid, id, rank FROM r4)"""
+_LABEL_RUNS_SQL = f"""{_DENSE_SQL}, {_SPARSE_SQL}, {_FUSE_SQL}, {_top_sql("fused", "fz", 40, "rrf DESC, id")}, {_QQ_SQL},
+r40 AS (SELECT fused.qid, fused.id, fused.rank AS fusion_rank, {_OVERLAP_SQL} AS rerank_score FROM fused JOIN dt USING (id) JOIN qq ON qq.qid = fused.qid WHERE fused.rank <= 30),
+{_top_sql("r4", "r40", 20, "rerank_score DESC, fusion_rank")},
+runs AS (SELECT 'R1' AS config, qid, id, rank FROM dense WHERE rank <= 20 UNION ALL SELECT 'R2', qid, id, rank FROM sparse WHERE rank <= 20 UNION ALL SELECT 'R3', qid, id, rank FROM fused WHERE rank <= 20 UNION ALL SELECT 'R4', qid, id, rank FROM r4)"""
 _METRICS_SQL = f"""{_RUNS_SQL}, {_QRELS_SQL},
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS rank FROM qrels),
 ideal AS (SELECT qid, sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 10) AS ideal, count(*) AS relevant, count(*) FILTER (grade >= 2) AS strict FROM best GROUP BY qid),
@@ -230,6 +254,7 @@ QUERIES = {
     "bm25_topk": bm25_topk, "bm25_statistics": bm25_statistics, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion, "hybrid_filtered": hybrid_filtered, "route_fallback": route_fallback,
     "rerank_topk": rerank_topk, "ir_metrics": ir_metrics, "expected_ordering": expected_ordering, "pooled_candidates": pooled_candidates, "qrels_coverage": qrels_coverage,
     "judged_but_missing": judged_but_missing, "label_health_rollup": label_health_rollup, "sufficiency_features": sufficiency_features, "feature_vector": feature_vector, "contradiction_pairs": contradiction_pairs,
+    "label_pool": label_pool, "label_pool_coverage": label_pool_coverage,
 }
 
 ORACLE_SQL = {
@@ -248,6 +273,8 @@ w AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY qid) AS fallback FROM o), x A
     "expected_ordering": f"WITH {_METRICS_SQL}, o AS (SELECT max(ndcg) FILTER (config = 'R1') AS a, max(ndcg) FILTER (config = 'R2') AS b, max(ndcg) FILTER (config = 'R3') AS c, max(ndcg) FILTER (config = 'R4') AS d FROM ms) SELECT c >= greatest(a, b) AS fusion_helps, d >= c AS rerank_helps FROM o",
     "pooled_candidates": f"WITH {_RUNS_SQL}, {_POOL_SQL} SELECT * FROM pool",
     "qrels_coverage": f"WITH {_RUNS_SQL}, {_POOL_SQL}, {_QRELS_SQL} SELECT pool.qid, count(*) AS pooled, count(grade) AS graded, count(*) FILTER (grade >= 2) AS strict, count(grade) >= count(*) AS complete, coalesce(bool_or(grade >= 1), false) AS has_relevant FROM pool LEFT JOIN qrels ON pool.qid = qrels.qid AND pool.id = qrels.id GROUP BY pool.qid",
+    "label_pool": f"WITH {_LABEL_RUNS_SQL}, {_POOL_SQL} SELECT * FROM pool",
+    "label_pool_coverage": f"WITH {_LABEL_RUNS_SQL}, {_POOL_SQL}, {_QRELS_SQL} SELECT pool.qid, count(*) AS pooled, count(grade) AS graded, count(*) FILTER (grade >= 2) AS strict, count(grade) >= count(*) AS complete, coalesce(bool_or(grade >= 1), false) AS has_relevant FROM pool LEFT JOIN qrels ON pool.qid = qrels.qid AND pool.id = qrels.id GROUP BY pool.qid",
     "judged_but_missing": f"WITH {_QRELS_SQL} SELECT qid, count(*) AS missing FROM qrels WHERE id NOT IN (SELECT doc_id FROM documents) GROUP BY qid",
     "label_health_rollup": "SELECT source, CAST(grouping(source) AS INT) AS overall, count(*) AS labelled, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic, round(avg(CAST(quality AS DOUBLE)), 6) AS rate, count(DISTINCT quality) < 2 AS degenerate FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (source)",
     "sufficiency_features": f"WITH {_FEATURES_SQL} SELECT * FROM feats",

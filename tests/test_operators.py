@@ -133,3 +133,18 @@ def test_minute_window_leaves_the_call_out(spark):
     rows = spark.createDataFrame([(1, 0, "m", 5), (2, 60_000_000, "m", 7), (3, 60_000_001, "m", 9)], "event_id long, us long, model string, tokens long")
     got = {r.event_id: (r.n_minute, r.tokens_minute) for r in quota.minute_windows(rows).collect()}
     assert got == {1: (0, 0), 2: (1, 5), 3: (1, 7)}
+
+
+def test_label_pool_has_what_the_reranker_lifts(spark, tmp_path):
+    """Both arms agree on the order 0 to 39; the scorer prefers 20 to 39, of which 20 to 29 reach it."""
+    from groundwell.plans import records, retrieval as plans
+
+    texts = ["alpha " * 20 + f"w{k} " * k if k < 20 else "beta gamma delta " + f"w{k} " * (600 + k) for k in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, [math.cos(k / 50), math.sin(k / 50)], k % 3) for k in range(40)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {x.id: x.configs for x in plans.label_pool(spark, str(tmp_path)).collect()} == {k: 4 if k < 10 else 3 if k < 20 else 1 for k in range(30)}
+    assert {x.id for x in plans.pooled_candidates(spark, str(tmp_path)).collect()} == set(range(20))
+    assert [x.pooled for x in plans.label_pool_coverage(spark, str(tmp_path)).collect()] == [30]
+    assert {x.doc_id for x in records.label_pool_merged(spark, str(tmp_path)).where("pooled").collect()} == set(range(30))
