@@ -66,6 +66,17 @@ def test_a_bad_host_is_rejected(spark):
     assert got == {"good": 40, "good2": 40}
 
 
+def replayed(spark, n, *seeds):
+    """Fisher-Yates in plain Python, with Spark's hash for the draws."""
+    from pyspark.sql import functions as F
+
+    draws = {r.i: r.j for r in spark.range(1, max(n, 2)).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.xxhash64(*seeds, "i"), F.col("i").cast("long") + 1).alias("j")).collect()}
+    order = list(range(n))
+    for i in range(n - 1, 0, -1):
+        order[i], order[draws[i]] = order[draws[i]], order[i]
+    return order
+
+
 def test_fisher_yates(spark):
     from pyspark.sql import functions as F
 
@@ -74,7 +85,34 @@ def test_fisher_yates(spark):
     assert len({tuple(x) for x in got}) == 24  # each order comes up
     first = Counter(x[0] for x in got)
     assert min(first.values()) > 40
-    assert spark.range(1).select(sharding.fisher_yates(F.lit(1), F.col("id")).alias("x")).first().x == [0]
+    for n in (1, 2, 3, 5, 16, 17, 1000):
+        assert spark.range(5, 6).select(sharding.fisher_yates(F.lit(n), F.lit(9), F.col("id")).alias("x")).first().x == replayed(spark, n, F.lit(9), F.lit(5).cast("long"))
+
+
+def test_shards_are_a_replay(spark, tmp_path):
+    """The whole sequence, by plain Python: buckets by hash, each in order of its keys, shuffled, one after another."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(700)], "doc_id long, text string")
+    out = sharding.shuffle_into_shards(docs, f"file://{tmp_path}/t", shards=3, bucket_rows=9).collect()
+    buckets = -(-700 // 9)
+    rows = docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("key")).collect()
+    whole = []
+    for b in range(buckets):
+        held = sorted((r.key, r.doc_id) for r in rows if r.key % buckets == b)
+        places = replayed(spark, len(held), F.lit(17), F.lit(b).cast("long")) if held else []
+        whole += [i for _, (_, i) in sorted(zip(places, held, strict=True))]
+    assert [r.record.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))] == whole
+
+
+def test_very_many_equal_records(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 20)
+    docs = odd(spark, [(None, "", "en", "s", k, "", "", 1, "") for k in range(500)] + [(k, f"t{k}", "en", "s", k, "", "", 1, "") for k in range(300)])
+    out = sharding.shuffle_into_shards(docs, work_path(spark, "t"), shards=4).collect()
+    assert Counter(tuple(r.record) for r in out) == Counter(map(tuple, docs.collect()))
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(4) for k in range(200)]
+    share = Counter(r.shard for r in out if r.record.doc_id is None)
+    assert min(share.values()) > 90  # 125 of each, as hashes fall
 
 
 @pytest.mark.parametrize("size", [{}, {"bucket_rows": 3}])
