@@ -2,12 +2,14 @@
 
 A capture is three records: request, response (or revisit) and metadata; the first and last name the second in
 WARC-Concurrent-To. Of equal payloads of 1000 bytes or more the page with the largest id is written as the response, the
-others as revisits that refer to it. Reading gives one row per record; assembly joins the three over those identifiers into
-one nested row per capture. Each record is a gzip member of its own.
+others as revisits, which name its address and carry the digest of its payload. Reading gives one row per record; assembly
+joins the three over those identifiers into one nested row per capture, and a revisit finds its response by the digest.
+Each record is a gzip member of its own. Pages are written by the tasks that read them, and a task reads one archive.
 
 Defined cases: a null html is an empty payload; a null url becomes urn:page:<id>; line breaks in a url are percent-encoded;
-a null page_id gives a response of its own; an empty table gives no files and an empty result; of repeated rows with one
-page_id each is a capture with an id of its own, numbered by url and payload; other columns are not looked at.
+a null page_id gives a response of its own; an empty table gives no files and an empty result; repeated rows are captures
+with ids of their own; rows with one page_id and different payloads are told apart by these; a revisit without its response
+is an error; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,30 +20,38 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, work_path
-from .files import new_file, open_file
+from .common import join_small, saved, table, work_path
+from .files import dealt, new_file, open_file
 
 LEAST_SHARED = 1000
 FILE_BYTES = 64 << 20
+READ_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 20
 
 
-def decisions(pages: DataFrame) -> DataFrame:
-    """page_id, payload_digest, original (the page that holds the payload; null for small payloads)."""
+def _digested(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = saved(pages.select("page_id", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("n")), "digests")
-    large = own.where(F.col("n") >= LEAST_SHARED)
-    first = saved(large.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "originals")
-    return own.where("page_id is not null").join(first, "payload_digest", "left").select("page_id", F.when(F.col("n") >= LEAST_SHARED, F.col("original")).alias("original")).distinct()
+    return pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("n"))
 
 
-def record_id(kind: str, page_id: int | str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page_id}')}>"
+def originals(pages: DataFrame) -> DataFrame:
+    """payload_digest, original and original_url: of each large payload that more than one page has, the page that holds it."""
+    large = _digested(pages).where((F.col("n") >= LEAST_SHARED) & F.col("page_id").isNotNull())
+    first = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.min("page_id").alias("least"))
+    return saved(first.where("least <> first.page_id").select("payload_digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "originals")
+
+
+def record_id(kind: str, capture_key: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{capture_key}')}>"
+
+
+def target_uri(page_id: int | None, url: str | None) -> str:
+    return (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -51,13 +61,11 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def capture(page_id: int | None, url: str | None, html: str | None, original: int | None, repeat: int = 0) -> bytes:
-    """The three records of a page. repeat: tells captures of one page_id apart."""
+def capture(key: str, page_id: int | None, url: str | None, html: str | None, digest: str, original: int | None, original_url: str | None) -> bytes:
+    """The three records of a page. key: another one for each capture."""
     payload = (html or "").encode()
-    key = f"{page_id}/{repeat}" if repeat else page_id
-    uri = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
-    digest = hashlib.sha1(payload).hexdigest()
-    revisit = original is not None and original != page_id
+    uri = target_uri(page_id, url)
+    revisit = original is not None and page_id is not None and original != page_id
     own = record_id("response", key)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     path = "/" + uri.split("://", 1)[-1].partition("/")[2]
@@ -65,7 +73,7 @@ def capture(page_id: int | None, url: str | None, html: str | None, original: in
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     about = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if revisit:
-        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", original))]
+        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", target_uri(original, original_url)), ("WARC-Refers-To-Date", DATE)]
     asked = f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
     return (
         record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], asked)
@@ -76,30 +84,35 @@ def capture(page_id: int | None, url: str | None, html: str | None, original: in
 
 def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, size, count = None, None, 0, 0
+        name, out, size, count, held = None, None, 0, 0, 0
+        told = lambda: pa.record_batch({"file": [name], "bytes": [size]})
         for batch in batches:
-            for page_id, url, html, original, repeat in zip(*[batch.column(c) for c in range(5)], strict=True):
+            for row in zip(*batch.columns, strict=True):
                 if out is None:
                     name, out = new_file(folder, ".warc.gz", count)
-                    size, count = 0, count + 1
-                size += out.write(capture(page_id.as_py(), url.as_py(), html.as_py(), original.as_py(), repeat.as_py()))
+                    size, count, held = 0, count + 1, 0
+                size += out.write(capture(f"{folder}/{name}/{held}", *[x.as_py() for x in row]))
+                held += 1
                 if size >= FILE_BYTES:
                     out.close()
-                    yield pa.record_batch({"file": [name], "bytes": [size]})
+                    yield told()
                     out = None
         if out is not None:
             out.close()
-            yield pa.record_batch({"file": [name], "bytes": [size]})
+            yield told()
 
     return run
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives to folder and returns their names: file, bytes."""
-    own = decisions(pages).select(F.col("page_id").alias("_id"), "original")
-    repeat = F.row_number().over(Window.partitionBy("page_id").orderBy("url", F.xxhash64("html"))) - 1
-    both = pages.select("page_id", "url", "html").join(own, F.col("page_id") == F.col("_id"), "left").select("page_id", "url", "html", "original", repeat.alias("repeat"))
-    return saved(both.mapInArrow(_written(folder), "file string, bytes long"), "warc-files")
+    first = originals(pages)
+    own = _digested(pages)
+    # only payloads that can be shared look for their original, so that small ones and empty ones are no hot key
+    key = F.when((F.col("n") >= LEAST_SHARED) & F.col("page_id").isNotNull(), F.col("payload_digest"))
+    both = join_small(own, first.withColumnRenamed("payload_digest", "_digest"), key == F.col("_digest"))
+    kept = both.select("page_id", "url", "html", "payload_digest", "original", "original_url")
+    return saved(kept.mapInArrow(_written(folder), "file string, bytes long"), "warc-files")
 
 
 def members(stream) -> Iterator[bytes]:
@@ -114,11 +127,11 @@ def members(stream) -> Iterator[bytes]:
 
 
 def parsed(member: bytes) -> dict:
-    """A record's fields: kind, record_id, concurrent_to, refers_to, uri, digest, page_id, payload_bytes, payload."""
+    """A record's fields: kind, record_id, concurrent_to, refers_to (an address), uri, digest, page_id, payload_bytes, payload."""
     head, _, block = member.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = block[: int(fields["Content-Length"])]
-    out = {"kind": fields["WARC-Type"], "record_id": fields["WARC-Record-ID"], "concurrent_to": fields.get("WARC-Concurrent-To"), "refers_to": fields.get("WARC-Refers-To"), "uri": fields["WARC-Target-URI"], "digest": None, "page_id": None, "payload_bytes": None, "payload": None}
+    out = {"kind": fields["WARC-Type"], "record_id": fields["WARC-Record-ID"], "concurrent_to": fields.get("WARC-Concurrent-To"), "refers_to": fields.get("WARC-Refers-To-Target-URI"), "uri": fields["WARC-Target-URI"], "digest": None, "page_id": None, "payload_bytes": None, "payload": None}
     if out["kind"] == "metadata":
         found = dict(line.split(": ", 1) for line in block.decode().split("\r\n") if ": " in line)["page_id"]
         out["page_id"] = int(found) if found else None
@@ -138,7 +151,7 @@ RECORD = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurr
 
 
 def read_warc(files: DataFrame, folder: str, *, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives named in files."""
+    """One row per record of the archives named in files; a task has READ_BYTES of them, or one larger archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +170,7 @@ def read_warc(files: DataFrame, folder: str, *, with_payload: bool = True) -> Da
                 yield pa.RecordBatch.from_pylist(rows, RECORD)
 
     kinds = "kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, page_id long, payload_bytes long, payload binary"
-    return files.select("file").repartition("file").mapInArrow(run, kinds)
+    return dealt(files.select("file", F.lit(0).alias("offset")), files, READ_BYTES).select("file").mapInArrow(run, kinds)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -168,16 +181,23 @@ def transactions(records: DataFrame) -> DataFrame:
     return both.select("capture_id", F.col("metadata.page_id").alias("page_id"), "request", "response", "metadata")
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """One row per capture: page_id, payload_bytes, payload_digest, record_type, and refers_to, the page that holds a revisit's payload."""
+    found = transactions(records).select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"))
+    found = saved(found, "captures")
+    again = F.col("record_type") == "revisit"
+    asked = found.where(again).select("payload_digest").distinct()
+    held = found.where(~again & (F.col("payload_bytes") >= LEAST_SHARED)).groupBy("payload_digest").agg(F.max("page_id").alias("holder"))
+    held = saved(held.join(asked, "payload_digest", "left_semi").withColumnRenamed("payload_digest", "_digest"), "holders")
+    both = join_small(found, held, F.when(again, F.col("payload_digest")) == F.col("_digest"))
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit with payload "), "payload_digest")).cast("long")
+    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(again, F.coalesce("holder", lost)).alias("refers_to"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "warc")
     files = write_warc(table(spark, sf_dir, "pages"), folder)
-    records = saved(read_warc(files, folder, with_payload=False), "warc-records")
-    found = transactions(records).select("capture_id", "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("target"))
-    found = saved(found, "captures")
-    firsts = found.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
-    again = found.where("record_type = 'revisit'").join(firsts, "target")
-    kept = ["page_id", "payload_bytes", "payload_digest", "record_type"]
-    return found.where("record_type = 'response'").select(*kept, F.lit(None).cast("long").alias("refers_to")).unionByName(again.select(*kept, "refers_to"))
+    return resolved(saved(read_warc(files, folder, with_payload=False), "warc-records"))
 
 
 ORACLE_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
