@@ -4,7 +4,8 @@ A payload is padded with zero bytes to a positive multiple of 64 and stored with
 The tasks that read the input write the shards, so that no payload is shuffled; an entry's name is the SHA-256 of its bytes,
 and a task writes equal content once. The index keeps one entry for each digest; a payload that several tasks saw may stand
 in several shards, and the index points at one. Metadata columns (width, height, depth) come from range reads of an entry's
-first 33 bytes; features come from range reads of the entry. Both read in the order of the entries' places in the shards.
+first 33 bytes; features come from range reads of the entry. Both read in the order of the entries' places in the shards, and
+a task has READ_BYTES of them.
 Digests are kept as 32 bytes, and written as hex in the end.
 
 Defined cases: a null text is an empty payload (64 zero bytes); equal texts get equal values; repeated rows stay rows; an
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table, work_path
-from .files import new_file, open_file
+from .files import dealt, new_file, open_file
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
+READ_BYTES = 32 << 20
 LEVEL = 6
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -158,12 +160,13 @@ def _ranges(folder: str, batch: pa.RecordBatch, most: int | None) -> Iterator[by
 
 
 def in_place(index: DataFrame) -> DataFrame:
-    """The index in the order of its entries' places."""
-    return index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    """The index dealt out by the bytes of its entries, in the order of their places."""
+    files = index.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("bytes"))
+    return dealt(index, files, READ_BYTES).sortWithinPartitions("file", "offset")
 
 
 def with_headers(index: DataFrame, folder: str) -> DataFrame:
-    """Adds width, height and depth by header-only range reads."""
+    """Adds width, height and depth by header-only range reads; the result is in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +178,7 @@ def with_headers(index: DataFrame, folder: str) -> DataFrame:
 
 
 def with_features(index: DataFrame, folder: str) -> DataFrame:
-    """Adds payload_bytes, payload_sha256, tail_crc32, media_bytes and feature, from the stored bytes. index: as with_headers returns it, in place."""
+    """Adds payload_bytes, payload_sha256, tail_crc32, media_bytes and feature, from the stored bytes. index: as with_headers returns it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,8 +199,8 @@ def with_features(index: DataFrame, folder: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "media")
     rows = store(table(spark, sf_dir, "documents"), folder)
-    heads = saved(with_headers(index_of(rows), folder), "media-headers")
-    values = saved(with_features(heads, folder), "media-features")
+    index = saved(index_of(rows), "media-index")
+    values = saved(with_features(with_headers(index, folder), folder), "media-features")
     sha = lambda c: F.lower(F.hex(c))
     both = rows.select("doc_id", "n_bytes", "digest").join(values, "digest")
     return both.select("doc_id", "n_bytes", "payload_bytes", sha("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", sha("digest").alias("media_sha256"), "feature", "width", "height", "depth")

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from groundwell.llm import files as files_helper
 from groundwell.llm import media, warc
 from groundwell.llm.common import table, work_path
 from groundwell.llm.queries import ORACLE_SQL, QUERIES
@@ -23,15 +24,73 @@ def test_png_round_trip():
         media.from_png(data[:40] + b"!" + data[41:])
 
 
+def plain_payload(text):
+    raw = (text or "").encode()
+    while not raw or len(raw) % 64:
+        raw += b"\0"
+    return raw
+
+
+def plain_png(data):
+    """The samples of an 8-bit grey image without filters, by the format's own rules."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        kind, body, crc = data[at + 4 : at + 8], data[at + 8 : at + 8 + size], data[at + 8 + size : at + 12 + size]
+        assert zlib.crc32(kind + body) == int.from_bytes(crc, "big")
+        chunks.append((kind, body))
+        at += 12 + size
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    head = chunks[0][1]
+    wide, high = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert head[8:] == bytes([8, 0, 0, 0, 0])
+    lines = zlib.decompress(chunks[1][1])
+    assert len(lines) == high * (wide + 1)
+    return b"".join(lines[k * (wide + 1) + 1 : (k + 1) * (wide + 1)] for k in range(high)), wide, high
+
+
+def plain_feature(p):
+    mean = sum(p) / len(p)
+    spread = (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5
+    return mean, spread, [sum(x // 32 == k for x in p) * 1000 // len(p) for k in range(8)]
+
+
 def test_media_by_hand(spark, sf_dir):
-    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    """The rows against payloads and features by plain Python, and against the images that lie in the shards."""
+    docs = table(spark, sf_dir, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    folder = work_path(spark, "media")
+    index = {bytes(r.digest).hex(): r for r in media.index_of(media.store(docs, folder)).collect()}
     rows = media.op5(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     for r in rows:
-        p = media.payload_of(texts[r.doc_id])
-        m = media.to_png(p)
+        p = plain_payload(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((texts[r.doc_id] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert (r.media_bytes, r.media_sha256, r.feature, r.width * r.height) == (len(m), hashlib.sha256(m).hexdigest(), media.feature(p), len(p))
+        at = index[r.media_sha256]
+        with open(f"{folder.removeprefix('file://')}/{at.file}", "rb") as f:
+            f.seek(at.offset)
+            data = f.read(at.length)
+        assert len(data) == r.media_bytes and hashlib.sha256(data).hexdigest() == r.media_sha256
+        assert plain_png(data) == (p, r.width, r.height) and r.depth == 8
+        mean, spread, shares = plain_feature(p)
+        said = dict(x.split("=") for x in r.feature.split(";"))
+        assert float(said["mean"]) == pytest.approx(mean, abs=6e-4) and float(said["std"]) == pytest.approx(spread, abs=6e-4) and said["hist"] == ",".join(map(str, shares))
+
+
+def test_reads_are_dealt_by_bytes(spark):
+    """Pieces of files go to tasks by what they weigh, in order, and files of any sizes are cut."""
+    from pyspark.sql import functions as F
+
+    sizes = {f"part-{k:06d}-{900 - k}-{c:04d}.tar": 1000 * (1 + 9 * (k == 3)) for k in range(6) for c in range(2)}
+    files = spark.createDataFrame(list(sizes.items()), "file string, bytes long")
+    pieces = spark.createDataFrame([(f, at) for f, n in sizes.items() for at in range(0, n, 100)], "file string, offset long")
+    got = files_helper.dealt(pieces, files, 3000).select("file", "offset", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.file, r.offset) for r in got) == sorted((r.file, r.offset) for r in pieces.collect())
+    held = Counter(r.task for r in got)
+    assert len(held) == 10 and set(held.values()) == {30}
+    in_order = [r.task for r in sorted(got, key=lambda r: (r.file, r.offset))]
+    assert in_order == sorted(in_order)
 
 
 def test_media_odd_rows(spark, monkeypatch):
@@ -76,6 +135,29 @@ def test_warc_odd_rows(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_clashing_ids(spark, tmp_path):
+    """One page_id with several payloads, and many pages without an id: each row is a capture of its own payload."""
+    h, g = "x" * 1500, "y" * 1500
+    rows = [(1, "u", h), (1, "u", "small"), (1, "v", g), (9, "w", h), (9, "w", g), (9, "w", g), (None, "n", h), (None, "n", h), (None, None, g), (None, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter(tuple(r) for r in warc.op7(spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    want = Counter()
+    for i, _, x in rows:
+        again = i == 1 and x in (h, g)
+        want[i, len(x), sha(x), "revisit" if again else "response", 9 if again else None] += 1
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == Counter(con.sql(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({warc.ORACLE_SQL})").fetchall())
+
+
+def test_a_lost_response_is_an_error(spark):
+    records = spark.createDataFrame([("revisit", "r", None, "u", "u", "d", None, 2000, None), ("request", "q", "r", None, "u", None, None, None, None)], "kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, page_id long, payload_bytes long, payload binary")
+    with pytest.raises(Exception, match="no response for the revisit"):
+        warc.resolved(records).collect()
+
+
 def test_registry():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
     assert set(ORACLE_SQL) <= set(QUERIES)
