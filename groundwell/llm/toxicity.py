@@ -7,12 +7,13 @@ The network is trained in numpy on the driver, in two rounds: from a toxic docum
 documents such windows and some by hash. In the first round the words' document counts rank a document's windows, in the
 second the network does.
 
-Sample bound: PER_CLASS documents a class (of labels.toxic), WINDOWS windows of each; vocabulary VOCABULARY words at most.
-Words over 64 bytes count as unknown words, but their characters are used.
+Sample bound: PER_CLASS documents a class (of labels.toxic; four times that if hashes fall badly), WINDOWS windows of each;
+vocabulary VOCABULARY words at most. Words over LONG bytes count as unknown words, but their characters are used; windows
+that have one are scored like any other and aren't trained on, so that what the driver gets is bounded.
 
 Defined cases: null, empty and blank texts are one window of padding and get its score; with no labelled rows of both kinds
-every score is 0; very long texts are done in blocks that overlap by a window's share; repeated rows are scored alike; an
-empty table gives an empty result; other columns are not looked at.
+every score is 0; very long texts are done in blocks, whose windows are those of the whole text; repeated rows are scored
+alike; an empty table gives an empty result; a score of exactly 0.7 counts as toxic; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import crc_of_id, hash_sample, table
+from .common import crc_of_id, hash_sample, saved, table
 
 SPAN = 24
 STRIDE = 16
@@ -43,8 +44,10 @@ THRESHOLD = 0.7
 UPDATES = 300
 BATCH = 256
 TOXIC_SHARE = 4
+EMPTY_SHARE = 50
 HELD_WORDS = 150_000
-BLOCK_WORDS = 50_000
+BLOCK_BYTES = 400_000
+LONG = 64
 _LOWER = bytes(range(256)).lower()
 _DROPPED = bytes(b for b in range(128) if not chr(b).isalpha())
 
@@ -54,38 +57,68 @@ def normal(word: bytes) -> bytes:
     return word.translate(_LOWER, _DROPPED)
 
 
-def blocks_of_words(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text in blocks; a block begins with the end of the one before, so that no window is lost."""
-    raw, at, tail = (text or "").encode(), 0, []
-    while at < len(raw) or not at:
-        end = at + BLOCK_WORDS * 8
+def window_blocks(text: str | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words of a text in blocks, with the places of the windows that begin there.
+
+    Windows begin at every STRIDE-th word of the text, and one ends with its last word. A block begins with the last window
+    of the one before, so that they are the same whatever the size of a block. A text of SPAN words or fewer is one window."""
+    raw, at, held, first, some = (text or "").encode(), 0, [], 0, False
+    while True:
+        end = at + BLOCK_BYTES
         while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        found = tail + raw[at:end].split()
-        yield found
-        tail, at = found[-(SPAN - STRIDE) :], max(end, 1)
-
-
-def starts(n: int) -> np.ndarray:
-    """First words of all windows over n words: every STRIDE, and one that ends with the last word."""
-    if n <= SPAN:
-        return np.zeros(1, dtype=int)
-    out = np.arange(0, n - SPAN + 1, STRIDE)
-    return out if out[-1] == n - SPAN else np.append(out, n - SPAN)
-
-
-def char_means(words: list[bytes], table: np.ndarray) -> np.ndarray:
-    """The mean embedding of each normal word's trigrams, with ^ before and $ after it."""
+        held += raw[at:end].split()
+        starts = list(range(first, len(held) - SPAN + 1, STRIDE))
+        latest = starts[-1] if starts else first - STRIDE if some else None
+        if end >= len(raw):
+            if latest is None:
+                starts = [0]
+            elif latest != len(held) - SPAN:
+                starts.append(len(held) - SPAN)
+        if starts:
+            yield held, np.array(starts)
+            some = True
+        if end >= len(raw):
+            return
+        if latest is not None:
+            held, first = held[latest:], STRIDE
+        at = end
+
+
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all trigrams of normal words, one word after another, with ^ before and $ after it; and their number in each word."""
     marked = [b"^" + w + b"$" if w else b"^$$" for w in words]
     flat = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint32)
     size = np.array([len(w) for w in marked])
     h = flat.copy()
     h[:-2] = (flat[:-2] * np.uint32(961) + flat[1:-1] * np.uint32(31) + flat[2:]) * np.uint32(2654435761) >> np.uint32(21)
-    first = np.cumsum(size) - size
     held = np.ones(len(flat), dtype=bool)
-    held[first + size - 1] = held[first + size - 2] = False
-    at = np.cumsum(size - 2) - (size - 2)
-    return np.add.reduceat(table[h[held]], at, axis=0) / (size - 2)[:, None].astype(np.float32), h[held], size - 2
+    ends = np.cumsum(size)
+    held[ends - 1] = held[ends - 2] = False
+    return h[held], size - 2
+
+
+class Words:
+    """Normal words by number: their rows in the word table, and their trigrams. None is padding."""
+
+    def __init__(self, rows: np.ndarray, grams: np.ndarray, size: np.ndarray) -> None:
+        self.rows, self.grams, self.size = rows, grams, size
+
+    def take(self, which: np.ndarray) -> Words:
+        size = self.size[which]
+        ends = np.cumsum(size)
+        first = (np.cumsum(self.size) - self.size)[which]
+        return Words(self.rows[which], self.grams[np.repeat(first - ends + size, size) + np.arange(ends[-1])], size)
+
+
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of values by at, as n rows."""
+    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        ids, first = np.unique(at[order], return_index=True)
+        out[ids] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -106,11 +139,12 @@ class Network:
         words[2:, 0] = [odds[w] / 2 for w in vocabulary]
         self.p = {"word": words, "char": small(TRIGRAMS, CHAR_DIM), "wx": small(2, d, 3 * h), "bx": np.zeros((2, 1, 3 * h), np.float32), "u": small(2, h, 3 * h), "att": small(2 * h), "out": small(2 * h), "bias": np.zeros(1, np.float32)}
 
-    def inputs(self, words: list[bytes | None]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of normal words; None is padding."""
-        rows = np.array([0 if w is None else self.rows.get(w, 1) for w in words])
-        chars, grams, size = char_means([w or b"" for w in words], self.p["char"])
-        return np.concatenate([self.p["word"][rows], chars], axis=1), (rows, grams, size)
+    def known(self, words: list[bytes | None]) -> Words:
+        return Words(np.array([0 if w is None else self.rows.get(w, 1) for w in words]), *trigrams([w or b"" for w in words]))
+
+    def inputs(self, words: Words) -> np.ndarray:
+        chars = np.add.reduceat(self.p["char"][words.grams], np.cumsum(words.size) - words.size, axis=0) / words.size[:, None].astype(np.float32)
+        return np.concatenate([self.p["word"][words.rows], chars], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Inputs (n, d) to the gates of both directions (n, 2, 3h)."""
@@ -146,9 +180,10 @@ class Network:
         gates = np.stack([table[turned, 0], table[turned[::-1], 1]], axis=1)
         return self.pooled(self.states(gates))[2] @ self.p["out"] + self.p["bias"]
 
-    def gradients(self, words: list[bytes | None], windows: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, words: Words, windows: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """windows: numbers of words."""
         p, h = self.p, HIDDEN
-        x, (rows, grams, size) = self.inputs(words)
+        x = self.inputs(words)
         turned = windows.T
         gates = np.stack([(g := self.project(x))[turned, 0], g[turned[::-1], 1]], axis=1)
         kept: list = []
@@ -175,32 +210,34 @@ class Network:
             dgates[t] = np.concatenate([dz, dr, dn], axis=2)
             carried = d * z + through @ p["u"].transpose(0, 2, 1)
             grad["u"] += before.transpose(0, 2, 1) @ through
-        dtable = np.zeros((len(words), 2, 3 * h), np.float32)
-        np.add.at(dtable[:, 0], turned, dgates[:, 0])
-        np.add.at(dtable[:, 1], turned[::-1], dgates[:, 1])
         dx = np.zeros_like(x)
-        for k in range(2):
-            grad["wx"][k] = x.T @ dtable[:, k]
-            grad["bx"][k] = dtable[:, k].sum(axis=0)
-            dx += dtable[:, k] @ p["wx"][k].T
-        np.add.at(grad["word"], rows, dx[:, :WORD_DIM])
-        np.add.at(grad["char"], grams, np.repeat(dx[:, WORD_DIM:] / size[:, None], size, axis=0))
+        for k, at in enumerate((turned, turned[::-1])):
+            d = summed(at.ravel(), dgates[:, k].reshape(-1, 3 * h), len(x))
+            grad["wx"][k] = x.T @ d
+            grad["bx"][k] = d.sum(axis=0)
+            dx += d @ p["wx"][k].T
+        grad["word"] = summed(words.rows, dx[:, :WORD_DIM], len(p["word"]))
+        grad["char"] = summed(words.grams, np.repeat(dx[:, WORD_DIM:] / words.size[:, None], words.size, axis=0), TRIGRAMS)
         return grad
 
     def train(self, windows: list[list[bytes]], y: np.ndarray, seed: int = 2) -> None:
-        """Adam over batches that have as many windows of either kind."""
+        """Adam over batches with a fixed share of toxic windows. One in EMPTY_SHARE of the clean ones is empty, as texts may be."""
         rng = np.random.default_rng(seed)
+        windows, y = [*windows, []], np.append(y, 0)
+        number: dict[bytes | None, int] = {None: 0}
+        ids = np.zeros((len(windows), SPAN), dtype=int)
+        for k, w in enumerate(windows):
+            ids[k, : len(w)] = [number.setdefault(x, len(number)) for x in w]
+        words = self.known(list(number))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         kinds = [np.flatnonzero(y == k) for k in (0, 1)]
+        kinds[0] = np.append(kinds[0], np.full(len(kinds[0]) // EMPTY_SHARE, len(y) - 1))
         for step in range(1, UPDATES + 1):
             pick = np.concatenate([rng.choice(k, n) for k, n in zip(kinds, (BATCH - BATCH // TOXIC_SHARE, BATCH // TOXIC_SHARE), strict=True)])
-            words: dict[bytes | None, int] = {None: 0}
-            ids = np.zeros((BATCH, SPAN), dtype=int)
-            for b, k in enumerate(pick):
-                ids[b, : len(windows[k])] = [words.setdefault(w, len(words)) for w in windows[k]]
+            used, own = np.unique(ids[pick], return_inverse=True)
             rate = 0.02 * min(1.0, 2 * (1 - step / (UPDATES + 1)))
-            for name, g in self.gradients(list(words), ids, y[pick].astype(np.float32)).items():
+            for name, g in self.gradients(words.take(used), own.reshape(BATCH, SPAN), y[pick].astype(np.float32)).items():
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.99 * v[name] + 0.01 * g * g
                 self.p[name] = (self.p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -215,7 +252,10 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.gates = self.net.project(self.net.inputs([None])[0])
+        self.gates = self._gates([None])
+
+    def _gates(self, words: list[bytes | None]) -> np.ndarray:
+        return self.net.project(self.net.inputs(self.net.known(words)))
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
         known, get = self.known, self.known.get
@@ -228,11 +268,10 @@ class Scorer:
             self.fresh += new
         return np.array(out, dtype=np.int32)
 
-    def windows_logits(self, words: list[bytes]) -> np.ndarray:
+    def windows_logits(self, words: list[bytes], starts: np.ndarray) -> np.ndarray:
         """Of normal words; for training."""
         words = [*words, *[None] * (SPAN - len(words))]
-        table = self.net.project(self.net.inputs(words)[0])
-        return self.net.logits(table, starts(len(words))[:, None] + np.arange(SPAN))
+        return self.net.logits(self._gates(words), starts[:, None] + np.arange(SPAN))
 
     def scores(self, texts: pa.Array) -> list[float]:
         best = np.full(len(texts), -np.inf, dtype=np.float32)
@@ -242,7 +281,7 @@ class Scorer:
         def run() -> None:
             nonlocal held, owner, count
             if self.fresh:
-                self.gates = np.concatenate([self.gates, self.net.project(self.net.inputs([normal(w) for w in self.fresh])[0])])
+                self.gates = np.concatenate([self.gates, self._gates([normal(w) for w in self.fresh])])
                 self.fresh = []
             if count:
                 windows, of = np.concatenate(held), np.repeat([k for k, _ in owner], [n for _, n in owner])
@@ -253,11 +292,11 @@ class Scorer:
                 self.clear()
 
         for k, t in enumerate(texts):
-            for words in blocks_of_words(t.as_py()):
+            for words, starts in window_blocks(t.as_py()):
                 ids = self._ids(words)
                 if len(ids) < SPAN:
                     ids = np.concatenate([ids, np.zeros(SPAN - len(ids), dtype=np.int32)])
-                windows = ids[starts(len(ids))[:, None] + np.arange(SPAN)]
+                windows = ids[starts[:, None] + np.arange(SPAN)]
                 held.append(windows)
                 owner.append((k, len(windows)))
                 count += len(windows)
@@ -276,8 +315,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
-            found = {normal(w) for words in blocks_of_words(text) for w in words}
-            yield pd.DataFrame({"word": sorted(w for w in found if 0 < len(w) <= 64), "toxic": toxic})
+            found = {normal(w) for words, _ in window_blocks(text) for w in words}
+            yield pd.DataFrame({"word": sorted(w for w in found if 0 < len(w) <= LONG), "toxic": toxic})
 
 
 def _ranked(net: Network | None, odds: dict[bytes, float]):
@@ -289,16 +328,22 @@ def _ranked(net: Network | None, odds: dict[bytes, float]):
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 held: list[tuple[float, int, list[bytes]]] = []
                 seen = 0
-                for words in blocks_of_words(text):
-                    found = [normal(w)[:64] for w in words]
-                    at = starts(len(found))
+                for words, at in window_blocks(text):
+                    found = [normal(w) for w in words]
+                    short = np.concatenate([[0], np.cumsum([len(w) > LONG for w in found])])
+                    number = np.arange(seen, seen + len(at))
+                    seen += len(at)
+                    ends = np.minimum(at + SPAN, len(found))
+                    ok = short[ends] == short[at]
+                    at, ends, number = at[ok], ends[ok], number[ok]
+                    if not len(at):
+                        continue
                     if scorer:
-                        value = scorer.windows_logits(found)
+                        value = scorer.windows_logits(found, at)
                     else:
                         each = np.array([max(0.0, odds.get(w, 0.0)) for w in found] or [0.0])
                         value = np.array([each[s : s + SPAN].max() for s in at])
-                    held += [(-float(v), zlib.crc32(str(seen + k).encode()), found[s : s + SPAN]) for k, (v, s) in enumerate(zip(value, at, strict=True))]
-                    seen += len(at)
+                    held += [(-float(v), zlib.crc32(str(k).encode()), found[s:e]) for v, k, s, e in zip(value, number, at, ends, strict=True)]
                     held.sort(key=lambda x: x[:2])
                     held = held[:WINDOWS] + sorted(held[WINDOWS:], key=lambda x: x[1])[:WINDOWS]
                 yield pd.DataFrame({"toxic": toxic, "words": [w for _, _, w in held[: 1 if toxic else len(held)]]})
@@ -308,10 +353,11 @@ def _ranked(net: Network | None, odds: dict[bytes, float]):
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     """None if the sample lacks toxic or clean documents."""
-    sample = _sample(docs, labels)
+    sample = saved(_sample(docs, labels), "toxicity-sample")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not (sizes.get(0) and sizes.get(1)):
         return None
+    sample = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a few files, which differ in size
     counts = sample.mapInPandas(_distinct_words, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     common = counts.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     odds = {bytes(r.word): float(np.log((r.bad + 0.5) / (sizes[1] + 1)) - np.log((r.n - r.bad + 0.5) / (sizes[0] + 1))) for r in common}
@@ -340,8 +386,12 @@ def toxicity(text: Column, spark: SparkSession, net: Network | None) -> Column:
     return run(text)
 
 
+def verdict(score: Column) -> Column:
+    return F.when(score >= THRESHOLD, 1).otherwise(0)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     score = toxicity(F.col("text"), spark, learn(docs, table(spark, sf_dir, "labels")))
     found = docs.select("doc_id", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, F.lit(False)).alias("held_out"), score.alias("score"))
-    return found.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    return found.withColumn("predicted", verdict(F.col("score")))
