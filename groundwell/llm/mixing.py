@@ -8,16 +8,19 @@ balancing rows (documents, words), until one of them is 0 or 1. It runs in chunk
 left in a chunk meet those of other chunks in the next level. What is left of a source in the end, two documents at most,
 lands where its words come nearest to the target.
 
-Defined cases: a null or empty text has size 0, and nothing is taken of it; rows equal in id, source and text are one unit
-(all of them are taken equally often); an empty table gives an empty result; a source without words has target 0. Draws
-depend on the seed and on the unit alone, so that reruns agree. Other columns of the input are not looked at.
+Rows equal in id, source and text are one unit with a number of repeats: r times that number is how often the unit is taken,
+the whole part of it for sure and the rest by the draw. Its rows take equal shares, the first ones one more.
+
+Defined cases: a null or empty text has size 0, and nothing is taken of it; an empty table gives an empty result; a source
+without words has target 0. Draws depend on the seed and on the unit alone, so that reruns agree. Other columns of the
+input are not looked at; mix() gives a unit's copies the columns of one of its rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, n_words, saved, table
@@ -28,14 +31,25 @@ MOST = 2.0
 CHUNK = 2048
 FAN_IN = 256
 EPS = 1e-9
+#: A unit with more rows or copies than this is made in several tasks.
+PIECE = 4096
+
+
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """Adds place, from 0, over all rows in order: ranks within ranges of the order, then the ranges' counts. No task sorts all rows."""
+    ranged = saved(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_own", own).join(counts, "_range").withColumn("place", F.col("_base") + F.col("_own")).drop("_range", "_own", "_base")
 
 
 def source_targets(units: DataFrame) -> DataFrame:
     """source, n_docs, source_size, target."""
     sources = units.groupBy("source").agg(F.sum("repeats").alias("n_docs"), F.sum(F.col("size") * F.col("repeats")).cast("long").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(place, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    sources = saved(sources.withColumn("weight", weight), "sources")
+    sources = saved(sources, "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(F.col("place"), F.lit(len(WEIGHTS))) + 1).cast("int"))
+    sources = saved(numbered(sources, F.col("source").asc_nulls_last()).withColumn("weight", weight), "weighted")
     most = F.col("source_size") * MOST
     total = TOTAL_SHARE * (sources.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
@@ -91,35 +105,35 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-UNIT = "doc_id long, source string, text_hash long, order_hash long, size long, repeats long, base int, p double, chunk long"
+UNIT = "doc_id long, source string, text_hash long, order_hash long, size long, repeats long, base long, p double, chunk long"
 
 
 def _flown(level: int, last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows["total"] = rows["size"] * rows["repeats"]
         # the largest first, so that what is left in the end is small
-        rows = rows.sort_values(["total", "order_hash", "doc_id", "text_hash"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "order_hash", "doc_id", "text_hash"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, abs(int(rows.order_hash.iloc[0])), len(rows)])
-        total = rows.pop("total").to_numpy()
-        p = flight(rows.p.to_numpy(), total, rng)
-        rows["p"] = landing(p, total) if last else p
+        size = rows["size"].to_numpy()
+        p = flight(rows.p.to_numpy(), size, rng)
+        rows["p"] = landing(p, size) if last else p
         return rows
 
     return run
 
 
 def mixed_units(docs: DataFrame, seed: int = 23) -> DataFrame:
-    """One row per unit: doc_id, source, text_hash, size, source_size, target, copies (0, 1 or 2)."""
+    """One row per unit: doc_id, source, text_hash, size, repeats, source_size, target, copies (of all its rows together, 0 to 2 for each)."""
     units = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"))
     units = saved(units.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("repeats")), "units")
     targets = saved(source_targets(units), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    base = F.floor(ratio + EPS)
+    wanted = ratio * F.col("repeats")
+    base = F.floor(wanted + EPS)
     chunks = F.ceil(F.col("n_docs") / CHUNK)
     order = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
     t = targets.withColumnRenamed("source", "_source")
     level = join_small(units, t, F.col("source").eqNullSafe(F.col("_source")), "inner").select(
-        "doc_id", "source", "text_hash", order.alias("order_hash"), "size", "repeats", base.cast("int").alias("base"), F.greatest(F.lit(0.0), ratio - base).alias("p"), F.pmod(F.xxhash64(F.lit(seed + 1), order), chunks).alias("chunk"),
+        "doc_id", "source", "text_hash", order.alias("order_hash"), "size", "repeats", base.alias("base"), F.greatest(F.lit(0.0), wanted - base).alias("p"), F.pmod(F.xxhash64(F.lit(seed + 1), order), chunks).alias("chunk"),
     )
     n = -(-(targets.agg(F.max("n_docs")).first()[0] or 0) // CHUNK)
     done, depth, is_open = [], 0, (F.col("p") > EPS) & (F.col("p") < 1 - EPS) & (F.col("size") > 0)
@@ -134,26 +148,37 @@ def mixed_units(docs: DataFrame, seed: int = 23) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select("doc_id", "source", "text_hash", "size", F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("int")).otherwise(0).alias("copies"))
-    return join_small(out, t, F.col("source").eqNullSafe(F.col("_source")), "inner").select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies")
+    out = out.select("doc_id", "source", "text_hash", "size", "repeats", F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(0).alias("copies"))
+    return join_small(out, t, F.col("source").eqNullSafe(F.col("_source")), "inner").select("doc_id", "source", "text_hash", "size", "repeats", "source_size", "target", "copies")
+
+
+def _pieces(units: DataFrame, n: str) -> DataFrame:
+    """Each unit once for every PIECE of its n (1 at least), with the columns from and to; those of large units are spread over tasks."""
+    cut = units.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(PIECE).cast("long")))).withColumn("to", F.least(F.col(n), F.col("from") + PIECE))
+    return cut.repartition("doc_id", "text_hash", "from") if (units.agg(F.max(n)).first()[0] or 0) > PIECE else cut
 
 
-def _with_copies(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """docs: any columns beside _id, _source and _hash."""
-    u = units.select(F.col("doc_id").alias("u_id"), F.col("source").alias("u_source"), F.col("text_hash").alias("u_hash"), "size", "source_size", "target", "copies")
-    return docs.join(u, F.col("_id").eqNullSafe(F.col("u_id")) & F.col("_source").eqNullSafe(F.col("u_source")) & (F.col("_hash") == F.col("u_hash")))
+def each_row(units: DataFrame) -> DataFrame:
+    """One row for each of a unit's rows: doc_id, source, size, source_size, target, copies (0, 1 or 2)."""
+    rows = _pieces(units, "repeats").withColumn("k", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
+    share = F.floor(F.col("copies") / F.col("repeats")) + F.when(F.col("k") < F.col("copies") % F.col("repeats"), 1).otherwise(0)
+    return rows.select("doc_id", "source", "size", "source_size", "target", share.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 23) -> DataFrame:
     """The mixture: each row of docs as often as it is taken, with the columns of docs."""
     units = saved(mixed_units(docs, seed), "mixed")
+    u = units.where("copies > 0").select(F.col("doc_id").alias("u_id"), F.col("source").alias("u_source"), F.col("text_hash").alias("u_hash"), "copies")
     packed = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    both = _with_copies(packed, units.where("copies > 0"))
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+    if (units.agg(F.max("repeats")).first()[0] or 0) > 1:
+        packed = packed.groupBy("_id", "_source", "_hash").agg(F.first("row").alias("row"))
+    both = packed.join(u, F.col("_id").eqNullSafe(F.col("u_id")) & F.col("_source").eqNullSafe(F.col("u_source")) & (F.col("_hash") == F.col("u_hash")))
+    both = both.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PIECE).cast("long")))).withColumn("_n", F.least(F.lit(PIECE), F.col("copies") - F.col("_piece")).cast("int"))
+    if (u.agg(F.max("copies")).first()[0] or 0) > PIECE:  # else no text is shuffled once more
+        both = both.repartition("_id", "_hash", "_piece")
+    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    units = saved(mixed_units(docs), "mixed")
-    packed = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_hash"))
-    return _with_copies(packed, units).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("_source").alias("source"), "copies")
+    rows = each_row(saved(mixed_units(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "mixed"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
