@@ -1,8 +1,8 @@
 """Quality rules by host: documents' rule failures, shrunk host rates, and the hosts' verdicts joined back.
 
 Each document gets exact counts and three rules: base (too few words, or too many in repeated 8-word windows), symbols and
-repeated lines. A host is a value of `source`. Its failure rate is shrunk by a beta prior whose mean and spread are those
-of all hosts' rates. A rate over `reject` makes a host rejected: none of its documents stay. One over `watch` makes it
+repeated lines. A host is a value of `source`. Its failure rate is shrunk by a beta prior, whose mean is the rate over all
+documents, and whose spread is that between the hosts' rates, weighed by documents, less what chance alone makes of it. A rate over `reject` makes a host rejected: none of its documents stay. One over `watch` makes it
 watched: of its documents those that break no rule stay. Documents of other hosts stay unless they break the base rule.
 Only DataFrame functions are used, and no text is shuffled.
 
@@ -55,11 +55,15 @@ def rules(counted: DataFrame) -> DataFrame:
 def host_verdicts(ruled: DataFrame, host: str, reject: float, watch: float) -> DataFrame:
     """One row per host: host, n, failed, rate (shrunk), verdict (rejected, watched or trusted)."""
     hosts = ruled.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
-    own = F.col("failed") / F.col("n")
     # the prior is a row of sums over all hosts
-    prior = hosts.agg(F.avg(own).alias("m"), F.var_pop(own).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    strength = F.when((v > 0) & (m > 0) & (m < 1), F.least(F.lit(1e6), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1e6))
+    x = lambda c: F.col(c).cast("double")
+    prior = hosts.agg(F.sum(x("n")).alias("all"), F.sum(x("failed")).alias("bad"), F.sum(x("failed") * x("failed") / x("n")).alias("bad2"), F.sum(x("n") * x("n")).alias("n2"), F.count(F.lit(1)).alias("hosts"))
+    prior = prior.withColumn("m", F.col("bad") / F.col("all"))
+    chance = F.col("m") * (1 - F.col("m"))
+    free = F.col("all") - F.col("n2") / F.col("all") - (F.col("hosts") - 1)
+    # of all variance, the share between hosts (moments of a beta-binomial law); with a prior of strength s it is 1 / (s + 1)
+    shared = F.when((chance > 0) & (free > 0), (F.col("bad2") - F.col("all") * F.col("m") * F.col("m") - chance * (F.col("hosts") - 1)) / (chance * free))
+    strength = F.when(shared > 0, F.least(F.lit(1e6), F.greatest(F.lit(1.0), 1 / shared - 1))).otherwise(F.lit(1e6))
     prior = prior.select("m", strength.alias("strength"))
     rate = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
     both = hosts.join(F.broadcast(prior)).withColumn("rate", rate)
@@ -102,8 +106,10 @@ u AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 100 * n_dup_lines
 
 ORACLE_SQL = f"""WITH {_COUNTS_SQL},
 h AS (SELECT source, count(*) AS n, sum(CAST(rule_failed AS BIGINT)) AS k FROM u GROUP BY source),
-m AS (SELECT avg(CAST(k AS DOUBLE) / n) AS m, var_pop(CAST(k AS DOUBLE) / n) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 AND m > 0 AND m < 1 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM m),
+m0 AS (SELECT sum(CAST(n AS DOUBLE)) AS a, sum(CAST(k AS DOUBLE)) AS b, sum(CAST(k AS DOUBLE) * CAST(k AS DOUBLE) / CAST(n AS DOUBLE)) AS b2, sum(CAST(n AS DOUBLE) * CAST(n AS DOUBLE)) AS n2, count(*) AS c FROM h),
+m AS (SELECT *, b / a AS m, b / a * (1 - b / a) AS v, a - n2 / a - (c - 1) AS f FROM m0),
+g0 AS (SELECT m, CASE WHEN v > 0 AND f > 0 THEN (b2 - a * m * m - v * (c - 1)) / (v * f) END AS r FROM m),
+q AS (SELECT m, CASE WHEN r > 0 THEN least(1e6, greatest(1.0, 1 / r - 1)) ELSE 1e6 END AS s FROM g0),
 z AS (SELECT source, (k + m * s) / (n + s) AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND CASE WHEN rate > 0.5 THEN false WHEN rate > 0.05 THEN NOT rule_failed ELSE true END AS kept, rule_failed, round(rate, 9) AS host_rate,
