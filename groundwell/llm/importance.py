@@ -22,11 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import hash_share, saved, table
+from .common import hash_share, join_small, saved, table
 
 PLACES = 10_000
 BLOCK = 1 << 22
-BROADCAST_LABELS = 2_000_000
 SMOOTH = 1.0
 BINS = 1024
 FEW = 10_000
@@ -63,9 +62,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_ratio(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """The log of target over raw for each place. good: doc_id of the target documents, each once."""
-    small = good.count() <= BROADCAST_LABELS
     good = good.select(F.col("doc_id").alias("_good"))
-    both = docs.select("doc_id", "text").join(F.broadcast(good) if small else good, F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))
+    both = join_small(docs.select("doc_id", "text"), good, F.col("doc_id") == F.col("_good")).select("text", F.col("_good").isNotNull().alias("good"))
     sums = both.mapInArrow(_counted, "place long, raw long, target long").groupBy("place").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(PLACES), np.zeros(PLACES)
     for r in sums.collect():  # PLACES rows at most
