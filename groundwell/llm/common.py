@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +14,26 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A table is broadcast only if a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 100_000
+#: So many strata can be sampled one by one.
+STRATA = 1000
 
 _own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies there. One of a few splits (a small file is one, whatever its work) is dealt out over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary one serves, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="groundwell-")
@@ -66,15 +75,25 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def hash_sample(df: DataFrame, strata: list[str], per_stratum: int, key: Column, seed: int) -> DataFrame:
-    """About per_stratum rows of each stratum, by a hash of key; all of a smaller one. Four times that many rows at most, in all strata together.
+def hash_sample(df: DataFrame, strata: list[str], wanted: int | Callable[[int], int], key: Column, seed: int) -> DataFrame:
+    """About `wanted` rows of each stratum (a function gets their number), by a hash of key; all of a smaller one. Four times that many rows at most, in all strata
+    together: those with the least hashes, so that a sample is the same each time.
 
-    Strata have to be few (labels, languages)."""
-    counts = {tuple(r[:-1]): r[-1] for r in df.groupBy(*strata).count().limit(10_000).collect()}
+    Strata have to be few (labels, languages): more than STRATA are an error."""
+    rows = df.groupBy(*strata).count().limit(STRATA + 1).collect()
+    if len(rows) > STRATA:
+        raise ValueError(f"more than {STRATA} values of {strata} can't be sampled one by one")
+    counts = {tuple(r[:-1]): r[-1] for r in rows}
+    per_stratum = wanted if isinstance(wanted, int) else wanted(max(1, len(counts)))
     share = F.lit(0.0)
     for values, n in counts.items():
         same = F.lit(True)
         for c, v in zip(strata, values, strict=True):
             same = same & F.col(c).eqNullSafe(F.lit(v))
         share = F.when(same, F.lit(min(1.0, per_stratum / n))).otherwise(share)
-    return df.where(hash_share(key, seed=seed) < share).limit(4 * per_stratum * max(1, len(counts)))
+    drawn = df.withColumn("_drawn", hash_share(key, seed=seed)).where(F.col("_drawn") < share)
+    most = 4 * per_stratum * max(1, len(counts))
+    if drawn.count() > most:
+        cut = drawn.select("_drawn").orderBy("_drawn").limit(most).agg(F.max("_drawn")).first()[0]
+        drawn = drawn.where(F.col("_drawn") < cut)
+    return drawn.drop("_drawn")

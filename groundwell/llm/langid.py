@@ -21,6 +21,8 @@ identify() untouched and cannot clash, as its result is one struct column.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,11 +111,12 @@ def fit(bits: list[bytes], labels: list[str]) -> tuple[list[str], np.ndarray, fl
 
 def learn(docs: DataFrame, seed: int = 5) -> tuple[list[str], np.ndarray, float]:
     """From text and non-null lang of a bounded sample of the rows whose crc32 of the id, mod 4, isn't 2."""
-    pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2)).select("doc_id", "lang", "text")
-    langs = max(1, pool.select("lang").distinct().count())
-    sample = hash_sample(pool, ["lang"], max(2, SAMPLE // langs), F.col("doc_id"), seed)
+    # null texts are left out after the sampling, so that the counts read ids and languages only
+    pool = docs.where(F.col("lang").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2)).select("doc_id", "lang", "text")
+    sample = hash_sample(pool, ["lang"], lambda langs: max(2, SAMPLE // langs), F.col("doc_id"), seed)
     found = sample.select("doc_id", "lang", presence("text").alias("bits")).where("bits is not null").collect()
-    found.sort(key=lambda r: r.doc_id)
+    # landmarks are a language's first rows: by a hash of the id, for small ids may have something in common
+    found.sort(key=lambda r: (zlib.crc32(f"{seed}/{r.doc_id}".encode()), r.doc_id, r.lang, r.bits))
     if not found:
         return [], np.zeros((PLACES, 0), dtype=np.float32), -np.inf
     return fit([bytes(r.bits) for r in found], [r.lang for r in found])

@@ -191,3 +191,32 @@ def test_pipeline(spark, sf_dir):
     assert Counter(r.doc_id for r in rows[4]) == times and all(r.round_trip for r in rows[4])
     again = c.run(spark, sf_dir)
     assert Counter((r.doc_id, r.n_tokens) for r in again.collect()) == Counter((r.doc_id, r.n_tokens) for r in rows[4])
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, ids that clash, repeated rows, extra columns with inner names, and empty tables, through all stages."""
+    import corpus_pipeline as c
+
+    long = lambda k, n=60: " ".join(f"{w}{chr(97 + (k * 7 + j * j) % 26)}" for j, w in enumerate(["the", "quick", "brown", "fox", "jumps", "over"] * (n // 6)))
+    texts = [long(k) for k in range(40)]
+    rows = [(k, t, "en", f"s{k % 3}", k) for k, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "s0", 3), (3, texts[7] + " more", "en", "s1", 3), (None, texts[5], "en", "s0", None), (None, long(90, 90), "en", None, None), (50, None, None, None, None), (51, "", "en", "s1", 0), (52, "12 ! 34", None, "s2", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "text AS fp", "doc_id AS component_id", "lang AS row", "1 AS copies", "'k' AS digest", "source AS _host")
+    for given in (docs, docs.limit(0)):
+        given.write.parquet(path := f"{tmp_path}/{given.count()}/documents.parquet")
+        now, first = spark.read.parquet(path), given.columns
+        for k, (name, stage) in enumerate(c.STAGES):
+            before = Counter((r.doc_id, r.text) for r in now.collect()) if k < 4 else None
+            out = stage(spark, now, str(tmp_path))
+            out.write.parquet(to := f"{path}-{k}")
+            now = spark.read.parquet(to)
+            if k < 4:
+                after = Counter((r.doc_id, r.text) for r in now.collect())
+                assert now.columns == first and set(after) <= set(before), name
+                if k in (0, 1):
+                    assert after <= before, name
+                if k == 2:
+                    assert max(after.values(), default=1) == 1 and len({t for _, t in after}) == len(after)
+        assert all(r.round_trip for r in now.collect())
+    assert c.run(spark, f"{tmp_path}/{len(rows)}").count() > 20 and c.run(spark, f"{tmp_path}/0").count() == 0

@@ -94,6 +94,63 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_scores_by_plain_python(spark, sf_dir):
+    """The query's languages and scores by a kernel over sets of n-grams, Nystrom features and ridge regression written out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in langid.op1(spark, sf_dir).collect()}
+
+    def grams(t):
+        t = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        return {place(t[i : i + n]) for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    def place(g):
+        h = 0
+        for n, c in enumerate(g):
+            h = ((h + ord(c)) * 2654435761 + n + 1) % 2**32
+        return ((h ^ h >> 15) * 2246822519 % 2**32) >> 17
+
+    # under SAMPLE rows of a language all of them are learned from
+    sample = [r for r in docs if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and any(c.isalpha() for c in r.text)]
+    sample.sort(key=lambda r: (zlib.crc32(f"5/{r.doc_id}".encode()), r.doc_id))
+    names = sorted({r.lang for r in sample})
+    sets = [grams(r.text) for r in sample]
+    marks = [s for n in names for s in [g for g, r in zip(sets, sample, strict=True) if r.lang == n][: langid.LANDMARKS]]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[kernel(a, b) for b in marks] for a in sets]) @ root
+    weight = np.array([1 / sum(x.lang == r.lang for x in sample) for r in sample])
+    target = np.array([[1.0 if r.lang == n else -1.0 for n in names] for r in sample])
+    coef = np.linalg.solve(phi.T @ (weight[:, None] * phi) + langid.RIDGE * np.eye(phi.shape[1]), phi.T @ (weight[:, None] * target))
+    for r in docs[:60]:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        f = np.array([kernel(grams(r.text), b) for b in marks]) @ root @ coef
+        e = np.exp(langid.SHARPNESS * (f - f.max()))
+        assert got[r.doc_id].lang_pred == names[int(f.argmax())] and got[r.doc_id].score == pytest.approx(e.max() / e.sum(), abs=1e-3)
+
+
+def test_equal_language_scores_go_to_the_first():
+    bits = [np.packbits(np.eye(1, langid.PLACES, 7, dtype=np.uint8)[0]).tobytes()] * 4
+    names, matrix, _ = langid.fit(bits, ["b", "a", "a", "b"])
+    assert names == ["a", "b"] and matrix[7, 0] == pytest.approx(matrix[7, 1], abs=1e-6)
+
+
+def test_the_sample_is_bounded(spark):
+    from groundwell.llm.common import hash_sample
+
+    rows = spark.range(4000).select("id", (F.col("id") % 2).alias("y"))
+    got = [r.id for r in hash_sample(rows, ["y"], 100, F.col("id"), 1).collect()]
+    assert 120 < len(got) < 280 and got == [r.id for r in hash_sample(rows, ["y"], 100, F.col("id"), 1).collect()]
+    same = rows.withColumn("k", F.lit(1))  # all hashes fall alike
+    assert hash_sample(same, ["y"], 100, F.col("k"), 1).count() <= 800
+    with pytest.raises(ValueError, match="more than"):
+        hash_sample(rows.withColumn("y", F.col("id")), ["y"], 1, F.col("id"), 1)
+
+
 def test_presence_kernel_by_hand():
     def row(t):
         x = np.zeros(langid.PLACES)
@@ -152,10 +209,10 @@ def test_gradients():
     words, windows, y = [None, b"a", b"b", b"dd", b"eee"], rng.integers(0, 5, (4, toxicity.SPAN)), np.array([0.0, 1, 1, 0])
 
     def loss():
-        z = net.logits(net.project(net.inputs(words)[0]), windows)
+        z = net.logits(net.project(net.inputs(net.known(words))), windows)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    grad = net.gradients(words, windows, y)
+    grad = net.gradients(net.known(words), windows, y)
     for name, at in (("word", (2, 1)), ("wx", (1, 3, 5)), ("u", (0, 2, 9)), ("att", (4,)), ("out", (1,)), ("bias", (0,)), ("bx", (1, 0, 3))):
         old, eps = net.p[name][at], 1e-3
         net.p[name][at] = old + eps
@@ -166,15 +223,97 @@ def test_gradients():
         assert grad[name][at] == pytest.approx((up - down) / (2 * eps), rel=0.02, abs=1e-5)
 
 
-def test_windows_cover_all_words(monkeypatch):
-    for n in (0, 1, 23, 24, 25, 40, 41, 1000):
-        s = toxicity.starts(n)
-        assert set(range(n)) <= {k for a in s for k in range(a, a + toxicity.SPAN)}
-    text = " ".join(f"w{k}" for k in range(500))
-    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 5)
-    blocks = list(toxicity.blocks_of_words(text))
-    assert len(blocks) > 5 and b"w499" in blocks[-1] and blocks[0][-8:] == blocks[1][:8]
-    assert list(toxicity.blocks_of_words(None)) == [[]]
+def plain_windows(words):
+    """All windows of a text: at every STRIDE-th word, and one that ends with the last."""
+    n = len(words)
+    if n <= toxicity.SPAN:
+        return [words]
+    at = list(range(0, n - toxicity.SPAN + 1, toxicity.STRIDE))
+    at += [n - toxicity.SPAN] if at[-1] != n - toxicity.SPAN else []
+    return [words[a : a + toxicity.SPAN] for a in at]
+
+
+@pytest.mark.parametrize("block", [1, 5, 40, 77, 100, 1000, 400_000])
+def test_windows_are_those_of_the_whole_text(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+    for n in (0, 1, 23, 24, 25, 39, 40, 41, 48, 56, 57, 199, 500):
+        words = [f"w{k}".encode() for k in range(n)]
+        for text in (b" ".join(words), b" \n" + b"\t ".join(words) + b" " * 150):
+            got = [held[a : a + toxicity.SPAN] for held, starts in toxicity.window_blocks(text.decode()) for a in starts]
+            assert got == plain_windows(words)
+    assert [(w, list(a)) for w, a in toxicity.window_blocks(None)] == [([], [0])]
+
+
+def plain_score(net, text):
+    """The network by its formulas, one word after another."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    h = toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        if w is None:
+            word, w = p["word"][0], b""
+        else:
+            w = bytes(b + 32 if 65 <= b <= 90 else b for b in w if b >= 128 or chr(b).isalpha())
+            word = p["word"][net.rows.get(w, 1)]
+        m = b"^" + w + b"$" if w else b"^$$"
+        places = [((m[i] * 961 + m[i + 1] * 31 + m[i + 2]) * 2654435761 % 2**32) >> 21 for i in range(len(m) - 2)]
+        return np.concatenate([word, np.mean([p["char"][k] for k in places], axis=0)])
+
+    def run(xs, k):
+        s, out = np.zeros(h), []
+        for x in xs:
+            g, a = x @ p["wx"][k] + p["bx"][k][0], s @ p["u"][k]
+            z, r = sigmoid(g[:h] + a[:h]), sigmoid(g[h : 2 * h] + a[h : 2 * h])
+            n = np.tanh(g[2 * h :] + r * a[2 * h :])
+            s = (1 - z) * n + z * s
+            out.append(s)
+        return out
+
+    best = -np.inf
+    for window in plain_windows((text or "").encode().split()):
+        xs = [vector(w) for w in [*window, *[None] * (toxicity.SPAN - len(window))]]
+        both = np.array([np.concatenate([a, b]) for a, b in zip(run(xs, 0), run(xs[::-1], 1)[::-1], strict=True)])
+        e = np.exp(both @ p["att"])
+        best = max(best, (e / e.sum()) @ both @ p["out"] + p["bias"][0])
+    return sigmoid(best)
+
+
+def test_op6_against_plain_python(spark, sf_dir):
+    """The whole query: every score by an independent forward pass, the split, the verdicts, and held-out accuracy."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    got = {r.doc_id: r for r in toxicity.op6(spark, sf_dir).collect()}
+    net = toxicity.learn(docs, labels)  # training doesn't depend on the run
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for k, r in got.items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+    for k in sorted(texts, key=lambda k: len(texts[k] or ""))[:: max(1, len(texts) // 60)] + [max(texts, key=lambda k: len(texts[k] or ""))]:
+        assert got[k].score == pytest.approx(plain_score(net, texts[k]), abs=2e-4)
+    # the smallest tables have six toxic documents to learn from; other words than theirs can't be known
+    held = [(got[r.doc_id].predicted, r.toxic) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    assert len(held) > 10 and not any(a > b for a, b in held) and sum(a == b for a, b in held) >= 0.8 * len(held)
+
+
+def test_op6_odd_rows(spark, tmp_path):
+    bad = "zorgak vixtum krelb"
+    rows = [(k, " ".join(random.Random(k).choices(["ba", "no", "tire", "lusha", "re"], k=40)) + (f" {bad}" if k % 3 == 0 else "")) for k in range(200)]
+    odd = [(300, None), (301, ""), (302, " \n "), (303, "x" * 100_000), (304, "no " * 30_000 + bad + " no" * 30_000), (5, rows[5][1]), (5, rows[5][1]), (None, rows[3][1])]
+    schema = "doc_id long, text string, score string, toxic string"
+    spark.createDataFrame([(*r, "x", "y") for r in rows + odd], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(k, int(k % 3 == 0), 1) for k in range(200)] + [(None, 1, 1), (7, None, 1)], "doc_id long, toxic int, score int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = toxicity.op6(spark, f"{tmp_path}/a").collect()
+    assert len(got) == 208 and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[300].score == by[301].score == by[302].score and not by[300].predicted and by[304].predicted and by[None].predicted and not by[None].held_out
+    assert len({r.score for r in got if r.doc_id == 5}) == 1
+    net = toxicity.learn(*[spark.read.parquet(f"{tmp_path}/a/{n}.parquet") for n in ("documents", "labels")])
+    assert by[304].score == pytest.approx(plain_score(net, "no " * 64 + bad + " no" * 61), abs=2e-4)
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/labels.parquet").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert toxicity.op6(spark, f"{tmp_path}/b").count() == 0
+    assert spark.createDataFrame([(0.7,), (0.6999,)], "score double").select(toxicity.verdict(F.col("score")).alias("p")).collect() == [(1,), (0,)]
 
 
 def test_toxic_words_are_found(spark):
