@@ -6,16 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import tokens
+from groundwell.sources.work import saved, spread, work_path
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query tables over this many rows are shuffled, not broadcast.
 SMALL = 200_000
 QUERY_BLOCK = 2048
+VECTOR_BLOCK = 4096
+#: Folders of an index: a search reads those of its terms.
+INDEX_PARTS = 16
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -33,23 +37,61 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs (id, text) to id, dl, term, tf, for the terms (column term) that are asked for."""
-    # explode_outer, as for explode Spark adds a filter that makes the words once more; the join drops nulls
-    each = docs.select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term"))
-    return each.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def index_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_PARTS)).cast("int")
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """All scores over 0: qid, id, score. docs: id, text, one row each."""
-    n, length = docs.agg(F.count(F.lit(1)), F.avg(F.size(tokens(F.col("text"))))).first()
-    asked = query_terms(queries)
-    found = postings(docs, asked)
+def postings(docs: DataFrame) -> DataFrame:
+    """docs (id, text) to id, dl, term, tf, head and part; one row of each document has head, that of its first word or of none.
+
+    So all that a search needs comes from one table: the number of documents and their mean length from its heads."""
+    # explode_outer keeps documents without words, and makes the words once (explode adds a filter that makes them again)
+    each = spread(docs).select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.posexplode_outer("ts").alias("pos", "term"))
+    each = each.groupBy("id", "dl", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("head"))
+    return each.withColumn("part", F.coalesce(index_part(F.col("term")), F.lit(0)))
+
+
+def write_index(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Postings in folders by part, sorted by term; Spark cuts large folders into several files."""
+    postings(docs).hint("rebalance", F.col("part")).sortWithinPartitions("part", "term").write.mode(mode).partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, dl int, term string, tf long, head boolean, part int").parquet(path)
+
+
+def index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """A stored index of docs (id, text), one row each."""
+    path = path or work_path(docs.sparkSession, "index")
+    write_index(docs, path)
+    return read_index(docs.sparkSession, path)
+
+
+def append(docs: DataFrame, path: str) -> DataFrame:
+    """Adds the documents that an index doesn't have; the others stay as they are, and nothing is made again."""
+    have = read_index(docs.sparkSession, path).where("head").select("id")
+    write_index(saved(docs.join(have, "id", "left_anti"), "new"), path, "append")
+    return read_index(docs.sparkSession, path)
+
+
+def search(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """All BM25 scores over 0 of queries (qid, text) on an index: qid, id, score."""
+    n, length = found.where("head").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    asked = saved(query_terms(queries), "asked")
+    parts = [r.part for r in asked.select(index_part(F.col("term")).alias("part")).distinct().collect()]  # INDEX_PARTS at most
+    terms = small(asked.select("term").distinct())
+    found = found.where(F.col("part").isin(parts) & F.col("term").isNotNull()).join(terms, "term", "left_semi")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(length or 1.0)))
-    weighted = found.join(df, "term").join(small(asked), "term")
-    return weighted.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    # what a query gives for a term goes into one small row, before it meets the postings
+    weighed = small(saved(asked.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("weight")), "weighed"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(length or 1.0)))
+    return found.join(weighed, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """All scores over 0: qid, id, score. docs: id, text, one row each."""
+    return search(index(docs), queries)
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -57,60 +99,94 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(bm25(docs, queries), k, ["qid"], F.desc("score"), "id")
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
-    """Exact cosine top k: vectors (id, vector) and queries (qid, vector) to qid, id, score, rank.
+def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows (key, vector) in blocks of up to so many rows: n, ids, and the vectors one after another as a binary of 64-bit floats."""
 
-    Queries go out in blocks of a fixed size; each task keeps k rows of a query, so what is shuffled is small."""
-    spark = vectors.sparkSession
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))))
-    out = None
-    for b in range(max(1, blocks)):
-        rows = numbered.where(F.col("block") == b).orderBy("qid").collect()
-        shared = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vector for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(ids) else q
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                own = np.array(batch.column("id").to_pylist())
-                v = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
-                score = np.round((q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T), 6)
-                if not keep_self:
-                    score[np.array(ids)[:, None] == own[None, :]] = -np.inf
-                n = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score))[:, :n]
-                best = np.take_along_axis(score, order, axis=1)
-                ok = best > -np.inf
-                yield pa.record_batch({"qid": np.repeat(ids, n).reshape(-1, n)[ok], "id": own[order][ok], "score": best[ok]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.record_batch({"ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([flat.tobytes()], pa.binary())})
+
+    return rows.select(key, "vector").where(F.col(key).isNotNull() & F.col("vector").isNotNull()).mapInArrow(run, "ids array<long>, vectors binary")
+
+
+class _Best:
+    """The k best so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.score, self.found = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
 
-        part = vectors.select("id", "vector").mapInArrow(run, "qid long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, k, ["qid"], F.desc("score"), "id")
+    def add(self, score: np.ndarray, own: np.ndarray) -> None:
+        score = np.concatenate([self.score, score], axis=1)
+        found = np.concatenate([self.found, np.broadcast_to(own, (len(self.ids), len(own)))], axis=1)
+        if score.shape[1] > 4 * self.k:  # first without regard to ties, which stay in
+            least = np.partition(score, -self.k, axis=1)[:, -self.k]
+            wide = int((score >= least[:, None]).sum(axis=1).max())
+            some = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+            score, found = np.take_along_axis(score, some, axis=1), np.take_along_axis(found, some, axis=1)
+        order = np.lexsort((found, -score))[:, : self.k]
+        self.score, self.found = np.take_along_axis(score, order, axis=1), np.take_along_axis(found, order, axis=1)
 
+    def rows(self) -> pa.RecordBatch:
+        ok = self.score > -np.inf
+        return pa.record_batch({"qid": np.repeat(self.ids, ok.sum(axis=1)), "id": self.found[ok], "score": self.score[ok]})
 
-def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Ranked lists (arm, qid, id, rank, score) to qid, id, rrf, and rank and score of the arms `dense` and `sparse`."""
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
+    """Exact cosine top k: vectors (id, vector) and queries (qid, vector) to qid, id, score, rank.
+
+    Both sides are tables of blocks, and each block of queries meets each block of vectors in a task: one matrix product. A task
+    keeps the k best of each query over all the blocks that it meets, so what is shuffled is small. Nothing passes the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for batch in batches:
+            for qids, q, ids, v in zip(*batch.columns, strict=True):
+                qids, own = np.array(qids.as_py()), np.array(ids.as_py())
+                unit = lambda x, n: (y := np.frombuffer(x.as_py()).reshape(n, -1)) / np.linalg.norm(y, axis=1, keepdims=True)
+                score = np.round(unit(q, len(qids)) @ unit(v, len(own)).T, 6)
+                if not keep_self:
+                    score[qids[:, None] == own[None, :]] = -np.inf
+                key = int(qids[0])
+                if key not in best:
+                    if len(best) >= 64:
+                        yield best.pop(next(iter(best))).rows()
+                    best[key] = _Best(qids, k)
+                best[key].add(score, own)
+        for b in best.values():
+            yield b.rows()
+
+    asked = saved(packed(queries, "qid", QUERY_BLOCK), "query-blocks").select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
+    pairs = asked.join(saved(packed(spread(vectors), "id", VECTOR_BLOCK), "vector-blocks"), how="cross")
+    return top(pairs.mapInArrow(run, "qid long, id long, score double"), k, ["qid"], F.desc("score"), "id")
+
+
+def rrf(lists: DataFrame, k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
+    """Ranked lists (arm, qid, id, rank, score) to qid, id, rrf, and rank and score of the arms `dense` and `sparse`. Arms weigh 1 unless weights says otherwise."""
+    weight = F.coalesce(*[F.when(F.col("arm") == a, F.lit(float(w))) for a, w in (weights or {}).items()], F.lit(1.0))
     of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
     return lists.groupBy("qid", "id").agg(
-        F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("rrf"), of("dense", "rank").alias("dense_rank"), of("sparse", "rank").alias("sparse_rank"), of("dense", "score").alias("dense_score"), of("sparse", "score").alias("sparse_score")
+        F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("rrf"), of("dense", "rank").alias("dense_rank"), of("sparse", "rank").alias("sparse_rank"), of("dense", "score").alias("dense_score"), of("sparse", "score").alias("sparse_score")
     )
 
 
-def fused(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
+def fused(dense: DataFrame, sparse: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
     lists = dense.withColumn("arm", F.lit("dense")).unionByName(sparse.withColumn("arm", F.lit("sparse")))
-    return top(rrf(lists), k, ["qid"], F.desc("rrf"), "id").withColumn("both", F.col("dense_rank").isNotNull() & F.col("sparse_rank").isNotNull())
+    return top(rrf(lists, weights=weights), k, ["qid"], F.desc("rrf"), "id").withColumn("both", F.col("dense_rank").isNotNull() & F.col("sparse_rank").isNotNull())
 
 
-def passes(*, sections: list[str] | None = None, source_type: str | None = None, published_after: str | None = None, exclude_sections: list[str] | None = None) -> Column:
+def passes(*, sections: list[str] | None = None, source_type: str | None = None, domains: list[str] | None = None, published_after: str | None = None, exclude_sections: list[str] | None = None) -> Column:
     """A filter on passages. A null date fails a date bound; a null section passes an exclusion. Never null."""
     ok = F.lit(True)
     if sections:
         ok = ok & F.coalesce(F.col("section").isin(*sections), F.lit(False))
     if source_type:
         ok = ok & F.coalesce(F.col("source_type") == source_type, F.lit(False))
+    if domains:
+        ok = ok & F.coalesce(F.col("source_domain").isin(*domains), F.lit(False))
     if published_after:
         ok = ok & F.coalesce(F.col("published") >= published_after, F.lit(False))
     if exclude_sections:
@@ -142,15 +218,17 @@ def rerank(candidates: DataFrame, k: int, inputs: int, score: Column) -> DataFra
     return top(cut, k, ["qid"], F.desc("rerank_score"), "fusion_rank")
 
 
-def metrics(runs: DataFrame, qrels: DataFrame, at: int = 10, deep: int = 20) -> DataFrame:
-    """runs (config, qid, id, rank) and qrels (qid, id, grade, over 0) to one row per config and query: ndcg, recall, strict recall, mrr."""
+def metrics(graded: DataFrame, counts: DataFrame, at: int = 10, deep: int = 20) -> DataFrame:
+    """Ranked rows (config, qid, id, rank, grade or null) and counts of all judged ids (qid, grade over 0, n) to one row per config and query: ndcg, recall, strict recall, mrr."""
     gain = lambda g: F.pow(F.lit(2.0), g) - 1
     by_rank = lambda r: F.log2(r + 1)
-    best = top(qrels, 1 << 30, ["qid"], F.desc("grade"), "id")
-    ideal = best.groupBy("qid").agg(
-        F.sum(F.when(F.col("rank") <= at, gain(F.col("grade")) / by_rank(F.col("rank")))).alias("ideal"), F.count(F.lit(1)).alias("relevant"), F.sum((F.col("grade") >= 2).cast("int")).alias("strict")
-    )
-    graded = runs.join(qrels, ["qid", "id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    # the ideal list needs the numbers of each grade, not the rows in order
+    sums = F.transform(F.sequence(F.lit(1), F.lit(at)), lambda r: F.struct(r.alias("r"), by_rank(r).alias("d")))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = F.filter(sums, lambda x: (x["r"] > F.col("above")) & (x["r"] <= F.col("above") + F.col("n")))
+    each = counts.withColumn("above", above).withColumn("gains", F.aggregate(places, F.lit(0.0), lambda s, x: s + gain(F.col("grade")) / x["d"]))
+    ideal = each.groupBy("qid").agg(F.sum("gains").alias("ideal"), F.sum("n").alias("relevant"), F.coalesce(F.sum(F.when(F.col("grade") >= 2, F.col("n"))), F.lit(0)).alias("strict"))
+    graded = graded.withColumn("grade", F.coalesce("grade", F.lit(0)))
     own = graded.groupBy("config", "qid").agg(
         F.coalesce(F.sum(F.when(F.col("rank") <= at, gain(F.col("grade")) / by_rank(F.col("rank")))), F.lit(0.0)).alias("dcg"),
         F.sum(((F.col("rank") <= deep) & (F.col("grade") >= 1)).cast("int")).alias("found"), F.sum(((F.col("rank") <= deep) & (F.col("grade") >= 2)).cast("int")).alias("found_strict"),

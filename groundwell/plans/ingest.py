@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
 from groundwell.operators import passages as op
-from groundwell.sources.tables import PASSAGES_SQL, passages, read
+from groundwell.sources.tables import DOMAIN_SQL, PASSAGES_SQL, passages, read
 
 
 def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,6 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BLANK = r"'\s+', ' ', 'g'"
 _HTML_SQL = rf"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), {_BLANK}))"
-_DOMAIN_SQL = r"coalesce(nullif(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', ''), ''), 'unknown')"
 _CLEAN_SQL = rf"trim(regexp_replace(coalesce(text, ''), {_BLANK}))"
 _DEHYPHEN_SQL = r"regexp_replace(text, '([\p{L}\p{N}_])[-‐‑]\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g')"
 
@@ -137,8 +136,8 @@ ORACLE_SQL = {
     "ingest_dedup_first": f"WITH {PASSAGES_SQL} SELECT id, doc_id, source_id, section FROM passages QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1",
     "upsert_dedup_last": "SELECT conv_id || '/' || role AS key, turn, substr(sha256(trim(text)), 1, 16) AS digest FROM conversations WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text) = 1",
     "merge_evidence": f"SELECT * FROM (SELECT 0 AS seq, doc_id AS place, sha256({_CLEAN_SQL}) AS id FROM documents UNION ALL SELECT 1, page_id, sha256({_HTML_SQL}) FROM pages) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq, place) = 1",
-    "web_normalise": f"SELECT page_id, domain, CAST(length(body) AS INT) AS chars, md5(body) AS body_md5, round(1 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM (SELECT page_id, coalesce(url, '') AS url, {_DOMAIN_SQL} AS domain, {_HTML_SQL} AS body FROM pages)) WHERE length(body) >= 80 AND url <> ''",
-    "domain_counts": f"SELECT {_DOMAIN_SQL} AS domain, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
+    "web_normalise": f"SELECT page_id, domain, CAST(length(body) AS INT) AS chars, md5(body) AS body_md5, round(1 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM (SELECT page_id, coalesce(url, '') AS url, {DOMAIN_SQL} AS domain, {_HTML_SQL} AS body FROM pages)) WHERE length(body) >= 80 AND url <> ''",
+    "domain_counts": f"SELECT {DOMAIN_SQL} AS domain, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
     "char_windows": f"""WITH c AS (SELECT doc_id, {_CLEAN_SQL} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN length(w) <= 1000 THEN [0] ELSE generate_series(0, length(w) - 1, 850) END) AS start FROM c WHERE w <> '')
 SELECT doc_id, CAST(start // 850 AS INT) AS index, CAST(start AS INT) AS start, CAST(length(substr(w, start + 1, 1000)) AS INT) AS chars, md5(substr(w, start + 1, 1000)) AS body_md5 FROM s""",
     "dehyphenate": f"SELECT doc_id, md5({_DEHYPHEN_SQL}) AS fixed_md5, CAST(length(text) - length({_DEHYPHEN_SQL}) AS INT) AS removed FROM documents",

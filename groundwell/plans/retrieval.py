@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwell.functions.text import STOPWORDS, tokens
+from groundwell.functions.text import STOPWORDS, domain, tokens
+from groundwell.operators import features as fs
 from groundwell.operators import retrieval as r
-from groundwell.sources.tables import PASSAGES_SQL, passages, read, vectors
+from groundwell.sources.tables import DOMAIN_SQL, PASSAGES_SQL, passages, read, vectors
+from groundwell.sources.work import saved, work_path
 
 DEPTH = 50
 AFTER = "2021-06-01"
@@ -17,22 +19,43 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is indexed of a passage: its title and its text. Passages without a text aren't."""
+    p = passages(spark, sf_dir).where(F.coalesce("text", F.lit("")) != "")
+    return p.select(F.col("doc_id").alias("id"), F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit(". "), "text")).otherwise(F.col("text")).alias("text"))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's vector is that with its id: the tables have no other."""
-    return vectors(spark, sf_dir).join(F.broadcast(_queries(spark, sf_dir).select(F.col("qid").alias("id"))), "id", "left_semi").select(F.col("id").alias("qid"), "vector")
+    return vectors(spark, sf_dir).join(r.small(_queries(spark, sf_dir).select(F.col("qid").alias("id"))), "id", "left_semi").select(F.col("id").alias("qid"), "vector")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25_top(_docs(spark, sf_dir), _queries(spark, sf_dir), 10)
+    return r.bm25_top(_titled(spark, sf_dir), _queries(spark, sf_dir), 10)
+
+
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both arms from what is stored: an index of postings that is written once and searched twice, by all words and by a question's first eight."""
+    held = r.index(_titled(spark, sf_dir))
+    whole = _queries(spark, sf_dir)
+    short = whole.select("qid", F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("text"))
+    both = [r.top(r.search(held, q), 10, ["qid"], F.desc("score"), "id").select(F.lit(n).alias("words"), "*") for n, q in (("all", whole), ("first", short))]
+    return both[0].unionByName(both[1])
+
+
+def bm25_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of two thirds of the passages, to which all are added: those that it has stay, the others come. The search is that of one index of all."""
+    docs, path = _titled(spark, sf_dir), work_path(spark, "index")
+    r.write_index(docs.where("id % 3 > 0"), path)
+    return r.top(r.search(r.append(docs, path), _queries(spark, sf_dir)), 10, ["qid"], F.desc("score"), "id")
 
 
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _docs(spark, sf_dir).select("id", F.explode_outer(tokens(F.col("text"))).alias("term")).where("term is not null")
-    return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return r.postings(_titled(spark, sf_dir)).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +64,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25_top(_docs(spark, sf_dir), _queries(spark, sf_dir), DEPTH)
+    return r.bm25_top(_titled(spark, sf_dir), _queries(spark, sf_dir), DEPTH)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +75,34 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.fused(_dense(spark, sf_dir), _sparse(spark, sf_dir), 10)
 
 
+def retrieve_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry for all modes: fused with weights of the arms, and each arm alone; blank queries have no rows."""
+    asked = _queries(spark, sf_dir).where(F.trim("text") != "").select("qid")
+    dense, sparse = [saved(a.join(r.small(asked), "qid", "left_semi"), "arm") for a in (_dense(spark, sf_dir), _sparse(spark, sf_dir))]
+    none = dense.limit(0)
+    modes = {"weighted": r.fused(dense, sparse, 10, {"dense": 0.7, "sparse": 1.3}), "dense_only": r.fused(dense, none, 10), "sparse_only": r.fused(none, sparse, 10)}
+    out = [df.select(F.lit(m).alias("mode"), "qid", "id", "rrf", "rank", "both") for m, df in modes.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def dense_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of a question's first ten that reach a score."""
+    return r.top(_dense(spark, sf_dir).where("score >= 0.3").drop("rank"), 10, ["qid"], F.desc("score"), "id")
+
+
+def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse search in three domains (the hosts of pages with a document's id) from a date on; document frequencies stay those of all."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), domain(F.col("url")).alias("source_domain"))
+    p = passages(spark, sf_dir).select("doc_id", "published").join(pages, "doc_id", "left")
+    some = [x.source_domain for x in pages.groupBy("source_domain").count().orderBy("source_domain").limit(3).collect()]
+    ok = p.where(r.passes(domains=some, published_after=AFTER)).select(F.col("doc_id").alias("id"))
+    return r.top(r.bm25(_titled(spark, sf_dir), _queries(spark, sf_dir)).join(ok, "id", "left_semi"), 10, ["qid"], F.desc("score"), "id")
+
+
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms see only what the filter lets pass; document frequencies stay those of all passages."""
     ok = passages(spark, sf_dir).where(r.passes(published_after=AFTER, exclude_sections=["Abstract"])).select(F.col("doc_id").alias("id"))
-    sparse = r.top(r.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)).join(ok, "id", "left_semi"), DEPTH, ["qid"], F.desc("score"), "id")
+    sparse = r.top(r.bm25(_titled(spark, sf_dir), _queries(spark, sf_dir)).join(ok, "id", "left_semi"), DEPTH, ["qid"], F.desc("score"), "id")
     dense = r.dense_top(vectors(spark, sf_dir).join(ok, "id", "left_semi"), _query_vectors(spark, sf_dir), DEPTH, keep_self=True)
     return r.fused(dense.select("qid", "id", "score", "rank"), sparse.select("qid", "id", "score", "rank"), 10)
 
@@ -65,7 +112,7 @@ def _route(qid):
 
 
 def route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = r.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumn("route", _route(F.col("qid")))
+    scored = r.bm25(_titled(spark, sf_dir), _queries(spark, sf_dir)).withColumn("route", _route(F.col("qid")))
     p = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_type", "section")
     ok = scored.join(p, "id").withColumn("ok", r.route_filter(F.col("route")))
     return r.top(r.with_fallback(ok, "ok"), 10, ["qid"], F.desc("score"), "id").select("qid", "id", "route", "score", "rank", "fallback")
@@ -82,26 +129,35 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked(spark, sf_dir)
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grade 2 for a vector with a question's label, 1 for one with the next label."""
-    v = vectors(spark, sf_dir)
-    q = r.small(_query_vectors(spark, sf_dir).join(v.select(F.col("id").alias("qid"), F.col("label").alias("want")), "qid").select("qid", "want"))
-    near = q.select("qid", F.col("want").alias("label"), F.lit(2).alias("grade")).unionByName(q.select("qid", (F.col("want") + 1).alias("label"), F.lit(1).alias("grade")))
-    return v.join(near, "label").select("qid", "id", "grade")
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, label and grade: a vector with a question's label has grade 2, one with the next label grade 1."""
+    own = _query_vectors(spark, sf_dir).select("qid").join(vectors(spark, sf_dir).select(F.col("id").alias("qid"), F.col("label").alias("want")), "qid")
+    return own.select("qid", F.explode(F.array(F.struct(F.col("want").alias("label"), F.lit(2).alias("grade")), F.struct((F.col("want") + 1).alias("label"), F.lit(1).alias("grade")))).alias("x")).select("qid", "x.*")
+
+
+def _graded(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows (qid, id, ...) with their grade, null for what isn't graded. The graded pairs are never written out."""
+    return rows.join(vectors(spark, sf_dir).select("id", "label"), "id", "left").join(_wanted(spark, sf_dir), ["qid", "label"], "left").drop("label")
+
+
+def _grade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, grade, n: how many vectors have each grade, from the numbers of each label."""
+    n = vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _wanted(spark, sf_dir).join(n, "label").select("qid", "grade", "n")
 
 
 def _runs(spark: SparkSession, sf_dir: str, candidates: int = 20) -> DataFrame:
     """The first 20 of each configuration; R4 reranks so many fused candidates, of which 30 reach the scorer."""
-    dense, sparse = _dense(spark, sf_dir), _sparse(spark, sf_dir)
-    both = r.fused(dense, sparse, candidates)
-    r4 = both.join(_docs(spark, sf_dir).withColumnRenamed("text", "passage"), "id").join(r.small(_queries(spark, sf_dir).withColumnRenamed("text", "question")), "qid")
+    dense, sparse = saved(_dense(spark, sf_dir), "dense"), saved(_sparse(spark, sf_dir), "sparse")
+    both = saved(r.fused(dense, sparse, candidates), "fused")
+    r4 = both.where("rank <= 30").join(_docs(spark, sf_dir).withColumnRenamed("text", "passage"), "id").join(r.small(_queries(spark, sf_dir).withColumnRenamed("text", "question")), "qid")
     r4 = r.rerank(r4, 20, 30, r.overlap_logit(F.col("question"), F.col("passage")))
     tag = lambda df, name: df.where("rank <= 20").select(F.lit(name).alias("config"), "qid", "id", "rank")
     return tag(dense, "R1").unionByName(tag(sparse, "R2")).unionByName(tag(both, "R3")).unionByName(tag(r4, "R4"))
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = r.metrics(_runs(spark, sf_dir), qrels(spark, sf_dir))
+    m = r.metrics(_graded(_runs(spark, sf_dir), spark, sf_dir), _grade_counts(spark, sf_dir))
     return m.groupBy("config").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "recall", "strict_recall", "mrr")])
 
 
@@ -126,24 +182,30 @@ def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qrels_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the measured runs' pool is graded, for each question."""
-    return _coverage(pooled_candidates(spark, sf_dir), qrels(spark, sf_dir))
+    return _coverage(_graded(pooled_candidates(spark, sf_dir), spark, sf_dir))
 
 
 def label_pool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the reference's pool is graded, for each question."""
-    return _coverage(label_pool(spark, sf_dir), qrels(spark, sf_dir))
+    return _coverage(_graded(label_pool(spark, sf_dir), spark, sf_dir))
 
 
-def _coverage(pool: DataFrame, grades: DataFrame) -> DataFrame:
-    pool = pool.join(grades, ["qid", "id"], "left")
+def _coverage(pool: DataFrame) -> DataFrame:
     return pool.groupBy("qid").agg(
         F.count(F.lit(1)).alias("pooled"), F.count("grade").alias("graded"), F.sum((F.coalesce("grade", F.lit(0)) >= 2).cast("long")).alias("strict"), (F.count("grade") >= F.count(F.lit(1))).alias("complete"), F.coalesce(F.bool_or(F.col("grade") >= 1), F.lit(False)).alias("has_relevant")
     )
 
 
 def judged_but_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged ids that the corpus doesn't have."""
-    return qrels(spark, sf_dir).join(_docs(spark, sf_dir), "id", "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("missing"))
+    """How many judged ids of a question the corpus doesn't have; the corpus is what was ingested, passages of 200 characters or more."""
+    corpus = _docs(spark, sf_dir).where(F.length("text") >= 200)
+    lost = vectors(spark, sf_dir).join(corpus, "id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _wanted(spark, sf_dir).join(lost, "label").groupBy("qid").agg(F.sum("n").alias("missing"))
+
+
+def corpus_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of a snapshot by source type, section and year."""
+    return passages(spark, sf_dir).groupBy("source_type", "section", F.substring("published", 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("source_id").alias("sources"))
 
 
 def label_health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,34 +215,40 @@ def label_health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.rollup("source").agg(F.grouping("source").cast("int").alias("overall"), F.count(F.lit(1)).alias("labelled"), F.sum("quality").cast("long").alias("good"), F.sum("toxic").cast("long").alias("toxic"), rate, (F.countDistinct("quality") < 2).alias("degenerate"))
 
 
+FEATURES = list(fs.IMPUTE)
+ROUTES = ["evidence_store", "arxiv_meta", "web", "arxiv_fulltext", "elsewhere"]
+VERDICTS = ["SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED", "UNHEARD"]
+
+
 def sufficiency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of each question's evidence; a missing feature is null, not 0."""
-    e = reranked(spark, sf_dir).join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "published"), "id")
-    g = e.groupBy("qid").agg(
-        F.sort_array(F.collect_list("rerank_score"), False).alias("s"), F.count_distinct(F.when(F.col("source_id") != "", F.col("source_id"))).cast("double").alias("f4"),
-        F.sort_array(F.collect_list(F.try_to_date(F.substring("published", 1, 10)))).alias("d"), F.count(F.lit(1)).alias("n"),
+    """The ten features of each question's evidence. Verdicts, checked premises, rounds and routes are rules on the question's id, as the tables have none."""
+    best = saved(reranked(spark, sf_dir), "reranked")
+    found = _pairs(spark, sf_dir, best).groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
+    e = best.join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "published"), "id")
+    q = F.col("qid")
+    some = lambda values, at, n: F.slice(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"), n.cast("int"))
+    f = fs.evidence_features(e, "2026-09-06").join(found, "qid", "left")
+    f = f.select(
+        "qid", "n", "f1", "f2", "f3", "f4", fs.contradiction_rate(F.col("found"), F.col("n"), q % 7 != 0).alias("f5"), fs.entailment_strength(some(VERDICTS, q, q % 4)).alias("f6"),
+        fs.premise_grounding(q % 5 != 0, (q % 3) / 2).alias("f7"), (q % 4).cast("double").alias("f8"), fs.route_escalation(some(ROUTES, q, q % 3)).alias("f9"), "f10",
     )
-    mid = F.get("d", F.floor(F.size("d") / 2).cast("int"))
-    recency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.datediff(F.lit("2026-09-06").cast("date"), mid) / 365.25 / 8))
-    f = g.select(
-        "qid", "n", F.round(F.get("s", F.lit(0)), 6).alias("f1"), F.round(F.aggregate(F.slice("s", 1, 3), F.lit(0.0), lambda a, x: a + x) / F.size(F.slice("s", 1, 3)), 6).alias("f2"),
-        F.when(F.size("s") >= 5, F.round(F.get("s", F.lit(0)) - F.get("s", F.lit(4)), 6)).alias("f3"), "f4", F.when(mid.isNotNull(), F.round(recency, 6)).alias("f10"),
-    )
-    have = sum(F.col(c).isNotNull().cast("int") for c in ("f1", "f2", "f3", "f4", "f10"))
-    return f.withColumn("completeness", F.round(have / 5, 6))
+    return f.withColumn("completeness", fs.completeness(FEATURES))
 
 
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features with nulls filled by 0, each with a flag that says so."""
-    names = ["f1", "f2", "f3", "f4", "f10"]
-    return sufficiency_features(spark, sf_dir).select("qid", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names], *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in names])
+    """Twenty columns: the features with their neutral values where they're missing, each with a flag that says so."""
+    return sufficiency_features(spark, sf_dir).select("qid", *fs.vector_columns(FEATURES))
 
 
 def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a question's evidence from different sources: of 15 pairs at most, those whose numbers differ most.
 
     The score is a stand-in for an entailment model: the share of the two texts' numbers that only one of them has."""
-    e = reranked(spark, sf_dir).join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "text"), "id")
+    return _pairs(spark, sf_dir, reranked(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
+    e = best.join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "text"), "id")
     numbers = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[0-9]+"), F.lit(0)))
     e = e.select("qid", F.col("rank").alias("pos"), "id", "source_id", numbers.alias("numbers"))
     a, b = e.alias("a"), e.alias("b")
@@ -201,12 +269,17 @@ def _tokens_sql(column: str) -> str:
     return rf"list_filter(regexp_extract_all(lower(coalesce({column}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({_STOP}))"
 
 
-_BM25_SQL = f"""dt AS (SELECT doc_id AS id, {_tokens_sql("text")} AS ts FROM documents),
-qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_tokens_sql("text")}) AS term FROM benchmark) GROUP BY ALL),
-tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-nn AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM dt),
-bm AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), nn GROUP BY qid, id HAVING round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) > 0)"""
+def _bm25_sql(n: str = "", words: str = "") -> str:
+    """The SQL of all scores, in tables whose names end with n, for the words of each question that the slice takes."""
+    part = "qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))"
+    return f"""dt{n} AS (SELECT doc_id AS id, {_tokens_sql("'Document ' || doc_id || '. ' || text")} AS ts, {_tokens_sql("text")} AS ps FROM documents WHERE coalesce(text, '') <> ''),
+qt{n} AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_tokens_sql("text")}{words}) AS term FROM benchmark) GROUP BY ALL),
+tf{n} AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM dt{n}) WHERE term IN (SELECT term FROM qt{n}) GROUP BY ALL),
+df{n} AS (SELECT term, count(*) AS df FROM tf{n} GROUP BY term), nn{n} AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM dt{n}),
+bm{n} AS (SELECT qid, id, round(sum({part}), 6) AS score FROM tf{n} JOIN df{n} USING (term) JOIN qt{n} USING (term), nn{n} GROUP BY qid, id HAVING round(sum({part}), 6) > 0)"""
+
+
+_BM25_SQL = _bm25_sql()
 
 
 def _top_sql(name: str, source: str, k: int, order: str = "score DESC, id") -> str:
@@ -219,7 +292,7 @@ _DENSE_SQL = f"ds AS (SELECT q.vec_id AS qid, v.vec_id AS id, {_COS_SQL} AS scor
 _FUSE_SQL = """fz AS (SELECT qid, id, round(sum(1 / (60 + rank)), 9) AS rrf, max(rank) FILTER (arm = 'dense') AS dense_rank, max(rank) FILTER (arm = 'sparse') AS sparse_rank,
   max(score) FILTER (arm = 'dense') AS dense_score, max(score) FILTER (arm = 'sparse') AS sparse_score FROM (SELECT 'dense' AS arm, qid, id, rank, score FROM dense UNION ALL SELECT 'sparse', qid, id, rank, score FROM sparse) GROUP BY qid, id)"""
 _FUSED_OUT = "SELECT qid, id, rrf, dense_rank, sparse_rank, dense_score, sparse_score, rank, dense_rank IS NOT NULL AND sparse_rank IS NOT NULL AS both FROM fused"
-_OVERLAP_SQL = "round(CASE WHEN len(list_distinct(qq.ts)) > 0 THEN 12.0 * len(list_intersect(list_distinct(qq.ts), dt.ts)) / len(list_distinct(qq.ts)) - 4.0 ELSE -4.0 END, 6)"
+_OVERLAP_SQL = "round(CASE WHEN len(list_distinct(qq.ts)) > 0 THEN 12.0 * len(list_intersect(list_distinct(qq.ts), dt.ps)) / len(list_distinct(qq.ts)) - 4.0 ELSE -4.0 END, 6)"
 _QQ_SQL = f"qq AS (SELECT item_id AS qid, {_tokens_sql('text')} AS ts FROM benchmark)"
 _RERANK_SQL = f"""{_SPARSE_SQL}, {_QQ_SQL},
 rr0 AS (SELECT sparse.qid, sparse.id, sparse.rank AS fusion_rank, sparse.score, {_OVERLAP_SQL} AS rerank_score FROM sparse JOIN dt USING (id) JOIN qq ON qq.qid = sparse.qid WHERE sparse.rank <= 30),
@@ -242,24 +315,34 @@ own AS (SELECT config, qid, coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) F
 m AS (SELECT config, qid, CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END AS ndcg, CASE WHEN relevant > 0 THEN found / relevant ELSE 0 END AS recall, CASE WHEN strict > 0 THEN found_strict / strict ELSE 0 END AS strict_recall, coalesce(1 / first, 0) AS mrr FROM own JOIN ideal USING (qid)),
 ms AS (SELECT config, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(strict_recall), 6) AS strict_recall, round(avg(mrr), 6) AS mrr FROM m GROUP BY config)"""
 _POOL_SQL = "pool AS (SELECT qid, id, count(*) AS configs, min(rank) AS best_rank FROM runs GROUP BY qid, id)"
+_PAIRS_SQL = r"""e AS (SELECT rr.qid, rr.rank AS pos, rr.id, source_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS nums FROM rr JOIN passages ON rr.id = passages.doc_id),
+pr AS (SELECT a.qid, a.pos AS pa, b.pos AS pb, a.id AS ia, b.id AS ib, len(list_distinct(list_concat(a.nums, b.nums))) AS u, len(list_intersect(a.nums, b.nums)) AS c FROM e a JOIN e b ON a.qid = b.qid AND a.pos < b.pos AND a.source_id <> b.source_id),
+pn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pa, pb) AS n FROM pr), pk AS (SELECT *, CASE WHEN u > 0 THEN round((u - c) / u, 6) ELSE 0.0 END AS score, count(*) OVER (PARTITION BY qid) AS scanned FROM pn WHERE n <= 15),
+prs AS (SELECT qid, least(ia, ib) AS id_a, greatest(ia, ib) AS id_b, score, scanned FROM pk WHERE score >= 0.6)"""
 _FEATURES_SQL = f"""{_RERANK_SQL}, {PASSAGES_SQL},
 ev AS (SELECT rr.qid, rr.rerank_score, source_id, published FROM rr JOIN passages ON rr.id = passages.doc_id),
 g AS (SELECT qid, count(*) AS n, list(rerank_score ORDER BY rerank_score DESC) AS s, CAST(count(DISTINCT nullif(source_id, '')) AS DOUBLE) AS f4, list(CAST(published AS DATE) ORDER BY published) FILTER (published IS NOT NULL) AS d FROM ev GROUP BY qid),
 f AS (SELECT qid, n, round(s[1], 6) AS f1, round(list_sum(s[1:3]) / len(s[1:3]), 6) AS f2, CASE WHEN len(s) >= 5 THEN round(s[1] - s[5], 6) END AS f3, f4,
   CASE WHEN len(d) > 0 THEN round(greatest(0, least(1, 1 - date_diff('day', d[CAST(len(d) // 2 + 1 AS INT)], DATE '2026-09-06') / 365.25 / 8)), 6) END AS f10 FROM g),
-feats AS (SELECT *, round((CAST(f1 IS NOT NULL AS INT) + CAST(f2 IS NOT NULL AS INT) + CAST(f3 IS NOT NULL AS INT) + CAST(f4 IS NOT NULL AS INT) + CAST(f10 IS NOT NULL AS INT)) / 5, 6) AS completeness FROM f)"""
+{_PAIRS_SQL}, cn AS (SELECT qid, count(*) AS found FROM prs GROUP BY qid),
+h AS (SELECT f.*, CASE WHEN qid % 7 <> 0 THEN CASE WHEN n < 2 THEN 0.0 ELSE round(coalesce(found, 0) / (n * (n - 1) / 2), 6) END END AS f5,
+  CASE WHEN qid % 4 > 0 THEN list_aggregate(list_transform({VERDICTS}[CAST(qid % 5 + 1 AS INT):CAST(least(5, qid % 5 + qid % 4) AS INT)], lambda v: CASE WHEN v = 'SUPPORTED' THEN 1.0 WHEN v IN ('UNSUPPORTED', 'CONTRADICTED') THEN 0.0 ELSE 0.5 END), 'avg') END AS f6,
+  CASE WHEN qid % 5 <> 0 THEN (qid % 3) / 2 END AS f7, CAST(qid % 4 AS DOUBLE) AS f8,
+  CASE WHEN qid % 3 > 0 THEN list_max(list_transform({ROUTES}[CAST(qid % 5 + 1 AS INT):CAST(least(5, qid % 5 + qid % 3) AS INT)], lambda v: CASE WHEN v = 'evidence_store' THEN 0 WHEN v = 'arxiv_fulltext' THEN 2 ELSE 1 END)) / 2 END AS f9 FROM f LEFT JOIN cn USING (qid)),
+feats AS (SELECT qid, n, f1, f2, f3, f4, f5, round(f6, 6) AS f6, CAST(f7 AS DOUBLE) AS f7, f8, CAST(f9 AS DOUBLE) AS f9, f10, round(({" + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in fs.IMPUTE)}) / 10, 6) AS completeness FROM h)"""
 _ROUTE_SQL = "(['arxiv_meta', 'arxiv_fulltext', 'web', 'evidence_store'])[CAST(qid % 4 + 1 AS INT)]"
 
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_statistics": bm25_statistics, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion, "hybrid_filtered": hybrid_filtered, "route_fallback": route_fallback,
     "rerank_topk": rerank_topk, "ir_metrics": ir_metrics, "expected_ordering": expected_ordering, "pooled_candidates": pooled_candidates, "qrels_coverage": qrels_coverage,
     "judged_but_missing": judged_but_missing, "label_health_rollup": label_health_rollup, "sufficiency_features": sufficiency_features, "feature_vector": feature_vector, "contradiction_pairs": contradiction_pairs,
-    "label_pool": label_pool, "label_pool_coverage": label_pool_coverage,
+    "label_pool": label_pool, "label_pool_coverage": label_pool_coverage, "bm25_indexed": bm25_indexed, "bm25_append": bm25_append, "dense_threshold": dense_threshold, "domain_filter": domain_filter,
+    "retrieve_modes": retrieve_modes, "corpus_types": corpus_types,
 }
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_BM25_SQL}, {_top_sql('t', 'bm', 10)} SELECT qid, id, score, rank FROM t",
-    "bm25_statistics": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_tokens_sql('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
+    "bm25_statistics": f"WITH {_BM25_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM dt) GROUP BY ALL) GROUP BY term",
     "dense_topk": f"WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, {_COS_SQL} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), {_top_sql('t', 's', 10)} SELECT qid, id, score, rank FROM t",
     "rrf_fusion": f"WITH {_DENSE_SQL}, {_SPARSE_SQL}, {_FUSE_SQL}, {_top_sql('fused', 'fz', 10, 'rrf DESC, id')} {_FUSED_OUT}",
     "hybrid_filtered": f"""WITH {PASSAGES_SQL}, ok AS (SELECT doc_id AS id FROM passages WHERE published >= '{AFTER}' AND coalesce(section <> 'Abstract', true)),
@@ -275,12 +358,19 @@ w AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY qid) AS fallback FROM o), x A
     "qrels_coverage": f"WITH {_RUNS_SQL}, {_POOL_SQL}, {_QRELS_SQL} SELECT pool.qid, count(*) AS pooled, count(grade) AS graded, count(*) FILTER (grade >= 2) AS strict, count(grade) >= count(*) AS complete, coalesce(bool_or(grade >= 1), false) AS has_relevant FROM pool LEFT JOIN qrels ON pool.qid = qrels.qid AND pool.id = qrels.id GROUP BY pool.qid",
     "label_pool": f"WITH {_LABEL_RUNS_SQL}, {_POOL_SQL} SELECT * FROM pool",
     "label_pool_coverage": f"WITH {_LABEL_RUNS_SQL}, {_POOL_SQL}, {_QRELS_SQL} SELECT pool.qid, count(*) AS pooled, count(grade) AS graded, count(*) FILTER (grade >= 2) AS strict, count(grade) >= count(*) AS complete, coalesce(bool_or(grade >= 1), false) AS has_relevant FROM pool LEFT JOIN qrels ON pool.qid = qrels.qid AND pool.id = qrels.id GROUP BY pool.qid",
-    "judged_but_missing": f"WITH {_QRELS_SQL} SELECT qid, count(*) AS missing FROM qrels WHERE id NOT IN (SELECT doc_id FROM documents) GROUP BY qid",
+    "judged_but_missing": f"WITH {_QRELS_SQL} SELECT qid, count(*) AS missing FROM qrels WHERE id NOT IN (SELECT doc_id FROM documents WHERE length(text) >= 200) GROUP BY qid",
     "label_health_rollup": "SELECT source, CAST(grouping(source) AS INT) AS overall, count(*) AS labelled, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic, round(avg(CAST(quality AS DOUBLE)), 6) AS rate, count(DISTINCT quality) < 2 AS degenerate FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (source)",
     "sufficiency_features": f"WITH {_FEATURES_SQL} SELECT * FROM feats",
-    "feature_vector": f"WITH {_FEATURES_SQL} SELECT qid, " + ", ".join(f"coalesce({c}, 0.0) AS {c}, CAST({c} IS NULL AS INT) AS {c}_missing" for c in ("f1", "f2", "f3", "f4", "f10")) + " FROM feats",
-    "contradiction_pairs": rf"""WITH {_RERANK_SQL}, {PASSAGES_SQL}, e AS (SELECT rr.qid, rr.rank AS pos, rr.id, source_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS nums FROM rr JOIN passages ON rr.id = passages.doc_id),
-pr AS (SELECT a.qid, a.pos AS pa, b.pos AS pb, a.id AS ia, b.id AS ib, len(list_distinct(list_concat(a.nums, b.nums))) AS u, len(list_intersect(a.nums, b.nums)) AS c FROM e a JOIN e b ON a.qid = b.qid AND a.pos < b.pos AND a.source_id <> b.source_id),
-n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pa, pb) AS n FROM pr), k AS (SELECT *, CASE WHEN u > 0 THEN round((u - c) / u, 6) ELSE 0.0 END AS score, count(*) OVER (PARTITION BY qid) AS scanned FROM n WHERE n <= 15)
-SELECT qid, least(ia, ib) AS id_a, greatest(ia, ib) AS id_b, score, scanned FROM k WHERE score >= 0.6""",
+    "feature_vector": f"WITH {_FEATURES_SQL} SELECT qid, " + ", ".join(f"coalesce({c}, {v}) AS {c}, CAST({c} IS NULL AS INT) AS {c}_missing" for c, v in fs.IMPUTE.items()) + " FROM feats",
+    "contradiction_pairs": f"WITH {_RERANK_SQL}, {PASSAGES_SQL}, {_PAIRS_SQL} SELECT * FROM prs",
+    "bm25_indexed": f"WITH {_BM25_SQL}, {_top_sql('t', 'bm', 10)}, {_bm25_sql('2', '[1:8]')}, {_top_sql('t2', 'bm2', 10)} SELECT 'all' AS words, * FROM t UNION ALL SELECT 'first', * FROM t2",
+    "bm25_append": f"WITH {_BM25_SQL}, {_top_sql('t', 'bm', 10)} SELECT qid, id, score, rank FROM t",
+    "dense_threshold": f"WITH {_DENSE_SQL}, dd AS (SELECT qid, id, score FROM dense WHERE score >= 0.3), {_top_sql('t', 'dd', 10)} SELECT qid, id, score, rank FROM t",
+    "domain_filter": f"""WITH {PASSAGES_SQL}, pg AS (SELECT page_id, {DOMAIN_SQL} AS dom FROM pages), dm AS (SELECT DISTINCT dom FROM pg ORDER BY dom LIMIT 3),
+ok AS (SELECT doc_id AS id FROM passages JOIN pg ON page_id = doc_id WHERE dom IN (SELECT dom FROM dm) AND published >= '{AFTER}'), {_BM25_SQL}, bf AS (SELECT * FROM bm WHERE id IN (SELECT id FROM ok)), {_top_sql('t', 'bf', 10)} SELECT qid, id, score, rank FROM t""",
+    "retrieve_modes": f"""WITH {_DENSE_SQL}, {_SPARSE_SQL}, lists AS (SELECT 'dense' AS arm, qid, id, rank FROM dense UNION ALL SELECT 'sparse', qid, id, rank FROM sparse),
+md AS (SELECT 'weighted' AS mode, *, CASE arm WHEN 'dense' THEN 0.7 ELSE 1.3 END AS w FROM lists UNION ALL SELECT arm || '_only', *, 1.0 FROM lists),
+sc AS (SELECT mode, qid, id, round(sum(w / (60 + rank)), 9) AS rrf, count(*) = 2 AS two FROM md WHERE qid IN (SELECT item_id FROM benchmark WHERE trim(text) <> '') GROUP BY mode, qid, id)
+SELECT mode, qid, id, rrf, CAST(row_number() OVER (PARTITION BY mode, qid ORDER BY rrf DESC, id) AS INT) AS rank, two AS both FROM sc QUALIFY rank <= 10""",
+    "corpus_types": f"WITH {PASSAGES_SQL} SELECT source_type, section, substr(published, 1, 4) AS year, count(*) AS passages, count(DISTINCT source_id) AS sources FROM passages GROUP BY ALL",
 }

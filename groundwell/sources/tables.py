@@ -34,6 +34,10 @@ PASSAGES_SQL = """p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'arxiv' ELSE '
 passages AS (SELECT *, 'P' || substr(sha256(source_id || chr(0) || coalesce(section, '') || chr(0) || text), 1, 12) AS id FROM p)"""
 
 
+#: The host of a page's address.
+DOMAIN_SQL = r"coalesce(nullif(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', ''), ''), 'unknown')"
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, vector, label."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")

@@ -68,7 +68,8 @@ def test_filters_on_nulls(spark):
 def test_metrics(spark):
     runs = spark.createDataFrame([("R", 1, 10, 1), ("R", 1, 11, 2), ("R", 2, 99, 1)], "config string, qid long, id long, rank int")
     qrels = spark.createDataFrame([(1, 10, 2), (1, 11, 2), (1, 12, 1), (2, 5, 1)], "qid long, id long, grade int")
-    got = {r.qid: r for r in retrieval.metrics(runs, qrels).collect()}
+    graded, counts = runs.join(qrels, ["qid", "id"], "left"), qrels.groupBy("qid", "grade").agg(F.count("*").alias("n"))
+    got = {r.qid: r for r in retrieval.metrics(graded, counts).collect()}
     dcg = 3 + 3 / math.log2(3)
     assert got[1].ndcg == pytest.approx(dcg / (dcg + 1 / math.log2(4))) and got[1].recall == pytest.approx(2 / 3) and got[1].strict_recall == 1 and got[1].mrr == 1
     assert (got[2].ndcg, got[2].recall, got[2].mrr) == (0, 0, 0)
@@ -85,6 +86,55 @@ def test_dense_top_is_exact(spark):
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == want
 
 
+def test_dense_top_in_blocks(spark, monkeypatch):
+    """Any cut into blocks gives the same rows, ties included; queries without a vector have none."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)
+    v[(v == 0).all(axis=1), 0] = 1
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(999, None)], "id long, vector array<float>")
+    asked = rows.where("id % 3 = 0").select(F.col("id").alias("qid"), "vector")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    want = {q: sorted((-score[q, k], k) for k in range(300) if k != q)[:5] for q in range(0, 300, 3)}
+    for q, b in ((2048, 4096), (7, 11), (1, 40)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", q)
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", b)
+        got = {}
+        for r in retrieval.dense_top(rows.repartition(3), asked, 5).collect():
+            got.setdefault(r.qid, []).append((r.rank, -r.score, r.id))
+        assert {q: [(s, i) for _, s, i in sorted(x)] for q, x in got.items()} == want
+
+
+def test_stored_index(spark, tmp_path):
+    """Documents without words count; an index that grew is the index of all; a search reads its terms' folders only."""
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "the of"), (3, None), (4, "blue fox"), (5, "green sea")], "id long, text string")
+    asked = spark.createDataFrame([(1, "fox red red"), (2, "the"), (3, "sea")], "qid long, text string")
+    whole = retrieval.search(retrieval.index(docs), asked).collect()
+    path = f"file://{tmp_path}/index"
+    retrieval.write_index(docs.where("id < 3"), path)
+    grown = retrieval.search(retrieval.append(docs, path), asked).collect()
+    assert sorted(whole) == sorted(grown) and {(r.qid, r.id) for r in whole} == {(1, 1), (1, 4), (3, 5)}
+    idf = lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
+    length = 7 / 5
+    part = lambda tf, dl: tf / (tf + 1.5 * (0.25 + 0.75 * dl / length))
+    assert {(r.qid, r.id): r.score for r in whole}[1, 1] == pytest.approx(2 * idf(1) * part(2, 3) + idf(2) * part(1, 3), abs=1e-6)
+    assert retrieval.search(retrieval.index(docs.limit(0)), asked).count() == 0
+
+
+def test_features_by_hand(spark):
+    from groundwell.operators import features as fs
+
+    rows = [(1, 1, 5.0, "a", "2026-01-01"), (1, 2, 4.0, "a", None), (1, 3, 3.0, "", "x"), (1, 4, 2.0, "b", "2020-01-01"), (1, 5, 0.5, None, None), (2, 1, None, "a", None)]
+    e = spark.createDataFrame(rows, "qid int, id int, rerank_score double, source_id string, published string")
+    got = {r.qid: r for r in fs.evidence_features(e, "2026-09-06").collect()}
+    assert (got[1].f1, got[1].f2, got[1].f3, got[1].f4, got[1].n) == (5.0, 4.0, 4.5, 2.0, 5)
+    assert got[1].f10 == pytest.approx(1 - 248 / 365.25 / 8, abs=1e-6)  # the later of two dates
+    assert (got[2].f1, got[2].f2, got[2].f3, got[2].f4, got[2].f10) == (None, None, None, 1.0, None)
+    cols = {"f5": fs.contradiction_rate(F.col("c"), F.col("n"), F.col("ran")), "f6": fs.entailment_strength(F.col("v")), "f7": fs.premise_grounding(F.col("ran"), F.col("g")), "f9": fs.route_escalation(F.col("routes"))}
+    d = spark.createDataFrame([(1, 3, True, ["SUPPORTED", "ODD", "CONTRADICTED"], 0.5, ["web", "arxiv_fulltext"]), (None, 1, True, [], None, []), (1, 4, False, None, 0.5, ["evidence_store"])], "c int, n int, ran boolean, v array<string>, g double, routes array<string>")
+    assert [tuple(r) for r in d.select(*[c.alias(k) for k, c in cols.items()]).collect()] == [(0.333333, 0.5, 0.5, 1.0), (0.0, None, None, None), (None, None, None, 0.0)]
+
+
 def test_fusion_and_fallback(spark):
     lists = spark.createDataFrame([("dense", 1, 7, 1, 0.9), ("sparse", 1, 7, 2, 3.0), ("sparse", 1, 8, 1, 4.0)], "arm string, qid long, id long, rank int, score double")
     got = {r.id: r for r in retrieval.rrf(lists).collect()}
@@ -140,7 +190,7 @@ def test_label_pool_has_what_the_reranker_lifts(spark, tmp_path):
     from groundwell.plans import records, retrieval as plans
 
     texts = ["alpha " * 20 + f"w{k} " * k if k < 20 else "beta gamma delta " + f"w{k} " * (600 + k) for k in range(40)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, x, "en", "s") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(k, [math.cos(k / 50), math.sin(k / 50)], k % 3) for k in range(40)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
