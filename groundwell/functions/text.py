@@ -24,6 +24,7 @@ SECTIONS = {
     "acknowledgements": "Acknowledgments", "appendix": "Appendix", "supplementary material": "Appendix",
 }
 NON_EVIDENCE = ("References", "Acknowledgments")
+# Numbered headings, and lines that only number a page.
 NUMBERED = r"^\s*(\d+(?:\.\d+)*)\.?\s+([A-Za-z][\w \-&:,]{2,70})\s*$"
 ROMAN = r"^\s*([IVXL]+)\.?\s+([A-Za-z][\w \-&:,]{2,70})\s*$"
 PAGE_NOISE = r"^\s*(?:\d{1,4}|[ivxlIVXL]{1,6}|Page \d+.*)\s*$"

@@ -10,7 +10,6 @@ MOST_ROUNDS, LEAST_GAIN, LEAST_SOURCES = 3, 0.5, 2
 DECAY, LEAST_VALUE, NO_EVIDENCE_VALUE = 0.5, 0.05, 0.3
 ANSWER_AT, PARTIAL_AT = 0.65, 0.40
 RETRIEVALS, RESERVE = 20, 0.20
-ROUTE_DEPTH = {"arxiv_meta": 0, "web": 1, "arxiv_fulltext": 2, "evidence_store": 0}
 
 
 def marginal_value(status: Column, rounds: Column, f1: Column) -> Column:

@@ -6,15 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
-#: Limits of the stand-in models: requests and tokens a minute and a day, and hours from UTC of the day's start.
+#: Limits of the stand-in models: requests and tokens a minute and a day, and the zone in which a model's day begins.
 RPM, TPM, RPD, TPD = 30, 8000, 1000, 200_000
-OFFSETS = {"click": -8, "error": 0, "purchase": -8, "signup": 0, "view": 0}
+ZONES = {"click": "America/Los_Angeles", "error": "UTC", "purchase": "America/Los_Angeles", "signup": "UTC", "view": "UTC"}
+DAY = 86_400_000_000
+
+
+def zone(model: Column) -> Column:
+    return F.coalesce(*[F.when(model == m, z) for m, z in ZONES.items()], F.lit("UTC"))
 
 
 def local_day(us: Column, model: Column) -> Column:
-    """The day number in the model's own time."""
-    hours = F.coalesce(*[F.when(model == m, h) for m, h in OFFSETS.items()], F.lit(0))
-    return F.floor((us + hours * F.lit(3_600_000_000)) / F.lit(86_400_000_000)).cast("long")
+    """The day number in the model's own zone, summer time included."""
+    return F.floor(F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone(model))) / DAY).cast("long")
+
+
+def seconds_to_reset(us: Column, model: Column) -> Column:
+    """From a time to the end of the model's day: its midnight and 24 hours, whatever the clocks do on that day."""
+    midnight = F.to_utc_timestamp(F.timestamp_micros(local_day(us, model) * F.lit(DAY)), zone(model))
+    return (F.unix_micros(midnight) + F.lit(DAY) - us) / 1_000_000
 
 
 def minute_windows(calls: DataFrame) -> DataFrame:

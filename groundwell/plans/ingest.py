@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
 from groundwell.operators import passages as op
+from groundwell.operators.ranks import ranked_in
 from groundwell.sources.tables import DOMAIN_SQL, PASSAGES_SQL, passages, read
+from groundwell.sources.work import spread
 
 
 def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,20 +17,20 @@ def passage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.keep_first(passages(spark, sf_dir), "id", F.col("doc_id")).select("id", "doc_id", "source_id", "section")
+    return op.keep_first(passages(spark, sf_dir).select("id", "doc_id", "source_id", "section"), "id", "doc_id")
 
 
 def upsert_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as writes of a keyed store: the last turn of a conversation and role stays."""
-    c = read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), "role"))
-    return op.upsert_last(c, "key", F.desc("turn"), "text").select("key", "turn", t.draft_digest(F.col("text")).alias("digest"))
+    c = read(spark, sf_dir, "conversations").where(F.trim("text") != "").select(F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("key"), "turn", t.draft_digest(F.col("text")).alias("digest"))
+    return op.upsert_last(c, "key", "turn", "digest")
 
 
 def merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, then pages, as evidence: a text that came before isn't taken again."""
     a = read(spark, sf_dir, "documents").select(F.lit(0).alias("seq"), F.col("doc_id").alias("place"), F.sha2(t.clean(F.col("text")), 256).alias("id"))
     b = read(spark, sf_dir, "pages").select(F.lit(1).alias("seq"), F.col("page_id").alias("place"), F.sha2(t.html_text(F.col("html")), 256).alias("id"))
-    return op.keep_first(a.unionByName(b), "id", F.col("seq"), F.col("place"))
+    return op.keep_first(a.unionByName(b), "id", "seq", "place")
 
 
 def web_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def web_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), t.domain(F.col("url")).alias("domain"), t.html_text(F.col("html")).alias("body"))
     # what is needed of a text is taken before the shuffle
     p = p.select("page_id", "url", "domain", F.length("body").alias("chars"), F.md5("body").alias("body_md5"))
-    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")))
+    ranked = ranked_in(p, "domain", "page_id")
     return ranked.where((F.col("chars") >= 80) & (F.col("url") != "")).select("page_id", "domain", "chars", "body_md5", F.round(1 / F.col("rank"), 6).alias("score"))
 
 
@@ -56,13 +58,13 @@ def dehyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t.with_sections(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+    d = t.with_sections(spread(read(spark, sf_dir, "documents")), "text", ["doc_id"])
     return d.select("doc_id", F.col("at").alias("line_no"), "section", F.length("body").alias("chars"), F.md5("body").alias("body_md5"))
 
 
 def section_aware_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole sentences that don't cross a section: ids and places, numbered through the document."""
-    d = t.with_sections(read(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    d = t.with_sections(spread(read(spark, sf_dir, "documents")), "text", ["doc_id", "source"])
     d = d.select("doc_id", "source", "at", "section", F.posexplode(op.windows_of(F.col("body"), 1000, 150)).alias("k", "chunk"))
     d = d.select("doc_id", "at", "k", "section", F.length("chunk").alias("chars"), t.passage_id(F.col("source"), F.col("section"), F.col("chunk")).alias("id"))
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "k")) - 1
@@ -98,11 +100,14 @@ def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours with one text as unordered pairs of sources: one record for each pair."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("m"))
-    w = Window.partitionBy("m").orderBy("doc_id")
-    pairs = d.select("doc_id", F.col("source").alias("a"), F.lag("source").over(w).alias("b")).where("a <> b")
-    return op.unordered_pairs(pairs, "a", "b", F.col("doc_id")).select("low", "high", "doc_id")
+    """Sources that share a text, as unordered pairs: the first two sources of a text (by their first document) and the later document.
+
+    A text's sources are few, whatever the number of its copies: copies are combined before the shuffle."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("m")).where("source is not null")
+    first = d.groupBy("m", "source").agg(F.min("doc_id").alias("doc_id"))
+    two = first.groupBy("m").agg(F.min(F.struct("doc_id", "source")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    other = first.join(two, "m").where("source <> x.source").groupBy("m", F.col("x.source").alias("a")).agg(F.min(F.struct("doc_id", "source")).alias("y"))
+    return op.unordered_pairs(other.select("a", F.col("y.source").alias("b"), F.col("y.doc_id").alias("doc_id")), "a", "b", "doc_id")
 
 
 _BLANK = r"'\s+', ' ', 'g'"
@@ -134,7 +139,7 @@ QUERIES = {
 ORACLE_SQL = {
     "passage_ids": f"WITH {PASSAGES_SQL} SELECT doc_id, id, source_type, section, published FROM passages",
     "ingest_dedup_first": f"WITH {PASSAGES_SQL} SELECT id, doc_id, source_id, section FROM passages QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1",
-    "upsert_dedup_last": "SELECT conv_id || '/' || role AS key, turn, substr(sha256(trim(text)), 1, 16) AS digest FROM conversations WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text) = 1",
+    "upsert_dedup_last": "SELECT conv_id || '/' || role AS key, turn, substr(sha256(trim(text)), 1, 16) AS digest FROM conversations WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, digest) = 1",
     "merge_evidence": f"SELECT * FROM (SELECT 0 AS seq, doc_id AS place, sha256({_CLEAN_SQL}) AS id FROM documents UNION ALL SELECT 1, page_id, sha256({_HTML_SQL}) FROM pages) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq, place) = 1",
     "web_normalise": f"SELECT page_id, domain, CAST(length(body) AS INT) AS chars, md5(body) AS body_md5, round(1 / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rank FROM (SELECT page_id, coalesce(url, '') AS url, {DOMAIN_SQL} AS domain, {_HTML_SQL} AS body FROM pages)) WHERE length(body) >= 80 AND url <> ''",
     "domain_counts": f"SELECT {DOMAIN_SQL} AS domain, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
@@ -146,6 +151,6 @@ SELECT doc_id, CAST(start // 850 AS INT) AS index, CAST(start AS INT) AS start,
 g AS (SELECT conv_id, turn, 'could not establish: ' || CASE WHEN length(p) > 200 THEN regexp_replace(regexp_replace(substr(p, 1, 200), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' ELSE p END AS gap FROM c),
 f AS (SELECT conv_id, gap, min(turn) AS turn FROM g GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, gap) AS INT) AS pos FROM f""",
     "prompt_keys": "SELECT sha256('v1' || chr(0) || 'model-a' || chr(0) || '' || chr(0) || text || chr(0) || '0.2000' || chr(0) || '512' || chr(0) || '0') AS key, count(*) AS lookups, CAST(max(floor(length(text) / 3.5) + 512) AS BIGINT) AS token_estimate, count(*) - 1 AS hits FROM conversations WHERE role = 'user' GROUP BY 1",
-    "merge_pairs_unordered": """WITH d AS (SELECT doc_id, source AS a, lag(source) OVER (PARTITION BY md5(text) ORDER BY doc_id) AS b FROM documents)
-SELECT least(a, b) AS low, greatest(a, b) AS high, min(doc_id) AS doc_id FROM d WHERE a <> b GROUP BY 1, 2""",
+    "merge_pairs_unordered": """WITH f AS (SELECT md5(text) AS m, source, min(doc_id) AS doc_id FROM documents WHERE source IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY doc_id, source) AS k FROM f WHERE m IS NOT NULL),
+p AS (SELECT a.source AS a, b.source AS b, b.doc_id FROM r a JOIN r b ON a.m = b.m AND a.k = 1 AND b.k = 2) SELECT least(a, b) AS low, greatest(a, b) AS high, min(doc_id) AS doc_id FROM p GROUP BY 1, 2""",
 }

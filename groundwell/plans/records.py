@@ -9,6 +9,8 @@ from groundwell.functions import text as t
 from groundwell.functions.json_text import repair
 from groundwell.operators import calibration as cal
 from groundwell.operators import decisions as d
+from groundwell.operators import features as fs
+from groundwell.operators.ranks import ranked_in
 from groundwell.plans import calibration, decisions, retrieval
 from groundwell.sources.tables import PLAN_SQL, plan_rows, read
 
@@ -67,14 +69,14 @@ def score_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next route of a question: a cheap suggestion first, a wider one with each round; and its depth."""
+    """The next route of a question: a cheap suggestion first, a wider one with each round; and the depth of the deepest one so far."""
     first = F.when(F.col("sources") >= 2, "web").otherwise("arxiv_meta")
     step = lambda c: F.coalesce(*[F.when(c == a, b) for a, b in WIDER.items()])
     second = step(first)
     route = F.when(F.col("rounds") == 0, first).when(F.col("rounds") == 1, second).otherwise(step(second))
     p = plan_rows(spark, sf_dir).withColumn("route", route)
-    depth = F.coalesce(*[F.when(F.col("route") == a, n) for a, n in d.ROUTE_DEPTH.items()], F.lit(1))
-    return p.select("run", "pos", "rounds", "route", F.round(depth / 2, 6).alias("f9"))
+    tried = F.slice(F.array(first, second, step(second)), 1, F.least(F.lit(3), F.col("rounds") + 1))
+    return p.select("run", "pos", "rounds", "route", fs.route_escalation(tried).alias("f9"))
 
 
 def prompt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +107,8 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place in a fixed random order, over its source."""
-    w = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7/"), F.col("doc_id").cast("string"))))
-    return read(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(w).alias("place"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.concat(F.lit("7/"), F.col("doc_id").cast("string"))).alias("drawn"))
+    return ranked_in(d, "source", "drawn").select("doc_id", "source", F.col("rank").alias("place"))
 
 
 def predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +139,7 @@ SELECT n.qid, n, coalesce(found, 0) AS found, CASE WHEN n < 2 THEN 0.0 ELSE roun
     "contradicted_passages": f"SELECT id, count(*) AS pairs FROM (SELECT unnest([id_a, id_b]) AS id FROM ({_R['contradiction_pairs']})) GROUP BY id",
     "score_sanity": f"SELECT qid, count(*) >= 3 AND bool_and(rerank_score BETWEEN 0 AND 1) AND count(*) FILTER (rerank_score > 0.9) >= 2 AS suspicious, max(rerank_score) AS f1, count(*) AS n FROM ({_R['rerank_topk']}) GROUP BY qid",
     "route_choice": f"""WITH {PLAN_SQL}, r AS (SELECT run, pos, rounds, CASE WHEN rounds = 0 THEN CASE WHEN sources >= 2 THEN 'web' ELSE 'arxiv_meta' END WHEN rounds = 1 THEN CASE WHEN sources >= 2 THEN 'arxiv_fulltext' ELSE 'web' END ELSE CASE WHEN sources >= 2 THEN 'evidence_store' ELSE 'arxiv_fulltext' END END AS route FROM plan)
-SELECT *, CASE route WHEN 'arxiv_fulltext' THEN CAST(1.0 AS DOUBLE) WHEN 'web' THEN 0.5 ELSE 0.0 END AS f9 FROM r""",
+SELECT *, CASE WHEN rounds = 0 OR (rounds = 1 AND route = 'web') THEN CAST(0.5 AS DOUBLE) ELSE 1.0 END AS f9 FROM r""",
     "prompt_fit": f"""WITH e AS ({decisions.ORACLE_SQL['round_robin_evidence']}), u AS (SELECT run, sum(CAST(floor((passage * 97 + 300) / 3.5) AS BIGINT)) OVER (PARTITION BY run ORDER BY place) AS used FROM e)
 SELECT run, count(*) FILTER (used <= 1000) AS fit, count(*) AS of, CAST(coalesce(max(used) FILTER (used <= 1000), 0) AS BIGINT) AS tokens FROM u GROUP BY run""",
     "footnotes": f"WITH {PLAN_SQL}, {_EV}, f AS (SELECT run, passage, min(pos * 100 + rank) AS first, count(*) AS uses FROM ev WHERE status <> 'abandoned' GROUP BY ALL) SELECT run, passage, CAST(row_number() OVER (PARTITION BY run ORDER BY first, passage) AS INT) AS number, uses FROM f",

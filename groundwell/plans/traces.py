@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.operators import quota as q
+from groundwell.operators import retrieval as r
 from groundwell.sources.tables import CALLS_SQL, calls
 from groundwell.streaming import windows as stream
 
-SURFACES = list(q.OFFSETS)
+SURFACES = list(q.ZONES)
 
 
 def surface_counts_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +68,30 @@ def day_bucket_tz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("model", "day").agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"), F.greatest(F.lit(0), q.TPD - F.sum("tokens")).alias("remaining"))
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each model at its last call: calls and tokens of the minute before and of its day, the call itself included."""
+    c = calls(spark, sf_dir).select("event_id", "us", "model", "tokens").withColumn("day", q.local_day(F.col("us"), F.col("model")))
+    last = c.groupBy("model").agg(F.max("us").alias("now"), F.max("day").alias("today"))
+    held = c.join(r.small(last), "model").where("day = today or us >= now - 60000000")
+    now = (F.col("us") >= F.col("now") - q.MINUTE).cast("long")
+    today = (F.col("day") == F.col("today")).cast("long")
+    return held.groupBy("model", "now").agg(F.sum(now).alias("rpm"), F.sum(now * F.col("tokens")).alias("tpm"), F.sum(today).alias("rpd"), F.sum(today * F.col("tokens")).alias("tpd"))
+
+
 def quota_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Use against limits by model, day and dimension."""
-    d = day_bucket_tz(spark, sf_dir)
-    s = d.select("model", "day", F.expr(f"stack(2, 'rpd', requests, {q.RPD}L, 'tpd', tokens, {q.TPD}L) as (dimension, used, cap)"))
+    """The latest use against limits, by model and dimension."""
+    caps = ", ".join(f"'{n}', {n}, {cap}L" for n, cap in (("rpm", q.RPM), ("tpm", q.TPM), ("rpd", q.RPD), ("tpd", q.TPD)))
+    s = _snapshot(spark, sf_dir).select("model", F.expr(f"stack(4, {caps}) as (dimension, used, cap)"))
     return s.withColumn("share", F.round(F.col("used") / F.col("cap"), 6))
 
 
+def quota_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each model's day at its last call, until when, and the record that would use it up."""
+    s = _snapshot(spark, sf_dir)
+    left = F.greatest(F.lit(0), q.TPD - F.col("tpd"))
+    return s.select("model", F.round(q.seconds_to_reset(F.col("now"), F.col("model")), 3).alias("seconds"), left.alias("remaining"), F.greatest(F.col("tpd"), F.lit(q.TPD)).alias("used_when_exhausted"), (left <= 0).alias("exhausted"))
+
+
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.windowed(calls(spark, sf_dir), "1 hour")
 
@@ -98,14 +116,17 @@ def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.run_admission(spark, sf_dir)
 
 
-_DAY = "CAST(floor((us + (CASE WHEN model IN ('click', 'purchase') THEN -8 ELSE 0 END) * 3600000000) / 86400000000) AS BIGINT)"
+_ZONE = "CASE WHEN model IN ('click', 'purchase') THEN 'America/Los_Angeles' ELSE 'UTC' END"
+_DAY = f"CAST(floor(epoch_us(make_timestamp(us) AT TIME ZONE 'UTC' AT TIME ZONE {_ZONE}) / 86400000000) AS BIGINT)"
 
 QUERIES = {
     f.__name__: f
-    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, quota_minute_window, quota_admission, day_bucket_tz, quota_status, tumbling_windows, sliding_windows, session_windows, tumbling_stream, admission_stream)
+    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, quota_minute_window, quota_admission, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream, admission_stream)
 }
 _TUMBLE = f"WITH {CALLS_SQL} SELECT model, CAST(us // 3600000000 * 3600000000 AS BIGINT) AS start_us, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2"
 _MW = "mw AS (SELECT *, count(*) OVER w - 1 AS n_minute, sum(tokens) OVER w - tokens AS tokens_minute, CASE WHEN count(*) OVER w > 1 THEN min(us) OVER w END AS oldest FROM calls WINDOW w AS (PARTITION BY model ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))"
+_SNAP_SQL = f"""dd AS (SELECT *, {_DAY} AS day FROM calls), la AS (SELECT model, max(us) AS now, max(day) AS today FROM dd GROUP BY model),
+snap AS (SELECT model, now, today, count(*) FILTER (us >= now - 60000000) AS rpm, coalesce(sum(tokens) FILTER (us >= now - 60000000), 0) AS tpm, count(*) FILTER (day = today) AS rpd, coalesce(sum(tokens) FILTER (day = today), 0) AS tpd FROM dd JOIN la USING (model) GROUP BY ALL)"""
 ORACLE_SQL = {
     "surface_counts_zero_fill": f"WITH {CALLS_SQL}, u AS (SELECT DISTINCT user_id FROM calls), s AS (SELECT unnest({SURFACES}) AS surface) SELECT u.user_id, s.surface, count(c.model) AS n FROM u CROSS JOIN s LEFT JOIN calls c ON c.user_id = u.user_id AND c.model = s.surface GROUP BY ALL",
     "token_totals": f"WITH {CALLS_SQL}, k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 AS cached FROM calls) SELECT model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN cached THEN tokens ELSE 0 END) AS BIGINT) AS cached_tokens, count(*) FILTER (cached) AS cached_calls FROM k GROUP BY model",
@@ -118,7 +139,8 @@ ORACLE_SQL = {
 f AS (SELECT *, CASE WHEN n_day + 1 > 1000 THEN 'rpd' WHEN tokens_day + tokens > 200000 THEN 'tpd' WHEN n_minute + 1 > 30 THEN 'rpm' WHEN tokens_minute + tokens > 8000 THEN 'tpm' END AS blocked_by FROM e)
 SELECT event_id, model, day, n_day, CAST(tokens_day AS BIGINT) AS tokens_day, blocked_by, CASE WHEN blocked_by IN ('rpm', 'tpm') THEN greatest(0, oldest + 60000000 - us) END AS wait_us FROM f""",
     "day_bucket_tz": f"WITH {CALLS_SQL} SELECT model, {_DAY} AS day, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(greatest(0, 200000 - sum(tokens)) AS BIGINT) AS remaining FROM calls GROUP BY 1, 2",
-    "quota_status": f"WITH {CALLS_SQL}, d AS (SELECT model, {_DAY} AS day, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2) SELECT model, day, 'rpd' AS dimension, requests AS used, CAST(1000 AS BIGINT) AS cap, round(requests / 1000, 6) AS share FROM d UNION ALL SELECT model, day, 'tpd', tokens, CAST(200000 AS BIGINT), round(tokens / 200000, 6) FROM d",
+    "quota_status": f"WITH {CALLS_SQL}, {_SNAP_SQL}" + " UNION ALL ".join(f" SELECT model, '{n}' AS dimension, CAST({n} AS BIGINT) AS used, CAST({cap} AS BIGINT) AS cap, round({n} / {cap}, 6) AS share FROM snap" for n, cap in (("rpm", 30), ("tpm", 8000), ("rpd", 1000), ("tpd", 200000))),
+    "quota_reset": f"WITH {CALLS_SQL}, {_SNAP_SQL} SELECT model, round((epoch_us(make_timestamp(CAST(today * 86400000000 AS BIGINT)) AT TIME ZONE {_ZONE}) + 86400000000 - now) / 1000000, 3) AS seconds, CAST(greatest(0, 200000 - tpd) AS BIGINT) AS remaining, CAST(greatest(tpd, 200000) AS BIGINT) AS used_when_exhausted, tpd >= 200000 AS exhausted FROM snap",
     "tumbling_windows": _TUMBLE,
     "tumbling_stream": _TUMBLE,
     "sliding_windows": f"WITH {CALLS_SQL}, s AS (SELECT model, tokens, unnest([us // 900000000 * 900000000, us // 900000000 * 900000000 - 900000000, us // 900000000 * 900000000 - 1800000000, us // 900000000 * 900000000 - 2700000000]) AS start_us FROM calls) SELECT model, CAST(start_us AS BIGINT) AS start_us, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM s GROUP BY 1, 2",

@@ -39,6 +39,9 @@ def test_sentence_windows():
     assert passages.sentence_windows(text, 100, 10) == [text]
     assert passages.sentence_windows(text, 14, 7) == ["Aa bb. Cc dd.", "Cc dd. Ee ff.", "Ee ff. Gg hh."]
     assert passages.sentence_windows("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9, "x"]
+    # a sentence that is too long ends the windows around it; a long new sentence comes on top of what is carried
+    assert passages.sentence_windows("Aa bb. " + "C" * 16 + ". Dd.", 14, 7) == ["Aa bb.", "C" * 14, "C" * 9 + ".", "CC.", "Dd."]
+    assert passages.sentence_windows("Aa bb. Cc dd ee ff. Gg.", 14, 7) == ["Aa bb.", "Aa bb. Cc dd ee ff.", "Gg."]
     assert passages.sentence_windows(None, 10, 2) == passages.sentence_windows("  ", 10, 2) == []
     with pytest.raises(ValueError):
         passages.sentence_windows("x", 5, 5)
@@ -51,9 +54,66 @@ def test_segment_moves_citations_back():
     assert passages.segment(None) == []
 
 
-def test_plain_citations():
-    assert passages.plain_citations("x [P1, P3] y (P05) z [P01-P03]") == "x [P01][P03] y [P05] z [P01][P02][P03]"
-    assert passages.plain_citations("[P1-P99] stays") == "[P1-P99] stays"
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [("x [P1, P3] y (P05) z [P01-P03]", "x [P01][P03] y [P05] z [P01][P02][P03]"), ("[P1-P99] stays", "[P1-P99] stays"), ("【P7】", "[P07]"), ("[P5 and P2–P3; P5]", "[P02][P03][P05]"), ("[P01][P02]", "[P01][P02]"), ("[Pa] (see P1) [3]", "[Pa] (see P1) [3]"), (None, None), ("", "")],
+)
+def test_plain_citations(given, want):
+    assert passages.plain_citation(given) == want
+
+
+def test_uncited_and_markers(spark):
+    c = "P" + "a" * 12
+    long = "This sentence has rather more than forty characters"
+    text = f"{long}. {long} [{c}]. Short one. {long}!"
+    assert one(spark, passages.uncited(F.col("s")), s=text) == 2
+    assert one(spark, passages.without_markers(F.col("s")), s=f"a [citation needed] b [UNRESOLVED]. [{c}] [3] [x]") == f"a b. [{c}] [3] [x]"
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ('{"a":{"b":1}} trailing }', '{"a":{"b":1}}'), ('{"a": 1} and then {"b": 2}', '{"a":1}'), ('{"a":1} prose with a } brace', '{"a":1}'), ('say ```json\n[1, 2,]\n``` so', "[1,2]"), ('{"a": [1, 2', '{"a":[1,2]}'),
+        ('{"a": 1, "b', '{"a":1}'), ('{"a": 1, "b":', '{"a":1}'), ('{"a": "x } y", "b": 2}', '{"a":"x } y","b":2}'), ('{"a": "cut', '{"a":"cut"}'), ('{"a', "{}"), ('{"a": "q\\"}"}', '{"a":"q\\"}"}'), ("no json", None), ("5", None), ("", None), (None, None),
+        ('prose [1] then {"a": 2}', "[1]"), ('{"a": 1,}', '{"a":1}'),
+    ],
+)
+def test_repaired(given, want):
+    from groundwell.functions.json_text import repaired
+
+    assert repaired(given) == want
+
+
+def test_bounded():
+    from groundwell.functions.json_text import bounded
+
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}
+    assert bounded("x" * 2003) == "x" * 2000 + "... <+3 chars>" and bounded(list(range(27)))[24:] == [24, "<+2 more>"]
+    assert bounded(deep)["a"]["b"]["c"]["d"]["e"]["f"] == {"g": "<max depth>"} and bounded({"n": None, "t": True, "x": 1.5}) == {"n": None, "t": True, "x": 1.5}
+
+
+def test_days_in_a_zone_with_summer_time(spark):
+    """Los Angeles is 7 hours behind in July and 8 in January; midnight comes after 24 hours even where the clocks change."""
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    times = [dt.datetime(2024, m, d, h, 30, tzinfo=dt.UTC) for m, d in ((1, 5), (7, 5), (3, 10), (11, 3)) for h in (0, 6, 7, 8, 12, 23)]
+    rows = spark.createDataFrame([(int(t.timestamp() * 1_000_000), m) for t in times for m in ("click", "view")], "us long, model string")
+    got = rows.select("us", "model", quota.local_day(F.col("us"), F.col("model")).alias("day"), quota.seconds_to_reset(F.col("us"), F.col("model")).alias("left")).collect()
+    for r in got:
+        local = dt.datetime.fromtimestamp(r.us / 1_000_000, ZoneInfo(quota.ZONES[r.model]))
+        assert r.day == (local.date() - dt.date(1970, 1, 1)).days
+        assert r.left == local.replace(hour=0, minute=0, second=0, microsecond=0).timestamp() + 86400 - r.us / 1_000_000
+
+
+def test_ranks_of_a_large_group(spark):
+    from groundwell.operators.ranks import ranked_in
+
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") % 10 == 0, "x").alias("g"))
+    got = ranked_in(rows.repartition(7), "g", "k").collect()
+    for g in ("hot", "x", None):
+        mine = sorted((r.k, r["rank"]) for r in got if r.g == g)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1)) and mine
 
 
 def test_filters_on_nulls(spark):
