@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from groundwell.sources.tables import read
+from groundwell.sources.work import work_path
 
 LATE = "10 minutes"
+MINUTE = 60_000_000
 
 
 def windowed(c: DataFrame, length: str, slide: str | None = None) -> DataFrame:
@@ -22,11 +24,6 @@ def windowed(c: DataFrame, length: str, slide: str | None = None) -> DataFrame:
     return g.select("model", F.unix_micros("w.start").alias("start_us"), "n", "tokens")
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='groundwell-')}"
-    return f"{shared.rstrip('/')}/groundwell/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     e = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
@@ -41,7 +38,7 @@ def _to_end(stream: DataFrame, path: str, mode: str) -> None:
 
 def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows of an hour over the stream of events; the last state of each window."""
-    path = _work(spark, "windows")
+    path = work_path(spark, "windows")
     _to_end(windowed(event_stream(spark, sf_dir).withWatermark("ts", LATE), "1 hour"), path, "update")
     schema = "model string, start_us long, n long, tokens long, batch long"
     found = spark.read.schema(schema).parquet(f"{path}/out")
@@ -50,34 +47,40 @@ def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admitted_stream(stream: DataFrame, rpm: int, tpm: int) -> DataFrame:
-    """Admission in order of time within a batch, with a state of 60 s for each model and user; a rejected call isn't recorded."""
+    """Admission in order of time within a batch, with a state of 60 s for each model and user; a rejected call isn't recorded.
+
+    The state of a key that is idle goes when the watermark passes its last minute. A call that is later than the watermark is not admitted
+    and changes nothing, as it would be counted in a minute that is over."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, sizes = map(list, state.get) if state.exists else ([], [])
-        for rows in sorted_frames(frames):
-            out = []
-            for r in rows.itertuples():
-                while times and times[0] < r.us - 60_000_000:
-                    times.pop(0)
-                    sizes.pop(0)
-                ok = len(times) + 1 <= rpm and sum(sizes) + r.tokens <= tpm
-                if ok:
-                    times.append(int(r.us))
-                    sizes.append(int(r.tokens))
-                out.append((r.event_id, key[0], ok))
-            yield pd.DataFrame(out, columns=["event_id", "model", "admitted"])
-        state.update((times, sizes))
-
-    return stream.groupBy("model", "user_id").applyInPandasWithState(run, "event_id long, model string, admitted boolean", "times array<long>, sizes array<long>", "append", "NoTimeout")
-
-
-def sorted_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A batch's rows of one key in order of time."""
-    rows = pd.concat(list(frames))
-    yield rows.sort_values(["us", "event_id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = deque(zip(*state.get, strict=True)) if state.exists else deque()
+        used = sum(n for _, n in held)
+        rows = pd.concat(frames).sort_values(["us", "event_id"])  # a batch's calls of one key
+        out = []
+        for event, us, tokens in zip(rows.event_id, rows.us, rows.tokens, strict=True):
+            late = us < state.getCurrentWatermarkMs() * 1000
+            while held and held[0][0] < us - MINUTE:
+                used -= held.popleft()[1]
+            ok = not late and len(held) + 1 <= rpm and used + tokens <= tpm
+            if ok:
+                held.append((int(us), int(tokens)))
+                used += int(tokens)
+            out.append((event, key[0], ok))
+        if held:
+            state.update(tuple(map(list, zip(*held, strict=True))))
+            state.setTimeoutTimestamp(max(held[-1][0] // 1000 + MINUTE // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["event_id", "model", "admitted"])
+
+    timed = stream.withWatermark("ts", LATE)
+    return timed.groupBy("model", "user_id").applyInPandasWithState(run, "event_id long, model string, admitted boolean", "times array<long>, sizes array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_admission(spark: SparkSession, sf_dir: str, rpm: int = 1, tpm: int = 8000) -> DataFrame:
-    path = _work(spark, "admission")
+    path = work_path(spark, "admission")
     _to_end(admitted_stream(event_stream(spark, sf_dir), rpm, tpm), path, "append")
     return spark.read.schema("event_id long, model string, admitted boolean").parquet(f"{path}/out").select("event_id", "model", "admitted")
