@@ -62,6 +62,13 @@ def section_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("at").alias("line_no"), "section", F.length("body").alias("chars"), F.md5("body").alias("body_md5"))
 
 
+def sections_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named sections of each document in order, each once."""
+    d = section_islands(spark, sf_dir).where("section is not null").groupBy("doc_id", "section").agg(F.min("line_no").alias("line_no"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "section"))), lambda x: x["section"])
+    return d.groupBy("doc_id").agg(F.array_join(named, ", ").alias("sections"))
+
+
 def section_aware_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole sentences that don't cross a section: ids and places, numbered through the document."""
     d = t.with_sections(spread(read(spark, sf_dir, "documents")), "text", ["doc_id", "source"])
@@ -132,7 +139,7 @@ WHERE coalesce(body, '') <> '' AND coalesce(h.section NOT IN ('References', 'Ack
 
 QUERIES = {
     "passage_ids": passage_ids, "ingest_dedup_first": ingest_dedup_first, "upsert_dedup_last": upsert_dedup_last, "merge_evidence": merge_evidence, "web_normalise": web_normalise, "domain_counts": domain_counts,
-    "char_windows": char_windows, "dehyphenate": dehyphenated, "section_islands": section_islands, "section_aware_chunks": section_aware_chunks, "web_chunks": web_chunks, "sentence_segments": sentence_segments,
+    "char_windows": char_windows, "dehyphenate": dehyphenated, "section_islands": section_islands, "sections_present": sections_present, "section_aware_chunks": section_aware_chunks, "web_chunks": web_chunks, "sentence_segments": sentence_segments,
     "gap_lines": gap_lines, "prompt_keys": prompt_keys, "merge_pairs_unordered": duplicate_pairs,
 }
 
@@ -147,6 +154,7 @@ ORACLE_SQL = {
 SELECT doc_id, CAST(start // 850 AS INT) AS index, CAST(start AS INT) AS start, CAST(length(substr(w, start + 1, 1000)) AS INT) AS chars, md5(substr(w, start + 1, 1000)) AS body_md5 FROM s""",
     "dehyphenate": f"SELECT doc_id, md5({_DEHYPHEN_SQL}) AS fixed_md5, CAST(length(text) - length({_DEHYPHEN_SQL}) AS INT) AS removed FROM documents",
     "section_islands": _section_sql(),
+    "sections_present": f"WITH i AS ({_section_sql()}), f AS (SELECT doc_id, section, min(line_no) AS at_ FROM i WHERE section IS NOT NULL GROUP BY ALL) SELECT doc_id, string_agg(section, ', ' ORDER BY at_) AS sections FROM f GROUP BY doc_id",
     "gap_lines": rf"""WITH c AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(text, ''), {_BLANK})), '[ .]+$', '') AS p FROM conversations WHERE role = 'user'),
 g AS (SELECT conv_id, turn, 'could not establish: ' || CASE WHEN length(p) > 200 THEN regexp_replace(regexp_replace(substr(p, 1, 200), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' ELSE p END AS gap FROM c),
 f AS (SELECT conv_id, gap, min(turn) AS turn FROM g GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, gap) AS INT) AS pos FROM f""",

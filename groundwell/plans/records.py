@@ -14,7 +14,10 @@ from groundwell.operators.ranks import ranked_in
 from groundwell.plans import calibration, decisions, retrieval
 from groundwell.sources.tables import PLAN_SQL, plan_rows, read
 
-WIDER = {"arxiv_meta": "web", "web": "arxiv_fulltext", "arxiv_fulltext": "evidence_store", "evidence_store": "evidence_store"}
+# Where a search goes on from a route.
+WIDER = {"arxiv_meta": "web", "arxiv_fulltext": "web", "web": "arxiv_meta", "evidence_store": "web"}
+DEEPER = {"arxiv_meta": "arxiv_fulltext", "web": "arxiv_fulltext", "evidence_store": "arxiv_meta", "arxiv_fulltext": "arxiv_fulltext"}
+CHEAP = {"arxiv_fulltext": "arxiv_meta"}
 COEFFICIENTS = {"intercept": -1.2, "length": 0.35, "english": 0.4, "toxic": -0.8}
 
 
@@ -69,13 +72,14 @@ def score_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next route of a question: a cheap suggestion first, a wider one with each round; and the depth of the deepest one so far."""
+    """The next route of a question: a cheap suggestion first, then a wider one, then a deeper one; and the depth of the deepest one so far."""
     first = F.when(F.col("sources") >= 2, "web").otherwise("arxiv_meta")
-    step = lambda c: F.coalesce(*[F.when(c == a, b) for a, b in WIDER.items()])
-    second = step(first)
-    route = F.when(F.col("rounds") == 0, first).when(F.col("rounds") == 1, second).otherwise(step(second))
+    step = lambda c, to: F.coalesce(*[F.when(c == a, b) for a, b in to.items()])
+    second = step(first, WIDER)
+    third = step(second, DEEPER)
+    route = F.when(F.col("rounds") == 0, first).when(F.col("rounds") == 1, second).otherwise(third)
     p = plan_rows(spark, sf_dir).withColumn("route", route)
-    tried = F.slice(F.array(first, second, step(second)), 1, F.least(F.lit(3), F.col("rounds") + 1))
+    tried = F.slice(F.array(first, second, third), 1, F.least(F.lit(3), F.col("rounds") + 1))
     return p.select("run", "pos", "rounds", "route", fs.route_escalation(tried).alias("f9"))
 
 
@@ -138,8 +142,8 @@ g AS (SELECT conv_id, norm, min(turn) AS turn FROM c GROUP BY ALL), n AS (SELECT
 SELECT n.qid, n, coalesce(found, 0) AS found, CASE WHEN n < 2 THEN 0.0 ELSE round(coalesce(found, 0) / (n * (n - 1) / 2), 6) END AS of_all, round(coalesce(found / scanned, 0.0), 6) AS of_scanned FROM n LEFT JOIN c ON n.qid = c.qid""",
     "contradicted_passages": f"SELECT id, count(*) AS pairs FROM (SELECT unnest([id_a, id_b]) AS id FROM ({_R['contradiction_pairs']})) GROUP BY id",
     "score_sanity": f"SELECT qid, count(*) >= 3 AND bool_and(rerank_score BETWEEN 0 AND 1) AND count(*) FILTER (rerank_score > 0.9) >= 2 AS suspicious, max(rerank_score) AS f1, count(*) AS n FROM ({_R['rerank_topk']}) GROUP BY qid",
-    "route_choice": f"""WITH {PLAN_SQL}, r AS (SELECT run, pos, rounds, CASE WHEN rounds = 0 THEN CASE WHEN sources >= 2 THEN 'web' ELSE 'arxiv_meta' END WHEN rounds = 1 THEN CASE WHEN sources >= 2 THEN 'arxiv_fulltext' ELSE 'web' END ELSE CASE WHEN sources >= 2 THEN 'evidence_store' ELSE 'arxiv_fulltext' END END AS route FROM plan)
-SELECT *, CASE WHEN rounds = 0 OR (rounds = 1 AND route = 'web') THEN CAST(0.5 AS DOUBLE) ELSE 1.0 END AS f9 FROM r""",
+    "route_choice": f"""WITH {PLAN_SQL}, r AS (SELECT run, pos, rounds, CASE WHEN rounds = 0 THEN CASE WHEN sources >= 2 THEN 'web' ELSE 'arxiv_meta' END WHEN rounds = 1 THEN CASE WHEN sources >= 2 THEN 'arxiv_meta' ELSE 'web' END ELSE 'arxiv_fulltext' END AS route FROM plan)
+SELECT *, CASE WHEN rounds < 2 THEN CAST(0.5 AS DOUBLE) ELSE 1.0 END AS f9 FROM r""",
     "prompt_fit": f"""WITH e AS ({decisions.ORACLE_SQL['round_robin_evidence']}), u AS (SELECT run, sum(CAST(floor((passage * 97 + 300) / 3.5) AS BIGINT)) OVER (PARTITION BY run ORDER BY place) AS used FROM e)
 SELECT run, count(*) FILTER (used <= 1000) AS fit, count(*) AS of, CAST(coalesce(max(used) FILTER (used <= 1000), 0) AS BIGINT) AS tokens FROM u GROUP BY run""",
     "footnotes": f"WITH {PLAN_SQL}, {_EV}, f AS (SELECT run, passage, min(pos * 100 + rank) AS first, count(*) AS uses FROM ev WHERE status <> 'abandoned' GROUP BY ALL) SELECT run, passage, CAST(row_number() OVER (PARTITION BY run ORDER BY first, passage) AS INT) AS number, uses FROM f",

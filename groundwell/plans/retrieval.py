@@ -220,6 +220,33 @@ ROUTES = ["evidence_store", "arxiv_meta", "web", "arxiv_fulltext", "elsewhere"]
 VERDICTS = ["SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED", "UNHEARD"]
 
 
+def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments as they are stored, a JSON text for each query, read into rows: qid, passage, grade (null where nobody judged yet). Queries are
+    tens of neighbouring labelled documents."""
+    each = read(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 10).alias("qid"), F.col("doc_id").cast("string").alias("passage"), F.when(F.col("doc_id") % 6 > 0, F.col("quality") + F.col("toxic")).cast("int").alias("grade"))
+    stored = each.groupBy("qid").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("passage", "grade"))).alias("judgments")), {"ignoreNullFields": "false"}).alias("value"))
+    held = stored.select("qid", F.from_json("value", "judgments map<string,int>").alias("j"))
+    return held.select("qid", F.explode("j.judgments").alias("passage", "grade"))
+
+
+def judgments_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query: its pool, judged passages, the histogram of grades, the rate of relevant ones, and whether it tells nothing (one grade only)."""
+    j = _judgments(spark, sf_dir)
+    of = lambda g: F.sum((F.coalesce("grade", F.lit(-1)) == g).cast("int"))
+    return j.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("pool"), F.count("grade").alias("judged"), of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), F.round(F.coalesce(F.avg((F.col("grade") >= 1).cast("double")), F.lit(0.0)), 6).alias("rate"), (F.count_distinct("grade") < 2).alias("degenerate"))
+
+
+def judgment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight totals over all queries with a judgment, and the spread of their rates."""
+    q = judgments_loaded(spark, sf_dir).where("judged > 0")
+    some, whole = F.col("n1") + F.col("n2") > 0, F.col("judged") >= F.col("pool")
+    n = lambda ok: F.coalesce(F.sum(ok.cast("int")), F.lit(0))
+    return q.agg(
+        F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("judged"), F.lit(0)).alias("judgments"), F.coalesce(F.sum("pool"), F.lit(0)).alias("pooled"), F.coalesce(F.sum(F.col("n1") + F.col("n2")), F.lit(0)).alias("relevant"), n(some).alias("queries_with_relevant"), n(whole).alias("queries_complete"),
+        n(some & whole).alias("queries_usable"), F.round(F.coalesce(F.avg("judged"), F.lit(0.0)), 6).alias("mean_judgments"), F.round(F.max("rate") - F.min("rate"), 6).alias("spread"), n(F.col("degenerate")).alias("degenerate"))
+
+
 def sufficiency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten features of each question's evidence. Verdicts, checked premises, rounds and routes are rules on the question's id, as the tables have none."""
     best = saved(reranked(spark, sf_dir), "reranked")
@@ -330,6 +357,8 @@ h AS (SELECT f.*, CASE WHEN qid % 7 <> 0 THEN CASE WHEN n < 2 THEN 0.0 ELSE roun
   CASE WHEN qid % 5 <> 0 THEN (qid % 3) / 2 END AS f7, CAST(qid % 4 AS DOUBLE) AS f8,
   CASE WHEN qid % 3 > 0 THEN list_max(list_transform({ROUTES}[CAST(qid % 5 + 1 AS INT):CAST(least(5, qid % 5 + qid % 3) AS INT)], lambda v: CASE WHEN v = 'evidence_store' THEN 0 WHEN v = 'arxiv_fulltext' THEN 2 ELSE 1 END)) / 2 END AS f9 FROM f LEFT JOIN cn USING (qid)),
 feats AS (SELECT qid, n, f1, f2, f3, f4, f5, round(f6, 6) AS f6, CAST(f7 AS DOUBLE) AS f7, f8, CAST(f9 AS DOUBLE) AS f9, f10, round(({" + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in fs.IMPUTE)}) / 10, 6) AS completeness FROM h)"""
+_JUDGED_SQL = """jd AS (SELECT doc_id // 10 AS qid, CASE WHEN doc_id % 6 > 0 THEN quality + toxic END AS grade FROM labels),
+jq AS (SELECT qid, count(*) AS pool, count(grade) AS judged, count(*) FILTER (grade = 0) AS n0, count(*) FILTER (grade = 1) AS n1, count(*) FILTER (grade = 2) AS n2, round(coalesce(avg(CAST(grade >= 1 AS DOUBLE)), 0.0), 6) AS rate, count(DISTINCT grade) < 2 AS degenerate FROM jd GROUP BY qid)"""
 _ROUTE_SQL = "(['arxiv_meta', 'arxiv_fulltext', 'web', 'evidence_store'])[CAST(qid % 4 + 1 AS INT)]"
 
 QUERIES = {
@@ -337,7 +366,7 @@ QUERIES = {
     "rerank_topk": rerank_topk, "ir_metrics": ir_metrics, "expected_ordering": expected_ordering, "pooled_candidates": pooled_candidates, "qrels_coverage": qrels_coverage,
     "judged_but_missing": judged_but_missing, "label_health_rollup": label_health_rollup, "sufficiency_features": sufficiency_features, "feature_vector": feature_vector, "contradiction_pairs": contradiction_pairs,
     "label_pool": label_pool, "label_pool_coverage": label_pool_coverage, "bm25_indexed": bm25_indexed, "bm25_append": bm25_append, "dense_threshold": dense_threshold, "domain_filter": domain_filter,
-    "retrieve_modes": retrieve_modes, "corpus_types": corpus_types,
+    "retrieve_modes": retrieve_modes, "corpus_types": corpus_types, "judgments_loaded": judgments_loaded, "judgment_totals": judgment_totals,
 }
 
 ORACLE_SQL = {
@@ -372,5 +401,8 @@ ok AS (SELECT doc_id AS id FROM passages JOIN pg ON page_id = doc_id WHERE dom I
 md AS (SELECT 'weighted' AS mode, *, CASE arm WHEN 'dense' THEN 0.7 ELSE 1.3 END AS w FROM lists UNION ALL SELECT arm || '_only', *, 1.0 FROM lists),
 sc AS (SELECT mode, qid, id, round(sum(w / (60 + rank)), 9) AS rrf, count(*) = 2 AS two FROM md WHERE qid IN (SELECT item_id FROM benchmark WHERE trim(text) <> '') GROUP BY mode, qid, id)
 SELECT mode, qid, id, rrf, CAST(row_number() OVER (PARTITION BY mode, qid ORDER BY rrf DESC, id) AS INT) AS rank, two AS both FROM sc QUALIFY rank <= 10""",
+    "judgments_loaded": f"WITH {_JUDGED_SQL} SELECT * FROM jq",
+    "judgment_totals": f"""WITH {_JUDGED_SQL}, k AS (SELECT *, n1 + n2 > 0 AS s1, judged >= pool AS w1 FROM jq WHERE judged > 0) SELECT count(*) AS queries, CAST(sum(judged) AS BIGINT) AS judgments, CAST(sum(pool) AS BIGINT) AS pooled, CAST(sum(n1 + n2) AS BIGINT) AS relevant, count(*) FILTER (s1) AS queries_with_relevant, count(*) FILTER (w1) AS queries_complete,
+  count(*) FILTER (s1 AND w1) AS queries_usable, round(avg(judged), 6) AS mean_judgments, round(max(rate) - min(rate), 6) AS spread, count(*) FILTER (degenerate) AS degenerate FROM k""",
     "corpus_types": f"WITH {PASSAGES_SQL} SELECT source_type, section, substr(published, 1, 4) AS year, count(*) AS passages, count(DISTINCT source_id) AS sources FROM passages GROUP BY ALL",
 }

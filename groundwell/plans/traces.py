@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.operators import quota as q
 from groundwell.operators import retrieval as r
 from groundwell.sources.tables import CALLS_SQL, calls
+from groundwell.sources.work import work_path
 from groundwell.streaming import windows as stream
 
 SURFACES = list(q.ZONES)
@@ -51,6 +52,57 @@ def route_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("model = 'error'").select("event_id", "user_id", "origin")
 
 
+LOG = "seq long, run long, us long, type string, node string, surface string, from_node string, to_node string, reason string, tokens long"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a trace log of JSON lines, read back. Of a run's events of a node the odd ones enter it and the even ones leave it; errors are
+    routes. Every 50th line is cut off and every 51st is blank: such lines are skipped."""
+    c = calls(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("user_id", "model").orderBy("us", "event_id"))
+    c = c.withColumn("n", n).withColumn("route", F.col("model") == "error")
+    kind = F.when(F.col("route"), "route").when(F.col("n") % 2 == 1, "node_enter").otherwise("node_exit")
+    row = F.struct(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("run"), "us", kind.alias("type"), F.when(~F.col("route"), F.col("model")).alias("node"), F.when(F.col("tokens") % 3 == 0, F.col("model")).alias("surface"),
+        F.when(F.col("route") & (F.col("event_id") % 4 == 0), "planner").alias("from_node"), F.when(F.col("route"), "finalizer").alias("to_node"), F.when(F.col("route"), F.concat(F.lit("k="), F.get_json_object("props", "$.k"))).alias("reason"), "tokens",
+    )
+    line = F.to_json(row)
+    path = work_path(spark, "trace")
+    c.select(F.when(F.col("event_id") % 51 == 0, "").when(F.col("event_id") % 50 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return spark.read.schema(LOG).json(path, mode="DROPMALFORMED").where("seq is not null")
+
+
+def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lines of a log say, by type and surface; lines that can't be read aren't counted."""
+    return _log(spark, sf_dir).groupBy("type", "surface").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("run").alias("runs"), F.sum("tokens").alias("tokens"))
+
+
+def nodes_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each run in the order in which it entered them."""
+    e = _log(spark, sf_dir).where("type = 'node_enter'")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("us", "seq", "node"))), lambda x: x["node"])
+    return e.groupBy("run").agg(F.array_join(in_order, ">").alias("nodes"), F.count(F.lit(1)).alias("entered"))
+
+
+def route_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each route with its reason and where it came from: what it says itself, or else the node that was entered last of those still open, or else
+    the node that was left last."""
+    w = Window.partitionBy("run").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = [s for s in SURFACES if s != "error"]
+    last = lambda kind, n: F.max(F.when((F.col("type") == kind) & (F.col("node") == n), F.struct("us", "seq"))).over(w)
+    log = _log(spark, sf_dir).select("run", "us", "seq", "type", "node", "from_node", "to_node", "reason", *[last(k, n).alias(f"{k}_{n}") for k in ("node_enter", "node_exit") for n in nodes])
+    opened = lambda n: F.when(F.col(f"node_exit_{n}").isNull() | (F.col(f"node_enter_{n}") > F.col(f"node_exit_{n}")), F.struct(F.col(f"node_enter_{n}").alias("at"), F.lit(n).alias("node")))
+    open_ = F.array_max(F.filter(F.array(*[F.when(F.col(f"node_enter_{n}").isNotNull(), opened(n)) for n in nodes]), lambda x: x.isNotNull()))
+    left = F.array_max(F.filter(F.array(*[F.when(F.col(f"node_exit_{n}").isNotNull(), F.struct(F.col(f"node_exit_{n}").alias("at"), F.lit(n).alias("node"))) for n in nodes]), lambda x: x.isNotNull()))
+    return log.where("type = 'route'").select("run", "seq", F.coalesce("from_node", open_["node"], left["node"]).alias("from_node"), "to_node", "reason")
+
+
+def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each run in order, with the time since its first."""
+    w = Window.partitionBy("run").orderBy("us", "seq")
+    return _log(spark, sf_dir).select("run", F.row_number().over(w).alias("place"), "type", F.coalesce("node", "to_node").alias("node"), (F.col("us") - F.first("us").over(w)).alias("since_us"))
+
+
 def quota_minute_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.minute_windows(calls(spark, sf_dir).select("event_id", "us", "model", "tokens")).select("event_id", "model", "n_minute", "tokens_minute", "oldest")
 
@@ -121,10 +173,13 @@ _DAY = f"CAST(floor(epoch_us(make_timestamp(us) AT TIME ZONE 'UTC' AT TIME ZONE
 
 QUERIES = {
     f.__name__: f
-    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, quota_minute_window, quota_admission, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream, admission_stream)
+    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, trace_log, nodes_visited, route_reasons, event_timeline, quota_minute_window, quota_admission, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream, admission_stream)
 }
 _TUMBLE = f"WITH {CALLS_SQL} SELECT model, CAST(us // 3600000000 * 3600000000 AS BIGINT) AS start_us, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2"
 _MW = "mw AS (SELECT *, count(*) OVER w - 1 AS n_minute, sum(tokens) OVER w - tokens AS tokens_minute, CASE WHEN count(*) OVER w > 1 THEN min(us) OVER w END AS oldest FROM calls WINDOW w AS (PARTITION BY model ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))"
+_LOG_SQL = """l0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, model ORDER BY us, event_id) AS n FROM calls),
+lg AS (SELECT event_id AS seq, user_id AS run, us, CASE WHEN model = 'error' THEN 'route' WHEN n % 2 = 1 THEN 'node_enter' ELSE 'node_exit' END AS type, CASE WHEN model <> 'error' THEN model END AS node, CASE WHEN tokens % 3 = 0 THEN model END AS surface,
+  CASE WHEN model = 'error' AND event_id % 4 = 0 THEN 'planner' END AS from_node, CASE WHEN model = 'error' THEN 'finalizer' END AS to_node, CASE WHEN model = 'error' THEN 'k=' || json_extract_string(props, '$.k') END AS reason, tokens FROM l0 WHERE event_id % 50 <> 0 AND event_id % 51 <> 0)"""
 _SNAP_SQL = f"""dd AS (SELECT *, {_DAY} AS day FROM calls), la AS (SELECT model, max(us) AS now, max(day) AS today FROM dd GROUP BY model),
 snap AS (SELECT model, now, today, count(*) FILTER (us >= now - 60000000) AS rpm, coalesce(sum(tokens) FILTER (us >= now - 60000000), 0) AS tpm, count(*) FILTER (day = today) AS rpd, coalesce(sum(tokens) FILTER (day = today), 0) AS tpd FROM dd JOIN la USING (model) GROUP BY ALL)"""
 ORACLE_SQL = {
@@ -134,6 +189,12 @@ ORACLE_SQL = {
     "span_pairs": f"WITH {CALLS_SQL}, s AS (SELECT *, CAST(ceil(row_number() OVER (PARTITION BY user_id, model ORDER BY us, event_id) / 2) AS INT) AS span FROM calls) SELECT user_id, model, span, count(*) AS n, min(us) AS enter_us, CASE WHEN count(*) = 2 THEN max(us) - min(us) END AS duration_us FROM s GROUP BY ALL",
     "route_edges": f"WITH {CALLS_SQL}, e AS (SELECT lag(model) OVER (PARTITION BY user_id ORDER BY us, event_id) AS from_node, model AS to_node FROM calls) SELECT from_node, to_node, count(*) AS n FROM e WHERE from_node IS NOT NULL GROUP BY ALL",
     "route_origin": f"WITH {CALLS_SQL}, o AS (SELECT *, last_value(CASE WHEN model <> 'error' THEN model END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS origin FROM calls) SELECT event_id, user_id, origin FROM o WHERE model = 'error'",
+    "trace_log": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT type, surface, count(*) AS events, count(DISTINCT run) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens FROM lg GROUP BY ALL",
+    "nodes_visited": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT run, string_agg(node, '>' ORDER BY us, seq) AS nodes, count(*) AS entered FROM lg WHERE type = 'node_enter' GROUP BY run",
+    "route_reasons": f"""WITH {CALLS_SQL}, {_LOG_SQL}, n AS (SELECT unnest({[s for s in SURFACES if s != 'error']}) AS nd), x AS (SELECT r.run, r.seq, r.from_node, r.to_node, r.reason, nd, max(row(e.us, e.seq)) FILTER (e.type = 'node_enter') AS ent, max(row(e.us, e.seq)) FILTER (e.type = 'node_exit') AS ext
+  FROM lg r CROSS JOIN n LEFT JOIN lg e ON e.run = r.run AND e.node = nd AND (e.us < r.us OR (e.us = r.us AND e.seq < r.seq)) WHERE r.type = 'route' GROUP BY ALL)
+SELECT run, seq, coalesce(any_value(from_node), arg_max(nd, ent) FILTER (ent IS NOT NULL AND (ext IS NULL OR ent > ext)), arg_max(nd, ext) FILTER (ext IS NOT NULL)) AS from_node, any_value(to_node) AS to_node, any_value(reason) AS reason FROM x GROUP BY run, seq""",
+    "event_timeline": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT run, CAST(row_number() OVER w AS INT) AS place, type, coalesce(node, to_node) AS node, us - first_value(us) OVER w AS since_us FROM lg WINDOW w AS (PARTITION BY run ORDER BY us, seq)",
     "quota_minute_window": f"WITH {CALLS_SQL}, {_MW} SELECT event_id, model, n_minute, CAST(tokens_minute AS BIGINT) AS tokens_minute, oldest FROM mw",
     "quota_admission": f"""WITH {CALLS_SQL}, {_MW}, d AS (SELECT *, {_DAY} AS day FROM mw), e AS (SELECT *, count(*) OVER w AS n_day, coalesce(sum(tokens) OVER w, 0) AS tokens_day FROM d WINDOW w AS (PARTITION BY model, day ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, CASE WHEN n_day + 1 > 1000 THEN 'rpd' WHEN tokens_day + tokens > 200000 THEN 'tpd' WHEN n_minute + 1 > 30 THEN 'rpm' WHEN tokens_minute + tokens > 8000 THEN 'tpm' END AS blocked_by FROM e)
