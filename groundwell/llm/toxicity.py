@@ -3,9 +3,9 @@
 A word's input is an embedding of the word itself (of a vocabulary from the sample; all others share one) beside the mean of
 its character trigrams' embeddings. Windows of 24 words, 8 of them shared with the next, run through a GRU in both
 directions; attention pools the states to one logit. A document's score is that of its highest window, over all windows.
-The network is trained in numpy on the driver, in two rounds: from a toxic document comes its most toxic window, from other
-documents such windows and some by hash. In the first round the words' document counts rank a document's windows, in the
-second the network does.
+The network is trained in numpy on the driver, in ROUNDS rounds: from a toxic document comes its most toxic window, from other
+documents such windows and some by hash. In the first round the words' document counts rank a document's windows, in later
+ones the network does, so that it meets what it got wrong.
 
 Sample bound: PER_CLASS documents a class (of labels.toxic; four times that if hashes fall badly), WINDOWS windows of each;
 vocabulary VOCABULARY words at most. Words over LONG bytes count as unknown words, but their characters are used; windows
@@ -41,6 +41,7 @@ WINDOWS = 6
 VOCABULARY = 20_000
 LEAST_DOCS = 3
 THRESHOLD = 0.7
+ROUNDS = 3
 UPDATES = 300
 BATCH = 256
 TOXIC_SHARE = 4
@@ -364,7 +365,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
 
     net = Network(odds)
     kept: dict[tuple, int] = {}
-    for turn in range(2):
+    for turn in range(ROUNDS):
         rank = _ranked(None if turn == 0 else net, odds)
         rows = sample.mapInPandas(rank, "toxic int, words array<binary>").collect()
         kept |= {tuple(bytes(w) for w in r.words): r.toxic for r in rows}
