@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ BROADCAST_ROWS = 100_000
 STRATA = 1000
 
 _own_dirs: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/groundwell/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/groundwell/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextmanager
+def work_dropped(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Work tables that are made meanwhile, but for the path to keep, are deleted in the end. What was computed from them has to be written by then."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    yield
+    for path in made[before:]:
+        if path != keep:
+            drop(path)
+    made[before:] = []
+
+
+def drop(path: str) -> None:
+    where, at = fs.FileSystem.from_uri(path)
+    if where.get_file_info(at).type != fs.FileType.NotFound:
+        where.delete_dir(at)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

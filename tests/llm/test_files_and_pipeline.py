@@ -1,6 +1,7 @@
 """Media shards, WARC archives and the pipeline."""
 
 import hashlib
+import os
 import tarfile
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 
 from groundwell.llm import files as files_helper
 from groundwell.llm import media, warc
-from groundwell.llm.common import table, work_path
+from groundwell.llm.common import shared_dir, table, work_path
 from groundwell.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -189,7 +190,9 @@ def test_pipeline(spark, sf_dir):
     times = Counter(r.doc_id for r in rows[3])
     assert set(times) <= {r.doc_id for r in rows[2]} and max(times.values()) <= 2
     assert Counter(r.doc_id for r in rows[4]) == times and all(r.round_trip for r in rows[4])
+    held = set(os.listdir(work := f"{shared_dir(spark).removeprefix('file://')}/groundwell"))
     again = c.run(spark, sf_dir)
+    assert [x.split("-")[0] for x in set(os.listdir(work)) - held] == ["stage4"]  # of all work tables only the result stays
     assert Counter((r.doc_id, r.n_tokens) for r in again.collect()) == Counter((r.doc_id, r.n_tokens) for r in rows[4])
 
 
