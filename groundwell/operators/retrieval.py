@@ -89,16 +89,6 @@ def search(found: DataFrame, queries: DataFrame) -> DataFrame:
     return found.join(weighed, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """All scores over 0: qid, id, score. docs: id, text, one row each."""
-    return search(index(docs), queries)
-
-
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank."""
-    return top(bm25(docs, queries), k, ["qid"], F.desc("score"), "id")
-
-
 def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
     """rows (key, vector) in blocks of up to so many rows: n, ids, and the vectors one after another as a binary of 64-bit floats."""
 

@@ -13,6 +13,7 @@ from groundwell.operators import features as fs
 from groundwell.operators.ranks import ranked_in
 from groundwell.plans import calibration, decisions, retrieval
 from groundwell.sources.tables import PLAN_SQL, plan_rows, read
+from groundwell.sources.work import saved
 
 # Where a search goes on from a route.
 WIDER = {"arxiv_meta": "web", "arxiv_fulltext": "web", "web": "arxiv_meta", "evidence_store": "web"}
@@ -53,8 +54,9 @@ def _merged(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
 
 def contradiction_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rates of a question: over all pairs of its evidence, and over the pairs that were scored."""
-    n = retrieval.reranked(spark, sf_dir).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    c = retrieval.contradiction_pairs(spark, sf_dir).groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.max("scanned").alias("scanned"))
+    best = saved(retrieval.reranked(spark, sf_dir), "reranked")
+    n = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    c = retrieval.pairs_of(spark, sf_dir, best).groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.max("scanned").alias("scanned"))
     both = n.join(c, "qid", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return both.select("qid", "n", "found", F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("found") / pairs, 6)).alias("of_all"), F.round(F.coalesce(F.try_divide("found", "scanned"), F.lit(0.0)), 6).alias("of_scanned"))

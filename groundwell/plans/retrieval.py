@@ -9,7 +9,7 @@ from groundwell.functions.text import STOPWORDS, domain, tokens
 from groundwell.operators import features as fs
 from groundwell.operators import retrieval as r
 from groundwell.sources.tables import DOMAIN_SQL, PASSAGES_SQL, passages, read, vectors
-from groundwell.sources.work import saved, work_path
+from groundwell.sources.work import kept, saved, work_path
 
 DEPTH = 50
 AFTER = "2021-06-01"
@@ -25,6 +25,16 @@ def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("doc_id").alias("id"), F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit(". "), "text")).otherwise(F.col("text")).alias("text"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a table's passages: written by the first query that needs it, and searched by all later ones until the table's files change."""
+    path = kept(read(spark, sf_dir, "documents"), "passages", lambda p: r.write_index(_titled(spark, sf_dir), p))
+    return r.read_index(spark, path)
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.search(_index(spark, sf_dir), _queries(spark, sf_dir))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
@@ -35,7 +45,7 @@ def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25_top(_titled(spark, sf_dir), _queries(spark, sf_dir), 10)
+    return r.top(_bm25(spark, sf_dir), 10, ["qid"], F.desc("score"), "id")
 
 
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +65,7 @@ def bm25_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.postings(_titled(spark, sf_dir)).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return _index(spark, sf_dir).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +74,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25_top(_titled(spark, sf_dir), _queries(spark, sf_dir), DEPTH)
+    return r.top(_bm25(spark, sf_dir), DEPTH, ["qid"], F.desc("score"), "id")
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +106,13 @@ def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir).select("doc_id", "published").join(pages, "doc_id", "left")
     some = [x.source_domain for x in pages.groupBy("source_domain").count().orderBy("source_domain").limit(3).collect()]
     ok = p.where(r.passes(domains=some, published_after=AFTER)).select(F.col("doc_id").alias("id"))
-    return r.top(r.bm25(_titled(spark, sf_dir), _queries(spark, sf_dir)).join(ok, "id", "left_semi"), 10, ["qid"], F.desc("score"), "id")
+    return r.top(_bm25(spark, sf_dir).join(ok, "id", "left_semi"), 10, ["qid"], F.desc("score"), "id")
 
 
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms see only what the filter lets pass; document frequencies stay those of all passages."""
     ok = passages(spark, sf_dir).where(r.passes(published_after=AFTER, exclude_sections=["Abstract"])).select(F.col("doc_id").alias("id"))
-    sparse = r.top(r.bm25(_titled(spark, sf_dir), _queries(spark, sf_dir)).join(ok, "id", "left_semi"), DEPTH, ["qid"], F.desc("score"), "id")
+    sparse = r.top(_bm25(spark, sf_dir).join(ok, "id", "left_semi"), DEPTH, ["qid"], F.desc("score"), "id")
     dense = r.dense_top(vectors(spark, sf_dir).join(ok, "id", "left_semi"), _query_vectors(spark, sf_dir), DEPTH, keep_self=True)
     return r.fused(dense.select("qid", "id", "score", "rank"), sparse.select("qid", "id", "score", "rank"), 10)
 
@@ -112,7 +122,7 @@ def _route(qid):
 
 
 def route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = r.bm25(_titled(spark, sf_dir), _queries(spark, sf_dir)).withColumn("route", _route(F.col("qid")))
+    scored = _bm25(spark, sf_dir).withColumn("route", _route(F.col("qid")))
     p = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_type", "section")
     ok = scored.join(p, "id").withColumn("ok", r.route_filter(F.col("route")))
     return r.top(r.with_fallback(ok, "ok"), 10, ["qid"], F.desc("score"), "id").select("qid", "id", "route", "score", "rank", "fallback")
@@ -250,7 +260,7 @@ def judgment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sufficiency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten features of each question's evidence. Verdicts, checked premises, rounds and routes are rules on the question's id, as the tables have none."""
     best = saved(reranked(spark, sf_dir), "reranked")
-    found = _pairs(spark, sf_dir, best).groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
+    found = pairs_of(spark, sf_dir, best).groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
     e = best.join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "published"), "id")
     q = F.col("qid")
     some = lambda values, at, n: F.slice(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"), n.cast("int"))
@@ -271,10 +281,10 @@ def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a question's evidence from different sources: of 15 pairs at most, those whose numbers differ most.
 
     The score is a stand-in for an entailment model: the share of the two texts' numbers that only one of them has."""
-    return _pairs(spark, sf_dir, reranked(spark, sf_dir))
+    return pairs_of(spark, sf_dir, reranked(spark, sf_dir))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
+def pairs_of(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
     e = best.join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "text"), "id")
     numbers = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[0-9]+"), F.lit(0)))
     e = e.select("qid", F.col("rank").alias("pos"), "id", "source_id", numbers.alias("numbers"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_kept: dict[tuple, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -29,6 +32,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(files: DataFrame, name: str, make: Callable[[str], None]) -> str:
+    """The path of what make(path) wrote from these files, made once for an application as long as the files stay as they are.
+
+    files: a table as it was read. Its files are known by path, size and time, of which a sum of hashes is taken in Spark."""
+    spark = files.sparkSession
+    each = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    sign = each.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, name, sign)
+    if key not in _kept:
+        path = work_path(spark, name)
+        make(path)
+        _kept[key] = path
+    return _kept[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of a few splits (a small file is one, whatever its work) dealt out over the cores; any other as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

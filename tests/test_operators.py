@@ -181,6 +181,19 @@ def test_stored_index(spark, tmp_path):
     assert retrieval.search(retrieval.index(docs.limit(0)), asked).count() == 0
 
 
+def test_an_index_follows_its_table(spark, tmp_path):
+    """It's written once, and anew when the table's files change."""
+    from groundwell.sources.work import kept
+
+    made = []
+    table = f"file://{tmp_path}/t.parquet"
+    for rows, times in ((10, 1), (10, 1), (11, 2)):
+        if len(made) < times:
+            spark.range(rows).write.mode("overwrite").parquet(table)
+        path = kept(spark.read.parquet(table), "test", lambda p: made.append(p) or spark.read.parquet(table).write.parquet(p))
+        assert len(made) == times and spark.read.parquet(path).count() == rows
+
+
 def test_features_by_hand(spark):
     from groundwell.operators import features as fs
 
