@@ -20,22 +20,25 @@ from .common import join_small, saved, table, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
-BLANK_ONE = r"[\x20\x09-\x0D]"
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def text_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (docs' columns that stay) and: n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
     kept = [docs[c] for c in (docs.columns if keep is None else keep)]
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.regexp_replace(x, BLANK_ONE, "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(NOT_BLANK))
     a = docs.select(*kept, words(F.col(text)).alias("_w"), lines.alias("_l"), (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     n = F.size("_w")
     rest = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     b = a.select(
         *rest, "n_symbols", n.cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).alias("_h"),
+        F.when(n > WINDOW, F.transform("_w", lambda x: F.xxhash64(x))).alias("_g"),
     )
+    # a window's hash is made of its words' hashes, so that each word is hashed once
+    windows = F.transform(F.sequence(F.lit(1), F.size("_g") - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get("_g", i + (k - 1)) for k in range(WINDOW)]))
+    b = b.select(*rest, "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", F.when(F.col("_g").isNotNull(), windows).alias("_h"))
     counts = ["n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines"]
     c = b.select(*rest, *counts, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))).alias("_s"))
     twin = lambda e, j: F.when((F.get("_s", j - 1)["h"] == e["h"]) | (F.get("_s", j + 1)["h"] == e["h"]), e["at"])
