@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import kept_by_worker, table
 
 #: The pattern that splits a text before the merges; fixed by the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -198,16 +198,10 @@ class Tokenizer:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
-_made: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(shared) -> Tokenizer:
     """One for each Python worker."""
     source = shared.value
-    key = hash(source)
-    if key not in _made:
-        _made[key] = Tokenizer(source)
-    return _made[key]
+    return kept_by_worker(("bpe", hash(source)), lambda: Tokenizer(source))
 
 
 def shared_vocabulary(spark: SparkSession, path: str):

@@ -75,6 +75,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_large: dict[object, object] = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """In a task: an object that costs much to make, kept by the Python worker for its next tasks. It keeps one."""
+    if key not in _large:
+        _large.clear()
+        _large[key] = make()
+    return _large[key]
+
+
+def free_worker() -> None:
+    """In a task: drops what this Python worker kept for another operator's tasks; Spark gives workers to any task."""
+    _large.clear()
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

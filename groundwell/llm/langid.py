@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from .common import crc_of_id, hash_sample, table
+from .common import crc_of_id, free_worker, hash_sample, table
 
 PLACES = 1 << 15
 GRAMS = 4
@@ -75,6 +75,7 @@ def mark_presence(text: str | None, row: np.ndarray) -> bool:
 @F.arrow_udf(BinaryType())
 def presence(texts: pa.Array) -> pa.Array:
     """A text's presence row as bits; null without a letter."""
+    free_worker()
     out = []
     for t in texts:
         row = np.zeros(PLACES, dtype=np.uint8)
@@ -131,6 +132,7 @@ def identify(text: Column, spark: SparkSession, model: tuple[list[str], np.ndarr
 
     @F.arrow_udf(PREDICTION)
     def run(texts: pa.Array) -> pa.Array:
+        free_worker()
         names, matrix = shared.value
         best, score, value = [], [], []
         for at in range(0, len(texts), BATCH):

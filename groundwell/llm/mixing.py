@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, n_words, saved, table
+from .common import free_worker, join_small, n_words, saved, table
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -110,6 +110,7 @@ UNIT = "doc_id long, source string, text_hash long, order_hash long, size long,
 
 def _flown(level: int, last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        free_worker()
         # the largest first, so that what is left in the end is small
         rows = rows.sort_values(["size", "order_hash", "doc_id", "text_hash"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, abs(int(rows.order_hash.iloc[0])), len(rows)])

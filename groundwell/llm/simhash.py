@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import saved, table
+from .common import free_worker, saved, table
 from .components import roots
 
 NEAR = 2
@@ -59,6 +59,7 @@ def fingerprint(text: str | None) -> int:
 
 @F.arrow_udf(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
+    free_worker()
     return pa.array([_long(fingerprint(t.as_py())) for t in texts], type=pa.int64())
 
 
