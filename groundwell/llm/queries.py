@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, importance, langid, media, mixing, phrases, quality_rules, sharding, simhash, toxicity, warc
+from . import bpe, importance, langid, licenses, media, mixing, phrases, prefix_trie, quality_rules, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1,
@@ -19,11 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_importance_resampling": importance.op10,
+    "op11_prefix_trie": prefix_trie.op11,
+    "op12_licenses": licenses.op12,
     "op13_phrases": phrases.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_licenses": licenses.ORACLE_SQL,
     "op13_phrases": phrases.ORACLE_SQL,
 }
