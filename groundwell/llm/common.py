@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 #: A table is broadcast only if a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 100_000
-#: So many strata can be sampled one by one.
+#: So many strata are sampled, one by one.
 STRATA = 1000
 
 _own_dirs: dict[str, str] = {}
@@ -118,10 +118,8 @@ def hash_sample(df: DataFrame, strata: list[str], wanted: int | Callable[[int],
     """About `wanted` rows of each stratum (a function gets their number), by a hash of key; all of a smaller one. Four times that many rows at most, in all strata
     together: those with the least hashes, so that a sample is the same each time.
 
-    Strata have to be few (labels, languages): more than STRATA are an error."""
-    rows = df.groupBy(*strata).count().limit(STRATA + 1).collect()
-    if len(rows) > STRATA:
-        raise ValueError(f"more than {STRATA} values of {strata} can't be sampled one by one")
+    Of more than STRATA strata (labels, languages) those with the most rows are sampled, ties in order: a model learns that many at most."""
+    rows = df.groupBy(*strata).count().orderBy(F.desc("count"), *strata).limit(STRATA).collect()
     counts = {tuple(r[:-1]): r[-1] for r in rows}
     per_stratum = wanted if isinstance(wanted, int) else wanted(max(1, len(counts)))
     share = F.lit(0.0)

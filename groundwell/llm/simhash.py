@@ -178,19 +178,22 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that with the least id (null last); of several texts with that id, one by fingerprint and digest."""
-    digest = F.unhex(F.md5("text"))
-    each = docs.select("doc_id", fingerprints("text").alias("fp"), digest.alias("digest")).groupBy("doc_id", "fp", "digest").agg(F.count(F.lit(1)).alias("n"))
+    """One row of docs for each component, that with the least id (null last); of several texts with that id, one by fingerprint and digest;
+    of several rows with that id and text, one by a hash of the row as JSON."""
+    each = docs.select("doc_id", fingerprints("text").alias("fp"), F.unhex(F.md5("text")).alias("digest")).groupBy("doc_id", "fp", "digest").agg(F.count(F.lit(1)).alias("n"))
     each = saved(each, "fingerprints")
     # first by class, which is the larger reduction and leaves one row for each side of the join
     first = each.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "fp", "digest", "n")).alias("first"))
     first = first.join(class_roots(each).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
     stays = saved(first.select(F.col("first.doc_id").alias("_stays"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "stays")
     repeats = stays.agg(F.max("_n")).first()[0] or 0
-    # by sorting at every size: what stays grows with the input, so it's never broadcast
-    same = F.col("doc_id").eqNullSafe(F.col("_stays")) & F.col("_own").eqNullSafe(F.col("_digest"))
-    out = docs.withColumn("_own", digest).join(stays.select("_stays", "_digest").hint("merge"), same, "left_semi")
-    return (out.dropDuplicates(["doc_id", "_own"]) if repeats > 1 else out).drop("_own")
+    # by sorting at every size: what stays grows with the input, so it's never broadcast. The row travels in a struct: no name of it can clash
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_id"), F.unhex(F.md5(docs["text"])).alias("_own"))
+    same = F.col("_id").eqNullSafe(F.col("_stays")) & F.col("_own").eqNullSafe(F.col("_digest"))
+    out = packed.join(stays.select("_stays", "_digest").hint("merge"), same, "left_semi")
+    if repeats > 1:
+        out = out.groupBy("_id", "_own").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.md5(F.to_json("row")))).alias("row"))
+    return out.select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ documents such windows and some by hash. In the first round the words' document
 ones the network does, so that it meets what it got wrong.
 
 Sample bound: PER_CLASS documents a class (of labels.toxic; four times that if hashes fall badly), WINDOWS windows of each;
-vocabulary VOCABULARY words at most. Words over LONG bytes count as unknown words, but their characters are used; windows
-that have one are scored like any other and aren't trained on, so that what the driver gets is bounded.
+vocabulary VOCABULARY words at most. Words over LONG bytes count as unknown words, but their characters are used: all of their
+trigrams in scoring, and PLACES of them, evenly taken from all in order, in training, so that what the driver gets is bounded.
 
 Defined cases: null, empty and blank texts are one window of padding and get its score; with no labelled rows of both kinds
 every score is 0; very long texts are done in blocks, whose windows are those of the whole text; repeated rows are scored
@@ -49,6 +49,7 @@ EMPTY_SHARE = 50
 HELD_WORDS = 150_000
 BLOCK_BYTES = 400_000
 LONG = 64
+PLACES = 64
 _LOWER = bytes(range(256)).lower()
 _DROPPED = bytes(b for b in range(128) if not chr(b).isalpha())
 
@@ -86,8 +87,21 @@ def window_blocks(text: str | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
         at = end
 
 
+def shortened(word: bytes) -> bytes:
+    """A normal word for training: one over LONG bytes as a zero byte (which no normal word has) and PLACES of its trigrams' places."""
+    if len(word) <= LONG:
+        return word
+    places = np.sort(trigrams([word])[0])
+    return b"\0" + places[np.linspace(0, len(places) - 1, PLACES).round().astype(int)].astype("<u2").tobytes()
+
+
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all trigrams of normal words, one word after another, with ^ before and $ after it; and their number in each word."""
+    """The places of all trigrams of normal or shortened words, one word after another, with ^ before and $ after it; and their number in each word."""
+    short = {k for k, w in enumerate(words) if w[:1] == b"\0"}
+    if short:
+        grams, size = trigrams([b"" if k in short else w for k, w in enumerate(words)])
+        each = [np.frombuffer(words[k][1:], "<u2").astype(grams.dtype) if k in short else g for k, g in enumerate(np.split(grams, np.cumsum(size)[:-1]))]
+        return np.concatenate(each), np.array([len(g) for g in each])
     marked = [b"^" + w + b"$" if w else b"^$$" for w in words]
     flat = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint32)
     size = np.array([len(w) for w in marked])
@@ -331,14 +345,9 @@ def _ranked(net: Network | None, odds: dict[bytes, float]):
                 seen = 0
                 for words, at in window_blocks(text):
                     found = [normal(w) for w in words]
-                    short = np.concatenate([[0], np.cumsum([len(w) > LONG for w in found])])
                     number = np.arange(seen, seen + len(at))
                     seen += len(at)
                     ends = np.minimum(at + SPAN, len(found))
-                    ok = short[ends] == short[at]
-                    at, ends, number = at[ok], ends[ok], number[ok]
-                    if not len(at):
-                        continue
                     if scorer:
                         value = scorer.windows_logits(found, at)
                     else:
@@ -347,7 +356,7 @@ def _ranked(net: Network | None, odds: dict[bytes, float]):
                     held += [(-float(v), zlib.crc32(str(k).encode()), found[s:e]) for v, k, s, e in zip(value, number, at, ends, strict=True)]
                     held.sort(key=lambda x: x[:2])
                     held = held[:WINDOWS] + sorted(held[WINDOWS:], key=lambda x: x[1])[:WINDOWS]
-                yield pd.DataFrame({"toxic": toxic, "words": [w for _, _, w in held[: 1 if toxic else len(held)]]})
+                yield pd.DataFrame({"toxic": toxic, "words": [[shortened(x) for x in w] for _, _, w in held[: 1 if toxic else len(held)]]})
 
     return run
 

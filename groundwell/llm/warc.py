@@ -85,7 +85,7 @@ def capture(key: str, page_id: int | None, url: str | None, html: str | None, di
 def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, size, count, held = None, None, 0, 0, 0
-        told = lambda: pa.record_batch({"file": [name], "bytes": [size]})
+        told = lambda: pa.record_batch({"file": [name], "bytes": [size], "captures": [held]})
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 if out is None:
@@ -105,18 +105,18 @@ def _written(folder: str):
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives to folder and returns their names: file, bytes."""
+    """Writes the archives to folder and returns their names: file, bytes, captures."""
     first = originals(pages)
     own = _digested(pages)
     # only payloads that can be shared look for their original, so that small ones and empty ones are no hot key
     key = F.when((F.col("n") >= LEAST_SHARED) & F.col("page_id").isNotNull(), F.col("payload_digest"))
     both = join_small(own, first.withColumnRenamed("payload_digest", "_digest"), key == F.col("_digest"))
     kept = both.select("page_id", "url", "html", "payload_digest", "original", "original_url")
-    return saved(kept.mapInArrow(_written(folder), "file string, bytes long"), "warc-files")
+    return saved(kept.mapInArrow(_written(folder), "file string, bytes long, captures long"), "warc-files")
 
 
 def members(stream) -> Iterator[bytes]:
-    """The gzip members of a file, one after another."""
+    """The gzip members of a file, one after another. A file that ends within one is an error."""
     rest, unpack, parts = b"", zlib.decompressobj(31), []
     while data := rest or stream.read(READ):
         parts.append(unpack.decompress(data))
@@ -124,6 +124,8 @@ def members(stream) -> Iterator[bytes]:
         if unpack.eof:
             yield b"".join(parts)
             unpack, parts = zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("the archive ends within a record")
 
 
 def parsed(member: bytes) -> dict:
@@ -151,15 +153,17 @@ RECORD = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurr
 
 
 def read_warc(files: DataFrame, folder: str, *, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives named in files; a task has READ_BYTES of them, or one larger archive."""
+    """One row per record of the archives named in files; a task has READ_BYTES of them, or one larger archive. An archive with fewer
+    or more captures than files says is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows, held = [], 0
+            for name, captures in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, held, found = [], 0, 0
                 with open_file(folder, name) as stream:
                     for m in members(stream):
                         row = parsed(m)
+                        found += row["kind"] in ("response", "revisit")
                         if not with_payload:
                             row["payload"] = None
                         rows.append(row)
@@ -167,10 +171,12 @@ def read_warc(files: DataFrame, folder: str, *, with_payload: bool = True) -> Da
                         if held > 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, RECORD)
                             rows, held = [], 0
+                if found != captures:
+                    raise ValueError(f"{name} has {found} captures of {captures}")
                 yield pa.RecordBatch.from_pylist(rows, RECORD)
 
     kinds = "kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, page_id long, payload_bytes long, payload binary"
-    return dealt(files.select("file", F.lit(0).alias("offset")), files, READ_BYTES).select("file").mapInArrow(run, kinds)
+    return dealt(files.select("file", F.lit(0).alias("offset"), "captures"), files, READ_BYTES).select("file", "captures").mapInArrow(run, kinds)
 
 
 def transactions(records: DataFrame) -> DataFrame:
