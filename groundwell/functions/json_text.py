@@ -88,6 +88,17 @@ def repair(text: Column) -> Column:
     return _of_texts(repaired)(text)
 
 
+def bounded_text(text: str | None) -> str | None:
+    """A JSON text with its payload bounded; what isn't JSON is bounded as a string."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except ValueError:
+        value = text
+    return json.dumps(bounded(value), separators=(",", ":"), ensure_ascii=False)
+
+
 def bound(payload: Column) -> Column:
-    """Of a JSON text."""
-    return _of_texts(lambda t: t if t is None else json.dumps(bounded(json.loads(t)), separators=(",", ":"), ensure_ascii=False))(payload)
+    """Of a payload's text."""
+    return _of_texts(bounded_text)(payload)

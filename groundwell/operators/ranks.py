@@ -10,8 +10,9 @@ from groundwell.sources.work import saved
 
 def ranked_in(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Adds rank, from 1, of each row in its group by order (ties by chance). Rows are ranged over group and order, ranked within
-    a range, and a group's earlier ranges are counted: a group that is large has many ranges."""
-    ranged = saved(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranged")
+    a range, and a group's earlier ranges are counted: a group that is large has many ranges. rows are saved first, as ranging
+    reads them twice (once to sample); give it narrow ones."""
+    ranged = saved(saved(rows, "unranged").repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_range", group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

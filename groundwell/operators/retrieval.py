@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,20 +90,44 @@ def search(found: DataFrame, queries: DataFrame) -> DataFrame:
     return found.join(weighed, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
-def packed(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """rows (key, vector) in blocks of up to so many rows: n, ids, and the vectors one after another as a binary of 64-bit floats."""
+def packed(rows: DataFrame, key: str, block: int, by: list[str] | None = None) -> DataFrame:
+    """rows (key, vector) in blocks of up to so many rows of one length: the columns of by, number (of the block), ids, and the vectors one
+    after another as a binary of 64-bit floats; a null element is NaN. The rows of a block have equal values in the (whole number) columns of by."""
+    by = by or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.record_batch({"ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([flat.tobytes()], pa.binary())})
+            t = pa.Table.from_batches([batch]).append_column("size", pc.list_value_length(batch.column(1)))
+            for group in t.group_by([*by, "size"]).aggregate([]).to_pylist():
+                if not group["size"]:  # a vector without elements is like no other
+                    continue
+                same = t.filter(np.logical_and.reduce([np.asarray(pc.equal(t[c], group[c])) for c in group]))
+                for at in range(0, same.num_rows, block):
+                    part = same.slice(at, block)
+                    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in part.column(1).chunks])
+                    yield pa.record_batch({"ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([flat.tobytes()], pa.binary())} | {c: pa.array([group[c]], batch.schema.field(c).type) for c in by})
 
-    return rows.select(key, "vector").where(F.col(key).isNotNull() & F.col("vector").isNotNull()).mapInArrow(run, "ids array<long>, vectors binary")
+    found = rows.select(key, "vector", *by).where(F.col(key).isNotNull() & F.col("vector").isNotNull())
+    types = dict(found.dtypes)
+    blocks = found.mapInArrow(run, ", ".join(["ids array<long>", "vectors binary", *[f"{c} {types[c]}" for c in by]]))
+    return blocks.select(*by, F.monotonically_increasing_id().alias("number"), "ids", "vectors")
 
 
-class _Best:
+def unit_rows(flat: bytes, n: int) -> np.ndarray:
+    """n vectors at length 1. One without a direction (of zeros, or with a NaN) is all NaN."""
+    x = np.frombuffer(flat).reshape(n, -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of all pairs; -inf where one has no direction, so that it is never found."""
+    score = np.round(q @ v.T, 6)
+    score[np.isnan(score)] = -np.inf
+    return score
+
+
+class Best:
     """The k best so far of each query of a block."""
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
@@ -129,28 +154,29 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, keep_self: bool =
     """Exact cosine top k: vectors (id, vector) and queries (qid, vector) to qid, id, score, rank.
 
     Both sides are tables of blocks, and each block of queries meets each block of vectors in a task: one matrix product. A task
-    keeps the k best of each query over all the blocks that it meets, so what is shuffled is small. Nothing passes the driver."""
+    keeps the k best of each query over all the blocks that it meets, so what is shuffled is small. Nothing passes the driver.
+    Vectors without a direction, or of another length than the query's, are never found; the k others are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, _Best] = {}
+        best: dict[int, Best] = {}
         for batch in batches:
-            for qids, q, ids, v in zip(*batch.columns, strict=True):
-                qids, own = np.array(qids.as_py()), np.array(ids.as_py())
-                unit = lambda x, n: (y := np.frombuffer(x.as_py()).reshape(n, -1)) / np.linalg.norm(y, axis=1, keepdims=True)
-                score = np.round(unit(q, len(qids)) @ unit(v, len(own)).T, 6)
+            for key, qids, q, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                qids, own = np.array(qids), np.array(ids)
+                if len(q) * len(own) != len(v) * len(qids):  # vectors of other lengths
+                    continue
+                score = cosines(unit_rows(q, len(qids)), unit_rows(v, len(own)))
                 if not keep_self:
                     score[qids[:, None] == own[None, :]] = -np.inf
-                key = int(qids[0])
                 if key not in best:
                     if len(best) >= 64:
                         yield best.pop(next(iter(best))).rows()
-                    best[key] = _Best(qids, k)
+                    best[key] = Best(qids, k)
                 best[key].add(score, own)
         for b in best.values():
             yield b.rows()
 
-    asked = saved(packed(queries, "qid", QUERY_BLOCK), "query-blocks").select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
-    pairs = asked.join(saved(packed(spread(vectors), "id", VECTOR_BLOCK), "vector-blocks"), how="cross")
+    asked = saved(packed(queries, "qid", QUERY_BLOCK), "query-blocks").select("number", F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
+    pairs = asked.join(saved(packed(spread(vectors), "id", VECTOR_BLOCK), "vector-blocks").drop("number"), how="cross")
     return top(pairs.mapInArrow(run, "qid long, id long, score double"), k, ["qid"], F.desc("score"), "id")
 
 

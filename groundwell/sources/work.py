@@ -35,10 +35,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def kept(files: DataFrame, name: str, make: Callable[[str], None]) -> str:
     """The path of what make(path) wrote from these files, made once for an application as long as the files stay as they are.
 
-    files: a table as it was read. Its files are known by path, size and time, of which a sum of hashes is taken in Spark."""
+    files: a table as it was read. Its files are known by path, size and time, of which a sum of hashes is taken in Spark: one row
+    a file, without reading it."""
     spark = files.sparkSession
-    each = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    sign = each.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    listed = spark.read.format("binaryFile").load(files.inputFiles()).select("path", "length", "modificationTime")
+    sign = listed.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
     key = (spark.sparkContext.applicationId, name, sign)
     if key not in _kept:
         path = work_path(spark, name)
