@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import kept_by_worker, table
+from .common import byte_slices, give_back, kept_by_worker, table
 
 #: The pattern that splits a text before the merges; fixed by the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -224,8 +224,10 @@ def encoded(text: Column, vocabulary) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(vocabulary)
         for texts in batches:
-            yield _lists([t.encode(x.as_py()) for x in texts])
+            for some in byte_slices(texts):
+                yield _lists([t.encode(x.as_py()) for x in some])
         t.forget()
+        give_back()
 
     return run(text)
 
@@ -239,13 +241,14 @@ def encoded_checked(text: Column, vocabulary) -> Column:
     @F.arrow_udf(CHECKED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(vocabulary)
-        for texts in batches:
+        for texts in (some for batch in batches for some in byte_slices(batch)):
             rows, same = [], []
             for x in texts:
                 rows.append(t.encode(x.as_py()))
                 same.append(t.decode(rows[-1]) == (x.as_py() or ""))
             yield pa.StructArray.from_arrays([_lists(rows), pa.array(same, pa.bool_())], fields=[pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())])
         t.forget()
+        give_back()
 
     return run(text)
 

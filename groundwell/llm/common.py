@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,9 +92,34 @@ def kept_by_worker(key: object, make: Callable[[], object]) -> object:
     return _large[key]
 
 
+_last_task: list[int] = []
+
+
 def free_worker() -> None:
-    """In a task: drops what this Python worker kept for another operator's tasks; Spark gives workers to any task."""
+    """In a task: drops what this Python worker kept for another operator's tasks; Spark gives workers to any task. Once a task, memory that is free goes back to the machine."""
     _large.clear()
+    task = TaskContext.get()
+    if task and _last_task != [task.taskAttemptId()]:
+        _last_task[:] = [task.taskAttemptId()]
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that this process holds but doesn't use goes back to the machine, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """An array of texts in slices of about so many bytes, a text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def words(text: Column) -> Column:

@@ -36,7 +36,7 @@ LEAST = 30
 TOP = 2000
 SCALE = 2_000_000
 #: Bytes of text whose windows are counted at once, and whose windows a range has.
-FLUSH, RANGE = 4 << 20, 6 << 20
+FLUSH, RANGE = 3 << 20, 5 << 20
 RANGES = 1_000_000
 #: Bytes of the texts that the ranges' bounds are taken from, and keys for each range.
 SAMPLE, KEYS = 32 << 20, 20

@@ -1,6 +1,7 @@
 """Media shards, WARC archives and the pipeline."""
 
 import hashlib
+import io
 import os
 import tarfile
 import zlib
@@ -160,7 +161,7 @@ def test_a_lost_response_is_an_error(spark):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -223,3 +224,22 @@ def test_pipeline_odd_rows(spark, tmp_path):
                     assert max(after.values(), default=1) == 1 and len({t for _, t in after}) == len(after)
         assert all(r.round_trip for r in now.collect())
     assert c.run(spark, f"{tmp_path}/{len(rows)}").count() > 20 and c.run(spark, f"{tmp_path}/0").count() == 0
+
+
+def test_cut_archives_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/b", "x" * 2000), (2, "http://a/c", "y")], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/warc"
+    files = warc.write_warc(pages, folder)
+    assert [r.captures for r in files.collect()] == [2]
+    (path,) = (tmp_path / "warc").glob("*.gz")
+    whole = path.read_bytes()
+    assert len(list(warc.members(io.BytesIO(whole)))) == 6
+    path.write_bytes(whole[:-10])
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.members(io.BytesIO(whole[:-10])))
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_warc(files, folder).count()
+    ends = [k for k in range(1, len(whole)) if whole[k : k + 4] == b"\x1f\x8b\x08\x00"]
+    path.write_bytes(whole[: ends[2]])  # the first capture alone, cut between records
+    with pytest.raises(Exception, match="1 captures of 2"):
+        warc.read_warc(files, folder).count()

@@ -120,3 +120,14 @@ def test_roots(spark):
     want = groups(800, links)
     assert all(got.get(k, k) == want[k] for k in range(800))
     assert roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    """Columns that have the names of the stage's own; of rows with one id and text, the one with the least hash of its JSON, whatever their order."""
+    rows = [(1, "a b c d", "x", 10, True), (1, "a b c d", "y", 20, False), (2, "a b c d", "z", 30, True), (3, "other words stand in here", "q", 40, None), (None, None, "n", 50, None)]
+    kind = "doc_id long, text string, _own string, _stays int, _digest boolean"
+    got = [sorted(map(tuple, simhash.near_dedup(spark.createDataFrame(r, kind)).collect()), key=str) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 3 and {r[3] for r in got[0]} >= {40, 50} and {r[0] for r in got[0]} == {1, 3, None}
+    assert simhash.near_dedup(spark.createDataFrame(rows, kind)).columns == ["doc_id", "text", "_own", "_stays", "_digest"]
+    more = spark.createDataFrame([(*r, k, k, "w") for k, r in enumerate(rows)], kind + ", _id int, row int, _n string")
+    assert simhash.near_dedup(more).count() == 3

@@ -6,6 +6,8 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
@@ -377,3 +379,19 @@ def test_importance_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(importance, "BLOCK", 3)
     parts = [p.tolist() for p in importance.places("a b c d e")]
     assert sorted(sum(whole, [])) == sorted(sum(parts, []))
+
+
+def test_texts_without_blanks_are_trained_on(spark):
+    """A word over LONG bytes goes to the driver as PLACES of its trigrams, and counts as an unknown word."""
+    word = ("坏话" * 200).encode()
+    short = toxicity.shortened(word)
+    assert len(short) == 1 + 2 * toxicity.PLACES and toxicity.shortened(b"brief") == b"brief"
+    whole, some = set(toxicity.trigrams([word])[0].tolist()), toxicity.trigrams([b"ab", short, b""])
+    assert some[1].tolist() == [2, toxicity.PLACES, 1] and set(some[0][2:-1].tolist()) <= whole
+    got = list(toxicity._ranked(None, {})(iter([pd.DataFrame({"text": ["坏话" * 200, "ok then"], "toxic": [1, 0]})])))
+    assert [len(g) for g in got] == [1, 1] and got[0].words[0] == [short]
+    docs = spark.createDataFrame([(i, ("坏话" if i % 2 else "好事") * 60 + str(i)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    net = toxicity.learn(docs, labels)
+    scores = toxicity.Scorer(net).scores(pa.array(["坏话" * 80, "好事" * 80]))
+    assert scores[0] > 0.7 > scores[1]
