@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.operators import calibration as cal
+from groundwell.operators.ranks import ranked_in
 from groundwell.sources.work import saved
 
 # Penalties that are tried, resamples, and what a fit and a calibration need at least.
@@ -39,40 +40,42 @@ def uniform(ids: np.ndarray, number: int | np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Fits:
-    """Models by number: the penalty of each, and its resample (0 for all rows) or the fold that it leaves out (-1 for none), of so many."""
+    """Models by number: the penalty of each, and its resample (0 for all rows) or the fold that it leaves out (-1 for none)."""
 
     c: tuple[float, ...]
     draw: tuple[int, ...]
     fold: tuple[int, ...]
-    folds: int = 5
 
-    def weights(self, ids: np.ndarray) -> np.ndarray:
-        """How often each row is in each model."""
+    def weights(self, ids: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How often each row is in each model. own: the rows' folds."""
         out = np.ones((len(ids), len(self.c)))
         drawn = np.flatnonzero(self.draw)
         if len(drawn):
             out[:, drawn] = np.searchsorted(POISSON, uniform(ids, np.array(self.draw)[drawn]), side="right")
-        own = fold_of(ids, self.folds)
         return out * (own[:, None] != np.array(self.fold)[None, :])
 
 
-def fold_of(ids: np.ndarray, folds: int) -> np.ndarray:
-    return (uniform(ids, 1 << 40)[:, 0] * folds).astype(int)
+def with_folds(rows: DataFrame, folds: int) -> DataFrame:
+    """Adds fold, dealt within each class in the order of a hash of the id: a class's numbers in the folds differ by one at most.
+    Ranks are made in ranges, so no task sees a class whole."""
+    ranked = ranked_in(rows.withColumn("_deal", F.xxhash64(F.lit(1 << 40), "id")), "label", "_deal")
+    return ranked.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int")).drop("_deal", "rank")
 
 
 def _sums(rows: DataFrame, features: list[str], width: int, make) -> dict[int, np.ndarray]:
-    """make(ids, labels, x) gives a row of `width` sums for each model; their totals by model."""
+    """make(ids, labels, x, folds) gives a row of `width` sums for each model; their totals by model. Rows without folds are in all models."""
+    rows = rows if "fold" in rows.columns else rows.withColumn("fold", F.lit(-2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
-            part = make(b.column("id").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False).astype(float), x)
+            part = make(b.column("id").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False).astype(float), x, b.column("fold").to_numpy(zero_copy_only=False))
             total = part if total is None else total + part
         if total is not None:
             yield pa.record_batch({"model": np.arange(len(total)), **{f"s{k}": total[:, k] for k in range(width)}})
 
-    each = rows.select("id", "label", *features).mapInArrow(run, "model long, " + ", ".join(f"s{k} double" for k in range(width)))
+    each = rows.select("id", "label", *features, "fold").mapInArrow(run, "model long, " + ", ".join(f"s{k} double" for k in range(width)))
     return {r.model: np.array(r[1:]) for r in each.groupBy("model").agg(*[F.sum(f"s{k}") for k in range(width)]).collect()}
 
 
@@ -80,7 +83,7 @@ def fit_many(rows: DataFrame, features: list[str], fits: Fits) -> tuple[np.ndarr
     """rows (id, label, features): coefficients on scaled features (models x features), and the intercept and coefficients on the features as
     they are (models x 1 + features). A model whose rows are of one class is all NaN; a feature that is constant in a model has coefficient 0."""
     d, n = len(features), len(fits.c)
-    moments = _sums(rows, features, 2 + 2 * d, lambda i, y, x: np.column_stack([(w := fits.weights(i)).sum(axis=0), w.T @ y, w.T @ x, w.T @ (x * x)]))
+    moments = _sums(rows, features, 2 + 2 * d, lambda i, y, x, own: np.column_stack([(w := fits.weights(i, own)).sum(axis=0), w.T @ y, w.T @ x, w.T @ (x * x)]))
     m = np.array([moments.get(k, np.zeros(2 + 2 * d)) for k in range(n)])
     total, good = m[:, 0], m[:, 1]
     ok = (good > 0) & (good < total)
@@ -96,10 +99,10 @@ def fit_many(rows: DataFrame, features: list[str], fits: Fits) -> tuple[np.ndarr
     for _ in range(STEPS):
         plain = np.column_stack([beta[:, 0] - (mean / scale * beta[:, 1:]).sum(axis=1), beta[:, 1:] / scale])
 
-        def step(i: np.ndarray, y: np.ndarray, x: np.ndarray, plain=plain) -> np.ndarray:
+        def step(i: np.ndarray, y: np.ndarray, x: np.ndarray, own: np.ndarray, plain=plain) -> np.ndarray:
             one = np.column_stack([np.ones(len(x)), x])
             p = 1 / (1 + np.exp(-np.clip(one @ plain.T, -40, 40)))
-            w = fits.weights(i) * np.where(y[:, None] > 0, classes[:, 1], classes[:, 0])
+            w = fits.weights(i, own) * np.where(y[:, None] > 0, classes[:, 1], classes[:, 0])
             return np.column_stack([(w * (p - y[:, None])).T @ one, (w * p * (1 - p)).T @ (one[:, up[0]] * one[:, up[1]])])
 
         got = _sums(rows, features, d + 1 + len(up[0]), step)
@@ -126,18 +129,19 @@ def fit_many(rows: DataFrame, features: list[str], fits: Fits) -> tuple[np.ndarr
 
 def cross_validated(rows: DataFrame, features: list[str], folds: int = 5) -> DataFrame:
     """c, auc and brier over all rows, each judged by the model of its fold's complement."""
-    fits = Fits(tuple(x for x in C_GRID for _ in range(folds)), (0,) * (len(C_GRID) * folds), tuple(range(folds)) * len(C_GRID), folds)
+    rows = saved(with_folds(rows.select("id", "label", *features), folds), "folds")
+    fits = Fits(tuple(x for x in C_GRID for _ in range(folds)), (0,) * (len(C_GRID) * folds), tuple(range(folds)) * len(C_GRID))
     plain = fit_many(rows, features, fits)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([np.ones(b.num_rows), *[b.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features]])
-            own = fold_of(b.column("id").to_numpy(zero_copy_only=False), folds)
+            own = b.column("fold").to_numpy(zero_copy_only=False)
             for k, c in enumerate(C_GRID):
                 p = 1 / (1 + np.exp(-np.clip((x * plain[k * folds + own]).sum(axis=1), -40, 40)))
                 yield pa.record_batch({"c": np.full(len(p), c), "label": b.column("label").cast(pa.int64()), "p": np.round(p, 6)})
 
-    judged = saved(rows.select("id", "label", *features).mapInArrow(run, "c double, label long, p double"), "judged")
+    judged = saved(rows.select("id", "label", *features, "fold").mapInArrow(run, "c double, label long, p double"), "judged")
     out = None
     for c in C_GRID:
         own = judged.where(F.col("c") == c)

@@ -37,24 +37,3 @@ def minute_windows(calls: DataFrame) -> DataFrame:
     seen = spread.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("t", F.sum("tokens").over(w)).withColumn("oldest", F.min("us").over(w))
     own = seen.where(F.col("minute") == F.floor(F.col("us") / MINUTE))
     return own.select(*calls.columns, (F.col("n") - 1).alias("n_minute"), (F.col("t") - F.col("tokens")).alias("tokens_minute"), F.when(F.col("n") > 1, F.col("oldest")).alias("oldest"))
-
-
-def day_totals(calls: DataFrame) -> DataFrame:
-    """Adds n_day and tokens_day: the calls of the model's day before each one. Sums run within a minute, and over a day's minutes."""
-    c = calls.withColumn("day", local_day(F.col("us"), F.col("model"))).withColumn("minute", F.floor(F.col("us") / MINUTE))
-    before = Window.partitionBy("model", "day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
-    sums = c.groupBy("model", "day", "minute").agg(F.count(F.lit(1)).alias("mn"), F.sum("tokens").alias("mt"))
-    sums = sums.select("model", "day", "minute", F.coalesce(F.sum("mn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("mt").over(before), F.lit(0)).alias("t0"))
-    own = Window.partitionBy("model", "day", "minute").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("n1", F.count(F.lit(1)).over(own)).withColumn("t1", F.coalesce(F.sum("tokens").over(own), F.lit(0)))
-    return c.join(sums, ["model", "day", "minute"]).select(*calls.columns, "day", (F.col("n0") + F.col("n1")).alias("n_day"), (F.col("t0") + F.col("t1")).alias("tokens_day"))
-
-
-def admission() -> Column:
-    """Which limit stops a call, in the order in which they're asked; null if none does."""
-    return (
-        F.when(F.col("n_day") + 1 > RPD, "rpd")
-        .when(F.col("tokens_day") + F.col("tokens") > TPD, "tpd")
-        .when(F.col("n_minute") + 1 > RPM, "rpm")
-        .when(F.col("tokens_minute") + F.col("tokens") > TPM, "tpm")
-    )

@@ -43,12 +43,25 @@ def index_part(term: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """docs (id, text) to id, dl, term, tf, head and part; one row of each document has head, that of its first word or of none.
+    """docs (id, text), one row each, to id, dl, term, tf, head and part; one row of each document has head, that of its first word or of none.
 
-    So all that a search needs comes from one table: the number of documents and their mean length from its heads."""
-    # explode_outer keeps documents without words, and makes the words once (explode adds a filter that makes them again)
-    each = spread(docs).select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.posexplode_outer("ts").alias("pos", "term"))
-    each = each.groupBy("id", "dl", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("head"))
+    So all that a search needs comes from one table: the number of documents and their mean length from its heads. Words are counted
+    in the task that reads the text; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words = batch.columns
+            n = pc.list_value_length(words)
+            row = pc.list_parent_indices(words).cast(pa.int64())
+            place = np.arange(len(row))
+            t = pa.table({"row": row, "term": pc.list_flatten(words), "place": place}).group_by(["row", "term"]).aggregate([("place", "min"), ("place", "count")])
+            first = np.concatenate([[0], np.cumsum(n.to_numpy(zero_copy_only=False))]).astype(np.int64)
+            own = t["row"].to_numpy()
+            yield pa.record_batch({"id": ids.take(pa.array(own)), "dl": n.take(pa.array(own)).cast(pa.int32()), "term": t["term"].combine_chunks(), "tf": t["place_count"].combine_chunks(), "head": t["place_min"].to_numpy() == first[own]})
+            none = ids.filter(pc.equal(n, 0))
+            yield pa.record_batch({"id": none, "dl": np.zeros(len(none), np.int32), "term": pa.nulls(len(none), pa.string()), "tf": np.zeros(len(none), np.int64), "head": np.ones(len(none), bool)})
+
+    each = spread(docs).select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("ts")).mapInArrow(run, "id long, dl int, term string, tf long, head boolean")
     return each.withColumn("part", F.coalesce(index_part(F.col("term")), F.lit(0)))
 
 

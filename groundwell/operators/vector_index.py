@@ -1,9 +1,9 @@
 """A stored index of vectors: an inverted file of cells, with filter columns beside the vectors and the filter inside the search.
 
 Cells are fitted on a bounded sample of vectors by spherical k-means; every vector goes to its nearest cell. A search ranks the
-cells for each query by the centroids and reads the first ones. A query's share of what lies in its cells is bounded from
-below under the filter too: cells are taken until `probe` of them are and `enough` rows that pass the filter stand in them, so
-that a filter that few rows pass doesn't starve a query. With probe=None all cells are read, and the result is the exact one.
+cells for each query by the centroids and reads the first ones: as many as gave RECALL of the sample's own neighbours when the
+index was built, which is few where vectors lie in clusters and most where they don't. Under a filter cells are taken on until
+`enough` rows that pass it stand in them, so that a filter that few rows pass doesn't starve a query. An exact search reads all.
 
 Vectors without a direction (of zeros, with null or NaN elements) or of another length than the index's are stored in a cell
 of their own (-1), and are never found. Ids may repeat; each row is found by itself.
@@ -25,14 +25,15 @@ from groundwell.sources.work import saved, spread, work_path
 #: Vectors that the cells are fitted on, and the most cells. The sample's vectors and all centroids pass the driver.
 SAMPLE, MOST_CELLS = 20_000, 4096
 TURNS = 12
-#: Cells that a query reads at least, as a share of all, and rows that pass the filter in them, as multiples of k.
-PROBE, ENOUGH = 0.25, 20
+#: What the number of cells to read is fitted to: neighbours of so many of the sample's vectors. And rows that pass the filter in them, as multiples of k.
+RECALL, NEIGHBOURS, TRIED, ENOUGH = 0.96, 10, 400, 20
 
 
 @dataclass(frozen=True)
 class VectorIndex:
     path: str
     centroids: np.ndarray
+    probe: int
     filters: tuple[str, ...]
     schema: str
 
@@ -56,6 +57,21 @@ def fit_cells(vectors: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     return centre
 
 
+def fit_probe(vectors: np.ndarray, centre: np.ndarray) -> int:
+    """How many cells hold RECALL of the nearest neighbours of some of these vectors."""
+    if len(vectors) < 2:
+        return 1
+    asked = vectors[: min(TRIED, len(vectors))]
+    score = asked @ vectors.T
+    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    k = min(NEIGHBOURS, len(vectors) - 1)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    turn = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)
+    own = (vectors @ centre.T).argmax(axis=1)
+    needed = np.sort(np.take_along_axis(turn, own[near], axis=1).ravel())
+    return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
+
+
 def _with_cell(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """rows (vector, ...) with cell."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # MOST_CELLS at most
@@ -92,19 +108,20 @@ def build(rows: DataFrame, filters: tuple[str, ...] = (), path: str | None = Non
     size = max(((sum(len(v) == s for v in found), s) for s in {len(v) for v in found}), default=(0, 1))[1]
     sample = unit_rows(np.array([v for v in found if len(v) == size], dtype=np.float64).tobytes(), sum(len(v) == size for v in found)) if found else np.zeros((0, size))
     sample = sample[~np.isnan(sample).any(axis=1)]
-    cells = cells or int(min(MOST_CELLS, max(1, round(np.sqrt(n) / 2))))
+    cells = cells or int(min(MOST_CELLS, max(1, round(2 * np.sqrt(n))), max(1, len(sample) // 4)))
     centroids = fit_cells(sample, cells, seed) if len(sample) else np.eye(1, size)
     _stored(_with_cell(spread(rows), centroids), path, "errorifexists")
-    spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "cell int, centroid array<double>").write.parquet(f"{path}/cells")
-    return VectorIndex(path, centroids, filters, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cell int")
+    probe = fit_probe(sample, centroids)
+    spark.createDataFrame([(k, c.tolist(), probe) for k, c in enumerate(centroids)], "cell int, centroid array<double>, probe int").write.parquet(f"{path}/cells")
+    return VectorIndex(path, centroids, probe, filters, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cell int")
 
 
 def opened(spark: SparkSession, path: str) -> VectorIndex:
     """An index as it is stored."""
-    cells = sorted((r.cell, r.centroid) for r in spark.read.parquet(f"{path}/cells").collect())  # MOST_CELLS at most
+    cells = sorted((r.cell, r.centroid, r.probe) for r in spark.read.parquet(f"{path}/cells").collect())  # MOST_CELLS at most
     stored = spark.read.parquet(f"{path}/vectors").schema
     filters = tuple(f.name for f in stored if f.name not in ("id", "vector", "cell"))
-    return VectorIndex(path, np.array([c for _, c in cells]), filters, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored))
+    return VectorIndex(path, np.array([c for _, c, _ in cells]), cells[0][2], filters, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored))
 
 
 def append(index: VectorIndex, rows: DataFrame) -> None:
@@ -139,16 +156,16 @@ def plan_probes(queries: DataFrame, counts: DataFrame, centroids: np.ndarray, pr
     return queries.withColumn("cell", F.explode(cells("vector")))
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, where: Column | None = None, probe: float | None = PROBE, keep_self: bool = False) -> DataFrame:
-    """The k nearest by cosine of queries (qid, vector): qid, id, score, rank. where: on the index's filter columns; probe: the share of the
-    cells that a query reads at least, None for all."""
+def search(index: VectorIndex, queries: DataFrame, k: int, where: Column | None = None, probe: int | None = None, exact: bool = False, keep_self: bool = False) -> DataFrame:
+    """The k nearest by cosine of queries (qid, vector): qid, id, score, rank. where: on the index's filter columns; probe: how many cells a
+    query reads at least, if not the index's own number; exact: all."""
     spark = queries.sparkSession
     rows = index.read(spark).where("cell >= 0")
     rows = rows if where is None else rows.where(where)
     counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     cells = len(index.centroids)
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
-    asked = saved(plan_probes(asked, counts, index.centroids, cells if probe is None else max(1, round(probe * cells)), ENOUGH * k), "probes")
+    asked = saved(plan_probes(asked, counts, index.centroids, cells if exact else probe or index.probe, ENOUGH * k), "probes")
     read = [r.cell for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +191,13 @@ def search(index: VectorIndex, queries: DataFrame, k: int, where: Column | None
     return top(pairs.mapInArrow(run, "qid long, id long, score double"), k, ["qid"], F.desc("score"), "id")
 
 
-def share_read(index: VectorIndex, queries: DataFrame, k: int, where: Column | None = None, probe: float = PROBE) -> DataFrame:
+def share_read(index: VectorIndex, queries: DataFrame, k: int, where: Column | None = None, probe: int | None = None) -> DataFrame:
     """What a search reads: qid, cells, rows (that pass the filter) and of how many."""
     spark = queries.sparkSession
     rows = index.read(spark).where("cell >= 0")
     counts = saved((rows if where is None else rows.where(where)).groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-counts")
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
-    plan = plan_probes(asked, counts, index.centroids, max(1, round(probe * len(index.centroids))), ENOUGH * k)
+    plan = plan_probes(asked, counts, index.centroids, probe or index.probe, ENOUGH * k)
     every = F.sum("n").over(Window.partitionBy())  # a row for each cell
     both = plan.select("qid", "cell").join(small(counts.withColumn("of", every)), "cell")
     return both.groupBy("qid").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"), F.max("of").alias("of"))

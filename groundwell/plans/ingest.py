@@ -70,12 +70,14 @@ def sections_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_aware_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of whole sentences that don't cross a section: ids and places, numbered through the document."""
-    d = t.with_sections(spread(read(spark, sf_dir, "documents")), "text", ["doc_id", "source"])
+    """Chunks of whole sentences that don't cross a section: ids and places, numbered through the document. Documents of under
+    LEAST_CHARS characters have none; of chunks of a document with one id the first stays."""
+    d = t.with_sections(spread(read(spark, sf_dir, "documents").where(F.length(F.trim("text")) >= op.LEAST_CHARS)), "text", ["doc_id", "source"])
     d = d.select("doc_id", "source", "at", "section", F.posexplode(op.windows_of(F.col("body"), 1000, 150)).alias("k", "chunk"))
     d = d.select("doc_id", "at", "k", "section", F.length("chunk").alias("chars"), t.passage_id(F.col("source"), F.col("section"), F.col("chunk")).alias("id"))
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "k")) - 1
-    return d.select("doc_id", index.alias("index"), "section", "chars", "id")
+    first = d.groupBy("doc_id", "id").agg(F.min(F.struct("at", "k", "section", "chars")).alias("x"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("x.at", "x.k")) - 1
+    return first.select("doc_id", index.alias("index"), "x.section", "x.chars", "id")
 
 
 def web_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundwell.functions import text as t
 from groundwell.functions.json_text import bound
 from groundwell.operators import retrieval as r
+from groundwell.operators.ranks import ranked_in
 from groundwell.sources.tables import CALLS_SQL, DOMAIN_SQL, PASSAGES_SQL, calls, passages, read, vectors
 
 #: In the order in which they're asked, the preferred one first.
@@ -70,8 +71,8 @@ def papers_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages").select("page_id", F.substring_index(F.coalesce("url", F.lit("")), "/", -1).alias("short_id"), t.domain(F.col("url")).alias("domain"), t.clean(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), t.html_text(F.col("html")).alias("body"))
     p = p.where("title <> '' or body <> ''").select("page_id", "short_id", "domain", F.length("title").alias("title_chars"), F.length("body").alias("chars"))
     wanted = p.where("page_id % 10 = 0").select("short_id").distinct()
-    found = p.join(r.small(wanted), "short_id", "left_semi")
-    return found.select("page_id", "short_id", "domain", "title_chars", "chars")
+    found = ranked_in(p.join(r.small(wanted), "short_id", "left_semi"), "domain", "page_id")
+    return found.select("page_id", "short_id", "domain", "title_chars", "chars", F.round(1 / F.col("rank"), 6).alias("score"))
 
 
 def error_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,7 @@ SELECT search, (['ddgs', 'tavily', 'mirror'])[CAST(provider + 1 AS INT)] AS prov
 g AS (SELECT conv_id, count(*) FILTER (turn % 4 > 0) AS lookups, count(p.key) FILTER (turn % 4 > 0) AS hits FROM c LEFT JOIN p ON c.key = p.key AND version = 1 GROUP BY conv_id) SELECT *, round(coalesce(hits / nullif(lookups, 0), 0.0), 6) AS hit_rate FROM g""",
     "passages_by_id": f"WITH {PASSAGES_SQL} SELECT id, doc_id, source_id FROM passages WHERE id IN (SELECT id FROM passages WHERE doc_id IN (SELECT doc_id FROM labels))",
     "papers_by_id": rf"""WITH p AS (SELECT page_id, split_part(coalesce(url, ''), '/', -1) AS short_id, {DOMAIN_SQL} AS domain, trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, {_BODY} AS body FROM pages),
-k AS (SELECT * FROM p WHERE title <> '' OR body <> '') SELECT page_id, short_id, domain, CAST(length(title) AS INT) AS title_chars, CAST(length(body) AS INT) AS chars FROM k WHERE short_id IN (SELECT short_id FROM k WHERE page_id % 10 = 0)""",
+k AS (SELECT * FROM p WHERE title <> '' OR body <> '') SELECT page_id, short_id, domain, CAST(length(title) AS INT) AS title_chars, CAST(length(body) AS INT) AS chars, round(1.0 / row_number() OVER (PARTITION BY domain ORDER BY page_id), 6) AS score FROM k WHERE short_id IN (SELECT short_id FROM k WHERE page_id % 10 = 0)""",
     "error_actions": f"""WITH e AS (SELECT event_id, ({MESSAGES})[CAST(event_id % 10 + 1 AS INT)] AS m, {_STATUS} AS s, CASE WHEN event_id % 23 = 0 THEN 12.5 END AS h FROM events),
 x AS (SELECT *, lower(m) AS l, TRY_CAST(regexp_extract(m, {_WAIT}, 1) AS DOUBLE) AS mins, TRY_CAST(regexp_extract(m, {_WAIT}, 2) AS DOUBLE) AS secs FROM e)
 SELECT event_id, s AS status, CASE WHEN s = 400 AND regexp_matches(l, 'json_validate_failed|failed to validate json|context_length|too large|overloaded') THEN 'retry_plain' WHEN s = 429 AND regexp_matches(l, 'per day|\\(tpd\\)|\\(rpd\\)|perday') THEN 'switch' WHEN s = 429 AND regexp_matches(l, 'per minute|\\(tpm\\)|\\(rpm\\)|perminute') THEN 'wait'

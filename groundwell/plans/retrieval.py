@@ -13,6 +13,8 @@ from groundwell.sources.work import kept, saved, work_path
 
 DEPTH = 50
 AFTER = "2021-06-01"
+#: Pages have the ids of the first documents, which are the oldest.
+PAGES_AFTER = "2020-03-01"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), domain(F.col("url")).alias("source_domain"))
     p = passages(spark, sf_dir).select("doc_id", "published").join(pages, "doc_id", "left")
     some = [x.source_domain for x in pages.groupBy("source_domain").count().orderBy("source_domain").limit(3).collect()]
-    ok = p.where(r.passes(domains=some, published_after=AFTER)).select(F.col("doc_id").alias("id"))
+    ok = p.where(r.passes(domains=some, published_after=PAGES_AFTER)).select(F.col("doc_id").alias("id"))
     return r.top(_bm25(spark, sf_dir).join(ok, "id", "left_semi"), 10, ["qid"], F.desc("score"), "id")
 
 
@@ -122,10 +124,13 @@ def _route(qid):
 
 
 def route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a question's route lets pass, or all where that is nothing; the first 30, reranked."""
     scored = _bm25(spark, sf_dir).withColumn("route", _route(F.col("qid")))
     p = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_type", "section")
     ok = scored.join(p, "id").withColumn("ok", r.route_filter(F.col("route")))
-    return r.top(r.with_fallback(ok, "ok"), 10, ["qid"], F.desc("score"), "id").select("qid", "id", "route", "score", "rank", "fallback")
+    first = r.top(r.with_fallback(ok, "ok"), 30, ["qid"], F.desc("score"), "id")
+    both = first.join(_docs(spark, sf_dir).withColumnRenamed("text", "passage"), "id").join(r.small(_queries(spark, sf_dir).withColumnRenamed("text", "question")), "qid")
+    return r.rerank(both, 10, 30, r.overlap_logit(F.col("question"), F.col("passage"))).select("qid", "id", "route", "score", "fusion_rank", "rerank_score", "rank", "fallback")
 
 
 def reranked(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
@@ -387,9 +392,10 @@ ORACLE_SQL = {
     "hybrid_filtered": f"""WITH {PASSAGES_SQL}, ok AS (SELECT doc_id AS id FROM passages WHERE published >= '{AFTER}' AND coalesce(section <> 'Abstract', true)),
 ds AS (SELECT q.vec_id AS qid, v.vec_id AS id, {_COS_SQL} AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT id FROM ok)), {_top_sql('dense', 'ds', DEPTH)},
 {_BM25_SQL}, bf AS (SELECT * FROM bm WHERE id IN (SELECT id FROM ok)), {_top_sql('sparse', 'bf', DEPTH)}, {_FUSE_SQL}, {_top_sql('fused', 'fz', 10, 'rrf DESC, id')} {_FUSED_OUT}""",
-    "route_fallback": f"""WITH {_BM25_SQL}, {PASSAGES_SQL}, s AS (SELECT qid, bm.id, {_ROUTE_SQL} AS route, score, source_type, section FROM bm JOIN passages ON bm.id = doc_id),
+    "route_fallback": f"""WITH {_BM25_SQL}, {PASSAGES_SQL}, {_QQ_SQL}, s AS (SELECT qid, bm.id, {_ROUTE_SQL} AS route, score, source_type, section FROM bm JOIN passages ON bm.id = doc_id),
 o AS (SELECT *, CASE route WHEN 'arxiv_meta' THEN source_type = 'arxiv' AND coalesce(section = 'Abstract', false) WHEN 'arxiv_fulltext' THEN source_type = 'arxiv' AND coalesce(section <> 'Abstract', true) WHEN 'web' THEN source_type = 'web' ELSE true END AS ok FROM s),
-w AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY qid) AS fallback FROM o), x AS (SELECT * FROM w WHERE ok OR fallback), {_top_sql('t', 'x', 10)} SELECT qid, id, route, score, rank, fallback FROM t""",
+w AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY qid) AS fallback FROM o), x AS (SELECT * FROM w WHERE ok OR fallback), {_top_sql('t', 'x', 30)}, y AS (SELECT t.qid, t.id, route, score, t.rank AS fusion_rank, fallback, {_OVERLAP_SQL} AS rerank_score FROM t JOIN dt USING (id) JOIN qq ON qq.qid = t.qid),
+{_top_sql('z', 'y', 10, 'rerank_score DESC, fusion_rank')} SELECT qid, id, route, score, fusion_rank, rerank_score, rank, fallback FROM z""",
     "rerank_topk": f"WITH {_RERANK_SQL} SELECT qid, id, fusion_rank, score, rerank_score, rank FROM rr",
     "ir_metrics": f"WITH {_METRICS_SQL} SELECT * FROM ms",
     "expected_ordering": f"WITH {_METRICS_SQL}, o AS (SELECT max(ndcg) FILTER (config = 'R1') AS a, max(ndcg) FILTER (config = 'R2') AS b, max(ndcg) FILTER (config = 'R3') AS c, max(ndcg) FILTER (config = 'R4') AS d FROM ms) SELECT c >= greatest(a, b) AS fusion_helps, d >= c AS rerank_helps FROM o",
@@ -406,7 +412,7 @@ w AS (SELECT *, NOT bool_or(ok) OVER (PARTITION BY qid) AS fallback FROM o), x A
     "bm25_append": f"WITH {_BM25_SQL}, {_top_sql('t', 'bm', 10)} SELECT qid, id, score, rank FROM t",
     "dense_threshold": f"WITH {_DENSE_SQL}, dd AS (SELECT qid, id, score FROM dense WHERE score >= 0.3), {_top_sql('t', 'dd', 10)} SELECT qid, id, score, rank FROM t",
     "domain_filter": f"""WITH {PASSAGES_SQL}, pg AS (SELECT page_id, {DOMAIN_SQL} AS dom FROM pages), dm AS (SELECT DISTINCT dom FROM pg ORDER BY dom LIMIT 3),
-ok AS (SELECT doc_id AS id FROM passages JOIN pg ON page_id = doc_id WHERE dom IN (SELECT dom FROM dm) AND published >= '{AFTER}'), {_BM25_SQL}, bf AS (SELECT * FROM bm WHERE id IN (SELECT id FROM ok)), {_top_sql('t', 'bf', 10)} SELECT qid, id, score, rank FROM t""",
+ok AS (SELECT doc_id AS id FROM passages JOIN pg ON page_id = doc_id WHERE dom IN (SELECT dom FROM dm) AND published >= '{PAGES_AFTER}'), {_BM25_SQL}, bf AS (SELECT * FROM bm WHERE id IN (SELECT id FROM ok)), {_top_sql('t', 'bf', 10)} SELECT qid, id, score, rank FROM t""",
     "retrieve_modes": f"""WITH {_DENSE_SQL}, {_SPARSE_SQL}, lists AS (SELECT 'dense' AS arm, qid, id, rank FROM dense UNION ALL SELECT 'sparse', qid, id, rank FROM sparse),
 md AS (SELECT 'weighted' AS mode, *, CASE arm WHEN 'dense' THEN 0.7 ELSE 1.3 END AS w FROM lists UNION ALL SELECT arm || '_only', *, 1.0 FROM lists),
 sc AS (SELECT mode, qid, id, round(sum(w / (60 + rank)), 9) AS rrf, count(*) = 2 AS two FROM md WHERE qid IN (SELECT item_id FROM benchmark WHERE trim(text) <> '') GROUP BY mode, qid, id)

@@ -107,14 +107,6 @@ def quota_minute_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.minute_windows(calls(spark, sf_dir).select("event_id", "us", "model", "tokens")).select("event_id", "model", "n_minute", "tokens_minute", "oldest")
 
 
-def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay of all calls as accepted ones: which limit each would have met."""
-    c = q.day_totals(q.minute_windows(calls(spark, sf_dir).select("event_id", "us", "model", "tokens")))
-    wait = F.greatest(F.lit(0), F.col("oldest") + q.MINUTE - F.col("us"))
-    reason = q.admission()
-    return c.select("event_id", "model", "day", "n_day", "tokens_day", reason.alias("blocked_by"), F.when(reason.isin("rpm", "tpm"), wait).alias("wait_us"))
-
-
 def day_bucket_tz(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = calls(spark, sf_dir).withColumn("day", q.local_day(F.col("us"), F.col("model")))
     return c.groupBy("model", "day").agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"), F.greatest(F.lit(0), q.TPD - F.sum("tokens")).alias("remaining"))
@@ -163,17 +155,12 @@ def tumbling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.run_windows(spark, sf_dir)
 
 
-def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission by a stateful stream, one call a minute for each run and model; rejected calls leave no trace in the state."""
-    return stream.run_admission(spark, sf_dir)
-
-
 _ZONE = "CASE WHEN model IN ('click', 'purchase') THEN 'America/Los_Angeles' ELSE 'UTC' END"
 _DAY = f"CAST(floor(epoch_us(make_timestamp(us) AT TIME ZONE 'UTC' AT TIME ZONE {_ZONE}) / 86400000000) AS BIGINT)"
 
 QUERIES = {
     f.__name__: f
-    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, trace_log, nodes_visited, route_reasons, event_timeline, quota_minute_window, quota_admission, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream, admission_stream)
+    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, trace_log, nodes_visited, route_reasons, event_timeline, quota_minute_window, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream)
 }
 _TUMBLE = f"WITH {CALLS_SQL} SELECT model, CAST(us // 3600000000 * 3600000000 AS BIGINT) AS start_us, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2"
 _MW = "mw AS (SELECT *, count(*) OVER w - 1 AS n_minute, sum(tokens) OVER w - tokens AS tokens_minute, CASE WHEN count(*) OVER w > 1 THEN min(us) OVER w END AS oldest FROM calls WINDOW w AS (PARTITION BY model ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))"
@@ -196,9 +183,6 @@ ORACLE_SQL = {
 SELECT run, seq, coalesce(any_value(from_node), arg_max(nd, ent) FILTER (ent IS NOT NULL AND (ext IS NULL OR ent > ext)), arg_max(nd, ext) FILTER (ext IS NOT NULL)) AS from_node, any_value(to_node) AS to_node, any_value(reason) AS reason FROM x GROUP BY run, seq""",
     "event_timeline": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT run, CAST(row_number() OVER w AS INT) AS place, type, coalesce(node, to_node) AS node, us - first_value(us) OVER w AS since_us FROM lg WINDOW w AS (PARTITION BY run ORDER BY us, seq)",
     "quota_minute_window": f"WITH {CALLS_SQL}, {_MW} SELECT event_id, model, n_minute, CAST(tokens_minute AS BIGINT) AS tokens_minute, oldest FROM mw",
-    "quota_admission": f"""WITH {CALLS_SQL}, {_MW}, d AS (SELECT *, {_DAY} AS day FROM mw), e AS (SELECT *, count(*) OVER w AS n_day, coalesce(sum(tokens) OVER w, 0) AS tokens_day FROM d WINDOW w AS (PARTITION BY model, day ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, CASE WHEN n_day + 1 > 1000 THEN 'rpd' WHEN tokens_day + tokens > 200000 THEN 'tpd' WHEN n_minute + 1 > 30 THEN 'rpm' WHEN tokens_minute + tokens > 8000 THEN 'tpm' END AS blocked_by FROM e)
-SELECT event_id, model, day, n_day, CAST(tokens_day AS BIGINT) AS tokens_day, blocked_by, CASE WHEN blocked_by IN ('rpm', 'tpm') THEN greatest(0, oldest + 60000000 - us) END AS wait_us FROM f""",
     "day_bucket_tz": f"WITH {CALLS_SQL} SELECT model, {_DAY} AS day, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(greatest(0, 200000 - sum(tokens)) AS BIGINT) AS remaining FROM calls GROUP BY 1, 2",
     "quota_status": f"WITH {CALLS_SQL}, {_SNAP_SQL}" + " UNION ALL ".join(f" SELECT model, '{n}' AS dimension, CAST({n} AS BIGINT) AS used, CAST({cap} AS BIGINT) AS cap, round({n} / {cap}, 6) AS share FROM snap" for n, cap in (("rpm", 30), ("tpm", 8000), ("rpd", 1000), ("tpd", 200000))),
     "quota_reset": f"WITH {CALLS_SQL}, {_SNAP_SQL} SELECT model, round((epoch_us(make_timestamp(CAST(today * 86400000000 AS BIGINT)) AT TIME ZONE {_ZONE}) + 86400000000 - now) / 1000000, 3) AS seconds, CAST(greatest(0, 200000 - tpd) AS BIGINT) AS remaining, CAST(greatest(tpd, 200000) AS BIGINT) AS used_when_exhausted, tpd >= 200000 AS exhausted FROM snap",

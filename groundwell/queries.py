@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwell.plans import calibration, claims, decisions, ingest, providers, records, retrieval, revision, traces
+from groundwell.plans import calibration, claims, decisions, ingest, providers, records, retrieval, revision, runs, stored, traces
 
-_PLANS = (calibration, claims, decisions, ingest, providers, records, retrieval, revision, traces)
+_PLANS = (calibration, claims, decisions, ingest, providers, records, retrieval, revision, runs, stored, traces)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}

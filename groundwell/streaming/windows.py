@@ -1,20 +1,14 @@
-"""Streaming forms: event-time windows with a watermark, and admission of calls with state for each model."""
+"""Streaming forms: event-time windows with a watermark."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from groundwell.sources.tables import read
 from groundwell.sources.work import work_path
 
 LATE = "10 minutes"
-MINUTE = 60_000_000
 
 
 def windowed(c: DataFrame, length: str, slide: str | None = None) -> DataFrame:
@@ -44,43 +38,3 @@ def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.read.schema(schema).parquet(f"{path}/out")
     last = found.groupBy("model", "start_us").agg(F.max(F.struct("batch", "n", "tokens")).alias("x"))
     return last.select("model", "start_us", "x.n", "x.tokens")
-
-
-def admitted_stream(stream: DataFrame, rpm: int, tpm: int) -> DataFrame:
-    """Admission in order of time within a batch, with a state of 60 s for each model and user; a rejected call isn't recorded.
-
-    The state of a key that is idle goes when the watermark passes its last minute. A call that is later than the watermark is not admitted
-    and changes nothing, as it would be counted in a minute that is over."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = deque(zip(*state.get, strict=True)) if state.exists else deque()
-        used = sum(n for _, n in held)
-        rows = pd.concat(frames).sort_values(["us", "event_id"])  # a batch's calls of one key
-        out = []
-        for event, us, tokens in zip(rows.event_id, rows.us, rows.tokens, strict=True):
-            late = us < state.getCurrentWatermarkMs() * 1000
-            while held and held[0][0] < us - MINUTE:
-                used -= held.popleft()[1]
-            ok = not late and len(held) + 1 <= rpm and used + tokens <= tpm
-            if ok:
-                held.append((int(us), int(tokens)))
-                used += int(tokens)
-            out.append((event, key[0], ok))
-        if held:
-            state.update(tuple(map(list, zip(*held, strict=True))))
-            state.setTimeoutTimestamp(max(held[-1][0] // 1000 + MINUTE // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "model", "admitted"])
-
-    timed = stream.withWatermark("ts", LATE)
-    return timed.groupBy("model", "user_id").applyInPandasWithState(run, "event_id long, model string, admitted boolean", "times array<long>, sizes array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_admission(spark: SparkSession, sf_dir: str, rpm: int = 1, tpm: int = 8000) -> DataFrame:
-    path = work_path(spark, "admission")
-    _to_end(admitted_stream(event_stream(spark, sf_dir), rpm, tpm), path, "append")
-    return spark.read.schema("event_id long, model string, admitted boolean").parquet(f"{path}/out").select("event_id", "model", "admitted")

@@ -47,11 +47,14 @@ def test_sentence_windows():
         passages.sentence_windows("x", 5, 5)
 
 
-def test_segment_moves_citations_back():
+def test_segments_move_citations_back(spark):
     a, b = "P" + "a" * 12, "P" + "b" * 12
-    found = passages.segment(f"It rose. [{a}] [{b}] Then it fell [{b}]. End.")
-    assert [(s["text"], s["citations"]) for s in found] == [(f"It rose. [{a}] [{b}]", [a, b]), (f"Then it fell [{b}].", [b]), ("End.", [])]
-    assert passages.segment(None) == []
+    drafts = [(0, f"It rose. [{a}] [{b}] Then it fell [{b}]. End."), (1, None), (2, f"[{a}] leads? [{b}] [{a}]. next one! (Yes)  it\n is"), (3, f"Up. [{a}]"), (4, " \n ")]
+    df = spark.createDataFrame(drafts, "id int, d string").select("id", passages.segments(F.col("d")).alias("s"))
+    got = {r.id: [(x["index"], x.text, x.citations) for x in r.s] for r in df.collect()}
+    assert got[0] == [(0, f"It rose. [{a}] [{b}]", [a, b]), (1, f"Then it fell [{b}].", [b]), (2, "End.", [])]
+    assert got[2] == [(0, f"[{a}] leads? [{b}] [{a}]", [a, b]), (1, ". next one!", []), (2, "(Yes) it is", [])]
+    assert got[3] == [(0, f"Up. [{a}]", [a])] and got[1] == got[4] == []
 
 
 @pytest.mark.parametrize(
