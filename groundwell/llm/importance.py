@@ -7,7 +7,7 @@ among the labelled ones, of all documents. Counts are summed in each task before
 found by counting keys in ever narrower ranges; no task sees all keys.
 
 Defined cases: a null text or one without words has a null weight and is never kept; keys equal to the k-th are all kept;
-repeated rows have one key; without labels the models are equal and the share is 1, so that all with words are kept; an
+repeated rows have one key; rows without an id share one noise value; without labels the models are equal and the share is 1, so that all with words are kept; an
 empty table gives an empty result; other columns aren't looked at. Texts are read in blocks.
 """
 

@@ -6,7 +6,8 @@ both texts' own numbers. N-grams are of letters in lower case, with every other
 ridge regression fits one language against the rest. As the kernel is linear in the presence vector, landmarks and
 coefficients fold into one matrix, and a batch of texts is scored by one product of presence rows and that matrix.
 
-Sample bound: SAMPLE rows in all (four times that if hashes fall badly), spread over the languages; 32 landmarks a language.
+Sample bound: SAMPLE rows in all (four times that if hashes fall badly), spread over the languages (the 1,000 with the most rows, if
+there are more); 32 landmarks a language.
 What a row leaves on the driver is its 4 KB presence row, whatever its length.
 
 The pipeline's filter doesn't use the score, a softmax over the learned languages that is never under 1 / their number. It

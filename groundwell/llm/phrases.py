@@ -42,6 +42,8 @@ RANGES = 1_000_000
 SAMPLE, KEYS = 32 << 20, 20
 PIECE_BREAKS = b".,;:!?\n\x0b\x0c\r"
 PATH_PIECE = 256
+#: Parts of a language that are ranked by themselves before all of it is.
+PARTS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -298,8 +300,11 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     longer = longer.unionByName(of_three).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     exact = lambda c, by: F.col(c).cast("decimal(20,0)") * by
     stays = best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (exact("longer", 100) < exact("a", 80)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = stays.select("lang", "phrase", "a", "b.l", "b.r", "b.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # first within parts of a language, so that what one task ranks in the end is bounded
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    ranked = stays.select("lang", "phrase", "a", "b.l", "b.r", "b.score", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     n = saved(counts.where("k = 0").select(F.col("lang").alias("n_lang"), F.col("f").alias("n")), "words")
     return join_small(ranked, n, F.col("lang") == F.col("n_lang"), "inner").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
