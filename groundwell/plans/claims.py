@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
 from groundwell.operators import passages as op
+from groundwell.operators import retrieval as r
+from groundwell.operators import rules
 from groundwell.plans import decisions, retrieval
 from groundwell.sources.tables import PASSAGES_SQL, PLAN_SQL, passages, plan_rows, read
 
@@ -31,26 +33,13 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("run", ((F.col("pos") - 1) * 3 + F.col("k")).alias("idx"), "pos", (F.col("part") + F.col("k")).alias("seed"), F.col("part").alias("part"), cited.alias("citations"))
 
 
-def verdicts(raw: DataFrame) -> DataFrame:
-    """raw (run, idx, turn, name): the last verdict of each sentence; a name that isn't known is UNSUPPORTED."""
-    last = raw.groupBy("run", "idx").agg(F.max_by("name", "turn").alias("name"))
-    return last.select("run", "idx", F.when(F.col("name").isin(RAW[:-1]), F.col("name")).otherwise("UNSUPPORTED").alias("given"))
-
-
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sentence as discourse, gap or claim. A claim without a citation, a gap statement that cites, and a sentence without a verdict are
-    unsupported; a claim belongs to the owner of its first citation that has one."""
+    """Each sentence as discourse, gap or claim, with its verdict and owner."""
     s = sentences(spark, sf_dir)
     said = F.array(F.when(F.col("seed") % 11 > 0, F.struct(F.lit(1).alias("turn"), _nth(RAW, F.col("seed")).alias("name"))), F.when((F.col("part") % 2 == 0) & (F.col("seed") % 11 > 0), F.struct(F.lit(2).alias("turn"), _nth(RAW, F.col("seed") + 3).alias("name"))))
-    given = verdicts(s.select("run", "idx", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("v")).select("run", "idx", "v.*"))
-    owners = decisions.passage_owner(spark, sf_dir).select("run", "passage", "owner")
-    cited = s.select("run", "idx", F.posexplode("citations").alias("at", "passage")).join(owners, ["run", "passage"])
-    owner = cited.groupBy("run", "idx").agg(F.min_by("owner", "at").alias("owner"))
-    both = s.join(given, ["run", "idx"], "left").join(owner, ["run", "idx"], "left")
-    v, has = F.coalesce("given", F.lit("UNSUPPORTED")), F.size("citations") > 0
-    kind = F.when(v == "NOT_A_CLAIM", "discourse").when((v == "GAP_STATEMENT") & ~has, "gap").otherwise("claim")
-    verdict = F.when(~has | (v == "GAP_STATEMENT"), "UNSUPPORTED").otherwise(v)
-    return both.select("run", "idx", kind.alias("kind"), F.when(kind == "claim", verdict).alias("verdict"), F.when(kind == "claim", F.coalesce(F.concat(F.lit("sq"), F.col("owner").cast("string")), F.lit(""))).alias("owner"))
+    given = rules.last_verdicts(s.select("run", "idx", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("v")).select("run", "idx", "v.*"))
+    owners = decisions.passage_owner(spark, sf_dir).select("run", "passage", F.concat(F.lit("sq"), F.col("owner").cast("string")).alias("owner"))
+    return rules.judged_sentences(s, given, owners)
 
 
 def claim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +121,14 @@ def premise_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.join(said, ["run", "idx"]).select("run", "idx", "centrality", "v.*").join(shown, ["run", "label"], "left").select("run", "idx", "centrality", "verdict", "passage")
 
 
+def premise_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four of ten neighbouring questions as claims: twelve candidates of each, of which four stay after reranking, labelled as they first appear."""
+    claims = read(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 10).alias("run"), (F.col("item_id") % 10).alias("claim"), F.col("item_id").alias("qid"), F.col("text").alias("question")).where("claim < 4")
+    first = r.top(retrieval._bm25(spark, sf_dir), 12, ["qid"], F.desc("score"), "id").join(r.small(claims), "qid")
+    both = first.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage")), "id")
+    return rules.labelled(r.rerank(both, 4, 12, r.overlap_logit(F.col("question"), F.col("passage"))))
+
+
 def premise_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the planner is told: the first four confirmed claims, and the first correction of a core claim that was contradicted."""
     v = premise_verdicts(spark, sf_dir).withColumn("text", F.concat(F.lit("claim "), F.col("idx").cast("string")))
@@ -195,7 +192,7 @@ g AS (SELECT conv_id, turn, 'could not establish: ' || CASE WHEN length(p) > 200
 QUERIES = {
     f.__name__: f
     for f in (
-        claim_verdicts, claim_summary, citation_labels, citation_forms, evidence_for, own_scores, evidence_select, draft_findings, source_list, premise_verdicts, premise_note, evidence_text, question_gaps, banners,
+        claim_verdicts, claim_summary, citation_labels, citation_forms, evidence_for, own_scores, evidence_select, draft_findings, source_list, premise_verdicts, premise_evidence, premise_note, evidence_text, question_gaps, banners,
     )
 }
 
@@ -213,6 +210,9 @@ b AS (SELECT e.run, e.pos, stored, CASE WHEN e.pos % 3 > 0 THEN score ELSE store
     "draft_findings": r"""WITH c AS (SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS norm FROM conversations WHERE role = 'user'),
 f AS (SELECT conv_id, norm, min_by((['SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CONTRADICTED'])[CAST((turn + conv_id) % 4 + 1 AS INT)], turn) AS verdict FROM c WHERE turn % 3 <> 1 GROUP BY ALL) SELECT c.conv_id, c.turn, verdict FROM c LEFT JOIN f ON c.conv_id = f.conv_id AND c.norm = f.norm""",
     "source_list": f"WITH {PLAN_SQL}, {_EV}, {PASSAGES_SQL.replace('p AS (', 'pp AS (', 1).replace('FROM p)', 'FROM pp)')}, f AS (SELECT run, passage, min(pos * 100 + rank) AS first FROM ev WHERE status <> 'abandoned' GROUP BY ALL), n AS (SELECT run, passage, CAST(row_number() OVER (PARTITION BY run ORDER BY first, passage) AS INT) AS number FROM f) SELECT run, number, title, source_id, section FROM n LEFT JOIN (SELECT * FROM passages WHERE doc_id % 5 <> 3) x ON doc_id = passage",
+    "premise_evidence": f"""WITH {retrieval._BM25_SQL}, {retrieval._QQ_SQL}, b12 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS fr FROM bm QUALIFY fr <= 12),
+k AS (SELECT b12.qid, b12.id, fr, {retrieval._OVERLAP_SQL} AS rs FROM b12 JOIN dt USING (id) JOIN qq ON qq.qid = b12.qid), t AS (SELECT qid // 10 AS run, qid % 10 AS claim, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rs DESC, fr) AS INT) AS rank FROM k WHERE qid % 10 < 4 QUALIFY rank <= 4),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY run, id ORDER BY claim, rank) = 1) SELECT run, id, claim, rank, printf('P%02d', row_number() OVER (PARTITION BY run ORDER BY claim, rank, id)) AS label FROM f""",
     "premise_verdicts": f"WITH {PLAN_SQL}, {_PREMISES_SQL} SELECT * FROM pv",
     "premise_note": f"""WITH {PLAN_SQL}, {_PREMISES_SQL}, b AS (SELECT *, verdict = 'CONTRADICTED' AND centrality = 'core' AS bad FROM pv)
 SELECT run, coalesce(array_to_string((list('claim ' || idx ORDER BY idx) FILTER (verdict = 'SUPPORTED'))[1:4], '; '), '') AS established, bool_or(bad) AS warned, min_by('see passage ' || passage, idx) FILTER (bad AND passage IS NOT NULL) AS correction FROM b GROUP BY run""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundwell.functions import text as t
 from groundwell.functions.json_text import bound
 from groundwell.operators import retrieval as r
+from groundwell.operators import rules
 from groundwell.operators.ranks import ranked_in
 from groundwell.sources.tables import CALLS_SQL, DOMAIN_SQL, PASSAGES_SQL, calls, passages, read, vectors
 
@@ -20,7 +21,6 @@ MESSAGES = [
     "Rate limit reached, please try again in 7.425s (TPM)", "try again in 1m2.5s: tokens per day", "Rate limit reached", "json_validate_failed: bad output", "context_length exceeded", "overloaded", "bad request", "Try again in 2m", "server error", "Connection reset",
 ]
 STATUSES = [429, 429, 429, 400, 400, 503, 400, 429, 500, None, 401]
-RETRY = [500, 502, 503]
 REQUIRED = ["k", "v"]
 
 
@@ -36,8 +36,7 @@ def provider_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select("page_id", "search", "provider", "url", F.coalesce(F.nullif(raw, F.lit("")), F.nullif(F.substring("body", 1, 80), F.lit(""))).alias("content"))
     ok = p.where(F.col("content").isNotNull() & (F.col("url") != "") & ((F.col("search") + F.col("provider")) % 5 > 0))
     ok = ok.select("page_id", "search", "provider", F.md5("content").alias("content_md5"))
-    first = ok.groupBy("search").agg(F.min("provider").alias("provider"))
-    return ok.join(first, ["search", "provider"]).select("search", F.element_at(F.array(*map(F.lit, PROVIDERS)), F.col("provider") + 1).alias("provider"), "page_id", "content_md5")
+    return rules.first_provider(ok, "search", "provider").select("search", F.element_at(F.array(*map(F.lit, PROVIDERS)), F.col("provider") + 1).alias("provider"), "page_id", "content_md5")
 
 
 def search_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,23 +78,8 @@ def error_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do about an error, by status and message: try again, in plain form, wait, go to another model (for good or for now), or give up.
     And for how long the provider asks to wait, a minute if it doesn't say."""
     e = calls(spark, sf_dir).select("event_id", _nth(MESSAGES, F.col("event_id")).alias("message"), _nth(STATUSES, F.col("event_id") + F.floor(F.col("event_id") / 10)).alias("status"), F.when(F.col("event_id") % 23 == 0, F.lit("12.5")).when(F.col("event_id") % 29 == 0, F.lit("soon")).alias("header"))
-    low, s = F.lower("message"), F.col("status")
-    says = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words])
-    action = (
-        F.when((s == 400) & says("json_validate_failed", "failed to validate json", "context_length", "too large", "overloaded"), "retry_plain")
-        .when((s == 429) & says("per day", "(tpd)", "(rpd)", "perday"), "switch")
-        .when((s == 429) & says("per minute", "(tpm)", "(rpm)", "perminute"), "wait")
-        .when(s == 429, "switch_keep")
-        .when(s.isin(401, 403), "fatal")
-        .when(s.isin(*RETRY), "retry")
-        .when(says("timeout", "connection"), "retry")
-        .when(s.between(400, 499), "fatal")
-        .otherwise("retry")
-    )
-    part = lambda n: F.nullif(F.regexp_extract("message", r"(?i)try again in\s+(?:(\d+(?:\.\d+)?)m)?\s*(?:(\d+(?:\.\d+)?)s)?", n), F.lit("")).cast("double")
-    asked = F.when(part(1).isNotNull() | part(2).isNotNull(), F.coalesce(part(1), F.lit(0.0)) * 60 + F.coalesce(part(2), F.lit(0.0)))
-    header = F.expr("try_cast(header AS double)")
-    return e.select("event_id", "status", action.alias("action"), F.coalesce(F.when(header.isNotNull(), F.greatest(F.lit(0.0), header)), asked, F.lit(60.0)).alias("wait"))
+    e = e.withColumn("kind", F.when(F.col("message") == "Connection reset", "ConnectionError").otherwise("APIError"))
+    return e.select("event_id", "status", rules.error_action(F.col("status"), F.col("message"), F.col("kind")).alias("action"), rules.error_wait(F.col("message"), F.col("header")).alias("wait"))
 
 
 def class_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +135,7 @@ k AS (SELECT * FROM p WHERE title <> '' OR body <> '') SELECT page_id, short_id,
     "error_actions": f"""WITH e AS (SELECT event_id, ({MESSAGES})[CAST(event_id % 10 + 1 AS INT)] AS m, {_STATUS} AS s, CASE WHEN event_id % 23 = 0 THEN 12.5 END AS h FROM events),
 x AS (SELECT *, lower(m) AS l, TRY_CAST(regexp_extract(m, {_WAIT}, 1) AS DOUBLE) AS mins, TRY_CAST(regexp_extract(m, {_WAIT}, 2) AS DOUBLE) AS secs FROM e)
 SELECT event_id, s AS status, CASE WHEN s = 400 AND regexp_matches(l, 'json_validate_failed|failed to validate json|context_length|too large|overloaded') THEN 'retry_plain' WHEN s = 429 AND regexp_matches(l, 'per day|\\(tpd\\)|\\(rpd\\)|perday') THEN 'switch' WHEN s = 429 AND regexp_matches(l, 'per minute|\\(tpm\\)|\\(rpm\\)|perminute') THEN 'wait'
-  WHEN s = 429 THEN 'switch_keep' WHEN s IN (401, 403) THEN 'fatal' WHEN s IN (500, 502, 503) THEN 'retry' WHEN regexp_matches(l, 'timeout|connection') THEN 'retry' WHEN s BETWEEN 400 AND 499 THEN 'fatal' ELSE 'retry' END AS action,
+  WHEN s = 429 THEN 'switch_keep' WHEN s IN (401, 403) THEN 'fatal' WHEN s IN (500, 502, 503) THEN 'retry' WHEN m = 'Connection reset' THEN 'retry' WHEN s BETWEEN 400 AND 499 THEN 'fatal' ELSE 'retry' END AS action,
   CAST(coalesce(h, CASE WHEN mins IS NOT NULL OR secs IS NOT NULL THEN coalesce(mins, 0) * 60 + coalesce(secs, 0) END, 60.0) AS DOUBLE) AS wait FROM x""",
     "class_probability": """WITH v AS (SELECT vec_id AS id, CAST(embedding[1:CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 3 END] AS DOUBLE[]) AS z, CAST(CASE WHEN vec_id % 11 = 0 THEN 5 ELSE label % 3 END AS INT) + 1 AS w FROM embeddings), e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM v)
 SELECT id, round(CASE WHEN len(z) = 1 THEN z[1] ELSE coalesce(e[w] / list_sum(e), 0.0) END, 6) AS p FROM e""",

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from groundwell.functions.text import STOPWORDS, domain, tokens
 from groundwell.operators import features as fs
+from groundwell.operators import ranker
 from groundwell.operators import retrieval as r
+from groundwell.operators.conflicts import conflicts
 from groundwell.sources.tables import DOMAIN_SQL, PASSAGES_SQL, passages, read, vectors
 from groundwell.sources.work import kept, saved, work_path
 
 DEPTH = 50
 AFTER = "2021-06-01"
-#: Pages have the ids of the first documents, which are the oldest.
+#: Pages and vectors have the ids of the first documents, which are the oldest.
 PAGES_AFTER = "2020-03-01"
 
 
@@ -176,6 +178,25 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("config").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "recall", "strict_recall", "mrr")])
 
 
+def fitted_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
+    """R5: the fused candidates in the order of a ranker that was fitted on the graded ones of even questions. config, qid, id, rank, and the weights."""
+    both = saved(r.fused(saved(_dense(spark, sf_dir), "dense"), saved(_sparse(spark, sf_dir), "sparse"), 40), "fused")
+    texts = both.join(_docs(spark, sf_dir).withColumnRenamed("text", "passage"), "id", "left").join(r.small(_queries(spark, sf_dir).withColumnRenamed("text", "question")), "qid")
+    held = saved(ranker.with_features(texts, "question", "passage").select("qid", "id", F.col("rank").alias("fusion_rank"), *[f"f_{f}" for f in ranker.FEATURES]), "features")
+    graded = _graded(held, spark, sf_dir).withColumn("grade", F.coalesce("grade", F.lit(0)))
+    weights = ranker.fit(graded.where("qid % 2 = 0"))
+    r5 = r.top(held.withColumn("score", ranker.score(weights)), 20, ["qid"], F.desc("score"), "fusion_rank")
+    r3 = held.where("fusion_rank <= 20").select(F.lit("R3").alias("config"), "qid", "id", F.col("fusion_rank").alias("rank"))
+    return r3.unionByName(r5.select(F.lit("R5").alias("config"), "qid", "id", "rank")), weights
+
+
+def fitted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of fusion (R3) and of the fitted ranker over it (R5) on the odd questions, which it hasn't seen."""
+    runs = fitted_order(spark, sf_dir)[0].where("qid % 2 = 1")
+    m = r.metrics(_graded(runs, spark, sf_dir), _grade_counts(spark, sf_dir))
+    return m.groupBy("config").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "recall", "strict_recall", "mrr")])
+
+
 def expected_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = ir_metrics(spark, sf_dir).groupBy().pivot("config", ["R1", "R2", "R3", "R4"]).agg(F.max("ndcg"))
     return m.select((F.col("R3") >= F.greatest("R1", "R2")).alias("fusion_helps"), (F.col("R4") >= F.col("R3")).alias("rerank_helps"))
@@ -289,6 +310,12 @@ def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(spark, sf_dir, reranked(spark, sf_dir))
 
 
+def evidence_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of a question's evidence that say the same but for a number, a negation or a date."""
+    p = passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "text")
+    return conflicts(reranked(spark, sf_dir).select("qid", "id").join(p, "id"))
+
+
 def pairs_of(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
     e = best.join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "text"), "id")
     numbers = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"[0-9]+"), F.lit(0)))
@@ -381,7 +408,7 @@ QUERIES = {
     "rerank_topk": rerank_topk, "ir_metrics": ir_metrics, "expected_ordering": expected_ordering, "pooled_candidates": pooled_candidates, "qrels_coverage": qrels_coverage,
     "judged_but_missing": judged_but_missing, "label_health_rollup": label_health_rollup, "sufficiency_features": sufficiency_features, "feature_vector": feature_vector, "contradiction_pairs": contradiction_pairs,
     "label_pool": label_pool, "label_pool_coverage": label_pool_coverage, "bm25_indexed": bm25_indexed, "bm25_append": bm25_append, "dense_threshold": dense_threshold, "domain_filter": domain_filter,
-    "retrieve_modes": retrieve_modes, "corpus_types": corpus_types, "judgments_loaded": judgments_loaded, "judgment_totals": judgment_totals,
+    "evidence_conflicts": evidence_conflicts, "fitted_metrics": fitted_metrics, "retrieve_modes": retrieve_modes, "corpus_types": corpus_types, "judgments_loaded": judgments_loaded, "judgment_totals": judgment_totals,
 }
 
 ORACLE_SQL = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
 from groundwell.operators import decisions as d
+from groundwell.operators import rules
 from groundwell.plans import decisions, records
 from groundwell.sources.tables import CALLS_SQL, PLAN_SQL, calls, plan_rows, read
 
@@ -35,17 +36,8 @@ def plan_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = p.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     p = p.join(target, "run", "left").join(n, "run").withColumn("hit", F.coalesce(F.col("pos") == F.col("target"), F.lit(False))).withColumn("action", _nth(ACTIONS, F.col("run")))
     into = F.col("part") % 5 + 1
-    parts = F.least(F.lit(3), F.col("part") % 5)
-    row = lambda id_, status, rounds, covered, gap: F.struct(id_.alias("id"), status.alias("status"), rounds.cast("int").alias("rounds"), covered.cast("string").alias("covered_by"), gap.alias("gap"))
-    none, zero, given_up = F.lit(None), F.lit(0), F.lit("abandoned")
-    one = _sq(F.col("pos"))
-    kept = F.array(row(one, F.col("status"), F.col("rounds"), none, F.lit(False)))
-    lost = F.array(row(one, given_up, F.col("rounds"), none, F.lit(True)))
-    rewritten = F.when(F.col("part") % 2 == 0, F.array(row(one, F.lit("pending"), zero, none, F.lit(False)))).otherwise(lost)
-    children = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), parts).cast("int")), lambda i: row(F.concat(one, F.lit("."), i.cast("string")), F.lit("pending"), zero, none, F.lit(False)))
-    merged = F.when(into <= F.col("n"), F.array(row(one, given_up, F.col("rounds"), _sq(into), F.lit(False)))).otherwise(lost)
-    new = F.when(~F.col("hit"), kept).when(F.col("action") == "REWRITE", rewritten).when(F.col("action") == "SPLIT", F.when(parts < 2, lost).otherwise(children)).when(F.col("action") == "MERGE", merged).otherwise(lost)
-    return p.select("run", F.explode(new).alias("x")).select("run", "x.*")
+    p = p.select("run", _sq(F.col("pos")).alias("id"), "status", "rounds", "hit", "action", (F.col("part") % 2 == 0).alias("differs"), (F.col("part") % 5).alias("parts"), F.when(into <= F.col("n"), _sq(into)).alias("into"))
+    return rules.rewritten_plan(p)
 
 
 def covered_by(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,14 +68,11 @@ def revisions_remain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = decisions.findings(spark, sf_dir).join(plan_rows(spark, sf_dir).select("run", "pos", "part", "rounds", "status"), ["run", "pos"]).join(_flags(spark, sf_dir), "run")
     asked = F.when(F.col("verdict") == "SUPPORTED", "ACCEPT").otherwise(_nth(ROUTES[1:], F.col("part") + F.col("claim")))
-    open_ = ~F.col("decided") & (F.col("pool") > 0)
-    available = F.array_compact(F.array(*map(F.lit, ("ACCEPT", "DROP_CLAIM", "HEDGE", "UNRESOLVED")), F.when(open_, "RE_RETRIEVE"), F.when(open_ & (F.col("done") < F.col("ceiling")), "REVISE_PLAN")))
+    available = rules.available_actions(~F.col("decided") & (F.col("pool") > 0), F.col("done") < F.col("ceiling"))
     owned = F.col("part") % 6 > 0
     query = F.when(F.col("part") % 5 == 0, " ").otherwise(F.concat(F.lit(" Q"), (F.col("part") % 4).cast("string"), F.lit(" ")))
     tried = F.slice(F.array(F.lit("q0 "), F.lit("Q1"), F.lit("q2")), 1, F.least(F.lit(3), F.col("rounds")))
-    again = (F.trim(query) == "") | F.array_contains(F.transform(tried, lambda x: F.lower(F.trim(x))), F.lower(F.trim(query)))
-    costly = asked.isin("RE_RETRIEVE", "REVISE_PLAN")
-    gate = F.when(~F.array_contains(available, asked), "unavailable").when(costly & ~owned, "no owner").when((asked == "RE_RETRIEVE") & again, "no new query")
+    gate = rules.claim_gate(asked, available, owned, query, tried)
     return f.select("run", "pos", "claim", "status", "verdict", asked.alias("asked"), gate.alias("gate"), F.when(gate.isNotNull(), "UNRESOLVED").otherwise(asked).alias("action"), owned.alias("owned"), F.size(available).alias("available"))
 
 
@@ -97,13 +86,7 @@ def router_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def router_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan after the router: claims in order reopen their question or make it insufficient; the verdict that retrieval had reached is kept,
     once. Whether the run needs more work, and so loses its draft."""
-    r = _routed(spark, sf_dir).where("owned and action in ('RE_RETRIEVE', 'REVISE_PLAN')")
-    last = r.groupBy("run", "pos").agg(F.max_by("action", "claim").alias("last"), F.max(F.when(F.col("action") == "RE_RETRIEVE", F.col("claim"))).alias("reopened"), F.min(F.when(F.col("action") == "REVISE_PLAN", F.col("claim"))).alias("revised"))
-    p = plan_rows(spark, sf_dir).select("run", "pos", "status").join(last, ["run", "pos"], "left")
-    before = F.when(F.coalesce(F.col("revised") < F.col("reopened"), F.lit(False)), "insufficient").when(F.col("status").isin("abandoned", "insufficient", "sufficient"), F.col("status"))
-    now = F.when(F.col("last") == "RE_RETRIEVE", "in_progress").when(F.col("last") == "REVISE_PLAN", "insufficient").otherwise(F.col("status"))
-    work = F.max(F.col("last").isNotNull().cast("int")).over(Window.partitionBy("run")) == 1
-    return p.select("run", "pos", now.alias("status"), F.when(F.col("reopened").isNotNull(), before).alias("reopened_from"), work.alias("draft_cleared"))
+    return rules.routed_plan(plan_rows(spark, sf_dir), _routed(spark, sf_dir).where("owned"))
 
 
 def partial_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:

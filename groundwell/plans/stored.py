@@ -34,7 +34,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def some():
-    return r.passes(published_after=pr.AFTER, exclude_sections=["Abstract"])
+    return r.passes(published_after=pr.PAGES_AFTER, exclude_sections=["Abstract"])
 
 
 def dense_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ SELECT run, q.qid, routes[r] AS route, status, rounds, array_to_string(tried, '>
 ORACLE_SQL = {
     "bm25_blocks": pr.ORACLE_SQL["bm25_topk"],
     "bm25_upsert": pr.ORACLE_SQL["bm25_topk"],
-    "dense_indexed_exact": f"""WITH {PASSAGES_SQL}, ok AS (SELECT doc_id AS id FROM passages WHERE published >= '{pr.AFTER}' AND coalesce(section <> 'Abstract', true)),
+    "dense_indexed_exact": f"""WITH {PASSAGES_SQL}, ok AS (SELECT doc_id AS id FROM passages WHERE published >= '{pr.PAGES_AFTER}' AND coalesce(section <> 'Abstract', true)),
 s AS (SELECT q.vec_id AS qid, v.vec_id AS id, {pr._COS_SQL} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND v.vec_id IN (SELECT id FROM ok)), {pr._top_sql("t", "s", 10)} SELECT qid, id, score, rank FROM t""",
     "retrieval_rounds": _ROUNDS_SQL,
 }

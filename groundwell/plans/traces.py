@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwell.operators import quota as q
 from groundwell.operators import retrieval as r
+from groundwell.operators.ranks import last_before, ranked_in
 from groundwell.sources.tables import CALLS_SQL, calls
 from groundwell.sources.work import work_path
 from groundwell.streaming import windows as stream
@@ -33,23 +34,22 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enter and exit of each run and node: a node's events in order, in pairs."""
-    n = F.row_number().over(Window.partitionBy("user_id", "model").orderBy("us", "event_id"))
-    paired = calls(spark, sf_dir).withColumn("span", F.ceil(n / 2).cast("int"))
+    """Enter and exit of each run and node: a node's events in order, in pairs. trace_spans has spans by a stack."""
+    c = calls(spark, sf_dir).select("event_id", "user_id", "model", "us", F.struct("user_id", "model").alias("node"))
+    paired = ranked_in(c, "node", "us", "event_id").withColumn("span", F.ceil(F.col("rank") / 2).cast("int"))
     return paired.groupBy("user_id", "model", "span").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("enter_us"), F.when(F.count(F.lit(1)) == 2, F.max("us") - F.min("us")).alias("duration_us"))
 
 
 def route_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a run goes from one node to the next."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    return calls(spark, sf_dir).select(F.lag("model").over(w).alias("from_node"), F.col("model").alias("to_node")).where("from_node is not null").groupBy("from_node", "to_node").agg(F.count(F.lit(1)).alias("n"))
+    c = last_before(calls(spark, sf_dir).select("event_id", "user_id", "model", "us"), "user_id", "model", "from_node", "us", "event_id")
+    return c.where("from_node is not null").groupBy("from_node", F.col("model").alias("to_node")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def route_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each error, the last other node of the run before it."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    c = calls(spark, sf_dir).withColumn("origin", F.last(F.when(F.col("model") != "error", F.col("model")), ignorenulls=True).over(w))
-    return c.where("model = 'error'").select("event_id", "user_id", "origin")
+    c = calls(spark, sf_dir).select("event_id", "user_id", "us", "model", F.when(F.col("model") != "error", F.col("model")).alias("other"))
+    return last_before(c, "user_id", "other", "origin", "us", "event_id").where("model = 'error'").select("event_id", "user_id", "origin")
 
 
 LOG = "seq long, run long, us long, type string, node string, surface string, from_node string, to_node string, reason string, tokens long"
@@ -99,8 +99,9 @@ def route_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each run in order, with the time since its first."""
-    w = Window.partitionBy("run").orderBy("us", "seq")
-    return _log(spark, sf_dir).select("run", F.row_number().over(w).alias("place"), "type", F.coalesce("node", "to_node").alias("node"), (F.col("us") - F.first("us").over(w)).alias("since_us"))
+    log = _log(spark, sf_dir).select("run", "us", "seq", "type", F.coalesce("node", "to_node").alias("node"))
+    first = log.groupBy("run").agg(F.min("us").alias("first_us"))
+    return ranked_in(log, "run", "us", "seq").join(first, "run").select("run", F.col("rank").alias("place"), "type", "node", (F.col("us") - F.col("first_us")).alias("since_us"))
 
 
 def quota_minute_window(spark: SparkSession, sf_dir: str) -> DataFrame:

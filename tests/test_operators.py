@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
-from groundwell.operators import calibration, decisions, passages, quota, retrieval
+from groundwell.operators import calibration, decisions, passages, quota, ranks, retrieval
 
 
 def one(spark, column, **values):
@@ -119,6 +119,18 @@ def test_ranks_of_a_large_group(spark):
         assert [n for _, n in mine] == list(range(1, len(mine) + 1)) and mine
 
 
+def test_last_value_before(spark):
+    """In a large group, small ones, and one without a key."""
+    rng = np.random.default_rng(8)
+    rows = [(int(g) if g < 6 else None, int(t), k, "xyz"[k % 3] if rng.random() < 0.4 else None) for k, (g, t) in enumerate(zip(rng.choice([1, 1, 1, 1, 2, 3, 9], 3000), rng.integers(0, 500, 3000), strict=True))]
+    want, last = {}, {}
+    for g, t, k, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[k] = last.get(g)
+        last[g] = v or last.get(g)
+    df = spark.createDataFrame(rows, "g int, t int, k int, v string")
+    assert {r.k: r.before for r in ranks.last_before(df, "g", "v", "before", "t", "k").collect()} == want
+
+
 def test_filters_on_nulls(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "Abstract", "2024-01-01"), (3, "Method", "2020-01-01")], "id int, section string, published string")
     ids = lambda **f: sorted(r.id for r in rows.where(retrieval.passes(**f)).collect())
