@@ -133,7 +133,8 @@ def compacted(spark: SparkSession, path: str, to: str | None = None) -> str:
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, counts: dict | None = None) -> DataFrame:
-    """The k best by BM25 of queries (qid, text): qid, id, score, rank. counts gets `of`, the postings of the questions' terms, and `scored`, those that were read."""
+    """The k best by BM25 of queries (qid, text): qid, id, score, rank. counts gets `of`, how many postings the questions' terms have, summed over the
+    questions, and `scored`, how many of them met their question."""
     n, length = live(spark, path).agg(F.count(F.lit(1)), F.avg("dl")).first()
     asked = saved(query_terms(queries), "asked")
     parts = [r.part for r in asked.select(index_part(F.col("term")).alias("part")).distinct().collect()]  # INDEX_PARTS at most
@@ -166,14 +167,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, counts: d
     more = rest.groupBy("qid").agg(F.sum("bound").alias("more"), F.max("floor").alias("floor"))
     found = scored(only(heavy), heavy).join(small(more), "qid", "left")
     found = saved(found.where(F.col("floor").isNull() | (F.col("score") + F.col("more") >= F.col("floor") - 1e-5)).select("qid", "id", "score"), "found")
-    near = saved(found.withColumn("bucket", F.shiftright("id", BITS)).join(small(rest.select("qid", "term")), "qid").select("term", "bucket").distinct(), "near")
-    added = blocks.join(small(near), ["term", "bucket"], "left_semi")
+    near = saved(found.select("qid", F.shiftright("id", BITS).alias("bucket")).distinct().join(small(rest.select("qid", "term", "weight")), "qid"), "near")
     if counts is not None:
-        total = lambda rows: rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        counts["of"] = total(bounds)
-        whole = heavy.select("term").distinct()
-        counts["scored"] = total(bounds.join(whole, "term", "left_semi")) + total(bounds.join(whole, "term", "left_anti").join(near, ["term", "bucket"], "left_semi"))
-    extra = scored(added, rest).withColumnRenamed("score", "extra")
+        total = lambda which, *on: which.join(bounds, list(on)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        counts["of"], counts["scored"] = total(weighed.select("qid", "term"), "term"), total(heavy.select("qid", "term"), "term") + total(near, "term", "bucket")
+    added = _living(_exploded(blocks.join(small(near), ["term", "bucket"]), "qid", "weight"), spark, path)
+    extra = added.groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * impact("tf", "dl")), 9).alias("extra"))
     both = found.join(extra, ["qid", "id"], "left").select("qid", "id", F.round(F.col("score") + F.coalesce("extra", F.lit(0.0)), 6).alias("score")).where("score > 0")
     return top(both, k, ["qid"], F.desc("score"), "id")
 
