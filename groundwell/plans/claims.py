@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
+from groundwell.operators import drafts as dr
 from groundwell.operators import passages as op
 from groundwell.operators import retrieval as r
 from groundwell.operators import rules
@@ -19,7 +20,6 @@ RAW = ["SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED", "NOT_A_CLAIM", "GA
 STRAY = ["", " [citation needed]", " [UNRESOLVED]", " [Pabcdefabcdef]", " [3]"]
 #: Forms of citations that models write, and the form that is wanted.
 FORMS = {" [P1, P3]": " [P01][P03]", " 【P7】": " [P07]", " (P5 and P12)": " [P05][P12]", " [P2-P4; P9]": " [P02][P03][P04][P09]", " [P1-P99]": " [P1-P99]", " [P08]": " [P08]"}
-BANNERS = {"premise": "Rests on a false premise", "system_failure": "The run failed", "no_evidence": "No evidence was found", "ANSWER": "Answered", "PARTIAL": "Answered in part", "ABSTAIN": "Not answered"}
 
 
 def _nth(values: list, at: Column) -> Column:
@@ -43,19 +43,14 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each run: claims that stay (contradicted ones are dropped), those supported, marked and dropped, and its other sentences."""
-    is_in = lambda c, *v: F.sum(F.coalesce(F.col(c).isin(*v), F.lit(False)).cast("int"))
-    claims = is_in("kind", "claim")
-    return claim_verdicts(spark, sf_dir).groupBy("run").agg((claims - is_in("verdict", "CONTRADICTED")).alias("kept"), is_in("verdict", "SUPPORTED").alias("supported"), is_in("verdict", "PARTIAL", "UNSUPPORTED").alias("marked"), is_in("verdict", "CONTRADICTED").alias("dropped"), is_in("kind", "discourse").alias("discourse"), is_in("kind", "gap").alias("gaps"))
+    return dr.claim_counts(claim_verdicts(spark, sf_dir))
 
 
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels that a draft cites, as the passages they stand for in order; labels beyond the list are taken out and counted."""
-    shown = decisions.round_robin_evidence(spark, sf_dir).select("run", "place", "passage")
-    cited = shown.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.explode(F.sequence(F.lit(1), (F.col("run") % 14 + 1).cast("int"))).alias("place"))
-    both = cited.join(shown, ["run", "place"], "left")
-    known = F.transform(F.sort_array(F.collect_list(F.when(F.col("passage").isNotNull(), F.struct("place", "passage")))), lambda x: x["passage"].cast("string"))
-    return both.groupBy("run").agg(F.array_join(known, ",").alias("passages"), F.sum(F.col("passage").isNull().cast("int")).alias("unknown"))
+    """Labels that a draft cites (the first ones of its run), as the passages they stand for."""
+    shown = decisions.round_robin_evidence(spark, sf_dir)
+    cited = shown.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), (F.col("run") % 14 + 1).cast("int"))).alias("place"))
+    return dr.cited_passages(cited, shown).select("run", F.array_join(F.col("passages").cast("array<string>"), ",").alias("passages"), "unknown")
 
 
 def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,38 +64,25 @@ def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of each question in its order; a question without a list gets the run's passages that were stored under it, by passage."""
     held = decisions.evidence(spark, sf_dir)
-    stored = held.select("run", "passage").distinct().withColumn("pos", (F.col("passage") % 7 + 1).cast("int"))
-    listed = held.select("run", "pos", "rank", "passage", F.lit(False).alias("fallback"))
-    none = plan_rows(spark, sf_dir).where("supp % 5 = 0").select("run", "pos").join(stored, ["run", "pos"])
-    rank = F.row_number().over(Window.partitionBy("run", "pos").orderBy("passage"))
-    return listed.unionByName(none.select("run", "pos", rank.alias("rank"), "passage", F.lit(True).alias("fallback")))
+    stored = held.select("run", (F.col("passage") % 7 + 1).cast("int").alias("pos"), "passage")
+    return dr.evidence_of(plan_rows(spark, sf_dir), held, stored)
 
 
 def own_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best score of each question's evidence, by its own scores where it has them, or else by those of the question that came first."""
     e = decisions.evidence(spark, sf_dir).withColumn("score", F.round((F.col("passage") * 7 + F.col("pos")) % 10 / 2, 6))
-    first = e.groupBy("run", "passage").agg(F.min_by("score", F.struct("pos", "rank")).alias("stored"))
-    own = e.where("pos % 3 > 0").groupBy("run", "pos").agg(F.map_from_entries(F.collect_list(F.struct("passage", "score"))).alias("own"))
-    both = e.join(first, ["run", "passage"]).join(own, ["run", "pos"], "left")
-    score = F.coalesce(F.try_element_at("own", F.col("passage")), F.col("stored"))
-    return both.groupBy("run", "pos").agg(F.max(score).alias("f1"), F.sum((score != F.col("stored")).cast("int")).alias("overridden"))
+    return dr.best_scores(e, e.where("pos % 3 > 0"))
 
 
 def evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages that a draft is written from: those of live questions in plan order, then the others, each once, 24 at most."""
-    dead = (F.col("status") == "abandoned").cast("int")
-    first = decisions.evidence(spark, sf_dir).groupBy("run", "passage").agg(F.min(F.struct(dead.alias("dead"), "pos", "rank")).alias("at"))
-    place = F.row_number().over(Window.partitionBy("run").orderBy("at.dead", "at.pos", "at.rank", "passage"))
-    return first.withColumn("place", place).where("place <= 24").select("run", "passage", "place", (F.col("at.dead") == 0).alias("live"))
+    """The passages that a draft is written from."""
+    return dr.selected(decisions.evidence(spark, sf_dir))
 
 
 def draft_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's turns as a draft, joined to findings on the text in lower case without extra blanks; of several findings the first."""
-    c = read(spark, sf_dir, "conversations").where("role = 'user'")
-    norm = F.md5(F.lower(t.clean(F.col("text"))))
-    found = c.where("turn % 3 <> 1").select("conv_id", "turn", norm.alias("norm"), _nth(RAW[:4], F.col("turn") + F.col("conv_id")).alias("verdict"))
-    first = found.groupBy("conv_id", "norm").agg(F.min_by("verdict", "turn").alias("verdict"))
-    return c.select("conv_id", "turn", norm.alias("norm")).join(first, ["conv_id", "norm"], "left").select("conv_id", "turn", "verdict")
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("draft"), F.col("turn").alias("at"), "text", _nth(RAW[:4], F.col("turn") + F.col("conv_id")).alias("verdict"))
+    return dr.with_findings(c, c.where("at % 3 <> 1")).select(F.col("draft").alias("conv_id"), F.col("at").alias("turn"), "verdict")
 
 
 def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +96,20 @@ def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def premise_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four questions of a run as claims, with verdicts by number: numbers out of range are dropped, labels become passages, unknown ones go."""
     p = plan_rows(spark, sf_dir)
-    claims = p.where("pos <= 4").select("run", (F.col("pos") - 1).alias("idx"), F.when(F.col("kind") == "background", "background").otherwise("core").alias("centrality"))
-    said = p.select("run", "pos", (F.col("part") % 6).cast("int").alias("idx"), _nth(["SUPPORTED", "UNVERIFIABLE", "CONTRADICTED"], F.col("supp")).alias("verdict"), (F.col("part") % 16).cast("int").alias("label"))
-    said = said.groupBy("run", "idx").agg(F.max_by(F.struct("verdict", "label"), "pos").alias("v"))
-    shown = decisions.round_robin_evidence(spark, sf_dir).select("run", F.col("place").alias("label"), "passage")
-    return claims.join(said, ["run", "idx"]).select("run", "idx", "centrality", "v.*").join(shown, ["run", "label"], "left").select("run", "idx", "centrality", "verdict", "passage")
+    claims = p.select("run", (F.col("pos") - 1).alias("idx"), F.col("kind").alias("centrality"))
+    said = p.select("run", F.col("pos").alias("at"), (F.col("part") % 6).cast("int").alias("idx"), _nth(["SUPPORTED", "UNVERIFIABLE", "CONTRADICTED"], F.col("supp")).alias("verdict"), (F.col("part") % 16).cast("int").alias("label"))
+    return dr.premises(claims, said, decisions.round_robin_evidence(spark, sf_dir))
+
+
+def premise_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model lists as a question's premises (the turns of a conversation, every third as a bare string, every fifth without a text), read from its reply."""
+    c = read(spark, sf_dir, "conversations").where("turn < 12").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.when(F.col("turn") % 2 == 0, "Incidental").when(F.col("turn") % 7 != 0, "core")
+    whole = F.to_json(F.struct(F.when(F.col("turn") % 5 == 4, "  ").otherwise(F.col("text")).alias("text"), said.alias("centrality")))
+    item = F.when(F.col("turn") % 3 == 2, F.concat(F.lit('"'), F.md5("text"), F.lit('"'))).otherwise(whole)
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("x")))), lambda v: v["x"]), ",")
+    replies = c.groupBy(F.col("conv_id").alias("run")).agg(F.concat(F.lit('{"presuppositions":['), one, F.lit("]}")).alias("reply"))
+    return dr.extracted_premises(replies).select(F.col("run").alias("conv_id"), "idx", F.md5("text").alias("text_md5"), "centrality")
 
 
 def premise_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,44 +122,32 @@ def premise_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def premise_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the planner is told: the first four confirmed claims, and the first correction of a core claim that was contradicted."""
-    v = premise_verdicts(spark, sf_dir).withColumn("text", F.concat(F.lit("claim "), F.col("idx").cast("string")))
-    confirmed = F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("verdict") == "SUPPORTED", F.struct("idx", "text")))), lambda x: x["text"]), 1, 4)
-    bad = (F.col("verdict") == "CONTRADICTED") & (F.col("centrality") == "core")
-    return v.groupBy("run").agg(F.array_join(confirmed, "; ").alias("established"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("warned"), F.min_by(F.concat(F.lit("see passage "), F.col("passage").cast("string")), F.when(bad & F.col("passage").isNotNull(), F.col("idx"))).alias("correction"))
+    return dr.premise_note(premise_verdicts(spark, sf_dir).select("run", "idx", "centrality", "verdict", F.concat(F.lit("claim "), F.col("idx").cast("string")).alias("text"), F.concat(F.lit("see passage "), F.col("passage").cast("string")).alias("correction")))
 
 
 def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt's evidence of each question: a header and the first 900 characters of each passage, in order."""
+    """The prompt's evidence of each question."""
     e = retrieval.reranked(spark, sf_dir).join(passages(spark, sf_dir).select(F.col("doc_id").alias("id"), "source_id", "section", "text"), "id")
-    one = F.concat(F.format_string("[P%02d] ", "rank"), F.concat_ws(", ", "source_id", "section"), F.lit("\n"), F.substring("text", 1, 900))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", one.alias("one")))), lambda x: x["one"]), "\n\n")
-    return e.groupBy("qid").agg(F.length(whole).alias("chars"), F.md5(whole).alias("evidence_md5"))
+    return dr.evidence_block(e, "qid").select("qid", F.length("block").alias("chars"), F.md5("block").alias("evidence_md5"))
 
 
 def question_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's gaps as a report lists them: those of its decision if it has a list, an empty one too, or else what was recorded and
-    derived, each once; without their prefix, ending in a mark."""
+    """A conversation's gaps as a report lists them."""
     c = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", t.gap_line(F.col("text")).alias("gap"))
     derived = lambda ok: F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct("turn", "gap")))), lambda x: x["gap"])
     g = c.groupBy("conv_id").agg(derived(F.col("turn") % 4 < 2).alias("recorded"), derived(F.col("turn") % 2 == 0).alias("unresolved"))
     decided = F.when(F.col("conv_id") % 3 == 0, F.slice("unresolved", 1, 2)).when(F.col("conv_id") % 3 == 1, F.array().cast("array<string>"))
-    listed = F.coalesce(decided, F.array_distinct(F.concat("recorded", "unresolved")))
-    plain = F.transform(listed, lambda x: F.trim(F.regexp_replace(x, "^could not establish: ", "")))
-    ended = F.transform(plain, lambda x: F.when(x.rlike(r"[.?!]$"), x).otherwise(F.concat(x, F.lit("."))))
-    return g.select("conv_id", F.size(listed).alias("gaps"), F.md5(F.array_join(ended, "\n")).alias("list_md5"))
+    listed = dr.listed_gaps(decided, F.col("recorded"), F.col("unresolved"))
+    return g.select("conv_id", F.size(listed).alias("gaps"), F.md5(F.array_join(dr.shown_gaps(listed), "\n")).alias("list_md5"))
 
 
 def banners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headline of each run's report, by its rule or else by its decision, and the reason with the score and the first three open questions."""
+    """The headline of each run's report, and why a threshold decided so."""
     open_ = decisions.resolve_heuristic(spark, sf_dir).where("kind = 'core'").groupBy("run").agg(
         F.sum(F.col("resolved").cast("int")).alias("done"), F.count(F.lit(1)).alias("of"), F.sort_array(F.collect_list(F.when(~F.col("resolved"), F.col("pos")))).alias("open"))
     d = decisions.decide_terminal(spark, sf_dir).join(open_, "run", "left")
-    head = F.coalesce(*[F.when(F.col("rule") == k, v) for k, v in BANNERS.items()], *[F.when(F.col("terminal") == k, v) for k, v in BANNERS.items()])
-    names = F.array_join(F.transform(F.slice("open", 1, 3), lambda x: F.concat(F.lit("sq"), x.cast("string"))), "; ")
-    more = F.when(F.size("open") > 3, F.concat(F.lit(" (+"), (F.size("open") - 3).cast("string"), F.lit(" more)"))).otherwise("")
-    listed = F.when((F.size("open") > 0) & (F.col("terminal") != "ANSWER"), F.concat(F.lit(" Not established: "), names, more, F.lit("."))).otherwise("")
-    text = F.concat(F.format_string("%.2f: ", F.bround("score", 2)), F.col("done").cast("string"), F.lit(" of "), F.col("of").cast("string"), F.lit(" resolved."), listed)
-    return d.select("run", head.alias("banner"), F.when(F.col("rule") == "threshold", text).alias("rationale"))
+    text = dr.rationale(F.col("score"), F.col("done"), F.col("of"), F.col("open"), F.col("terminal"))
+    return d.select("run", dr.banner(F.col("rule"), F.col("terminal")).alias("banner"), F.when(F.col("rule") == "threshold", text).alias("rationale"))
 
 
 _EV, _FIND = decisions._EV, decisions._FIND
@@ -192,7 +171,7 @@ g AS (SELECT conv_id, turn, 'could not establish: ' || CASE WHEN length(p) > 200
 QUERIES = {
     f.__name__: f
     for f in (
-        claim_verdicts, claim_summary, citation_labels, citation_forms, evidence_for, own_scores, evidence_select, draft_findings, source_list, premise_verdicts, premise_evidence, premise_note, evidence_text, question_gaps, banners,
+        claim_verdicts, claim_summary, citation_labels, citation_forms, evidence_for, own_scores, evidence_select, draft_findings, source_list, premise_verdicts, premise_claims, premise_evidence, premise_note, evidence_text, question_gaps, banners,
     )
 }
 
@@ -214,6 +193,8 @@ f AS (SELECT conv_id, norm, min_by((['SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CON
 k AS (SELECT b12.qid, b12.id, fr, {retrieval._OVERLAP_SQL} AS rs FROM b12 JOIN dt USING (id) JOIN qq ON qq.qid = b12.qid), t AS (SELECT qid // 10 AS run, qid % 10 AS claim, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rs DESC, fr) AS INT) AS rank FROM k WHERE qid % 10 < 4 QUALIFY rank <= 4),
 f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY run, id ORDER BY claim, rank) = 1) SELECT run, id, claim, rank, printf('P%02d', row_number() OVER (PARTITION BY run ORDER BY claim, rank, id)) AS label FROM f""",
     "premise_verdicts": f"WITH {PLAN_SQL}, {_PREMISES_SQL} SELECT * FROM pv",
+    "premise_claims": """WITH c AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS text FROM conversations WHERE turn < 12 AND turn % 3 <> 2 AND turn % 5 <> 4)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx, md5(text) AS text_md5, CASE WHEN turn % 2 = 0 THEN 'incidental' ELSE 'core' END AS centrality FROM c WHERE text <> '' QUALIFY idx < 4""",
     "premise_note": f"""WITH {PLAN_SQL}, {_PREMISES_SQL}, b AS (SELECT *, verdict = 'CONTRADICTED' AND centrality = 'core' AS bad FROM pv)
 SELECT run, coalesce(array_to_string((list('claim ' || idx ORDER BY idx) FILTER (verdict = 'SUPPORTED'))[1:4], '; '), '') AS established, bool_or(bad) AS warned, min_by('see passage ' || passage, idx) FILTER (bad AND passage IS NOT NULL) AS correction FROM b GROUP BY run""",
     "evidence_text": f"""WITH {PASSAGES_SQL}, r AS ({retrieval.ORACLE_SQL['rerank_topk']}), w AS (SELECT qid, string_agg(printf('[P%02d] ', rank) || concat_ws(', ', source_id, section) || chr(10) || substr(text, 1, 900), chr(10) || chr(10) ORDER BY rank) AS w FROM r JOIN passages ON r.id = passages.doc_id GROUP BY qid)
@@ -222,6 +203,6 @@ SELECT qid, CAST(length(w) AS INT) AS chars, md5(w) AS evidence_md5 FROM w""",
 x AS (SELECT conv_id, list_concat(r, u) AS a, u FROM l), d AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN u[1:2] WHEN 1 THEN [] ELSE list_filter(a, lambda v, i: list_position(a, v) = i) END AS g FROM x)
 SELECT conv_id, CAST(len(g) AS INT) AS gaps, md5(coalesce(array_to_string(list_transform(g, lambda v: trim(regexp_replace(v, '^could not establish: ', '')) || CASE WHEN regexp_matches(v, '[.?!]$') THEN '' ELSE '.' END), chr(10)), '')) AS list_md5 FROM d""",
     "banners": f"""WITH d AS ({_D['decide_terminal']}), h AS ({_D['resolve_heuristic']}), o AS (SELECT run, count(*) FILTER (resolved) AS done, count(*) AS n, list('sq' || pos ORDER BY pos) FILTER (NOT resolved) AS open FROM h WHERE kind = 'core' GROUP BY run)
-SELECT d.run, CASE rule {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(BANNERS.items())[:3])} ELSE CASE terminal {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(BANNERS.items())[3:])} END END AS banner,
+SELECT d.run, CASE rule {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(dr.BANNERS.items())[:3])} ELSE CASE terminal {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(dr.BANNERS.items())[3:])} END END AS banner,
   CASE WHEN rule = 'threshold' THEN printf('%.2f: ', score) || done || ' of ' || n || ' resolved.' || CASE WHEN len(open) > 0 AND terminal <> 'ANSWER' THEN ' Not established: ' || array_to_string(open[1:3], '; ') || CASE WHEN len(open) > 3 THEN ' (+' || (len(open) - 3) || ' more)' ELSE '' END || '.' ELSE '' END END AS rationale FROM d LEFT JOIN o ON d.run = o.run""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.operators import decisions as d
+from groundwell.operators import drafts as dr
 from groundwell.sources.tables import PLAN_SQL, plan_rows, read
 
 VERDICTS = ["SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED"]
@@ -141,28 +142,17 @@ def controller_next_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def premise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four questions of a run as presuppositions: grounding over the core ones, or over all without a core."""
+    """The first four questions of a run as presuppositions."""
     verdict = F.element_at(F.array(F.lit("SUPPORTED"), F.lit("UNVERIFIABLE"), F.lit("CONTRADICTED")), (F.col("part") % 3 + 1).cast("int"))
-    p = plan_rows(spark, sf_dir).where("pos <= 4").withColumn("verdict", verdict).withColumn("has_core", F.max((F.col("kind") == "core").cast("int")).over(Window.partitionBy("run")))
-    used = (F.col("kind") == "core") | (F.col("has_core") == 0)
-    strength = F.when(F.col("verdict") == "SUPPORTED", 1.0).when(F.col("verdict") == "CONTRADICTED", 0.0).otherwise(0.5)
-    bad = used & (F.col("verdict") == "CONTRADICTED")
-    return p.groupBy("run").agg(F.round(F.coalesce(F.avg(F.when(used, strength)), F.lit(1.0)), 6).alias("grounding"), F.bool_or(bad).alias("failed"), F.min(F.when(bad, F.col("pos"))).alias("first_failure"), F.sum((used & (F.col("verdict") == "SUPPORTED")).cast("int")).alias("confirmed"))
+    return dr.grounding(plan_rows(spark, sf_dir).where("pos <= 4").select("run", "pos", "kind", verdict.alias("verdict")))
 
 
 def passage_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A passage's owner in a run: live questions before abandoned ones, then plan order."""
-    dead = (F.col("status") == "abandoned").cast("int")
-    e = evidence(spark, sf_dir).groupBy("run", "passage").agg(F.min(F.struct(dead.alias("dead"), F.col("pos"))).alias("o"))
-    return e.select("run", "passage", F.col("o.pos").alias("owner"), (F.col("o.dead") == 0).alias("live"))
+    return dr.owners(evidence(spark, sf_dir))
 
 
 def round_robin_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each live question's best passage, then each one's next; passages of no live question come last. 24 a run at most."""
-    live = F.when(F.col("status") != "abandoned", F.struct(F.col("rank"), F.col("pos")))
-    first = evidence(spark, sf_dir).groupBy("run", "passage").agg(F.min(live).alias("at"), F.min(F.struct("pos", "rank")).alias("dead"))
-    order = Window.partitionBy("run").orderBy(F.col("at.rank").asc_nulls_last(), "at.pos", "dead.pos", "dead.rank", "passage")
-    return first.withColumn("place", F.row_number().over(order)).where("place <= 24").select("run", "passage", "place", F.col("at").isNotNull().alias("live"))
+    return dr.round_robin(evidence(spark, sf_dir))
 
 
 def plan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
