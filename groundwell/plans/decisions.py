@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from groundwell.operators import decisions as d
 from groundwell.operators import drafts as dr
+from groundwell.operators import planning as pl
 from groundwell.sources.tables import PLAN_SQL, plan_rows, read
 
 VERDICTS = ["SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED"]
@@ -120,13 +121,11 @@ def critic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revision_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first question of a run that was tried and is insufficient."""
-    return plan_rows(spark, sf_dir).where("status = 'insufficient' and rounds >= 1").groupBy("run").agg(F.min("pos").alias("pos"))
+    return pl.first_failed(plan_rows(spark, sf_dir))
 
 
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plan_rows(spark, sf_dir)
-    pending = ~F.col("status").isin("sufficient", "insufficient", "abandoned")
-    return p.groupBy("run").agg(F.sum(pending.cast("int")).alias("pending"), (F.sum(pending.cast("int")) == 0).alias("all_terminal"), *[F.sum((F.col("status") == s).cast("int")).alias(f"n_{s}") for s in ("sufficient", "insufficient", "abandoned")])
+    return pl.progress(plan_rows(spark, sf_dir))
 
 
 def controller_next_node(spark: SparkSession, sf_dir: str) -> DataFrame:

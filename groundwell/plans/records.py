@@ -5,29 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwell.functions import text as t
 from groundwell.functions.json_text import repair
 from groundwell.operators import calibration as cal
 from groundwell.operators import decisions as d
 from groundwell.operators import features as fs
+from groundwell.operators import planning as pl
 from groundwell.operators.ranks import ranked_in
 from groundwell.plans import calibration, decisions, retrieval
 from groundwell.sources.tables import PLAN_SQL, plan_rows, read
 from groundwell.sources.work import saved
 
-# Where a search goes on from a route.
-WIDER = {"arxiv_meta": "web", "arxiv_fulltext": "web", "web": "arxiv_meta", "evidence_store": "web"}
-DEEPER = {"arxiv_meta": "arxiv_fulltext", "web": "arxiv_fulltext", "evidence_store": "arxiv_meta", "arxiv_fulltext": "arxiv_fulltext"}
-CHEAP = {"arxiv_fulltext": "arxiv_meta"}
 COEFFICIENTS = {"intercept": -1.2, "length": 0.35, "english": 0.4, "toxic": -0.8}
 
 
 def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's user turns as its plan: short ones go, equal ones stay once, seven at most, numbered anew."""
-    c = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("norm", F.regexp_replace(F.lower(t.clean(F.col("text"))), r"[?.]+$", ""))
-    c = c.where(F.length(F.trim("text")) >= 15).groupBy("conv_id", "norm").agg(F.min("turn").alias("turn"))
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "norm"))).where("n <= 7")
-    return c.select("conv_id", F.concat(F.lit("sq"), F.col("n").cast("string")).alias("id"), "turn", F.md5("norm").alias("norm_md5"))
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("run"), F.col("turn").alias("at"), "text", F.lit("core").alias("kind"))
+    return pl.parsed(c).select(F.col("run").alias("conv_id"), F.concat(F.lit("sq"), F.col("n").cast("string")).alias("id"), F.col("at").alias("turn"), F.md5("norm").alias("norm_md5"))
 
 
 def question_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +70,8 @@ def score_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next route of a question: a cheap suggestion first, then a wider one, then a deeper one; and the depth of the deepest one so far."""
     first = F.when(F.col("sources") >= 2, "web").otherwise("arxiv_meta")
-    step = lambda c, to: F.coalesce(*[F.when(c == a, b) for a, b in to.items()])
-    second = step(first, WIDER)
-    third = step(second, DEEPER)
+    second = pl.wider(first)
+    third = pl.deeper(second)
     route = F.when(F.col("rounds") == 0, first).when(F.col("rounds") == 1, second).otherwise(third)
     p = plan_rows(spark, sf_dir).withColumn("route", route)
     tried = F.slice(F.array(first, second, third), 1, F.least(F.lit(3), F.col("rounds") + 1))

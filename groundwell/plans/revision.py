@@ -5,13 +5,13 @@ What the tables lack (a model's choices, attempted queries, counters) are rules
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.functions import text as t
 from groundwell.operators import decisions as d
+from groundwell.operators import planning as pl
 from groundwell.operators import rules
-from groundwell.plans import decisions, records
+from groundwell.plans import decisions
 from groundwell.sources.tables import CALLS_SQL, PLAN_SQL, calls, plan_rows, read
 
 ACTIONS = ["REWRITE", "SPLIT", "MERGE", "ABANDON"]
@@ -44,11 +44,8 @@ def covered_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abandoned questions that a live one of their run covers, by the field or, in older plans, by the words of the reason."""
     p = plan_rows(spark, sf_dir)
     into = _sq(F.col("part") % 7 + 1)
-    field = F.when(F.col("part") % 2 == 0, into)
-    reason = F.concat(F.lit("covered by "), into, F.lit(": "), "status")
-    found = F.coalesce(field, F.nullif(F.regexp_extract(reason, r"covered by (sq[0-9.]+)", 1), F.lit("")))
-    live = p.where("status <> 'abandoned'").select("run", _sq(F.col("pos")).alias("into"))
-    return p.where("status = 'abandoned'").select("run", "pos", found.alias("into")).join(live, ["run", "into"], "left_semi").select("run", "pos", "into")
+    plan = p.select("run", "pos", _sq(F.col("pos")).alias("id"), "status", F.when(F.col("part") % 2 == 0, into).alias("covered_by"), F.concat(F.lit("covered by "), into, F.lit(": "), "status").alias("rationale"))
+    return pl.covered(plan).select("run", F.substring("id", 3, 9).cast("int").alias("pos"), "into")
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +58,8 @@ def revisions_remain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a run may revise its plan, and whether it should: it may, has budget, and has a tried question that is insufficient."""
     target = decisions.revision_target(spark, sf_dir).select("run", F.lit(True).alias("has_target"))
     f = _flags(spark, sf_dir).join(target, "run", "left")
-    remain = F.col("done") < F.col("ceiling")
-    return f.select("run", "done", "ceiling", remain.alias("remain"), (remain & (F.col("used") < d.RETRIEVALS) & F.coalesce("has_target", F.lit(False))).alias("should_revise"))
+    remain, should = pl.should_revise(F.col("done"), F.col("ceiling"), F.col("used"), F.col("has_target"))
+    return f.select("run", "done", "ceiling", remain.alias("remain"), should.alias("should_revise"))
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,90 +91,74 @@ def partial_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     And what a run would have got without the decision layer."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 7 != 0).alias("draft"), (F.col("o_custkey") % 2 == 0).alias("partial_mode"), (F.col("o_custkey") % 13 == 0).alias("error"), (F.col("o_custkey") % 9 != 0).alias("enabled"), (25 - F.col("o_custkey") % 26).cast("int").alias("left"))
     r = decisions.decide_terminal(spark, sf_dir).select("run", "terminal").join(o, "run")
-    part = F.col("terminal") == "PARTIAL"
-    outcome = (
-        F.when(~part, "not_needed")
-        .when(~F.col("draft"), F.when(F.col("error"), "not_needed").otherwise("requested"))
-        .when(F.col("partial_mode"), "not_needed")
-        .when(~F.col("enabled"), "disabled")
-        .when(F.col("left") < 3, "unaffordable")
-        .otherwise("requested")
-    )
-    withheld = F.col("draft") & ((F.col("terminal") == "ABSTAIN") | (part & (outcome == "requested")))
-    mode = F.when(F.col("terminal") == "ABSTAIN", "none").when(part, "partial").otherwise("answer")
-    return r.select("run", outcome.alias("outcome"), withheld.alias("withheld"), mode.alias("mode"), F.lit("ANSWER").alias("static_terminal"), (F.col("terminal") != "ANSWER").alias("static_differs"))
+    end, draft = F.col("terminal"), F.col("draft")
+    outcome = pl.partial_outcome(end, draft, F.col("error"), F.col("partial_mode"), F.col("enabled"), F.col("left"))
+    return r.select("run", outcome.alias("outcome"), pl.withheld(end, draft, outcome).alias("withheld"), pl.draft_mode(end).alias("mode"), F.lit("ANSWER").alias("static_terminal"), (end != "ANSWER").alias("static_differs"))
 
 
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens that a prompt may have for each role (a user's last digit): the least of its models' limits a minute, less their longest output."""
+    """The tokens that a prompt may have for each role (a user's last digit)."""
     c = calls(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("role"), "model").agg(F.max("tokens").alias("longest"))
-    return c.groupBy("role").agg(F.min(F.lit(8000) - F.col("longest")).alias("budget"), F.count(F.lit(1)).alias("models"))
+    return pl.prompt_budget(c.withColumn("limit", F.lit(8000)))
 
 
 def next_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The route and the query of a question's next round: first the suggestion, made cheap; then what was decided, or else a wider route. A
-    decided query counts unless it's blank or was tried."""
+    """The route and the query of a question's next round."""
     p = plan_rows(spark, sf_dir)
-    known = list(records.WIDER)
-    coerced = lambda c: F.when(c.isin(*known), c).otherwise("arxiv_meta")
-    step = lambda c, to: F.coalesce(*[F.when(c == a, b) for a, b in to.items()], F.lit("web"))
-    suggested = coerced(_nth([*known, "elsewhere"], F.col("part")))
-    first = F.coalesce(*[F.when(suggested == a, b) for a, b in records.CHEAP.items()], suggested)
-    last = _nth(known, F.col("supp") + F.col("rounds"))
-    decided = F.when(F.col("part") % 3 == 0, coerced(_nth([*known, "elsewhere"], F.col("supp")))).when(F.col("part") % 3 == 1, step(last, records.DEEPER))
-    route = F.when(F.col("rounds") == 0, first).otherwise(F.coalesce(decided, step(last, records.WIDER)))
-    query = F.trim(F.when(F.col("part") % 4 > 0, F.concat(F.lit(" q"), (F.col("part") % 4).cast("string"))).otherwise("  "))
+    named = [*pl.ROUTES, "elsewhere"]
+    suggested, last = _nth(named, F.col("part")), _nth(list(pl.ROUTES), F.col("supp") + F.col("rounds"))
+    decided = F.when(F.col("part") % 3 == 0, pl.known_route(_nth(named, F.col("supp")))).when(F.col("part") % 3 == 1, pl.deeper(last))
+    query = F.when(F.col("part") % 4 > 0, F.concat(F.lit(" q"), (F.col("part") % 4).cast("string"))).otherwise("  ")
     tried = F.slice(F.array(F.lit("q1"), F.lit("q2")), 1, F.least(F.lit(2), F.col("rounds")))
-    return p.select("run", "pos", route.alias("route"), F.when((query != "") & ~F.array_contains(tried, query), query).otherwise(_sq(F.col("pos"))).alias("query"), suggested.alias("static_route"))
+    return p.select("run", "pos", pl.next_route(F.col("rounds"), suggested, decided, last).alias("route"), pl.next_query(query, tried, _sq(F.col("pos"))).alias("query"), pl.known_route(suggested).alias("static_route"))
 
 
 def round_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each round of a run (its questions with as many rounds): best score, sources, rows; the state by the policy, against the best of earlier
-    rounds, and the state that any result makes without it."""
+    """Of each round of a run (its questions with as many rounds): best score, sources, rows, and what is made of them."""
     r = plan_rows(spark, sf_dir).groupBy("run", F.col("rounds").alias("round")).agg(F.max("f1").alias("f1"), F.count_distinct("supp").cast("int").alias("sources"), F.count("f1").alias("rows"))
-    best = F.max("f1").over(Window.partitionBy("run").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("best", best)
-    return r.select("run", "round", "f1", "sources", "rows", F.greatest("best", "f1").alias("best_f1"), d.judge_round(F.col("round") + 1, F.col("f1"), F.col("sources"), F.col("best")).alias("state"), F.when(F.col("rows") > 0, "sufficient").otherwise("insufficient").alias("static_state"))
+    return pl.round_outcomes(r)
 
 
 def parsed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans of conversations, parsed: seven questions at most, background only where that is said and a core remains, and the first turn itself
     where no question is usable."""
-    c = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("norm", F.regexp_replace(F.lower(t.clean(F.col("text"))), r"[?.]+$", "")).withColumn("raw", _nth(KINDS, F.col("turn") + F.col("conv_id")))
-    ok = c.where((F.length(F.trim("text")) >= 15) & (F.col("conv_id") % 9 > 0)).groupBy("conv_id", "norm").agg(F.min(F.struct("turn", "raw")).alias("x"))
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("x.turn", "norm"))
-    ok = ok.withColumn("n", n).where("n <= 7").withColumn("kind", F.when(F.lower(F.trim("x.raw")) == "background", "background").otherwise("core"))
-    core = F.max((F.col("kind") == "core").cast("int")).over(Window.partitionBy("conv_id")) == 1
-    ok = ok.select("conv_id", "n", F.col("x.turn").alias("turn"), F.when(core, F.col("kind")).otherwise("core").alias("kind"))
-    own = c.groupBy("conv_id").agg(F.min("turn").alias("turn")).join(ok, "conv_id", "left_anti")
-    return ok.unionByName(own.select("conv_id", F.lit(1).alias("n"), "turn", F.lit("core").alias("kind")))
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("run"), F.col("turn").alias("at"), "text", _nth(KINDS, F.col("turn") + F.col("conv_id")).alias("kind"))
+    return pl.or_verbatim(pl.parsed(c.where("run % 9 > 0")), c).select(F.col("run").alias("conv_id"), "n", F.col("at").alias("turn"), "kind")
+
+
+def plan_from_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans as a model's reply lists them (the first turns of a conversation, every third as a bare string, some called question, every seventh blank), read and parsed."""
+    c = read(spark, sf_dir, "conversations").where("turn < 12").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), _nth(KINDS, F.col("turn") + F.col("conv_id")).alias("kind"), _nth([*pl.ROUTES, "Web "], F.col("turn")).alias("route"))
+    named = F.when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.lit(" ").alias("text"), F.col("text").alias("question"), "kind", "route")))
+    bare = F.when(F.col("turn") % 3 == 2, F.get_json_object(F.to_json(F.struct(F.array("text").alias("x"))), "$.x"))
+    item = F.coalesce(F.when(F.col("turn") % 7 == 6, F.lit('{"text":" "}')), F.substring(bare, F.lit(2), F.length(bare) - 2), named, F.to_json(F.struct("text", "kind", "route")))
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("x")))), lambda v: v["x"]), ",")
+    replies = c.groupBy(F.col("conv_id").alias("run")).agg(F.concat(F.lit('{"sub_questions":['), one, F.lit("]}")).alias("reply"))
+    found = pl.extracted_questions(replies)
+    plan = pl.parsed(found).join(found.select("run", "at", "route"), ["run", "at"])
+    return plan.select(F.col("run").alias("conv_id"), "n", F.md5("norm").alias("norm_md5"), "kind", "route")
 
 
 STAGE1 = {"intercept": -0.5, "f1": 0.8, "sources": 0.3}
 STAGE2 = {"intercept": -1.0, "mean_p": 2.0, "min_p": 1.5, "grounding": 0.5, "fraction": 1.0}
 
 
-def _logistic(z: Column) -> Column:
-    return 1 / (1 + F.exp(-z))
+def _first_stage() -> Column:
+    return pl.logistic(STAGE1, f1=F.coalesce("f1", F.lit(0.0)), sources=F.col("sources"))
 
 
 def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of runs in two stages: a probability for each question that was tried; then one for the run, from the mean and least of its core
-    questions' ones, the grounding of its premises and the share that is sufficient. Null without a core question that was tried."""
-    p = plan_rows(spark, sf_dir).where("rounds > 0 and kind = 'core'")
-    z = F.lit(STAGE1["intercept"]) + STAGE1["f1"] * F.coalesce("f1", F.lit(0.0)) + STAGE1["sources"] * F.col("sources")
-    g = p.withColumn("p", F.round(_logistic(z), 4)).groupBy("run").agg(F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.avg((F.col("status") == "sufficient").cast("double")).alias("fraction"), F.count(F.lit(1)).alias("scored"))
-    s = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_custkey") % 4 > 0, (F.col("o_custkey") % 3) / 2).alias("grounding")).join(g, "run", "left")
-    z2 = F.lit(STAGE2["intercept"]) + STAGE2["mean_p"] * F.col("mean_p") + STAGE2["min_p"] * F.col("min_p") + STAGE2["grounding"] * F.coalesce("grounding", F.lit(0.5)) + STAGE2["fraction"] * F.col("fraction")
-    return s.select("run", F.coalesce("scored", F.lit(0)).alias("scored"), F.round("mean_p", 6).alias("mean_p"), "min_p", "grounding", F.round("fraction", 6).alias("fraction"), F.round(_logistic(z2), 6).alias("score"))
+    """Scores of runs in two stages: a probability for each question that was tried; then one for the run, from its core questions' ones."""
+    p = plan_rows(spark, sf_dir).where("rounds > 0 and kind = 'core'").select("run", "status", F.round(_first_stage(), 4).alias("p"))
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_custkey") % 4 > 0, (F.col("o_custkey") % 3) / 2).alias("grounding"))
+    return pl.run_probability(p, runs, STAGE2)
 
 
 def plan_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan with the probability of each question that was scored; runs without a fitted scorer (odd ones) keep their values. With the run's
     mean, least value and share, its revisions and its budget."""
     v = plan_rows(spark, sf_dir).withColumn("value", F.round(F.when(F.col("f1").isNotNull(), (F.col("f1") + 2) / 12), 3))
-    z = F.lit(STAGE1["intercept"]) + STAGE1["f1"] * F.coalesce("f1", F.lit(0.0)) + STAGE1["sources"] * F.col("sources")
-    scored = plan_rows(spark, sf_dir).where("rounds > 0 and run % 2 = 0").select("run", "pos", F.round(_logistic(z), 3).alias("p"))
+    scored = plan_rows(spark, sf_dir).where("rounds > 0 and run % 2 = 0").select("run", "pos", F.round(_first_stage(), 3).alias("p"))
     both = v.join(scored, ["run", "pos"], "left").withColumn("sufficiency", F.coalesce("p", "value"))
     g = both.groupBy("run").agg(F.round(F.avg("sufficiency"), 6).alias("r1"), F.min("sufficiency").alias("r2"), F.round(F.avg((F.col("status") == "sufficient").cast("double")), 6).alias("r3"), F.count("p").alias("scored"))
     return g.join(_flags(spark, sf_dir).select("run", F.col("done").cast("double").alias("r4"), F.round(F.col("used") / d.RETRIEVALS, 6).alias("r5")), "run")
@@ -187,8 +168,7 @@ def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the controller sees of a run: each question's status, who is pending, and how many there are."""
     p = plan_rows(spark, sf_dir)
     in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["v"]), ",")
-    pending = ~F.col("status").isin("sufficient", "insufficient", "abandoned")
-    return p.groupBy("run").agg(in_order(F.struct("pos", F.concat(_sq(F.col("pos")), F.lit("="), "status").alias("v"))).alias("statuses"), in_order(F.when(pending, F.struct("pos", _sq(F.col("pos")).alias("v")))).alias("pending"), F.count(F.lit(1)).alias("questions"))
+    return p.groupBy("run").agg(in_order(F.struct("pos", F.concat(_sq(F.col("pos")), F.lit("="), "status").alias("v"))).alias("statuses"), in_order(F.when(pl.pending(), F.struct("pos", _sq(F.col("pos")).alias("v")))).alias("pending"), F.count(F.lit(1)).alias("questions"))
 
 
 def merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +191,7 @@ _KN = "['arxiv_meta', 'arxiv_fulltext', 'web', 'evidence_store']"
 QUERIES = {
     f.__name__: f
     for f in (
-        plan_rewrite, covered_by, revisions_remain, router_gates, router_apply, partial_rewrite, prompt_budget, next_query, round_outcomes, parsed_plan, calibrated_scores, plan_probabilities, run_snapshot, merged_ids,
+        plan_rewrite, covered_by, revisions_remain, router_gates, router_apply, partial_rewrite, prompt_budget, next_query, round_outcomes, parsed_plan, plan_from_reply, calibrated_scores, plan_probabilities, run_snapshot, merged_ids,
     )
 }
 
@@ -239,6 +219,10 @@ SELECT run, round, f1, sources, rows, greatest(best, f1) AS best_f1, CASE WHEN f
 g AS (SELECT conv_id, norm, min(turn) AS turn, min_by(raw, turn) AS raw FROM c WHERE length(trim(text)) >= 15 AND conv_id % 9 > 0 GROUP BY ALL), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, norm) AS INT) AS n FROM g QUALIFY n <= 7),
 k AS (SELECT *, CASE WHEN lower(trim(raw)) = 'background' THEN 'background' ELSE 'core' END AS kind FROM n), o AS (SELECT conv_id, n, turn, CASE WHEN bool_or(kind = 'core') OVER (PARTITION BY conv_id) THEN kind ELSE 'core' END AS kind FROM k)
 SELECT * FROM o UNION ALL SELECT conv_id, 1, min(turn), 'core' FROM c WHERE conv_id NOT IN (SELECT conv_id FROM o) GROUP BY conv_id""",
+    "plan_from_reply": rf"""WITH c AS (SELECT conv_id, turn, text, regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[?.]+$', '') AS norm, CASE WHEN turn % 3 <> 2 THEN lower(trim(({KINDS})[CAST((turn + conv_id) % 5 + 1 AS INT)])) END AS kind,
+  CASE WHEN turn % 3 = 2 THEN 'arxiv_meta' ELSE (['arxiv_meta', 'arxiv_fulltext', 'web', 'evidence_store', 'web'])[CAST(turn % 5 + 1 AS INT)] END AS route FROM conversations WHERE turn < 12 AND turn % 7 <> 6),
+g AS (SELECT conv_id, norm, min(turn) AS turn, arg_min_null(kind, turn) AS kind, min_by(route, turn) AS route FROM c WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 15 GROUP BY ALL), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, norm) AS INT) AS n FROM g QUALIFY n <= 7)
+SELECT conv_id, n, md5(norm) AS norm_md5, CASE WHEN bool_or(coalesce(kind, '') <> 'background') OVER (PARTITION BY conv_id) AND coalesce(kind, '') = 'background' THEN 'background' ELSE 'core' END AS kind, route FROM n""",
     "calibrated_scores": f"""WITH {PLAN_SQL}, p AS (SELECT run, status, {_S1} AS p FROM plan WHERE rounds > 0 AND kind = 'core'), g AS (SELECT run, avg(p) AS mp, min(p) AS lp, avg(CASE WHEN status = 'sufficient' THEN 1.0 ELSE 0.0 END) AS fr, count(*) AS n FROM p GROUP BY run),
 s AS (SELECT o_orderkey AS run, CASE WHEN o_custkey % 4 > 0 THEN (o_custkey % 3) / 2 END AS gr FROM orders)
 SELECT s.run, coalesce(n, 0) AS scored, round(mp, 6) AS mean_p, lp AS min_p, gr AS grounding, round(fr, 6) AS fraction, round(1 / (1 + exp(-(-1.0 + 2.0 * mp + 1.5 * lp + 0.5 * coalesce(gr, 0.5) + 1.0 * fr))), 6) AS score FROM s LEFT JOIN g ON s.run = g.run""",
