@@ -25,11 +25,18 @@ def ranked_in(rows: DataFrame, group: str, *order: str) -> DataFrame:
 
 
 def last_before(rows: DataFrame, group: str, value: str, name: str, *order: str) -> DataFrame:
-    """Adds name: the last value that isn't null of the rows before in the group, by order. Within a range it is looked for there, else among the ends of earlier ranges."""
+    """Adds name: the last value that isn't null of the rows before in the group, by order."""
+    return lasts_before(rows, group, {name: value}, *order)
+
+
+def lasts_before(rows: DataFrame, group: str, values: dict[str, str], *order: str) -> DataFrame:
+    """Adds each name of values (name to column): the column's last value that isn't null of the rows before in the group, by order, which has no ties. Within a
+    range it is looked for there, else among the ends of earlier ranges; rows are ranged once for all columns."""
     ranged = _ranged(rows, group, list(order))
-    ends = ranged.groupBy("_range", group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    ends = ranged.groupBy("_range", group).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_end_{n}") for n, v in values.items()])
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = ends.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), F.last("_end", ignorenulls=True).over(before).alias("_before"))
-    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = ranged.withColumn("_own", own).join(base, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
-    return placed.withColumn(name, F.coalesce("_own", "_before")).drop("_range", "_own", "_r", "_g", "_before")
+    base = ends.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in values])
+    own = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.select("*", *[F.last(v, ignorenulls=True).over(own).alias(f"_own_{n}") for n, v in values.items()])
+    placed = placed.join(base, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return placed.select(*rows.columns, *[F.coalesce(f"_own_{n}", f"_before_{n}").alias(n) for n in values])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.operators import quota as q
 from groundwell.operators import retrieval as r
-from groundwell.operators.ranks import last_before, ranked_in
+from groundwell.operators.ranks import last_before, lasts_before, ranked_in
 from groundwell.sources.tables import CALLS_SQL, calls
 from groundwell.sources.work import work_path
 from groundwell.streaming import windows as stream
@@ -58,9 +58,8 @@ LOG = "seq long, run long, us long, type string, node string, surface string, fr
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a trace log of JSON lines, read back. Of a run's events of a node the odd ones enter it and the even ones leave it; errors are
     routes. Every 50th line is cut off and every 51st is blank: such lines are skipped."""
-    c = calls(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("user_id", "model").orderBy("us", "event_id"))
-    c = c.withColumn("n", n).withColumn("route", F.col("model") == "error")
+    c = calls(spark, sf_dir).withColumn("by", F.struct("user_id", "model"))
+    c = ranked_in(c, "by", "us", "event_id").withColumnRenamed("rank", "n").withColumn("route", F.col("model") == "error")
     kind = F.when(F.col("route"), "route").when(F.col("n") % 2 == 1, "node_enter").otherwise("node_exit")
     row = F.struct(
         F.col("event_id").alias("seq"), F.col("user_id").alias("run"), "us", kind.alias("type"), F.when(~F.col("route"), F.col("model")).alias("node"), F.when(F.col("tokens") % 3 == 0, F.col("model")).alias("surface"),
@@ -78,22 +77,23 @@ def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes of each run in the order in which it entered them."""
-    e = _log(spark, sf_dir).where("type = 'node_enter'")
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("us", "seq", "node"))), lambda x: x["node"])
-    return e.groupBy("run").agg(F.array_join(in_order, ">").alias("nodes"), F.count(F.lit(1)).alias("entered"))
+    """The nodes of each run in the order in which it entered them, a row for each."""
+    e = _log(spark, sf_dir).where("type = 'node_enter'").select("run", "us", "seq", "node")
+    return ranked_in(e, "run", "us", "seq").select("run", F.col("rank").alias("place"), "node")
 
 
 def route_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each route with its reason and where it came from: what it says itself, or else the node that was entered last of those still open, or else
     the node that was left last."""
-    w = Window.partitionBy("run").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
     nodes = [s for s in SURFACES if s != "error"]
-    last = lambda kind, n: F.max(F.when((F.col("type") == kind) & (F.col("node") == n), F.struct("us", "seq"))).over(w)
-    log = _log(spark, sf_dir).select("run", "us", "seq", "type", "node", "from_node", "to_node", "reason", *[last(k, n).alias(f"{k}_{n}") for k in ("node_enter", "node_exit") for n in nodes])
-    opened = lambda n: F.when(F.col(f"node_exit_{n}").isNull() | (F.col(f"node_enter_{n}") > F.col(f"node_exit_{n}")), F.struct(F.col(f"node_enter_{n}").alias("at"), F.lit(n).alias("node")))
-    open_ = F.array_max(F.filter(F.array(*[F.when(F.col(f"node_enter_{n}").isNotNull(), opened(n)) for n in nodes]), lambda x: x.isNotNull()))
-    left = F.array_max(F.filter(F.array(*[F.when(F.col(f"node_exit_{n}").isNotNull(), F.struct(F.col(f"node_exit_{n}").alias("at"), F.lit(n).alias("node"))) for n in nodes]), lambda x: x.isNotNull()))
+    at = lambda kind, n: F.when((F.col("type") == kind) & (F.col("node") == n), F.struct("us", "seq"))
+    kinds = {f"{k}_{n}": at(k, n) for k in ("node_enter", "node_exit") for n in nodes}
+    log = _log(spark, sf_dir).select("run", "us", "seq", "type", "from_node", "to_node", "reason", *[c.alias(f"is_{k}") for k, c in kinds.items()])
+    log = lasts_before(log, "run", {k: f"is_{k}" for k in kinds}, "us", "seq")
+    last = lambda k, n: F.when(F.col(f"{k}_{n}").isNotNull(), F.struct(F.col(f"{k}_{n}").alias("at"), F.lit(n).alias("node")))
+    is_open = lambda n: F.col(f"node_exit_{n}").isNull() | (F.col(f"node_enter_{n}") > F.col(f"node_exit_{n}"))
+    newest = lambda found: F.array_max(F.array_compact(F.array(*found)))
+    open_, left = newest(F.when(is_open(n), last("node_enter", n)) for n in nodes), newest(last("node_exit", n) for n in nodes)
     return log.where("type = 'route'").select("run", "seq", F.coalesce("from_node", open_["node"], left["node"]).alias("from_node"), "to_node", "reason")
 
 
@@ -178,7 +178,7 @@ ORACLE_SQL = {
     "route_edges": f"WITH {CALLS_SQL}, e AS (SELECT lag(model) OVER (PARTITION BY user_id ORDER BY us, event_id) AS from_node, model AS to_node FROM calls) SELECT from_node, to_node, count(*) AS n FROM e WHERE from_node IS NOT NULL GROUP BY ALL",
     "route_origin": f"WITH {CALLS_SQL}, o AS (SELECT *, last_value(CASE WHEN model <> 'error' THEN model END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS origin FROM calls) SELECT event_id, user_id, origin FROM o WHERE model = 'error'",
     "trace_log": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT type, surface, count(*) AS events, count(DISTINCT run) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens FROM lg GROUP BY ALL",
-    "nodes_visited": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT run, string_agg(node, '>' ORDER BY us, seq) AS nodes, count(*) AS entered FROM lg WHERE type = 'node_enter' GROUP BY run",
+    "nodes_visited": f"WITH {CALLS_SQL}, {_LOG_SQL} SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY us, seq) AS INT) AS place, node FROM lg WHERE type = 'node_enter'",
     "route_reasons": f"""WITH {CALLS_SQL}, {_LOG_SQL}, n AS (SELECT unnest({[s for s in SURFACES if s != 'error']}) AS nd), x AS (SELECT r.run, r.seq, r.from_node, r.to_node, r.reason, nd, max(row(e.us, e.seq)) FILTER (e.type = 'node_enter') AS ent, max(row(e.us, e.seq)) FILTER (e.type = 'node_exit') AS ext
   FROM lg r CROSS JOIN n LEFT JOIN lg e ON e.run = r.run AND e.node = nd AND (e.us < r.us OR (e.us = r.us AND e.seq < r.seq)) WHERE r.type = 'route' GROUP BY ALL)
 SELECT run, seq, coalesce(any_value(from_node), arg_max(nd, ent) FILTER (ent IS NOT NULL AND (ext IS NULL OR ent > ext)), arg_max(nd, ext) FILTER (ext IS NOT NULL)) AS from_node, any_value(to_node) AS to_node, any_value(reason) AS reason FROM x GROUP BY run, seq""",
