@@ -265,6 +265,38 @@ def test_spans_nest(spark):
     assert sp.spans_and_routes(spark.createDataFrame([], sp.EVENT)).count() == 0
 
 
+def plain_fold(events):
+    """One stack over all events of a run."""
+    out, stacks = [], defaultdict(sp.Stack)
+    for e in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        out += stacks[e[0]].offer(*e)
+    return sorted(map(repr, out + [x for run, s in stacks.items() for x in s.rest(run)]))
+
+
+@pytest.mark.parametrize(("seed", "lost"), [(1, 0.0), (2, 0.05), (3, 0.3), (4, 0.6)])
+def test_a_hot_run_in_ranges(spark, seed, lost):
+    """Nearly all events are one run's, in several ranges, with entries and exits that were lost, nodes that are missing, and exits of no entry."""
+    rng = random.Random(seed)
+    events, held = [], []
+    for seq in range(1500):
+        kind = rng.choice(["node_enter", "node_enter", "node_exit", "node_exit", "node_exit", "error", "route", "note"])
+        node = rng.choice(["a", "b", "c", "d", None, ""] if seq % 40 == 0 else ["a", "b", "c", "d"])
+        if kind == "node_enter":
+            held.append(node)
+        elif kind in ("node_exit", "error") and held:
+            node = held.pop()
+        if rng.random() >= lost:
+            events.append((0 if seq % 300 else seq, seq // 3, seq, kind, node, rng.choice([None, None, "", "planner"]), "end", "why"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rng.sample(events, len(events)), sp.EVENT)
+        assert df.repartitionByRange("run", "us", "seq").withColumn("p", F.spark_partition_id()).where("run = 0").select("p").distinct().count() > 2
+        got = sorted(repr(tuple(r)) for r in sp.spans_and_routes(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_fold(events)
+
+
 @pytest.mark.parametrize("batches", [1, 6])
 def test_trace_stream_is_the_batch(spark, tmp_path, batches):
     import json
