@@ -26,6 +26,14 @@ def evidence_features(evidence: DataFrame, today: str) -> DataFrame:
     )
 
 
+def source_counts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """questions (qid) and evidence (qid, source_id) to qid, sources and f4: the distinct sources of a question's evidence; one without a name isn't counted.
+    Without evidence there are 0 sources, but f4 is missing."""
+    n = evidence.groupBy("qid").agg(F.count_distinct(F.nullif("source_id", F.lit(""))).alias("sources"), F.lit(True).alias("_any"))
+    both = questions.select("qid").distinct().join(n, "qid", "left")
+    return both.select("qid", F.coalesce("sources", F.lit(0)).alias("sources"), F.when(F.col("_any"), F.col("sources").cast("double")).alias("f4"))
+
+
 def contradiction_rate(found: Column, n: Column, scanned: Column) -> Column:
     """f5: of all pairs of n passages, those found to contradict; null if nobody looked."""
     return F.when(scanned, F.when(n < 2, 0.0).otherwise(F.round(F.coalesce(found, F.lit(0)) / (n * (n - 1) / 2), 6)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
 from groundwell.operators import drafts as dr
+from groundwell.operators import features as fs
 from groundwell.operators import passages as op
 from groundwell.operators import retrieval as r
 from groundwell.operators import rules
@@ -93,6 +94,13 @@ def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.footnotes(spark, sf_dir).select("run", "number", "passage").join(retrieval.r.small(p.where("passage < 12")), "passage", "left").select("run", "number", "title", "source_id", "section")
 
 
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct sources of each question's evidence: 0 of a question without any, where the feature is missing."""
+    of = passages(spark, sf_dir).where("doc_id < 12").select(F.col("doc_id").alias("passage"), F.when(F.col("doc_id") % 5 != 3, F.col("source_id")).alias("source_id"))
+    e = decisions.evidence(spark, sf_dir).select(F.struct("run", "pos").alias("qid"), "passage").join(r.small(of), "passage", "left")
+    return fs.source_counts(plan_rows(spark, sf_dir).select(F.struct("run", "pos").alias("qid")), e).select("qid.run", "qid.pos", "sources", "f4")
+
+
 def premise_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four questions of a run as claims, with verdicts by number: numbers out of range are dropped, labels become passages, unknown ones go."""
     p = plan_rows(spark, sf_dir)
@@ -171,7 +179,7 @@ g AS (SELECT conv_id, turn, 'could not establish: ' || CASE WHEN length(p) > 200
 QUERIES = {
     f.__name__: f
     for f in (
-        claim_verdicts, claim_summary, citation_labels, citation_forms, evidence_for, own_scores, evidence_select, draft_findings, source_list, premise_verdicts, premise_claims, premise_evidence, premise_note, evidence_text, question_gaps, banners,
+        claim_verdicts, claim_summary, citation_labels, citation_forms, evidence_for, own_scores, evidence_select, draft_findings, source_list, premise_verdicts, source_counts, premise_claims, premise_evidence, premise_note, evidence_text, question_gaps, banners,
     )
 }
 
@@ -193,6 +201,8 @@ f AS (SELECT conv_id, norm, min_by((['SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CON
 k AS (SELECT b12.qid, b12.id, fr, {retrieval._OVERLAP_SQL} AS rs FROM b12 JOIN dt USING (id) JOIN qq ON qq.qid = b12.qid), t AS (SELECT qid // 10 AS run, qid % 10 AS claim, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rs DESC, fr) AS INT) AS rank FROM k WHERE qid % 10 < 4 QUALIFY rank <= 4),
 f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY run, id ORDER BY claim, rank) = 1) SELECT run, id, claim, rank, printf('P%02d', row_number() OVER (PARTITION BY run ORDER BY claim, rank, id)) AS label FROM f""",
     "premise_verdicts": f"WITH {PLAN_SQL}, {_PREMISES_SQL} SELECT * FROM pv",
+    "source_counts": f"""WITH {PLAN_SQL}, {_EV}, {PASSAGES_SQL.replace('p AS (', 'pp AS (', 1).replace('FROM p)', 'FROM pp)')}, x AS (SELECT doc_id AS passage, CASE WHEN doc_id % 5 <> 3 THEN nullif(source_id, '') END AS src FROM passages WHERE doc_id < 12),
+n AS (SELECT run, pos, count(DISTINCT src) AS k FROM ev LEFT JOIN x USING (passage) GROUP BY run, pos) SELECT p.run, p.pos, coalesce(k, 0) AS sources, CAST(k AS DOUBLE) AS f4 FROM plan p LEFT JOIN n ON n.run = p.run AND n.pos = p.pos""",
     "premise_claims": """WITH c AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS text FROM conversations WHERE turn < 12 AND turn % 3 <> 2 AND turn % 5 <> 4)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx, md5(text) AS text_md5, CASE WHEN turn % 2 = 0 THEN 'incidental' ELSE 'core' END AS centrality FROM c WHERE text <> '' QUALIFY idx < 4""",
     "premise_note": f"""WITH {PLAN_SQL}, {_PREMISES_SQL}, b AS (SELECT *, verdict = 'CONTRADICTED' AND centrality = 'core' AS bad FROM pv)

@@ -5,14 +5,12 @@ Providers, statuses and messages are rules on the keys of pages and events, as t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.functions import text as t
 from groundwell.functions.json_text import bound
-from groundwell.operators import retrieval as r
-from groundwell.operators import rules
-from groundwell.operators.ranks import ranked_in
+from groundwell.operators import outside, rules
 from groundwell.sources.tables import CALLS_SQL, DOMAIN_SQL, PASSAGES_SQL, calls, passages, read, vectors
 
 #: In the order in which they're asked, the preferred one first.
@@ -43,35 +41,33 @@ def search_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month's tokens of a model as its search credits, and the cap of a day: what is configured (not for views), or a thirtieth; one at least."""
     c = calls(spark, sf_dir).groupBy("model", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("tokens").alias("credits"))
     configured = F.when(F.col("model") == "click", F.lit(33)).when(F.col("model") == "error", F.lit(0))
-    return c.select("model", "month", "credits", F.greatest(F.lit(1), F.coalesce(configured, F.floor(F.col("credits") / 30))).cast("long").alias("daily_cap"))
+    return c.select("model", "month", "credits", outside.daily_cap(F.col("credits"), configured).alias("daily_cap"))
 
 
 def cache_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as lookups in a cache that earlier turns were put into: of several entries of a key the last one counts; an entry of another
     version is a miss. Lookups, hits and rate of each conversation, 0 without lookups."""
     c = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.md5("text").alias("key"))
-    put = c.where("turn % 3 < 2").groupBy("key").agg(F.max_by((F.col("turn") % 2 + 1), F.struct("conv_id", "turn")).alias("version"))
-    looked = c.where("turn % 4 > 0").join(put.where("version = 1"), "key", "left")
-    g = looked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("lookups"), F.count("version").alias("hits"))
-    g = c.select("conv_id").distinct().join(g, "conv_id", "left").select("conv_id", F.coalesce("lookups", F.lit(0)).alias("lookups"), F.coalesce("hits", F.lit(0)).alias("hits"))
-    return g.withColumn("hit_rate", F.round(F.coalesce(F.try_divide("hits", "lookups"), F.lit(0.0)), 6))
+    put = c.where("turn % 3 < 2").select("key", F.struct("conv_id", "turn").alias("at"), (F.col("turn") % 2 + 1).alias("version"))
+    asked = (F.col("turn") % 4 > 0).cast("long")
+    g = outside.cached(c, put, 1).groupBy("conv_id").agg(F.sum(asked).alias("lookups"), F.sum(asked * F.col("hit").cast("long")).alias("hits"))
+    return g.withColumn("hit_rate", outside.hit_rate(F.col("hits"), F.col("lookups")))
 
 
 def passages_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with the ids of a list (those of judged documents, and one that no passage has); what isn't there is left out."""
-    ids = read(spark, sf_dir, "labels").select("doc_id").join(passages(spark, sf_dir).select("doc_id", "id"), "doc_id").select("id")
-    wanted = ids.unionByName(spark.createDataFrame([("P000000000000",)], "id string")).distinct()
-    return passages(spark, sf_dir).select("id", "doc_id", "source_id").join(r.small(wanted), "id", "left_semi")
+    """Passages with the ids of a list (those of judged documents, and one that no passage has)."""
+    p = passages(spark, sf_dir).select("id", "doc_id", "source_id")
+    ids = read(spark, sf_dir, "labels").select("doc_id").join(p, "doc_id").select("id")
+    return outside.by_id(p, ids.unionByName(spark.createDataFrame([("P000000000000",)], "id string")), "id")
 
 
 def papers_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as papers, looked up by short id (the last part of an address): those of a list. Pages without title and text aren't papers; the score
     is that of the place among a domain's found ones."""
     p = read(spark, sf_dir, "pages").select("page_id", F.substring_index(F.coalesce("url", F.lit("")), "/", -1).alias("short_id"), t.domain(F.col("url")).alias("domain"), t.clean(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), t.html_text(F.col("html")).alias("body"))
-    p = p.where("title <> '' or body <> ''").select("page_id", "short_id", "domain", F.length("title").alias("title_chars"), F.length("body").alias("chars"))
-    wanted = p.where("page_id % 10 = 0").select("short_id").distinct()
-    found = ranked_in(p.join(r.small(wanted), "short_id", "left_semi"), "domain", "page_id")
-    return found.select("page_id", "short_id", "domain", "title_chars", "chars", F.round(1 / F.col("rank"), 6).alias("score"))
+    listed = p.where("(title <> '' or body <> '') and page_id % 10 = 0")
+    found = outside.papers(outside.by_id(p, listed, "short_id").select("page_id", "short_id", "domain", "title", "body"), "domain", "page_id")
+    return found.select("page_id", "short_id", "domain", F.length("title").alias("title_chars"), F.length("body").alias("chars"), "score")
 
 
 def error_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +79,10 @@ def error_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The probability of a class (a vector's label) from logits (its first three values): a softmax; a model with one output gives it as it is, and
-    a class that isn't there has 0."""
-    v = vectors(spark, sf_dir).select("id", F.transform(F.slice("vector", 1, F.when(F.col("id") % 7 == 0, 1).otherwise(3)), lambda x: x.cast("double")).alias("z"), F.when(F.col("id") % 11 == 0, 5).otherwise(F.col("label") % 3).cast("int").alias("which"))
-    peak = F.array_max("z")
-    e = F.transform("z", lambda x: F.exp(x - peak))
-    p = F.get(e, F.col("which")) / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return v.select("id", F.round(F.when(F.size("z") == 1, F.get("z", F.lit(0))).otherwise(F.coalesce(p, F.lit(0.0))), 6).alias("p"))
+    """The probability of a class (a vector's label) from logits (its first three values, or one)."""
+    z = F.transform(F.slice("vector", 1, F.when(F.col("id") % 7 == 0, 1).otherwise(3)), lambda x: x.cast("double"))
+    v = vectors(spark, sf_dir).select("id", z.alias("z"), F.when(F.col("id") % 11 == 0, 5).otherwise(F.col("label") % 3).cast("int").alias("which"))
+    return v.select("id", F.round(outside.class_probability(F.col("z"), F.col("which")), 6).alias("p"))
 
 
 def premise_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +92,7 @@ def premise_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose properties lack a key that is required, and which one, with the event as context."""
-    keys = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
-    lost = F.array_except(F.array(*map(F.lit, REQUIRED)), keys)
-    e = read(spark, sf_dir, "events").select("event_type", F.array_join(lost, ",").alias("missing"))
+    e = read(spark, sf_dir, "events").select("event_type", F.array_join(outside.missing_keys(F.col("props"), REQUIRED), ",").alias("missing"))
     return e.where("missing <> ''").groupBy("event_type", "missing").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -27,6 +27,12 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.sum(F.when(cached, F.col("tokens")).otherwise(0)).alias("cached_tokens"), F.sum(cached.cast("long")).alias("cached_calls"))
 
 
+def run_model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each run calls each model, for how many tokens, and when first; most calls first."""
+    c = calls(spark, sf_dir).groupBy("user_id", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.min("us").alias("first_us"))
+    return ranked_in(c.withColumn("fewer", -F.col("calls")), "user_id", "fewer", "model").select("user_id", F.col("rank").alias("place"), "model", "calls", "tokens", "first_us")
+
+
 def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each run: events, first and last time, errors, models, and the time of the last purchase or else of the last event."""
     end = F.coalesce(F.max(F.when(F.col("model") == "purchase", F.col("us"))), F.max("us"))
@@ -161,7 +167,7 @@ _DAY = f"CAST(floor(epoch_us(make_timestamp(us) AT TIME ZONE 'UTC' AT TIME ZONE
 
 QUERIES = {
     f.__name__: f
-    for f in (surface_counts_zero_fill, token_totals, trace_summary, span_pairs, route_edges, route_origin, trace_log, nodes_visited, route_reasons, event_timeline, quota_minute_window, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream)
+    for f in (surface_counts_zero_fill, token_totals, run_model_calls, trace_summary, span_pairs, route_edges, route_origin, trace_log, nodes_visited, route_reasons, event_timeline, quota_minute_window, day_bucket_tz, quota_status, quota_reset, tumbling_windows, sliding_windows, session_windows, tumbling_stream)
 }
 _TUMBLE = f"WITH {CALLS_SQL} SELECT model, CAST(us // 3600000000 * 3600000000 AS BIGINT) AS start_us, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2"
 _MW = "mw AS (SELECT *, count(*) OVER w - 1 AS n_minute, sum(tokens) OVER w - tokens AS tokens_minute, CASE WHEN count(*) OVER w > 1 THEN min(us) OVER w END AS oldest FROM calls WINDOW w AS (PARTITION BY model ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))"
@@ -173,6 +179,7 @@ snap AS (SELECT model, now, today, count(*) FILTER (us >= now - 60000000) AS rpm
 ORACLE_SQL = {
     "surface_counts_zero_fill": f"WITH {CALLS_SQL}, u AS (SELECT DISTINCT user_id FROM calls), s AS (SELECT unnest({SURFACES}) AS surface) SELECT u.user_id, s.surface, count(c.model) AS n FROM u CROSS JOIN s LEFT JOIN calls c ON c.user_id = u.user_id AND c.model = s.surface GROUP BY ALL",
     "token_totals": f"WITH {CALLS_SQL}, k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 AS cached FROM calls) SELECT model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN cached THEN tokens ELSE 0 END) AS BIGINT) AS cached_tokens, count(*) FILTER (cached) AS cached_calls FROM k GROUP BY model",
+    "run_model_calls": f"WITH {CALLS_SQL}, c AS (SELECT user_id, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, min(us) AS first_us FROM calls GROUP BY ALL) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY calls DESC, model) AS INT) AS place, model, calls, tokens, first_us FROM c",
     "trace_summary": f"WITH {CALLS_SQL} SELECT user_id, count(*) AS events, min(us) AS first_us, coalesce(max(us) FILTER (model = 'purchase'), max(us)) - min(us) AS wall_us, count(*) FILTER (model = 'error') AS errors, count(DISTINCT model) AS models FROM calls GROUP BY user_id",
     "span_pairs": f"WITH {CALLS_SQL}, s AS (SELECT *, CAST(ceil(row_number() OVER (PARTITION BY user_id, model ORDER BY us, event_id) / 2) AS INT) AS span FROM calls) SELECT user_id, model, span, count(*) AS n, min(us) AS enter_us, CASE WHEN count(*) = 2 THEN max(us) - min(us) END AS duration_us FROM s GROUP BY ALL",
     "route_edges": f"WITH {CALLS_SQL}, e AS (SELECT lag(model) OVER (PARTITION BY user_id ORDER BY us, event_id) AS from_node, model AS to_node FROM calls) SELECT from_node, to_node, count(*) AS n FROM e WHERE from_node IS NOT NULL GROUP BY ALL",
