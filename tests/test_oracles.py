@@ -41,10 +41,13 @@ def test_same_rows(spark, sf_dir, duck, name):
 
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
-    from tests import test_values
+    from tests import test_rules_and_conflicts, test_stores_and_streams, test_values
 
     # a query without SQL has a test of its values
-    assert set(QUERIES) - set(ORACLE_SQL) == {n.removeprefix("test_") for n in dir(test_values) if n.startswith("test_")} & set(QUERIES)
+    named = lambda m: {n.removeprefix("test_") for n in dir(m) if n.startswith("test_")} & set(QUERIES)
+    without = set(QUERIES) - set(ORACLE_SQL)
+    assert without <= named(test_values) | named(test_stores_and_streams) | named(test_rules_and_conflicts)
+    assert named(test_values) <= without
 
     assert set(ORACLE_SQL) <= set(e.oracle_sql()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["qid", "id", "score", "rank"]
