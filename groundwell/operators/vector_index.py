@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from groundwell.operators.retrieval import QUERY_BLOCK, VECTOR_BLOCK, Best, cosines, packed, small, top, unit_rows
+from groundwell.operators.retrieval import HELD_BLOCKS, QUERY_BLOCK, VECTOR_BLOCK, Best, packed, rows_of, small, top, unit_rows
 from groundwell.sources.work import saved, spread, work_path
 
 #: Vectors that the cells are fitted on, and the most cells. The sample's vectors and all centroids pass the driver.
@@ -27,6 +28,8 @@ SAMPLE, MOST_CELLS = 20_000, 4096
 TURNS = 12
 #: What the number of cells to read is fitted to: neighbours of so many of the sample's vectors. And rows that pass the filter in them, as multiples of k.
 RECALL, NEIGHBOURS, TRIED, ENOUGH = 0.96, 10, 400, 20
+#: So many vectors meet all centroids at once.
+CHUNK = 1024
 
 
 @dataclass(frozen=True)
@@ -41,17 +44,25 @@ class VectorIndex:
         return spark.read.schema(self.schema).parquet(f"{self.path}/vectors")
 
 
+def nearest(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector the nearest centroid and how near it is."""
+    own, score = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    for at in range(0, len(vectors), CHUNK):
+        part = vectors[at : at + CHUNK] @ centre.T
+        own[at : at + CHUNK], score[at : at + CHUNK] = part.argmax(axis=1), part.max(axis=1)
+    return own, score
+
+
 def fit_cells(vectors: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     """Unit centroids of unit vectors. An empty cell gets the vector that is farthest from its own."""
     rng = np.random.default_rng(seed)
     centre = vectors[rng.choice(len(vectors), min(cells, len(vectors)), replace=False)]
     for _ in range(TURNS):
-        score = vectors @ centre.T
-        own = score.argmax(axis=1)
+        own, score = nearest(vectors, centre)
         sums = np.zeros_like(centre)
         np.add.at(sums, own, vectors)
         held = np.bincount(own, minlength=len(centre))
-        far = np.argsort(score.max(axis=1), kind="stable")
+        far = np.argsort(score, kind="stable")
         sums[held == 0] = vectors[far[: int((held == 0).sum())]]
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centre
@@ -61,14 +72,15 @@ def fit_probe(vectors: np.ndarray, centre: np.ndarray) -> int:
     """How many cells hold RECALL of the nearest neighbours of some of these vectors."""
     if len(vectors) < 2:
         return 1
-    asked = vectors[: min(TRIED, len(vectors))]
-    score = asked @ vectors.T
-    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    k = min(NEIGHBOURS, len(vectors) - 1)
-    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    turn = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)
-    own = (vectors @ centre.T).argmax(axis=1)
-    needed = np.sort(np.take_along_axis(turn, own[near], axis=1).ravel())
+    k, own, needed = min(NEIGHBOURS, len(vectors) - 1), nearest(vectors, centre)[0], []
+    for at in range(0, min(TRIED, len(vectors)), 50):
+        asked = vectors[at : min(at + 50, TRIED)]
+        score = -(asked @ vectors.T)
+        score[np.arange(len(asked)), at + np.arange(len(asked))] = np.inf
+        near = np.argpartition(score, k - 1, axis=1)[:, :k]
+        turn = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)
+        needed.append(np.take_along_axis(turn, own[near], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
     return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
 
 
@@ -84,7 +96,7 @@ def _with_cell(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
         if any(ok):
             flat = vectors.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = unit_rows(flat.tobytes(), sum(ok))
-            near = (x @ shared.value.T).argmax(axis=1)
+            near = nearest(x, shared.value)[0]
             out[np.flatnonzero(ok)] = np.where(np.isnan(x).any(axis=1), -1, near)
         return pa.array(out)
 
@@ -103,10 +115,11 @@ def build(rows: DataFrame, filters: tuple[str, ...] = (), path: str | None = Non
     rows = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), *filters)
     n = rows.count()
     share = min(1.0, SAMPLE / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vector").limit(2 * SAMPLE)
-    found = [v for r in drawn.toLocalIterator() if (v := r.vector) and all(x is not None for x in v)]
-    size = max(((sum(len(v) == s for v in found), s) for s in {len(v) for v in found}), default=(0, 1))[1]
-    sample = unit_rows(np.array([v for v in found if len(v) == size], dtype=np.float64).tobytes(), sum(len(v) == size for v in found)) if found else np.zeros((0, size))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("id", "vector").limit(2 * SAMPLE)
+    found = [np.frombuffer(r.vectors).reshape(len(r.ids), -1) for r in packed(drawn, "id", VECTOR_BLOCK).toLocalIterator()]
+    found = [x[~np.isnan(x).any(axis=1)] for x in found]
+    size = max(((sum(len(x) for x in found if x.shape[1] == s), s) for s in {x.shape[1] for x in found}), default=(0, 1))[1]
+    sample = np.concatenate([unit_rows(x.tobytes(), len(x)) for x in found if x.shape[1] == size and len(x)] or [np.zeros((0, size))])
     sample = sample[~np.isnan(sample).any(axis=1)]
     cells = cells or int(min(MOST_CELLS, max(1, round(2 * np.sqrt(n))), max(1, len(sample) // 4)))
     centroids = fit_cells(sample, cells, seed) if len(sample) else np.eye(1, size)
@@ -131,63 +144,78 @@ def append(index: VectorIndex, rows: DataFrame) -> None:
 
 
 def plan_probes(queries: DataFrame, counts: DataFrame, centroids: np.ndarray, probe: int, enough: int) -> DataFrame:
-    """queries (qid, vector) to qid, vector, cell: the nearest cells of each query, `probe` of them at least, and until `enough` rows stand in them.
+    """queries (qid, vector) to qid, vector, near (the nearest cell) and reads, a bit for each cell: the nearest cells of each query, `probe`
+    of them at least, and until `enough` rows stand in them. Queries that read none are left out.
 
     counts: cell, n (rows that pass the filter)."""
     spark = queries.sparkSession
     held = dict.fromkeys(range(len(centroids)), 0) | {r.cell: r.n for r in counts.where("cell >= 0").collect()}  # MOST_CELLS at most
     shared = spark.sparkContext.broadcast((centroids, np.array([held[k] for k in range(len(centroids))])))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<near int, reads binary>")
     def cells(vectors: pa.Array) -> pa.Array:
         centre, n = shared.value
-        out = []
+        near, reads = [], []
         for v in vectors:
             x = np.array(v.as_py() if v.is_valid else [], dtype=np.float64)
-            if len(x) != centre.shape[1] or not np.linalg.norm(x) > 0:
-                out.append([])
-                continue
-            order = np.argsort(-(centre @ x), kind="stable")
-            order = order[n[order] > 0]
-            earlier = np.cumsum(n[order]) - n[order]
-            out.append(order[(np.arange(len(order)) < probe) | (earlier < enough)].tolist())
-        return pa.array(out, pa.list_(pa.int32()))
+            order = np.zeros(0, np.int64)
+            if len(x) == centre.shape[1] and np.linalg.norm(x) > 0:
+                order = np.argsort(-(centre @ x), kind="stable")
+                order = order[n[order] > 0]
+                earlier = np.cumsum(n[order]) - n[order]
+                order = order[(np.arange(len(order)) < probe) | (earlier < enough)]
+            bits = np.zeros(len(n), bool)
+            bits[order] = True
+            near.append(int(order[0]) if len(order) else None)
+            reads.append(np.packbits(bits).tobytes())
+        return pa.StructArray.from_arrays([pa.array(near, pa.int32()), pa.array(reads, pa.binary())], names=["near", "reads"])
+
+    return queries.withColumn("_cells", cells("vector")).select("qid", "vector", "_cells.near", "_cells.reads").where("near is not null")
 
-    return queries.withColumn("cell", F.explode(cells("vector")))
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _cells_read(reads: pa.Array) -> pa.Array:
+    """The cells that any query of a block reads."""
+    union = [np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in r.values]) for r in reads]
+    return pa.array([np.flatnonzero(np.unpackbits(x)).astype(np.int32) for x in union], pa.list_(pa.int32()))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, where: Column | None = None, probe: int | None = None, exact: bool = False, keep_self: bool = False) -> DataFrame:
     """The k nearest by cosine of queries (qid, vector): qid, id, score, rank. where: on the index's filter columns; probe: how many cells a
-    query reads at least, if not the index's own number; exact: all."""
+    query reads at least, if not the index's own number; exact: all.
+
+    A query is written once, with a bit for each cell, however many cells it reads. Blocks of queries with like cells meet the blocks
+    of vectors that have any of these, in a task that multiplies what the bits say. Nothing but the numbers of cells passes the driver."""
     spark = queries.sparkSession
     rows = index.read(spark).where("cell >= 0")
     rows = rows if where is None else rows.where(where)
     counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     cells = len(index.centroids)
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
-    asked = saved(plan_probes(asked, counts, index.centroids, cells if exact else probe or index.probe, ENOUGH * k), "probes")
-    read = [r.cell for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
+    asked = plan_probes(asked, counts, index.centroids, cells if exact else probe or index.probe, ENOUGH * k).repartitionByRange("near").sortWithinPartitions("near")
+    q_blocks = packed(asked, "qid", QUERY_BLOCK, beside="reads").select("number", F.col("ids").alias("qids"), F.col("vectors").alias("asked"), "reads")
+    q_blocks = saved(q_blocks.withColumn("wanted", _cells_read("reads")), "query-blocks")
+    read = [r.cell for r in q_blocks.select(F.explode("wanted").alias("cell")).distinct().collect()]  # MOST_CELLS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, Best] = {}
-        for batch in batches:
-            for key, qids, q, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qids, own = np.array(qids), np.array(ids)
-                score = cosines(unit_rows(q, len(qids)), unit_rows(v, len(own)))
-                if not keep_self:
-                    score[qids[:, None] == own[None, :]] = -np.inf
-                if key not in best:
-                    if len(best) >= 64:
-                        yield best.pop(next(iter(best))).rows()
-                    best[key] = Best(qids, k)
-                best[key].add(score, own)
+        for number, qids, q, reads, ids, v, cell in rows_of(batches):
+            key, qids, own, cell = number.as_py(), qids.values.to_numpy(), ids.values.to_numpy(), cell.values.to_numpy()
+            if key not in best:
+                if len(best) >= HELD_BLOCKS:
+                    yield best.pop(next(iter(best))).rows()
+                best[key] = Best(qids.copy(), k)
+            q, v = unit_rows(q.as_buffer(), len(qids)), unit_rows(v.as_buffer(), len(own))
+            bits = np.frombuffer(b"".join(reads.values.to_pylist()), np.uint8).reshape(len(qids), -1)
+            for c in np.unique(cell):
+                at = np.flatnonzero(bits[:, c >> 3] >> (7 - (c & 7)) & 1)
+                best[key].meet(q, v[cell == c], own[cell == c], at, keep_self)
         for b in best.values():
             yield b.rows()
 
-    # blocks of a cell's queries meet blocks of its vectors: a join on the cell, whose large cells Spark splits
-    q_blocks = packed(asked, "qid", QUERY_BLOCK, ["cell"]).select("cell", "number", F.col("ids").alias("qids"), F.col("vectors").alias("asked"))
-    v_blocks = packed(rows.where(F.col("cell").isin(read)), "id", VECTOR_BLOCK, ["cell"]).drop("number")
-    pairs = small(saved(q_blocks, "query-blocks")).join(v_blocks, "cell").drop("cell")
+    v_blocks = packed(spread(rows.where(F.col("cell").isin(read))), "id", VECTOR_BLOCK, beside="cell").drop("number")
+    v_blocks = saved(v_blocks.withColumn("held", F.array_distinct("cell")), "vector-blocks")
+    pairs = q_blocks.join(v_blocks, F.arrays_overlap("wanted", "held")).drop("wanted", "held")
     return top(pairs.mapInArrow(run, "qid long, id long, score double"), k, ["qid"], F.desc("score"), "id")
 
 
@@ -199,5 +227,6 @@ def share_read(index: VectorIndex, queries: DataFrame, k: int, where: Column | N
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
     plan = plan_probes(asked, counts, index.centroids, probe or index.probe, ENOUGH * k)
     every = F.sum("n").over(Window.partitionBy())  # a row for each cell
-    both = plan.select("qid", "cell").join(small(counts.withColumn("of", every)), "cell")
+    plan = plan.select("qid", F.explode(_cells_read(F.array("reads"))).alias("cell"))
+    both = plan.join(small(counts.withColumn("of", every)), "cell")
     return both.groupBy("qid").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"), F.max("of").alias("of"))

@@ -161,6 +161,20 @@ def test_dense_top_is_exact(spark):
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == want
 
 
+def test_queries_meet_vectors_some_at_a_time(monkeypatch):
+    """What a task holds of scores is bounded, whatever the blocks; the best are those of one matrix, ties by id."""
+    rng = np.random.default_rng(11)
+    q, v = rng.integers(-2, 3, (700, 4)) + 0.5, rng.integers(-2, 3, (900, 4)) + 0.5
+    q, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, v))
+    whole, seen, plain = retrieval.cosines(q, v), [], retrieval.cosines
+    monkeypatch.setattr(retrieval, "cosines", lambda a, b: seen.append(len(a)) or plain(a, b))
+    best = retrieval.Best(np.arange(700), 5)
+    for at in range(0, 900, 300):
+        best.meet(q, v[at : at + 300], np.arange(at, at + 300), np.arange(700), True)
+    assert max(seen) <= retrieval.CHUNK < 700
+    assert best.found.tolist() == [sorted(range(900), key=lambda i, k=k: (-whole[k, i], i))[:5] for k in range(700)]
+
+
 def test_dense_top_in_blocks(spark, monkeypatch):
     """Any cut into blocks gives the same rows, ties included; queries without a vector have none."""
     rng = np.random.default_rng(1)

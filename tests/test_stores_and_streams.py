@@ -17,7 +17,7 @@ from groundwell.operators import spans as sp
 from groundwell.operators import vector_index as vi
 from groundwell.plans import stored
 from groundwell.queries import QUERIES
-from groundwell.sources.work import kept, work_path
+from groundwell.sources.work import kept, saved, work_path
 from groundwell.streaming import admission as adm_stream
 from groundwell.streaming import trace
 
@@ -103,6 +103,22 @@ def test_vector_index_grows(spark):
     assert vi.search(none, asked, 5).count() == 0
 
 
+def test_a_query_is_written_once(spark, monkeypatch):
+    """However many cells it reads, and a vector once."""
+    rows = clustered(2000, 8)
+    df = spark.createDataFrame(rows, f"{VECTORS}, part int")
+    index = vi.build(df, ("part",))
+    written = {}
+    monkeypatch.setattr(vi, "saved", lambda df, name: written.setdefault(name, saved(df, name)))
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    got = vi.search(index, asked, 5, exact=True)
+    ids = [i for x in written["query-blocks"].collect() for i in x.qids]
+    assert sorted(ids) == list(range(0, 2000, 20)) and len(index.centroids) > 50
+    assert sorted(i for x in written["vector-blocks"].collect() for i in x.ids) == list(range(2000))
+    plain = [(i, v) for i, v, _ in rows]
+    assert {(x.qid, x.id, x.score) for x in got.collect()} == {(q, i, -s) for q, v in cosine_top(plain, [x for x in plain if x[0] % 20 == 0], 5).items() for s, i in v}
+
+
 def test_dense_indexed(spark, sf_dir):
     exact = QUERIES["dense_topk"](spark, sf_dir).collect()
     got = {(x.qid, x.id) for x in QUERIES["dense_indexed"](spark, sf_dir).collect()}
