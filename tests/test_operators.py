@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,21 @@ def test_dense_top_is_exact(spark):
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == want
 
 
+def test_words_are_counted_some_at_a_time(monkeypatch):
+    """What a task counts at once is bounded by words, a document at least; the postings are those of all documents at once."""
+    rng = np.random.default_rng(12)
+    docs = [(i, [f"w{x}" for x in rng.integers(0, 9, n)]) for i, n in enumerate([0, 5, 40, 0, 3, 7, 0, 25, 1, 0])]
+    batch = pa.record_batch({"id": pa.array([i for i, _ in docs], pa.int64()), "ts": pa.array([ws for _, ws in docs], pa.list_(pa.string()))})
+    monkeypatch.setattr(retrieval, "WORDS", 12)
+    for given in ([batch], [batch.slice(2, 3), batch.slice(5)]):
+        parts = [p.to_pylist() for p in retrieval._counted(iter(given))]
+        words = [sum(x["tf"] for x in p) for p in parts]
+        assert max(words) == 40 and all(n <= 12 or len({x["id"] for x in p}) == 1 for n, p in zip(words, parts, strict=True))
+        got = sorted((x["id"], x["term"] or "", x["tf"], x["dl"], x["head"]) for p in parts for x in p)
+        some = docs if len(given) == 1 else docs[2:]
+        assert got == sorted([(i, w, ws.count(w), len(ws), w == ws[0]) for i, ws in some for w in set(ws)] + [(i, "", 0, 0, True) for i, ws in some if not ws])
+
+
 def test_queries_meet_vectors_some_at_a_time(monkeypatch):
     """What a task holds of scores is bounded, whatever the blocks; the best are those of one matrix, ties by id."""
     rng = np.random.default_rng(11)
