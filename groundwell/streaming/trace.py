@@ -11,6 +11,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,34 +23,64 @@ from groundwell.streaming.admission import ROCKSDB
 LATE = "10 minutes"
 _COLUMNS = [c.split(" ")[0] for c in EVENT.split(", ")]
 
+_ARROW = pa.schema([(c.split(" ")[0], pa.int64() if c.endswith("long") else pa.string()) for c in EVENT.split(", ")])
+#: Events of a run in a value of its state, and those that go through the stack at once.
+CHUNK = 50_000
+
+
+def chunks(events: pa.Table) -> Iterator[tuple[bytes]]:
+    """Events as values of the state; its strings are few, and are written once a chunk."""
+    for at in range(0, len(events), CHUNK):
+        some = events.slice(at, CHUNK).combine_chunks()
+        some = pa.table([c.dictionary_encode() if pa.types.is_string(c.type) else c for c in some.columns], names=some.column_names)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, some.schema) as out:
+            out.write_table(some)
+        yield (sink.getvalue().to_pybytes(),)
+
+
+def unpacked(chunk: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(chunk)).read_all().cast(_ARROW)
+
 
 class SpanProcessor(StatefulProcessor):
+    """Waiting events are kept in chunks, each an Arrow table of up to CHUNK rows, so that the state is asked for some values of a run and not for
+    each event. Chunks are only added until the watermark has passed the earliest event, which stands beside the stack."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
-        self.stack = handle.getValueState("stack", "opened string, last_left string")
-
-    def _answers(self, rows: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        opened, left = self.stack.get() if self.stack.exists() else ("[]", None)
-        stack = Stack(json.loads(opened), left)
-        waiting = sorted([tuple(r) for r in self.waiting.get()] + rows, key=lambda r: (r[1], r[2]))
-        n = sum(r[1] < watermark_ms * 1000 for r in waiting)
-        out = [s for r in waiting[:n] for s in stack.offer(*r)]
-        self.waiting.put(waiting[n:]) if waiting[n:] else self.waiting.clear()
-        self.stack.update((json.dumps(stack.opened), stack.left))
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.stack = handle.getValueState("stack", "opened string, last_left string, earliest long")
+
+    def _answers(self, frames: Iterator[pd.DataFrame], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        opened, left, earliest = self.stack.get() if self.stack.exists() else ("[]", None, None)
+        fresh = pa.Table.from_batches([pa.RecordBatch.from_pandas(f[_COLUMNS], _ARROW, preserve_index=False) for f in frames], _ARROW)
+        first = min([x for x in (earliest, pc.min(fresh["us"]).as_py()) if x is not None], default=None)
+        if first is not None and first < watermark_ms * 1000:
+            events = pa.concat_tables([*[unpacked(x[0]) for x in self.waiting.get()], fresh]).sort_by([("us", "ascending"), ("seq", "ascending")])
+            n = pc.sum(pc.less(events["us"], watermark_ms * 1000)).as_py()
+            stack = Stack(json.loads(opened), left)
+            for at in range(0, n, CHUNK):
+                some = events.slice(at, min(CHUNK, n - at))
+                out = [s for r in zip(*(c.to_pylist() for c in some.columns), strict=True) for s in stack.offer(*r)]
+                if out:
+                    yield pd.DataFrame({c.split(" ")[0]: pd.array([r[k] for r in out], dtype="object") for k, c in enumerate(SPAN.split(", "))})
+            rest = events.slice(n)
+            self.waiting.put(list(chunks(rest))) if len(rest) else self.waiting.clear()
+            opened, left, first = json.dumps(stack.opened), stack.left, rest["us"][0].as_py() if len(rest) else None
+        elif len(fresh):
+            self.waiting.appendList(list(chunks(fresh)))
+        self.stack.update((opened, left, first))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if waiting[n:]:
-            self.handle.registerTimer(max(waiting[n][1] // 1000 + 1, watermark_ms + 1))
-        if out:
-            yield pd.DataFrame({c.split(" ")[0]: pd.array([r[k] for r in out], dtype="object") for k, c in enumerate(SPAN.split(", "))})
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000 + 1, watermark_ms + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        taken = [tuple(None if x is None or x != x else int(x) if k < 3 else x for k, x in enumerate(r)) for frame in rows for r in frame[_COLUMNS].itertuples(index=False, name=None)]
-        yield from self._answers(taken, timerValues.getCurrentWatermarkInMs())
+        yield from self._answers(rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._answers([], timerValues.getCurrentWatermarkInMs())
+        yield from self._answers(iter(()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

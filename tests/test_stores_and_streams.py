@@ -341,6 +341,69 @@ def test_trace_stream_is_the_batch(spark, tmp_path, batches):
     assert shaped(got) == sorted(x for x in spans_by_hand(kept_events) if x[1] != "open")
 
 
+def test_a_runs_waiting_events_are_few_values(monkeypatch):
+    """The state isn't asked for each event; what comes out is what one stack makes of all."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.held, self.written = [], 0
+
+        def get(self):
+            return self.held
+
+        def exists(self):
+            return bool(self.held)
+
+        def clear(self):
+            self.held = []
+
+        def put(self, values):
+            self.held, self.written = list(values), self.written + len(values)
+
+        def appendList(self, values):
+            self.held, self.written = self.held + list(values), self.written + len(values)
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        getValueState = getListState
+
+        def listTimers(self):
+            return list(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    monkeypatch.setattr(trace, "CHUNK", 100)
+    names = [c.split(" ")[0] for c in sp.EVENT.split(", ")]
+    events = sorted((e for e in some_events(9, 900) if e[0] == 0), key=lambda e: e[1:3])
+    assert len(events) > 150
+    handle, processor = Handle(), trace.SpanProcessor()
+    processor.init(handle)
+    times = type("Times", (), {"__init__": lambda self, ms: setattr(self, "ms", ms), "getCurrentWatermarkInMs": lambda self: self.ms})
+    frame = lambda rows: pd.DataFrame(rows, columns=names)
+    middle = len(events) // 2
+    got = list(processor.handleInputRows((0,), iter([frame(events[middle:])]), times(0))) + list(processor.handleInputRows((0,), iter([frame(events[:middle])]), times(0)))
+    assert not got and handle.states["waiting"].written <= 2 + len(events) / 100 and len(handle.timers) == 1
+    for us in (events[middle][1], events[-1][1] + 10**9):
+        got += list(processor.handleExpiredTimer((0,), times(us // 1000), None))
+    stack = sp.Stack()
+    want = [x for e in events for x in stack.offer(*e)]
+    assert [tuple(None if x is None or x != x else x for x in r) for f in got for r in f.itertuples(index=False, name=None)] == want
+    assert not handle.states["waiting"].held and not handle.timers
+
+
 # rounds
 
 
