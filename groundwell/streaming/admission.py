@@ -1,10 +1,11 @@
 """Admission as a stream whose result doesn't depend on how calls fall into batches.
 
 A call waits in its model's state until the watermark has passed it, so that calls are offered in order of time whatever batch
-brought them; then it meets the same gate as in batch, and leaves the state. A timer at the earliest waiting call wakes a model
-that gets no more calls. What is kept of accepted calls goes after RETENTION. A call that comes after its time was passed
-can't change what is decided: it goes to the side output, as `late`. Spark itself drops what is older than its watermark, so
-that one is set GRACE_MS further back, and the time that counts here is GRACE_MS ahead of it.
+brought them; then it meets the same gate as in batch, and leaves the state. However many wait, a task holds some of them only
+(groundwell.streaming.waiting). A timer at the earliest waiting call wakes a model that gets no more calls. What is kept of
+accepted calls goes after RETENTION. A call that comes after its time was passed can't change what is decided: it goes to the
+side output, as `late`. Spark itself drops what is older than its watermark, so that one is set GRACE_MS further back, and the
+time that counts here is GRACE_MS ahead of it.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from groundwell.operators.admission import ANSWER, Gate, with_limits
+from groundwell.streaming.waiting import Waiting
 
 RETENTION = 130_000_000
 LATE_MS, GRACE_MS = 600_000, 86_400_000
@@ -24,16 +28,31 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUT = f"event_id long, model string, day long, admitted boolean, {ANSWER}, late boolean"
 _WAITING = "us long, event_id long, tokens long, day long, reset_us long, rpm long, tpm long, rpd long, tpd long"
 _HELD = "us long, tokens long"
+_ARROW = pa.schema([(c.split(" ")[0], pa.int64()) for c in _WAITING.split(", ")])
+#: Calls that are answered at once.
+CHUNK = 20_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of OUT."""
+    return pd.DataFrame({c.split(" ")[0]: pd.array(x, dtype="object") for c, x in zip(OUT.split(", "), zip(*rows, strict=True), strict=True)})
+
+
+def _values(column: pa.ChunkedArray) -> list:
+    """to_pylist, in a tenth of its time where all values are there."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
 
 
 class AdmissionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.waiting = Waiting(handle, "waiting", _ARROW, ["us", "event_id"])
         self.held = handle.getListState("held", _HELD)
         self.day = handle.getValueState("day", "day long, n long, tokens long, passed long")
 
-    def _answers(self, key: tuple, rows: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+    def _answers(self, key: tuple, frames: Iterator[pd.DataFrame], watermark_ms: int) -> Iterator[pd.DataFrame]:
         """Takes rows in and offers what the time has passed."""
         now_ms = watermark_ms + GRACE_MS if watermark_ms else 0
         gate = Gate()
@@ -44,32 +63,33 @@ class AdmissionProcessor(StatefulProcessor):
         for us, tokens in self.held.get():
             gate.held.append((us, tokens))
             gate.used += tokens
-        late = [r for r in rows if r[0] <= passed]
-        waiting = sorted([tuple(r) for r in self.waiting.get()] + [r for r in rows if r[0] > passed], key=lambda r: r[:2])
         now = now_ms * 1000
-        ready = [r for r in waiting if r[0] < now]
-        out = [(r[1], key[0], r[3], a[0] is None, *a, False) for r in ready for a in [gate.offer(r[0], r[2], r[3], r[4], *r[5:])]]
-        out += [(r[1], key[0], r[3], False, *[None] * 7, True) for r in late]
-        rest = waiting[len(ready) :]
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.waiting.begin()
+        for frame in frames:
+            rows = pa.Table.from_pandas(frame[_ARROW.names], _ARROW, preserve_index=False)
+            if rows["us"].null_count:
+                raise ValueError("a call has no time")
+            gone = pc.less_equal(rows["us"], passed)
+            self.waiting.add(rows.filter(pc.invert(gone)))
+            if late := [(r["event_id"], key[0], r["day"], False, *[None] * 7, True) for r in rows.filter(gone).to_pylist()]:
+                yield _frame(late)
+        for ready in self.waiting.passed(now):
+            for at in range(0, len(ready), CHUNK):
+                calls = zip(*map(_values, ready.slice(at, CHUNK).columns), strict=True)
+                yield _frame([(e, key[0], day, a[0] is None, *a, False) for us, e, tokens, day, *rest in calls for a in [gate.offer(us, tokens, day, *rest)]])
         kept = [h for h in gate.held if h[0] >= now - RETENTION]
         self.held.put(kept) if kept else self.held.clear()
         self.day.update((gate.day, gate.n_day, gate.tokens_day, max(passed, now - 1)))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if rest:
-            self.handle.registerTimer(max(rest[0][0] // 1000 + 1 - GRACE_MS, watermark_ms + 1))
-        if out:
-            names = [c.split(" ")[0] for c in OUT.split(", ")]
-            yield pd.DataFrame({c: pd.array([r[k] for r in out], dtype="object") for k, c in enumerate(names)})
+        if self.waiting.first is not None:
+            self.handle.registerTimer(max(self.waiting.first // 1000 + 1 - GRACE_MS, watermark_ms + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in _WAITING.split(", ")]
-        taken = [tuple(None if x is None or x != x else int(x) for x in r) for frame in rows for r in frame[columns].itertuples(index=False, name=None)]
-        yield from self._answers(key, taken, timerValues.getCurrentWatermarkInMs())
+        yield from self._answers(key, rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._answers(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._answers(key, iter(()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

@@ -3,9 +3,12 @@
 import random
 from collections import defaultdict
 from datetime import datetime
+from types import SimpleNamespace
 from zoneinfo import ZoneInfo
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from groundwell.plans import stored
 from groundwell.queries import QUERIES
 from groundwell.sources.work import kept, saved, work_path
 from groundwell.streaming import admission as adm_stream
-from groundwell.streaming import trace
+from groundwell.streaming import trace, waiting
 
 VECTORS = "id long, vector array<double>"
 
@@ -226,6 +229,80 @@ def test_admission_stream_is_the_replay(spark, batches):
     assert [x.event_id for x in rows if x.late] == ([-9] if close - late[1] < 86_400_000_000 else [])
 
 
+class States:
+    """A processor's handle with states in plain Python, which knows the most rows that a value or a list had."""
+
+    def __init__(self):
+        self.most, self.held = 0, {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        put = lambda rows: (self.held.update({name: list(rows)}), setattr(self, "most", max(self.most, len(rows))))
+        return SimpleNamespace(get=lambda: iter(self.held.get(name, [])), put=put, clear=lambda: self.held.pop(name, None))
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        of = self.held.setdefault(name, {})
+
+        def update(k, value):
+            of[k] = value
+            self.most = max(self.most, len(pa.ipc.open_stream(value[0]).read_all()))
+
+        return SimpleNamespace(getValue=of.get, updateValue=update, removeKey=of.pop)
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return SimpleNamespace(exists=lambda: name in self.held, get=lambda: self.held[name], update=lambda x: self.held.update({name: x}))
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.held.get("timers", []))
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.held["timers"].remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.held.setdefault("timers", []).append(t)
+
+
+@pytest.mark.parametrize("model", ["rpm", "tpm", "rpd", "tpd", "all", "free"])
+def test_admission_holds_some_of_the_waiting_calls(monkeypatch, model):
+    monkeypatch.setattr(waiting, "RUN", 100)
+    monkeypatch.setattr(waiting, "PIECE", 7)
+    monkeypatch.setattr(adm_stream, "CHUNK", 40)
+    limits = {model: (*LIMITS.get(model, (None,) * 4)[:4], "UTC")}
+    rng = random.Random(5)
+    start = int(datetime(2024, 3, 9, 20, tzinfo=ZoneInfo("UTC")).timestamp() * 1_000_000)
+    times = [start + rng.choice([0, 1, 30_000_000]) + rng.randrange(900) * 100_000_000 // 3 for _ in range(2500)]
+    calls = [(e, us, model, rng.choice([1, 10, 30, 60, 120])) for e, us in enumerate(times)]
+    handle, processor, got = States(), adm_stream.AdmissionProcessor(), []
+    processor.init(handle)
+
+    def frames(some):
+        day = 86_400_000_000
+        rows = [(us, e, tokens, us // day, day - us % day, *limits[model][:4]) for e, us, _, tokens in some]
+        for at in range(0, len(rows), 30):
+            yield pd.DataFrame(rows[at : at + 30], columns=["us", "event_id", "tokens", "day", "reset_us", "rpm", "tpm", "rpd", "tpd"])
+
+    def offered(some, passed_us):
+        time = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed_us // 1000 - adm_stream.GRACE_MS if passed_us else 0)
+        batch = list(processor.handleInputRows((model,), frames(some), time) if some else processor.handleExpiredTimer((model,), time, None))
+        got.extend(x for f in batch for x in f.itertuples())
+        assert all(len(f) <= 40 for f in batch)
+
+    late = calls[:300]
+    offered(calls[300:2000], 0)
+    assert not got and handle.held["timers"]
+    offered(calls[2000:2003], start + 9_000_000_000)  # part of the pieces goes
+    offered([], start + 9_000_000_000)
+    offered(calls[2003:], start + 9_000_000_000)
+    offered([], start + 20_000_000_000)
+    offered([], start + 90_000_000_000)
+    early = {c[0] for c in calls[2003:] if c[1] < start + 9_000_000_000}
+    assert {x.event_id for x in got if x.late} == early and not handle.held["timers"]
+    offered(late, start + 90_000_000_000)
+    assert len(got) == len(calls) and {x.event_id for x in got if x.late} == early | {c[0] for c in late}
+    want = replay([c for c in calls[300:] if c[0] not in early], limits)
+    assert {x.event_id: (model, *[None if getattr(x, c) is pd.NA else getattr(x, c) for c in FIELDS[1:]]) for x in got if not x.late} == want
+    assert handle.most <= 60 and not handle.held["waiting"]
+
+
 # traces
 
 
